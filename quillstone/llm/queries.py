@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from . import warc
 from .common import table
 from .mixing import mix
+from .neighbours import nearest
 from .records import round_trip
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -25,12 +30,21 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_nearest": op2_nearest,
     "op3_source_mix": op3_source_mix,
     "op6_token_records": op6_token_records,
     "op8_warc": op8_warc,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_nearest": """
+        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                         AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+             d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+                   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM d)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
              f AS (SELECT h, max(page_id) AS first FROM p WHERE strlen(h) >= 1000 GROUP BY h HAVING count(*) > 1)
