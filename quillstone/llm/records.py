@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BinaryFile, only, partitions_for, read_range, scratch, stored
-from .wordcode import WordEncoder, tokenizer_path
+from .wordcode import shared_encoder, tokenizer_path
 
 MAGIC, INDEX_MAGIC = b"QSTREC1\0", b"QSTIDX1\0"
 MASK = 0xA282EAD8
@@ -63,7 +63,7 @@ def write_records(docs: DataFrame, directory: str, *, id_col: str = "doc_id", te
     tail = np.asarray([end_id], dtype=dtype).tobytes()
 
     def write(batches):
-        encoder, pid, seq, data, offsets, n_ids, done = WordEncoder(path, dtype=dtype), TaskContext.get().partitionId(), 0, None, [], 0, []
+        encoder, pid, seq, data, offsets, n_ids, done = shared_encoder(path, dtype), TaskContext.get().partitionId(), 0, None, [], 0, []
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                 if data is None:

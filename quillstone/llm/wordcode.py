@@ -3,11 +3,16 @@
 The 49k word tokenizer never joins characters across a space or line feed: its normaliser only composes characters,
 folds case and white space, and its splitter drops white space. So a text's ids are those of its pieces between spaces
 and line feeds, one after the other, and each distinct piece is encoded once for many occurrences. Other white space
-stays inside the pieces and is left to the library.
+stays inside the pieces and is left to the library. A full stop or comma right after a Latin letter starts a piece of its
+own: the splitter ends a run of letters there in any case.
 """
 
 from __future__ import annotations
 
+import re
+import sys
+import types
+
 import numpy as np
 
 #: A special string that the library cuts a text at before it normalises anything, and the pieces put between two of them at once.
@@ -20,6 +25,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Where a piece ends although no space follows.
+_STOP = re.compile(r"(?<=[a-z])(?=[.,])")
+
+
 class WordEncoder:
     """encode(texts) -> for each text the little-endian bytes of its ids.
 
@@ -27,7 +36,7 @@ class WordEncoder:
     a size, which bounds memory and changes no result.
     """
 
-    def __init__(self, path: str | None = None, known: int = 250_000, young: int = 150_000, dtype: str = "<u2"):
+    def __init__(self, path: str | None = None, known: int = 400_000, young: int = 250_000, dtype: str = "<u2"):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,7 +49,7 @@ class WordEncoder:
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+        return _STOP.sub(" ", text).replace("\n", " ").split(" ")
 
     def _fresh(self, new: list[str]) -> dict[str, bytes]:
         odd = {w for w in new if "<|" in w}  # may hold the special strings themselves
@@ -74,3 +83,11 @@ class WordEncoder:
         self.young.update(fresh)
         get = here.__getitem__
         return [b"".join(map(get, s)) for s in split]
+
+
+def shared_encoder(path: str, dtype: str) -> WordEncoder:
+    """One encoder for all tasks that a worker process runs, so that the tokenizer loads once and known pieces stay known."""
+    held = sys.modules.setdefault("_quillstone_encoders", types.ModuleType("_quillstone_encoders")).__dict__
+    if (path, dtype) not in held:
+        held[path, dtype] = WordEncoder(path, dtype=dtype)
+    return held[path, dtype]
