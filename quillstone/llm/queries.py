@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import toxicity, warc
 from .common import table
+from .decontaminate import leaks
 from .mixing import mix
 from .neighbours import nearest
 from .records import round_trip
@@ -34,12 +35,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nearest": op2_nearest,
     "op3_source_mix": op3_source_mix,
     "op4_toxicity": op4_toxicity,
     "op6_token_records": op6_token_records,
     "op8_warc": op8_warc,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
