@@ -12,6 +12,7 @@ from .decontaminate import leaks
 from .mixing import mix
 from .neighbours import nearest
 from .records import round_trip
+from .tokencount import count_documents
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the flat files, numbered in the order of doc_id within each stream; the driver's ids are unique, so
+    the streams' totals give back the whole order."""
+    counts = count_documents(spark, table(spark, sf_dir, "documents"))
+    return counts.select("stream", "ordinal", "start", "n_tokens", "closed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nearest": op2_nearest,
     "op3_source_mix": op3_source_mix,
@@ -46,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_records": op6_token_records,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
