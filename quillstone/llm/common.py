@@ -115,12 +115,11 @@ def set_threads() -> None:
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node -> smallest node of its component, by alternating large-star and small-star steps.
 
-    edges: columns a, b of longs; loops and repeats are harmless. Each round is checkpointed in the shared folder, so the
+    edges: columns a, b of longs; loops and repeats are harmless. Each round is written to the shared folder, so the
     plan stays short and a lost executor repeats one round at most. Nodes without an edge do not appear.
     """
-    shared_dir(edges.sparkSession)
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    before = None
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e, before = stored(e, "components"), None
     for _ in range(rounds):
         # large star: each node's larger neighbours go to the smallest of its neighbourhood
         sym = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -129,9 +128,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        e = small.checkpoint()
+        e = stored(small, "components")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return e.unionAll(e.select(F.col("v").alias("u"), "v")).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

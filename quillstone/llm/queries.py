@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import toxicity, warc
 from .common import table
 from .decontaminate import leaks
+from .jaccard import groups
 from .mixing import mix
 from .neighbours import nearest
 from .records import round_trip
@@ -28,6 +29,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(table(spark, sf_dir, "documents"))
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nearest": op2_nearest,
     "op3_source_mix": op3_source_mix,
     "op4_toxicity": op4_toxicity,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_records": op6_token_records,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
