@@ -13,6 +13,7 @@ from .jaccard import groups
 from .mixing import mix
 from .neighbours import nearest
 from .records import round_trip
+from .suffixdup import cut
 from .tokencount import count_documents
 
 
@@ -37,6 +38,10 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_records": op6_token_records,
+    "op7_suffix_repeats": op7_suffix_repeats,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
