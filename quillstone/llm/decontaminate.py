@@ -3,11 +3,12 @@
 A document is cut into overlapping passages twice as long as the longest item, so each item that a document holds lies
 whole in one. A passage's distinct words are the query; an item is retrieved if its BM25 score reaches `retrieve` times
 the score that the item's own words would give it. All such items are found, with block-max pruning:
-- per item, the words of least weight that together stay below its threshold are not essential: a passage needs at
-  least one of the others, so only their postings are read at first;
+- weights are held as shares of the item's threshold, so an item is retrieved at a sum of 1;
+- per item, the words of least weight that together stay below `SPARE` are not essential: a passage needs the rest of
+  the sum from the others, so only the others' postings are read at first;
 - postings are grouped in blocks of items with the largest weight of each word in the block; a block is passed over
-  where the sum of these, with all that words which are not essential could add, stays below every threshold in it;
-- the items of a block that is left are scored in full.
+  where the sum of these, with all that words which are not essential could add, stays below 1;
+- so is an item of the blocks left, by its own weights; what is still left is scored in full.
 What is retrieved is verified: the share of the item's word n-grams that the passage holds, for its question (first
 line) and its answer (the other lines) apart and together.
 
@@ -35,6 +36,7 @@ from .common import stored
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
+SPARE = 0.25
 #: Words of documents that are looked up together.
 CHUNK = 200_000
 
@@ -71,18 +73,26 @@ class Index:
             tids = np.array([self.vocabulary.setdefault(t, len(self.vocabulary)) for t in w])
             weights = np.array(list(w.values()))
             limit = retrieve * weights.sum()
-            order = np.argsort(weights, kind="stable")
-            rest = np.cumsum(weights[order]) < limit * (1 - 1e-9)
-            for t, x in zip(tids[order[~rest]].tolist(), weights[order[~rest]].tolist(), strict=True):
-                postings[t][k // block] = max(x, postings[t].get(k // block, 0.0))
-            spare.append(weights[order[rest]].sum())
+            share = weights / limit
+            order = np.argsort(share, kind="stable")
+            rest = np.cumsum(share[order]) < SPARE
+            for t, x in zip(tids[order[~rest]].tolist(), share[order[~rest]].tolist(), strict=True):
+                postings[t][k] = x
+            spare.append(share[order[rest]].sum())
             self.terms.append(tids), self.weights.append(weights), self.limits.append(limit)
-        blocks = max(1, -(-len(kept) // block))
-        self.needs = np.array([min(self.limits[b * block : (b + 1) * block], default=np.inf) - max(spare[b * block : (b + 1) * block], default=0) for b in range(blocks)])
+        self.spare = np.array(spare)
+        self.needs = np.array([1 - max(spare[b : b + block]) for b in range(0, len(kept), block)]) if kept else np.ones(1)
         counts = np.array([len(postings.get(t, ())) for t in range(len(self.vocabulary))] + [0], dtype=np.int64)  # the last: unknown words
         self.at = np.concatenate([[0], np.cumsum(counts)])
-        self.blocks = np.array([b for t in range(len(self.vocabulary)) for b in postings.get(t, ())], dtype=np.int64)
-        self.most = np.array([x for t in range(len(self.vocabulary)) for x in postings.get(t, {}).values()])
+        self.items = np.array([k for t in range(len(self.vocabulary)) for k in postings.get(t, ())], dtype=np.int64)
+        self.shares = np.array([x for t in range(len(self.vocabulary)) for x in postings.get(t, {}).values()])
+        # The largest share of each word in each block.
+        owner = np.repeat(np.arange(len(counts)), counts) * len(self.needs) + self.items // block
+        cells, inverse = np.unique(owner, return_inverse=True)
+        self.most = np.zeros(len(cells))
+        np.maximum.at(self.most, inverse, self.shares)
+        self.blocks = cells % len(self.needs)
+        self.block_at = np.searchsorted(cells, np.arange(len(counts) + 1) * len(self.needs))
         self.essential = counts > 0
 
     def search(self, docs: list[list[str]], verify: float) -> list[tuple[int, int, float, float | None, float | None, float]]:
@@ -103,18 +113,26 @@ class Index:
         term = np.concatenate([tids[hit], tids[hit][at > 0]])
         key = np.unique(passage * (unknown + 1) + term)
         passage, term = key // (unknown + 1), key % (unknown + 1)
-        n = self.at[term + 1] - self.at[term]
-        where = np.repeat(self.at[term] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        # Blocks that could hold an item, then items that could reach their threshold.
+        where, n = _expand(self.block_at, term)
         cell, inverse = np.unique(np.repeat(passage, n) * len(self.needs) + self.blocks[where], return_inverse=True)
-        bound = np.bincount(inverse, weights=self.most[where])
-        cell = cell[bound >= self.needs[cell % len(self.needs)] * (1 - 1e-9)]
+        cell = cell[np.bincount(inverse, weights=self.most[where]) >= self.needs[cell % len(self.needs)] * (1 - 1e-9)]
+        if not len(cell):
+            return []
+        near = np.isin(passage, np.unique(cell // len(self.needs)))
+        passage, term = passage[near], term[near]
+        where, n = _expand(self.at, term)
+        owner, item = np.repeat(passage, n), self.items[where]
+        near = np.isin(owner * len(self.needs) + item // self.block, cell)
+        pair, inverse = np.unique(owner[near] * len(self.ids) + item[near], return_inverse=True)
+        pair = pair[np.bincount(inverse, weights=self.shares[where][near]) + self.spare[pair % len(self.ids)] >= 1 - 1e-9]
         best: dict[tuple[int, int], tuple] = {}
-        for p, group in _runs(cell // len(self.needs), cell % len(self.needs)):
+        for p, group in _runs(pair // max(1, len(self.ids)), pair % max(1, len(self.ids))):
             d = int(np.searchsorted(first, p, "right")) - 1
             a = (p - int(first[d])) * step
             here = np.unique(tids[starts[d] + a : min(starts[d] + a + 2 * step, starts[d + 1])])
             held = None
-            for k in (k for b in group for k in range(b * self.block, min((b + 1) * self.block, len(self.ids)))):
+            for k in group:
                 score = float(self.weights[k][np.isin(self.terms[k], here)].sum())
                 if score < self.limits[k]:
                     continue
@@ -126,6 +144,12 @@ class Index:
         return [(d, self.ids[k], *x) for (d, k), x in best.items()]
 
 
+def _expand(at: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of all postings of the terms, how many each has)."""
+    n = at[term + 1] - at[term]
+    return np.repeat(at[term] - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
+
+
 def _runs(keys: np.ndarray, values: np.ndarray):
     """(key, its values) for sorted keys."""
     cuts = np.flatnonzero(np.diff(keys)) + 1
