@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity, warc
+from . import licences, toxicity, warc
 from .common import table
 from .decontaminate import leaks
 from .jaccard import groups
@@ -17,6 +17,11 @@ from .suffixdup import cut
 from .tokencount import count_documents
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.fit(docs))
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licences": op1_licences,
     "op2_nearest": op2_nearest,
     "op3_source_mix": op3_source_mix,
     "op4_toxicity": op4_toxicity,
