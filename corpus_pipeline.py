@@ -1,14 +1,56 @@
-"""Corpus pipeline: each stage reads the documents that the stage before it kept."""
+"""Corpus pipeline: five stages, each over all documents that the stage before it kept.
+
+Every stage but the last returns the columns of documents; the last one returns a row for each record of the token files
+that it wrote. Nulls, empty texts, repeated rows and empty tables pass through as the operators' docstrings define.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillstone.llm import decontaminate, jaccard, mixing, records, toxicity
 from quillstone.llm.common import stored, table
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents at or above their language's toxicity threshold go. The classifier learns from the labels of these documents."""
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.flagged(docs, net).where("not toxic_flag").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that with the smallest id."""
+    return jaccard.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    held = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__held")).distinct()
+    return docs.join(held, docs["doc_id"] == held["__held"], "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.copies(docs)
+
+
+def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as token records in the shared folder; a row for each, read back from the files."""
+    return records.round_trip(spark, docs).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxic),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("token_records", token_records),
+]
+
+#: A trained classifier and a tokenizer are not expressible in SQL; tests/llm/test_pipeline.py holds stages against plain versions.
 ORACLE_SQL = None
 
 
