@@ -7,8 +7,8 @@ Paths. A class goes to the buckets of the first `roots` tokens of its sample. An
 of the union's tokens with probability s, the next one again, and so on: it misses all buckets with (1 - s)^roots, and
 `roots` is the number of such runs that reaches the target recall. A bucket of one is dropped, a small one is compared
 pair by pair. A large one is split again: classes near to a few pivots are linked to them and leave; for the rest,
-tokens of the sample that at least two classes of the bucket and at most half of them have are sampled anew, and lead
-to child buckets; a class most of whose tokens are in over half of the bucket goes to a bucket of what is left. What is
+tokens are sampled anew, and those that at least two classes of the bucket and at most half of them have lead to child
+buckets; a class many of whose tokens are in over half of the bucket goes to a bucket of what is left. What is
 still large at the last level is compared in blocks, so nothing is capped.
 
 Comparing signatures only groups classes that may be similar, in candidate components. Within a component (in tiles, if
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, partitions_for, stored
 
 SAMPLE, BINS = 64, 128
-LEAF, PIVOTS, LEVELS, BLOCK = 200, 4, 6, 512
+LEAF, PIVOTS, SPLIT, LEVELS, BLOCK = 1000, 4, 16, 6, 512
 #: Signatures differ from the true similarity by about 0.035, for similarities as below; five times that is left open.
 FLOOR, LINK, LEAVE = 0.6, 0.3, 0.7
 SKETCH = "doc_id long, cls long, n int, sample array<long>, sig binary"
@@ -172,21 +172,33 @@ def pairs_within(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _pivot_step(batches):
-    """path, cls, sig and the pivots of the path -> edge to each near pivot, and whether the class stays."""
+    """path, cls, sig and the pivots of the path -> for each class its first near pivot (none: null) and whether it
+    stays; besides, once a batch, each pair of pivots that some class is near to both of."""
     for pdf in batches:
-        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), BINS)
-        n = pdf["pivots"].map(len).to_numpy()
-        row = np.repeat(np.arange(len(pdf)), n)
-        cls = np.array([p["cls"] for ps in pdf["pivots"] for p in ps], dtype=np.int64)
-        ref = np.frombuffer(b"".join(p["sig"] for ps in pdf["pivots"] for p in ps), dtype=np.uint8).reshape(len(row), BINS)
-        est = estimate(sig[row], ref)
-        own = pdf["cls"].to_numpy()
-        leaves = np.zeros(len(pdf), dtype=bool)
-        np.logical_or.at(leaves, row, est >= LEAVE)
-        k = est >= LINK
-        yield pd.DataFrame({"path": pdf["path"].to_numpy()[row[k]], "cls": own[row[k]], "pivot": cls[k], "stays": False})
-        s = np.flatnonzero(~leaves)
-        yield pd.DataFrame({"path": pdf["path"].to_numpy()[s], "cls": own[s], "pivot": own[s], "stays": True})
+        n = len(pdf)
+        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(n, BINS)
+        path, own = pdf["path"].to_numpy(), pdf["cls"].to_numpy()
+        paths, row = np.unique(path, return_inverse=True)
+        lists = [pdf["pivots"].iloc[i] for i in np.unique(row, return_index=True)[1]]
+        first = np.full(n, -1, dtype=np.int64)
+        leaves = np.zeros(n, dtype=bool)
+        joined = set()
+        for k in range(PIVOTS):
+            there = np.array([len(ps) > k for ps in lists])[row]
+            cls = np.array([ps[min(k, len(ps) - 1)]["cls"] for ps in lists], dtype=np.int64)
+            ref = np.frombuffer(b"".join(ps[min(k, len(ps) - 1)]["sig"] for ps in lists), dtype=np.uint8).reshape(len(lists), BINS)
+            est = np.concatenate([estimate(sig[i : i + 20_000], ref[row[i : i + 20_000]]) for i in range(0, n, 20_000)])
+            leaves |= there & (est >= LEAVE)
+            near = there & (est >= LINK)
+            both = near & (first >= 0)
+            joined |= set(zip(path[both].tolist(), cls[row[both]].tolist(), np.array([[p["cls"] for p in ps] + [0] * (PIVOTS - len(ps)) for ps in lists], dtype=np.int64)[row[both], first[both]].tolist(), strict=True))
+            first[near & (first < 0)] = k
+        table = np.array([[p["cls"] for p in ps] + [0] * (PIVOTS - len(ps)) for ps in lists], dtype=np.int64)
+        to = pd.array(np.where(first >= 0, table[row, np.maximum(first, 0)], 0), dtype="Int64")
+        to[first < 0] = pd.NA
+        yield pd.DataFrame({"path": path, "cls": own, "pivot": to, "stays": ~leaves})
+        if joined:
+            yield pd.DataFrame([(p, a, b, False) for p, a, b in joined], columns=["path", "cls", "pivot", "stays"])
 
 
 def _hash(*columns):
@@ -214,16 +226,18 @@ def candidate_edges(sketch: DataFrame, *, roots: int, level_roots: int = 10) ->
         first = Window.partitionBy("path").orderBy(_hash("path", "cls"), "cls")
         pivots = large.select("path", "cls", "sig").withColumn("k", F.row_number().over(first)).where(F.col("k") <= PIVOTS).groupBy("path").agg(F.collect_list(F.struct("cls", "sig")).alias("pivots"))
         seen = stored(large.select("path", "cls", "sig").join(pivots, "path").mapInPandas(_pivot_step, "path long, cls long, pivot long, stays boolean"), "jaccard-pivots")
-        edges.append(seen.where("not stays and cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+        edges.append(seen.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
         left = large.join(seen.where("stays").select("path", "cls"), ["path", "cls"])
-        now = left.groupBy("path").agg(F.count("*").alias("now"))
-        tokens = stored(left.join(now, "path").select("path", "cls", "now", F.size("sample").alias("of"), F.explode("sample").alias("token")), "jaccard-tokens")
-        df = tokens.groupBy("path", "token").agg(F.count("*").alias("df"))
-        split = tokens.join(df.where("df > 1"), ["path", "token"]).groupBy("path", "cls", "of").agg(
-            F.sum((F.col("df") * 2 > F.col("now")).cast("int")).alias("common"),
-            F.slice(F.sort_array(F.collect_list(F.when(F.col("df") * 2 <= F.col("now"), F.struct(_hash("path", "token").alias("h"), "token")))), 1, level_roots).alias("chosen"),
+        # Some tokens of each sample, the same ones for all classes that have them.
+        some = F.slice(F.sort_array(F.transform("sample", lambda t: F.struct(_hash("path", t).alias("h"), t.alias("token")))), 1, SPLIT)
+        tokens = stored(left.select("path", "cls", F.explode(some).alias("t")).select("path", "cls", F.col("t.h").alias("h")), "jaccard-tokens")
+        now = tokens.groupBy("path").agg(F.countDistinct("cls").alias("now"))
+        df = tokens.groupBy("path", "h").agg(F.count("*").alias("df")).where("df > 1").join(now, "path").select("path", "h", (F.col("df") * 2 > F.col("now")).alias("common"))
+        split = tokens.join(df, ["path", "h"]).groupBy("path", "cls").agg(
+            F.sum(F.col("common").cast("int")).alias("n_common"),
+            F.slice(F.sort_array(F.collect_list(F.when(~F.col("common"), F.col("h")))), 1, level_roots).alias("chosen"),
         )
-        children = split.select("path", "cls", F.explode(F.concat(F.transform("chosen", lambda c: c["h"]), F.when(F.col("common") * 2 >= F.col("of"), F.array(_hash("path", F.lit(-1)))).otherwise(F.array().cast("array<bigint>")))).alias("child"))
+        children = split.select("path", "cls", F.explode(F.concat("chosen", F.when(F.col("n_common") * 5 >= SPLIT * 2, F.array(_hash("path", F.lit(-1)))).otherwise(F.array().cast("array<bigint>")))).alias("child"))
         members = children.select(_hash("path", "child").alias("path"), "cls")
     rows = leaves[0]
     for x in leaves[1:]:
