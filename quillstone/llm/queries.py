@@ -56,10 +56,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of the flat files, numbered in the order of doc_id within each stream; the driver's ids are unique, so
-    the streams' totals give back the whole order."""
-    counts = count_documents(spark, table(spark, sf_dir, "documents"))
-    return counts.select("stream", "ordinal", "start", "n_tokens", "closed")
+    return count_documents(spark, table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

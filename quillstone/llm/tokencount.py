@@ -8,8 +8,9 @@ then over the files of a stream. No task sees more than one block, or the summar
 
 Rows: no ids after the last separator of a stream are a document of their own if there are any (`closed` is then
 false); two separators in a row are an empty document; an empty file has no document; a file whose size is no multiple
-of the id width is an error. For the query: null or empty texts give documents of their end id only, repeated rows give
-one each, null ids sort first, and other columns are ignored.
+of the id width is an error. A separator within a text (its special string) ends a document there as in any flat
+file. For count_documents: null or empty texts give documents of their end id only, repeated rows and null ids give one
+each, an empty table gives no file and no row, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,38 +24,45 @@ from pyspark.sql import functions as F
 from .common import BinaryFile, only, partitions_for, read_range, scratch, stored
 from .wordcode import shared_encoder, tokenizer_path
 
-FILES = "stream int, seq int, file string, n_bytes long"
+FILES = "stream int, seq int, file string, n_bytes long, ids array<long>"
 BLOCK = "stream int, seq int, block int, n long, places array<long>, gaps array<long>"
 
 
-def write_flat(docs: DataFrame, directory: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 49407, width: int = 2, file_bytes: int = 16 << 20, partitions: int | None = None) -> DataFrame:
-    """Each task writes one stream: its documents in order of id, cut into files of file_bytes wherever that falls.
+def write_flat(docs: DataFrame, directory: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 49407, width: int = 2, file_bytes: int = 16 << 20) -> DataFrame:
+    """Each task writes one stream: the documents of its partition as they come, cut into files of file_bytes wherever that falls.
 
-    Returns the stored list of files; documents may span files, none spans streams."""
+    Nothing is shuffled. Returns the stored list of files; documents may span files, none spans streams. `ids` are the
+    ids of the documents that end in a file, for those who want to name the counts; the files themselves hold none."""
     path, dtype = tokenizer or tokenizer_path(), f"<u{width}"
     tail = np.asarray([end_id], dtype=dtype).tobytes()
 
     def write(batches):
-        encoder, stream, out, done, held = shared_encoder(path, dtype), TaskContext.get().partitionId(), None, [], b""
+        encoder, stream, done, held, ends = shared_encoder(path, dtype), TaskContext.get().partitionId(), [], b"", []
+
+        def put(n: int) -> None:
+            nonlocal held, ends
+            out = BinaryFile(directory, ".tok")
+            out.write(held[:n])
+            out.close()
+            done.append((stream, len(done), out.name, out.at, [i for e, i in ends if e <= n]))
+            held, ends = held[n:], [(e - n, i) for e, i in ends if e > n]
+
         for batch in batches:
-            held += b"".join(x + tail for x in encoder.encode(batch.column(0).to_pylist()))
+            parts, at = [held], len(held)
+            for doc_id, codes in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                parts += [codes, tail]
+                at += len(codes) + width
+                ends.append((at, doc_id))
+            held = b"".join(parts)
             while len(held) >= file_bytes:
-                out = BinaryFile(directory, ".tok")
-                out.write(held[:file_bytes])
-                out.close()
-                done.append((stream, len(done), out.name, out.at))
-                held = held[file_bytes:]
+                put(file_bytes)
         if held:
-            out = BinaryFile(directory, ".tok")
-            out.write(held)
-            out.close()
-            done.append((stream, len(done), out.name, out.at))
+            put(len(held))
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["stream", "seq", "file", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["stream", "seq", "file", "n_bytes", "ids"])
 
-    rows = only(docs, id_col, text_col).toDF("doc_id", "text")
-    ordered = rows.repartitionByRange(partitions or partitions_for(docs), F.col("doc_id").cast("long")).sortWithinPartitions(F.col("doc_id").cast("long"), "text")
-    return stored(ordered.select("text").mapInArrow(write, FILES), "flat-files")
+    rows = only(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    return stored(rows.mapInArrow(write, FILES), "flat-files")
 
 
 def scan_block(ids: np.ndarray, end_id: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -110,6 +118,12 @@ def _blocks(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["stream", "seq", "block", "n", "places", "gaps"])
 
 
-def count_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+def count_documents(spark: SparkSession, docs: DataFrame, *, end_id: int = 49407, **options) -> DataFrame:
+    """doc_id, n_tokens (with the separator): the counts of the flat files, with the ids of the documents in the order written."""
     directory = scratch(spark, "flat")
-    return scan(write_flat(docs, directory, **options), directory)
+    files = write_flat(docs, directory, end_id=end_id, **options)
+    counts = scan(files, directory, end_id=end_id)
+    ids = files.select("stream", "seq", "ids", F.size("ids").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    named = ids.withColumn("before", before).select("stream", "before", F.posexplode("ids").alias("k", "doc_id")).select("stream", (F.col("before") + F.col("k")).alias("ordinal"), "doc_id")
+    return counts.join(named, ["stream", "ordinal"]).select("doc_id", "n_tokens")
