@@ -6,6 +6,7 @@ once the task that wrote it has returned that name; leftovers of failed attempts
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -34,11 +35,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as a table in the shared folder and read again: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
+def stored(df: DataFrame, name: str, free: bool = False, drop: list[DataFrame] | None = None) -> DataFrame:
+    """The rows written as a table in the shared folder and read again: cuts lineage and survives lost executors.
+
+    free: shuffle files that nothing needs any more are removed now instead of at the next garbage collection.
+    drop: stored tables that only led to this one; their files go."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    for old in drop or []:
+        _delete(spark, _PATHS.pop(id(old)))
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
+
+
+#: Where stored() has put what it returned, for `drop`.
+_PATHS: dict[int, str] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def file_system(uri: str):

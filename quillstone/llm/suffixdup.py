@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import partitions_for, stored
 from .jaccard import by_group
 
-K = 24
+K = 64
 #: Contexts of an anchor from which window hashes take over, and rows that go through the columns together.
 LARGE, ROWS = 30_000, 8_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -160,19 +160,19 @@ def spans_of(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, s.argmax(axis=1), s.shape[1] - 1 - s[:, ::-1].argmax(axis=1)
 
 
-OCCURRENCE = "anchor long, ctx long, dkey long, pos int, lo int, hi int"
+OCCURRENCE = "anchor long, ctx long, dkey long, pos int"
 FOUND = "anchor long, ctx long, lo int, hi int"
 
 
 def occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """dkey, bytes -> each anchor with the hash of its context and the interval that windows over it can cover, if any."""
+    """dkey, bytes -> each anchor with the hash of its context."""
     reach = length - K
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for dkey, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if len(raw) < length:
                     continue
@@ -182,8 +182,6 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
                 out[1].append(np.fromiter((xxhash.xxh3_64_intdigest(raw[p - x : p + y], x) for p, x, y in zip(at.tolist(), left.tolist(), right.tolist(), strict=True)), dtype=np.uint64, count=len(at)).astype(np.int64))
                 out[2].append(np.full(len(at), dkey, dtype=np.int64))
                 out[3].append(at.astype(np.int32))
-                out[4].append((-left).astype(np.int32))
-                out[5].append(right.astype(np.int32))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=[x.split()[0] for x in OCCURRENCE.split(", ")])
 
@@ -234,13 +232,16 @@ def _windows(length: int):
 
 def repeats(docs: DataFrame, length: int, large: int = LARGE) -> DataFrame:
     """dkey, raw -> dkey, lo, hi: intervals of bytes covered by windows that also start elsewhere (they may overlap)."""
-    occ = stored(occurrences(docs, length), "dup-anchors")
-    per = occ.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("dkey", "pos")).alias("at"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    groups = occ.groupBy("anchor").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
-    per = stored(per.join(groups, "anchor"), "dup-contexts")
-    # Contexts that occur twice: every window in them does. Windows begin from lo to hi - length.
-    whole = per.where("c > 1").where(F.col("hi") - length >= F.col("lo")).select("anchor", "ctx", "lo", "hi")
-    wanted = per.where("mixed").select("anchor", "ctx", F.col("at.dkey").alias("dkey"), F.col("at.pos").alias("pos"))
+    every = stored(occurrences(docs, length), "dup-anchors")
+    again = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    occ = stored(every.join(again, "anchor", "left_semi"), "dup-repeated", free=True, drop=[every])
+    per = occ.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min("dkey").alias("dkey"))
+    mixed = occ.groupBy("anchor").agg((F.min("ctx") != F.max("ctx")).alias("mixed")).where("mixed").select("anchor")
+    # Contexts that occur twice: every window in them does. All that a window over the anchor can reach is clipped to the text later.
+    whole = per.where("c > 1").select("anchor", "ctx", F.lit(K - length).alias("lo"), F.lit(length).alias("hi"))
+    # Contexts whose anchor has others too: their bytes are needed, from one place each.
+    wanted = per.select("anchor", "ctx", "dkey").join(mixed, "anchor", "left_semi")
+    wanted = stored(occ.join(wanted, ["anchor", "ctx", "dkey"]).groupBy("anchor", "ctx", "dkey").agg(F.min("pos").alias("pos")), "dup-contexts")
     sizes = wanted.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > large)
     big = [r["anchor"] for r in sizes.limit(1).collect()]
     bytes_ = contexts(docs, wanted, length)
@@ -254,7 +255,7 @@ def repeats(docs: DataFrame, length: int, large: int = LARGE) -> DataFrame:
     found = bytes_.repartition(n, "anchor").sortWithinPartitions("anchor", "ctx").mapInPandas(_index(length), FOUND)
     if big:
         found = found.unionAll(marked.select("anchor", "ctx", "lo", "hi"))
-    spans = stored(found.unionAll(whole).groupBy("anchor", "ctx").agg(F.min("lo").alias("from"), F.max("hi").alias("to")), "dup-spans")
+    spans = stored(found.unionAll(whole).groupBy("anchor", "ctx").agg(F.min("lo").alias("from"), F.max("hi").alias("to")), "dup-spans", free=True)
     return occ.select("anchor", "ctx", "dkey", "pos").join(spans, ["anchor", "ctx"]).select("dkey", (F.col("pos") + F.col("from")).alias("lo"), (F.col("pos") + F.col("to")).alias("hi"))
 
 
@@ -264,16 +265,18 @@ def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", leng
     found = repeats(rows.select("dkey", "raw"), length, large)
     # Intervals of a document, merged: overlapping ones by a running maximum of their ends.
     order = Window.partitionBy("dkey").orderBy("lo", "hi")
-    found = found.distinct().withColumn("reach", F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    found = found.groupBy("dkey", "lo").agg(F.max("hi").alias("hi")).withColumn("reach", F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     found = found.withColumn("part", F.sum(F.when(F.col("reach") >= F.col("lo"), 0).otherwise(1)).over(order))
-    merged = found.groupBy("dkey", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("dkey").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    merged = stored(merged, "dup-merged")
+    merged = found.groupBy("dkey", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("dkey").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("wide"))
+    merged = stored(merged, "dup-merged", free=True)
 
     def kept(raw: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_digest(r, [] if s is None else s) for r, s in zip(raw, spans, strict=True)])
 
     digest = F.pandas_udf(kept, "string")
-    out = rows.join(merged, "dkey", "left")
+    size = F.length("raw")
+    clipped = F.transform("wide", lambda s: F.struct(F.greatest(s["lo"], F.lit(0)).alias("lo"), F.least(s["hi"], size).alias("hi")))
+    out = rows.join(merged, "dkey", "left").withColumn("spans", clipped)
     size = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["hi"] - x["lo"]), F.lit(0).cast("long"))
     return out.select("doc_id", F.length("raw").cast("long").alias("n_bytes"), size.alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.when(F.col("spans").isNull(), F.sha2("raw", 256)).otherwise(digest("raw", "spans")).alias("kept_sha256"), "spans")
 
