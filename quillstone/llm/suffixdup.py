@@ -12,7 +12,8 @@ match; only the heads of runs need a new value, the least of those between them
 run ends. So streaming through the columns gives, for every row and column, the length to which it matches its nearest
 row from that column on (its matching statistics), and a window is marked if that reaches `length`. All anchors of a
 task go through the columns together. Very large groups of one anchor, in which a task's memory would grow with the
-corpus, are counted by window hashes instead (128 bits), a row for each window, combined before the shuffle.
+corpus, are counted by window hashes instead (128 bits): first of the bytes that all windows of a range share, then, where
+another context shares those too, of each window, combined before the shuffle.
 
 Marked windows leave as intervals; those of a document are merged and cut from its bytes.
 
@@ -36,8 +37,9 @@ from .common import partitions_for, stored
 from .jaccard import by_group
 
 K = 64
-#: Contexts of an anchor from which window hashes take over, and rows that go through the columns together.
-LARGE, ROWS = 30_000, 8_000
+#: Contexts of an anchor from which window hashes take over (a row takes about 3 KB in the columns), rows that go through
+#: the columns together, and ranges of windows that hashes first tell apart by the bytes that a range shares.
+LARGE, ROWS, RANGES = 100_000, 8_000, 8
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -215,21 +217,52 @@ def _index(length: int):
     return run
 
 
+def _bounds(length: int) -> list[tuple[int, int]]:
+    """The windows (bytes before the anchor) of each range, first and last."""
+    cuts = np.linspace(0, length - K + 1, RANGES + 1).astype(int).tolist()
+    return [(a, b - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _ranges(length: int):
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for anchor, ctx, lhs, rhs in pdf.itertuples(index=False):
+                raw, at = lhs + rhs, len(lhs)
+                for r, (a, b) in enumerate(_bounds(length)):
+                    if a <= len(lhs) and length - b <= len(rhs):
+                        rows.append((anchor, ctx, r, xxhash.xxh3_128_digest(raw[at - a : at + length - b])))
+            yield pd.DataFrame(rows, columns=["anchor", "ctx", "r", "shared"])
+
+    return run
+
+
 def _windows(length: int):
     def run(batches):
         for pdf in batches:
             for i in range(0, len(pdf), 500):
                 rows = []
-                for anchor, ctx, lhs, rhs in pdf.iloc[i : i + 500].itertuples(index=False):
+                for anchor, ctx, lhs, rhs, ranges in pdf.iloc[i : i + 500].itertuples(index=False):
                     raw, at = lhs + rhs, len(lhs)
-                    for j in range(max(0, length - len(rhs)), min(length - K, len(lhs)) + 1):
-                        d = xxhash.xxh3_128_digest(raw[at - j : at - j + length])
-                        rows.append((anchor, ctx, j, d))
+                    for a, b in (_bounds(length)[r] for r in ranges):
+                        for j in range(max(a, length - len(rhs)), min(b, len(lhs)) + 1):
+                            rows.append((anchor, ctx, j, xxhash.xxh3_128_digest(raw[at - j : at - j + length])))
                 yield pd.DataFrame(rows, columns=["anchor", "ctx", "j", "window"])
 
     return run
 
 
+def _by_windows(large: DataFrame, length: int) -> DataFrame:
+    """anchor, ctx, lhs, rhs of very large groups -> the interval of each context's repeated windows."""
+    twice = lambda df, *keys: df.groupBy(*keys).agg((F.min("ctx") != F.max("ctx")).alias("t")).where("t").select(*keys)
+    shared = stored(large.mapInPandas(_ranges(length), "anchor long, ctx long, r int, shared binary"), "dup-ranges")
+    alive = shared.join(twice(shared, "anchor", "r", "shared"), ["anchor", "r", "shared"]).groupBy("anchor", "ctx").agg(F.collect_list("r").alias("ranges"))
+    rows = large.join(alive, ["anchor", "ctx"]).select("anchor", "ctx", "lhs", "rhs", "ranges")
+    hashed = stored(rows.mapInPandas(_windows(length), "anchor long, ctx long, j int, window binary"), "dup-windows")
+    marked = hashed.join(twice(hashed, "anchor", "j", "window"), ["anchor", "j", "window"])
+    return marked.groupBy("anchor", "ctx").agg((-F.max("j")).alias("lo"), (F.lit(length) - F.min("j")).alias("hi"))
+
+
 def repeats(docs: DataFrame, length: int, large: int = LARGE) -> DataFrame:
     """dkey, raw -> dkey, lo, hi: intervals of bytes covered by windows that also start elsewhere (they may overlap)."""
     every = stored(occurrences(docs, length), "dup-anchors")
@@ -248,9 +281,7 @@ def repeats(docs: DataFrame, length: int, large: int = LARGE) -> DataFrame:
     n = partitions_for(docs)
     if big:
         bytes_ = stored(bytes_, "dup-bytes")
-        hashed = stored(bytes_.join(sizes.select("anchor"), "anchor", "left_semi").select("anchor", "ctx", "lhs", "rhs").mapInPandas(_windows(length), "anchor long, ctx long, j int, window binary"), "dup-windows")
-        twice = hashed.groupBy("anchor", "j", "window").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).where(F.col("a") != F.col("b")).select("anchor", "j", "window")
-        marked = hashed.join(twice, ["anchor", "j", "window"]).groupBy("anchor", "ctx").agg((-F.max("j")).alias("lo"), (F.lit(length) - F.min("j")).alias("hi"))
+        marked = _by_windows(bytes_.join(sizes.select("anchor"), "anchor", "left_semi").select("anchor", "ctx", "lhs", "rhs"), length)
         bytes_ = bytes_.join(sizes.select("anchor"), "anchor", "left_anti")
     found = bytes_.repartition(n, "anchor").sortWithinPartitions("anchor", "ctx").mapInPandas(_index(length), FOUND)
     if big:
