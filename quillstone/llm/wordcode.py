@@ -25,6 +25,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+CHARACTERS = 4_000_000
 #: Where a piece ends although no space follows.
 _STOP = re.compile(r"(?<=[a-z])(?=[.,])")
 
@@ -36,7 +37,7 @@ class WordEncoder:
     a size, which bounds memory and changes no result.
     """
 
-    def __init__(self, path: str | None = None, known: int = 400_000, young: int = 250_000, dtype: str = "<u2"):
+    def __init__(self, path: str | None = None, known: int = 300_000, young: int = 200_000, dtype: str = "<u2"):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,6 +65,17 @@ class WordEncoder:
         return codes
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """In parts of about CHARACTERS, one text at least, whose pieces are in memory together."""
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t) if t else 0
+            if size >= CHARACTERS:
+                out += self._encode(part)
+                part, size = [], 0
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.pieces(t) if t else [] for t in texts]
         here, again, new = {}, {}, []
         for w in set().union(*split):
