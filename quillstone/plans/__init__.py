@@ -1,0 +1 @@
+from . import retrieval  # noqa: F401
