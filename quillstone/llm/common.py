@@ -103,6 +103,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, once the session hands Python workers batches of a few MB: long texts then need little memory at once."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 4000)):
+        if int(conf.get(key).rstrip("b")) > most:
+            conf.set(key, str(most))
+    return df
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns: columns of the caller with clashing names never meet an operator's own."""
     return df.select(*(F.col(f"`{c}`") for c in columns))

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, text_batches
 
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"\w+")
@@ -203,4 +203,4 @@ def _search(text: DataFrame, index: Index, verify: float) -> DataFrame:
             out += [(ids[d], *x) for d, *x in index.search(part, verify)]
             yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"question_overlap": "float64", "answer_overlap": "float64"})
 
-    return text.mapInPandas(search, SCHEMA)
+    return text_batches(text).mapInPandas(search, SCHEMA)

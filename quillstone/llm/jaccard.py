@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, partitions_for, stored
+from .common import connected_components, partitions_for, stored, text_batches
 
 SAMPLE, BINS = 64, 128
 LEAF, PIVOTS, SPLIT, LEVELS, BLOCK = 1000, 4, 16, 6, 512
@@ -106,7 +106,7 @@ def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
                 sets = shingle_sets(part["text"].tolist(), words)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "cls": pd.array([class_of(s) for s in sets], dtype="Int64"), "n": [len(s) for s in sets], "sample": [s[:SAMPLE].astype(np.int64) for s in sets], "sig": [signature(s) if len(s) else b"" for s in sets]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SKETCH)
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SKETCH)
 
 
 def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import uniform
+from .common import text_batches, uniform
 
 #: The sentences by which public licences are granted or named, by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -199,4 +199,4 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
                     out.append((doc_id, k, family, float(p[best]), like, family != UNKNOWN and like >= confirm))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)

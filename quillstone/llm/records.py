@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BinaryFile, only, partitions_for, read_range, scratch, stored
+from .common import BinaryFile, only, partitions_for, read_range, scratch, stored, text_batches
 from .wordcode import shared_encoder, tokenizer_path
 
 MAGIC, INDEX_MAGIC = b"QSTREC1\0", b"QSTIDX1\0"
@@ -81,7 +81,7 @@ def write_records(docs: DataFrame, directory: str, *, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["pid", "seq", "file", "n_records", "n_ids", "n_bytes"])
 
     n = partitions or partitions_for(docs)
-    rows = only(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    rows = only(text_batches(docs), id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     return stored(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST), "records-manifest")
 
 

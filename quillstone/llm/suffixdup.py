@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions_for, stored
+from .common import partitions_for, stored, text_batches
 from .jaccard import by_group
 
 K = 64
@@ -292,7 +292,7 @@ def repeats(docs: DataFrame, length: int, large: int = LARGE) -> DataFrame:
 
 def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, large: int = LARGE) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed spans (byte offsets)."""
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("dkey"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+    rows = text_batches(docs).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("dkey"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
     found = repeats(rows.select("dkey", "raw"), length, large)
     # Intervals of a document, merged: overlapping ones by a running maximum of their ends.
     order = Window.partitionBy("dkey").orderBy("lo", "hi")

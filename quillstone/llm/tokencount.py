@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BinaryFile, only, partitions_for, read_range, scratch, stored
+from .common import BinaryFile, only, partitions_for, read_range, scratch, stored, text_batches
 from .wordcode import shared_encoder, tokenizer_path
 
 FILES = "stream int, seq int, file string, n_bytes long, ids array<long>"
@@ -61,7 +61,7 @@ def write_flat(docs: DataFrame, directory: str, *, id_col: str = "doc_id", text_
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["stream", "seq", "file", "n_bytes", "ids"])
 
-    rows = only(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    rows = only(text_batches(docs), id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     return stored(rows.mapInArrow(write, FILES), "flat-files")
 
 

@@ -27,13 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import uniform
+from .common import text_batches, uniform
 
 WORDS, PREFIXES, DIM, WIDTHS, FILTERS = 1 << 17, 1 << 15, 16, (1, 2, 3), 8
 PREFIX = (3, 5, 7)
 _TRIM = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 #: Words scored at once, which bounds a task's memory: a text of more words is still one text, scored whole.
-CHUNK = 150_000
+CHUNK = 80_000
 
 
 def features(word: str) -> tuple[int, ...]:
@@ -232,7 +232,7 @@ def score(docs: DataFrame, net: Net, *, id_col: str = "doc_id", text_col: str =
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": in_chunks(Net.of(model.value), pdf["text"].tolist())})
 
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = text.mapInPandas(run, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
@@ -249,4 +249,4 @@ def flagged(docs: DataFrame, net: Net, *, text_col: str = "text", lang_col: str
     limit = F.lit(limits.get("", 0.5))
     for name, cut in sorted(limits.items()):
         limit = F.when(F.col(f"`{lang_col}`") == name, cut).otherwise(limit) if name else limit
-    return docs.withColumn("toxic_flag", scored(F.col(f"`{text_col}`")) >= limit)
+    return text_batches(docs).withColumn("toxic_flag", scored(F.col(f"`{text_col}`")) >= limit)

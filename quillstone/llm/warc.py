@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BinaryFile, file_system, partitions_for, scratch, stored
+from .common import BinaryFile, file_system, partitions_for, scratch, stored, text_batches
 
 #: Fixed by the format (WARC 1.1, ISO 28500).
 VERSION = b"WARC/1.1\r\n"
@@ -81,7 +81,7 @@ def write_archives(pages: DataFrame, directory: str, *, id_col: str = "page_id",
     Digests of equal payloads meet in one aggregate of (digest, largest id), which is combined before its shuffle; only
     digests that occur more than once join back, so pages are not shuffled for the sake of the rest.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
+    rows = text_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("n", F.length("payload"))
     many = rows.where(F.col("n") >= revisit_from).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("digest").alias("digest_of"), "first")
     rows = rows.join(many, F.col("digest") == F.col("digest_of"), "left").select("page_id", "url", "payload", "digest", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
