@@ -1 +1 @@
-from . import retrieval  # noqa: F401
+from . import evaluation, retrieval  # noqa: F401

@@ -220,9 +220,9 @@ def entity_index_explode(spark, sf):
     return entity_index(spark, sf)
 
 
-@query("entity_like_match", "SELECT p_brand, count(*) AS n_parts FROM part WHERE lower(p_type) LIKE '%brass%' GROUP BY p_brand")
+@query("entity_like_match", "SELECT p_brand, count(*) AS n_parts FROM part WHERE lower(p_type) LIKE '%econ%' GROUP BY p_brand")
 def entity_like_match(spark, sf):
-    return _t(spark, sf, "part").where(F.lower("p_type").contains("brass")).groupBy("p_brand").agg(F.count("*").alias("n_parts"))
+    return _t(spark, sf, "part").where(F.lower("p_type").contains("econ")).groupBy("p_brand").agg(F.count("*").alias("n_parts"))
 
 
 @query("temporal_cutoff_search", "SELECT o_custkey, count(*) AS n_orders, max(o_orderdate) AS latest FROM orders WHERE o_orderdate IS NOT NULL AND o_orderdate <= TIMESTAMP '1995-06-30' AND o_orderpriority = '1-URGENT' GROUP BY o_custkey")
