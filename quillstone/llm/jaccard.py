@@ -205,9 +205,8 @@ def _hash(*columns):
     return F.xxhash64(*columns)
 
 
-def candidate_edges(sketch: DataFrame, *, roots: int, level_roots: int = 10) -> DataFrame:
-    """Edges a-b between classes that may be similar; connected components of them hold all similar pairs."""
-    one = stored(sketch.where("cls is not null").groupBy("cls").agg(F.first("sample").alias("sample"), F.first("sig").alias("sig")), "jaccard-classes")
+def candidate_edges(one: DataFrame, *, roots: int, level_roots: int = 10) -> DataFrame:
+    """one: cls, sample, sig -> edges a-b between classes that may be similar; connected components of them hold all similar pairs."""
     members = one.select("cls", F.explode(F.slice("sample", 1, roots)).alias("path"))
     members = members.select(_hash("path").alias("path"), "cls")
     edges, leaves = [], []
@@ -230,19 +229,21 @@ def candidate_edges(sketch: DataFrame, *, roots: int, level_roots: int = 10) ->
         left = large.join(seen.where("stays").select("path", "cls"), ["path", "cls"])
         # Some tokens of each sample, the same ones for all classes that have them.
         some = F.slice(F.sort_array(F.transform("sample", lambda t: F.struct(_hash("path", t).alias("h"), t.alias("token")))), 1, SPLIT)
-        tokens = stored(left.select("path", "cls", F.explode(some).alias("t")).select("path", "cls", F.col("t.h").alias("h")), "jaccard-tokens")
-        now = tokens.groupBy("path").agg(F.countDistinct("cls").alias("now"))
-        df = tokens.groupBy("path", "h").agg(F.count("*").alias("df")).where("df > 1").join(now, "path").select("path", "h", (F.col("df") * 2 > F.col("now")).alias("common"))
-        split = tokens.join(df, ["path", "h"]).groupBy("path", "cls").agg(
-            F.sum(F.col("common").cast("int")).alias("n_common"),
-            F.slice(F.sort_array(F.collect_list(F.when(~F.col("common"), F.col("h")))), 1, level_roots).alias("chosen"),
-        )
-        children = split.select("path", "cls", F.explode(F.concat("chosen", F.when(F.col("n_common") * 5 >= SPLIT * 2, F.array(_hash("path", F.lit(-1)))).otherwise(F.array().cast("array<bigint>")))).alias("child"))
+        left = stored(left.select("path", "cls", F.transform(some, lambda t: t["h"]).alias("tokens")), "jaccard-tokens", free=True, drop=[large])
+        now = left.groupBy("path").agg(F.count("*").alias("now"))
+        df = left.select("path", F.explode("tokens").alias("h")).groupBy("path", "h").agg(F.count("*").alias("df")).where("df > 1").join(now, "path")
+        df = stored(df.select("path", "h", (F.col("df") * 2 > F.col("now")).alias("common")), "jaccard-df")
+        # Tokens that over half of a bucket has are fewer than 2 * SPLIT.
+        common = df.where("common").groupBy("path").agg(F.collect_list("h").alias("common"))
+        left = left.join(common, "path", "left").withColumn("own", F.coalesce(F.array_except("tokens", "common"), "tokens"))
+        many = (F.size("tokens") - F.size("own")) * 5 >= SPLIT * 2
+        chosen = left.select("path", "cls", F.explode("own").alias("h")).join(df.where("not common"), ["path", "h"]).groupBy("path", "cls").agg(F.slice(F.sort_array(F.collect_list("h")), 1, level_roots).alias("chosen"))
+        children = chosen.select("path", "cls", F.explode("chosen").alias("child")).unionByName(left.where(many).select("path", "cls", _hash("path", F.lit(-1)).alias("child")))
         members = children.select(_hash("path", "child").alias("path"), "cls")
     rows = leaves[0]
     for x in leaves[1:]:
         rows = rows.unionAll(x)
-    n = partitions_for(sketch)
+    n = partitions_for(one)
     near = rows.join(one.select("cls", "sig"), "cls").repartition(n, "path").sortWithinPartitions("path", "cls").mapInPandas(_leaves, "a long, b long")
     for e in edges:
         near = near.unionAll(e)
@@ -325,9 +326,11 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     roots = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold))) if threshold < 1 else 1
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = stored(sketches(text, words), "jaccard-sketch")
+    one = stored(sketch.where("cls is not null").groupBy("cls").agg(F.first("sample").alias("sample"), F.first("sig").alias("sig")), "jaccard-classes")
+    sketch = stored(sketch.select("doc_id", "cls", "n"), "jaccard-ids", free=True, drop=[sketch])
     classes = stored(sketch.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")), "jaccard-weights")
-    comp = connected_components(candidate_edges(sketch, roots=roots)).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
-    comp = stored(comp, "jaccard-candidates")
+    comp = connected_components(candidate_edges(one, roots=roots)).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+    comp = stored(comp, "jaccard-candidates", free=True, drop=[one])
     size = comp.groupBy("comp").agg(F.count("*").alias("size"))
     rows = comp.join(size, "comp").join(classes, "cls").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.withColumn("i", F.pmod(_hash("cls"), F.col("blocks")).cast("int"))
@@ -335,7 +338,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("i", "j").alias("ti"), F.greatest("i", "j").alias("tj"), "i", "cls", "weight", "text")
     n = partitions_for(docs)
     linked = rows.repartition(n, "comp", "ti", "tj").sortWithinPartitions("comp", "ti", "tj").mapInPandas(_verify(threshold, words), "cls long, other long, links long")
-    linked = stored(linked, "jaccard-linked")
+    linked = stored(linked, "jaccard-linked", free=True)
     whole = connected_components(linked.select(F.col("cls").alias("a"), F.col("other").alias("b")))
     count = linked.groupBy("cls").agg(F.sum("links").alias("links"))
     named = classes.join(whole, F.col("cls") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cls"))
