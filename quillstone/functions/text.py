@@ -57,7 +57,7 @@ def tokenize(text: Column) -> Column:
 def retrieval_terms(text: Column, most: int = 64) -> Column:
     """Query terms: latin tokens and numbers with units, clinical phrases, CJK 2- and 4-grams; distinct, in that order, capped."""
     t = F.lower(normalize_text(text))
-    latin = F.transform(_all(t, r"[a-z][a-z0-9_.+-]*|\d+(?:\.\d+)?(?:\s*(?:mg|g|%|周|月|天))?"), F.trim)
+    latin = F.transform(_all(t, r"[a-z][a-z0-9_.+-]*|\d+(?:\.\d+)?(?:\s*(?:mg|g|%|周|月|天))?"), lambda w: F.trim(w))
     phrases = F.filter(F.array(*map(F.lit, CLINICAL_PHRASES)), lambda p: t.contains(p))
     cjk = F.flatten(F.transform(_all(t, CJK), lambda s: F.concat(ngrams(s, 2), ngrams(s, 4))))
     kept = F.filter(F.concat(latin, phrases, cjk), lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS))
@@ -161,13 +161,13 @@ def genes_and_alterations(texts: Column) -> Column:
     distinct = lambda xs: F.aggregate(xs, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
     clean = F.filter(texts, lambda x: F.coalesce(x, F.lit("")) != "")
     genes = F.flatten(F.transform(clean, lambda x: _all(x, r"(?U)\b[A-Z0-9]{2,8}\b")))
-    altered = F.transform(F.filter(clean, lambda x: F.lower(x).rlike("mutation|del|fusion|amplification|ins|exon")), F.trim)
+    altered = F.transform(F.filter(clean, lambda x: F.lower(x).rlike("mutation|del|fusion|amplification|ins|exon")), lambda x: F.trim(x))
     return F.struct(distinct(genes).alias("genes"), distinct(altered).alias("alterations"))
 
 
 def distinct_terms(values: Column) -> Column:
     """Array without blanks and without repeats regardless of case; the first spelling stays."""
-    clean = F.filter(F.transform(values, F.trim), lambda x: F.coalesce(x, F.lit("")) != "")
+    clean = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
     return F.aggregate(clean, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
 
 

@@ -78,7 +78,7 @@ def information_gain(new: Column, counter: Column, risk: Column, accepted: Colum
 def rerank_score(dimensions: dict[str, Column], weights: dict[str, float], caps: list[tuple[Column, float]]) -> Column:
     """Weighted dimensions (0 to 3 each) on 0 to 1, held below the least cap whose condition applies."""
     score = sum((w * dimensions[k] / 3 for k, w in weights.items()), F.lit(0.0))
-    return F.least(score, *(F.when(c, cap).otherwise(1.0) for c, cap in caps))
+    return F.least(score, F.lit(1.0), *(F.when(c, cap).otherwise(1.0) for c, cap in caps))
 
 
 def pack(rows: DataFrame, keys: tuple[str, ...], order: list[Column | str], size: Column, budget: int = 4500, per_batch: int = 8, batches: int = 2) -> DataFrame:

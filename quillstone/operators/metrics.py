@@ -152,4 +152,4 @@ def bootstrap(rows: DataFrame, columns: list[str], metric: Callable[[pd.DataFram
         v = np.array(values)
         return pd.DataFrame([(round(float(v.mean()), digits), round(float(np.percentile(v, 100 * alpha / 2)), digits), round(float(np.percentile(v, 100 * (1 - alpha / 2))), digits), round(float(v.std()), digits), len(v))], columns=["mean", "ci_lower", "ci_upper", "std", "n"])
 
-    return rows.select(*columns).groupBy(F.lit(0)).applyInPandas(lambda pdf: run(pdf.sort_values(columns, kind="stable").reset_index(drop=True)), "mean double, ci_lower double, ci_upper double, std double, n long")
+    return rows.select(*columns, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(lambda pdf: run(pdf.sort_values(columns, kind="stable").reset_index(drop=True)), "mean double, ci_lower double, ci_upper double, std double, n long")

@@ -119,7 +119,8 @@ def chunks(cases: DataFrame, docs: DataFrame, evts: DataFrame, size: int = 900,
 def entity_index(evts: DataFrame) -> DataFrame:
     """ref_id, case_id, entity_type, entity_value (lower case) of the events' entities."""
     fields = [f.name for f in evts.schema["entities"].dataType.fields]
-    pairs = F.flatten(F.array(*(F.transform(F.col(f"entities.{n}"), lambda v, n=n: F.struct(F.lit(n).alias("entity_type"), F.lower(v).alias("entity_value"))) for n in fields)))
+    typed = lambda n: F.transform(F.col(f"entities.{n}"), lambda v: F.struct(F.lit(n).alias("entity_type"), F.lower(v).alias("entity_value")))
+    pairs = F.flatten(F.array(*map(typed, fields)))
     return evts.select(F.col("event_id").alias("ref_id"), "case_id", F.explode(pairs).alias("e")).select("ref_id", "case_id", "e.*").distinct()
 
 
