@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, *, share: float, weights: tuple[float, ...], cap:
 
 def _rank() -> Column:
     """Place in the ranking, from 0 to 1: odds x as x / (1 + x)."""
-    p = F.least(F.col("fraction") * F.col("weight"), F.lit(1 - 1e-9))
+    p = F.least(F.col("fraction") * F.col("weight") / F.col("mean_weight"), F.lit(1 - 1e-9))
     odds = F.col("u") / (1 - F.col("u")) * ((1 - p) / p)
     return F.when(F.col("fraction") > 0, odds / (1 + odds))
 
@@ -62,9 +62,12 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), uniform(F.col(id_col), seed).alias("u"), (F.col(weight_col) if weight_col else F.lit(1.0)).cast("double").alias("weight")),
         "mix-sizes",
     )
-    state = targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).select("source", "source_size"), share=share, weights=weights, cap=cap)
+    state = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), share=share, weights=weights, cap=cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     state = state.withColumn("whole", F.floor(rate).cast("int")).withColumn("fraction", rate - F.floor(rate)).withColumn("gap", F.col("target") - F.col("whole") * F.col("source_size"))
+    # Weights are relative: the mean word of a source has its fraction as inclusion probability.
+    means = base.groupBy(F.col("source").alias("source_of")).agg(F.coalesce(F.sum(F.col("weight") * F.col("size")) / F.nullif(F.sum("size"), F.lit(0)), F.lit(1.0)).alias("mean_weight"))
+    state = state.join(means, F.col("source").eqNullSafe(F.col("source_of"))).drop("source_of")
     state = stored(state.withColumn("cuts", F.expr("cast(array() as array<struct<most:double,cut:struct<rank:double,doc_id:bigint,size:bigint>>>)")), "mix-state")
     buckets = 1 << max(6, math.ceil(math.log2(max(1, base.count()) / BUCKET)))
     for _ in range(passes):
@@ -107,7 +110,7 @@ def _fill(base: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
     )
     s = state.join(ends, F.col("source").eqNullSafe(F.col("source_of")), "left")
     cut = F.array(F.struct(F.col("gap").alias("most"), F.col("cut").alias("cut")))
-    return s.select("source", "source_size", "target", "whole", "fraction", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"), F.when(F.col("used").isNotNull(), F.concat("cuts", cut)).otherwise(F.col("cuts")).alias("cuts"))
+    return s.select("source", "source_size", "target", "whole", "fraction", "mean_weight", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"), F.when(F.col("used").isNotNull(), F.concat("cuts", cut)).otherwise(F.col("cuts")).alias("cuts"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -121,12 +124,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, seed: int = 17, **options) -> DataFrame:
     """The documents, each as often as the mix takes it, with the columns that they had."""
     _, state = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, weight_col=weight_col, seed=seed, **options)
-    state = state.select(F.struct("source", "whole", "fraction", "cuts").alias("__mix"))
+    state = state.select(F.struct("source", "whole", "fraction", "mean_weight", "cuts").alias("__mix"))
     weight = (F.col(weight_col) if weight_col else F.lit(1.0)).cast("double")
     drawn = docs.join(state, F.col(source_col).eqNullSafe(F.col("__mix.source")))
     own = F.struct(uniform(F.col(id_col), seed).alias("u"), words(F.col(text_col)).alias("size"), weight.alias("weight"))
     drawn = drawn.withColumn("__own", own)
-    p = F.least(F.col("__mix.fraction") * F.col("__own.weight"), F.lit(1 - 1e-9))
+    p = F.least(F.col("__mix.fraction") * F.col("__own.weight") / F.col("__mix.mean_weight"), F.lit(1 - 1e-9))
     odds = F.col("__own.u") / (1 - F.col("__own.u")) * ((1 - p) / p)
     key = F.struct(F.when(F.col("__mix.fraction") > 0, odds / (1 + odds)).alias("rank"), F.col(id_col).cast("long").alias("doc_id"), F.col("__own.size").alias("size"))
     extra = F.exists("__mix.cuts", lambda c: (F.col("__own.size") <= c["most"]) & (key <= c["cut"]))
