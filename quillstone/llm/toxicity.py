@@ -89,6 +89,7 @@ class Net:
             y = table[flat, :FILTERS]
             for j in range(1, len(w)):
                 y[: len(flat) - j] += table[flat[j:], j * FILTERS : (j + 1) * FILTERS]
+            y[self.gaps(flat, starts)] = 0  # what begins after a text's last word reaches into the next text
             top = np.maximum.reduceat(y, starts, axis=0)
             out.append(top)
             if argmax:
@@ -97,6 +98,11 @@ class Net:
                 places.append(np.minimum.reduceat(at, starts, axis=0))
         return x, np.concatenate(out, axis=1), places
 
+    @staticmethod
+    def gaps(flat, starts) -> np.ndarray:
+        """Places of the empty words that follow each text."""
+        return (np.append(starts[1:], len(flat))[:, None] - np.arange(1, max(1, WIDTHS[-1] - 1) + 1)[None]).ravel()
+
     def logits(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
@@ -130,10 +136,12 @@ class Net:
                 dh = d[:, None] * self.v[None] * keep * (h > 0)
                 grads = [np.zeros_like(w) for w in self.w]
                 dx = np.zeros_like(x)
+                gap = np.zeros(len(flat), dtype=bool)
+                gap[self.gaps(flat, starts)] = True
                 for k, w in enumerate(self.w):
                     g = dh[:, k * FILTERS : (k + 1) * FILTERS]
                     for j in range(len(w)):
-                        words = flat[np.minimum(places[k] + j, len(flat) - 1)]  # documents x filters
+                        words = np.where(gap[places[k]], 0, flat[np.minimum(places[k] + j, len(flat) - 1)])  # documents x filters
                         grads[k][j] = np.einsum("nf,nfd->df", g, x[words])
                         np.add.at(dx, words.ravel(), (g[:, :, None] * w[j].T[None]).reshape(-1, DIM))
                 t += 1
