@@ -236,6 +236,7 @@ def candidate_edges(one: DataFrame, *, roots: int, level_roots: int = 10) -> Dat
         # Tokens that over half of a bucket has are fewer than 2 * SPLIT.
         common = df.where("common").groupBy("path").agg(F.collect_list("h").alias("common"))
         left = left.join(common, "path", "left").withColumn("own", F.coalesce(F.array_except("tokens", "common"), "tokens"))
+        left = left.repartition(partitions_for(one), "path", "cls")  # rows of one bucket are dealt out before they grow
         many = (F.size("tokens") - F.size("own")) * 5 >= SPLIT * 2
         chosen = left.select("path", "cls", F.explode("own").alias("h")).join(df.where("not common"), ["path", "h"]).groupBy("path", "cls").agg(F.slice(F.sort_array(F.collect_list("h")), 1, level_roots).alias("chosen"))
         children = chosen.select("path", "cls", F.explode("chosen").alias("child")).unionByName(left.where(many).select("path", "cls", _hash("path", F.lit(-1)).alias("child")))
