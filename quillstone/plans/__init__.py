@@ -1 +1 @@
-from . import evaluation, retrieval  # noqa: F401
+from . import evaluation, retrieval, rules  # noqa: F401
