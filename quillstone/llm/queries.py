@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import licences, toxicity, warc
 from .common import table
@@ -52,7 +53,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap", "overlap")))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,3 +91,61 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM p LEFT JOIN f USING (h)""",
 }
+
+#: Sizes, targets and the mix, pass by pass, over plain windows.
+_MIX_PASS = """
+             {n}c AS (SELECT d.*, g.gap, sum(size) OVER (PARTITION BY d.source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM {p}d d JOIN {p}g g ON d.source IS NOT DISTINCT FROM g.source WHERE NOT taken AND size > 0 AND size <= gap AND rank IS NOT NULL),
+             {n}t AS (SELECT source, doc_id, size, upto FROM {n}c WHERE upto <= gap),
+             {n}d AS (SELECT d.doc_id, d.source, d.size, d.rank, d.whole, d.source_size, d.target, d.taken OR t.doc_id IS NOT NULL AS taken FROM {p}d d LEFT JOIN {n}t t USING (doc_id)),
+             {n}g AS (SELECT g.source, g.gap - coalesce(max(t.upto), 0) AS gap FROM {p}g g LEFT JOIN {n}t t ON t.source IS NOT DISTINCT FROM g.source GROUP BY g.source, g.gap),"""
+
+ORACLES["op3_source_mix"] = (
+    r"""
+        WITH s0 AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                           (CAST('0x' || substr(md5(doc_id || ':17'), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM documents),
+             s1 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s0 GROUP BY source),
+             s2 AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 2 * source_size::DOUBLE AS most FROM s1),
+             s3 AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
+             s4 AS (SELECT source, source_size, CASE WHEN level * w >= most THEN most ELSE max(CASE WHEN level * w < most THEN level END) OVER () * w END AS target FROM s3),
+             s5 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM s4),
+             ag AS (SELECT source, target - floor(rate) * source_size AS gap FROM s5),
+             ad0 AS (SELECT s0.doc_id, s0.source, s0.size, s0.u, CAST(floor(rate) AS INTEGER) AS whole, least(rate - floor(rate), 1 - 1e-9) AS f, source_size, target FROM s0 JOIN s5 ON s0.source IS NOT DISTINCT FROM s5.source),
+             ad1 AS (SELECT *, u / (1 - u) * ((1 - f) / f) AS odds FROM ad0 WHERE f > 0),
+             ad AS (SELECT doc_id, source, size, odds / (1 + odds) AS rank, whole, source_size, target, false AS taken FROM ad1 UNION ALL SELECT doc_id, source, size, NULL, whole, source_size, target, false FROM ad0 WHERE NOT f > 0),"""
+    + "".join(_MIX_PASS.format(p=p, n=n) for p, n in zip("abc", "bcd", strict=True))
+    + """
+             z AS (SELECT 1)  -- ends the list of passes
+        SELECT doc_id, size, source_size, target, CAST((whole + taken::INT) * size AS BIGINT) AS taken FROM dd"""
+)
+
+ORACLES["op5_ngram_jaccard"] = r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s\x1c-\x1f\x{85}\x{a0}]+'), lambda x: x <> '') AS ws FROM documents),
+             s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, CAST(len(ws) - 3 AS BIGINT)), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+             c AS (SELECT g, min(doc_id) AS rep, count(*) AS copies FROM (SELECT doc_id, list_sort(g) AS g FROM s) WHERE len(g) > 0 GROUP BY g),
+             x AS (SELECT rep, copies, len(g) AS n, unnest(g) AS t FROM c),
+             p AS (SELECT a.rep AS a, b.rep AS b, b.copies FROM x a JOIN x b ON a.t = b.t AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n, b.copies HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
+             r AS (SELECT rep AS node, rep AS root FROM c UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node WHERE r.root < p.b),
+             k AS (SELECT node, min(root) AS class_id FROM r GROUP BY node),
+             l AS (SELECT a, CAST(sum(copies) AS BIGINT) AS links FROM p GROUP BY a)
+        SELECT s.doc_id, coalesce(class_id, s.doc_id) AS class_id, CAST(coalesce(links, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links, CAST(coalesce(copies, 1) AS BIGINT) AS copies, CAST(len(s.g) AS INTEGER) AS n_shingles
+        FROM s LEFT JOIN c ON list_sort(s.g) = c.g LEFT JOIN k ON k.node = c.rep LEFT JOIN l ON l.a = c.rep"""
+
+_GRAMS = "list_distinct(CASE WHEN len({0}) = 0 THEN [] WHEN len({0}) < 5 THEN [array_to_string({0}, ' ')] ELSE list_transform(range(1, CAST(len({0}) - 3 AS BIGINT)), lambda i: array_to_string({0}[i:i + 4], ' ')) END)"
+_HELD = "CAST(len(list_filter({0}, lambda g: contains(p, ' ' || g || ' '))) AS DOUBLE)"
+
+ORACLES["op9_decontaminate"] = rf"""
+        WITH b AS (SELECT item_id, trim(text, ' ' || chr(10)) AS t FROM benchmark),
+             i0 AS (SELECT item_id, regexp_extract_all(lower(split_part(t, chr(10), 1)), '[\p{{L}}\p{{N}}_]+') AS q, regexp_extract_all(lower(CASE WHEN strpos(t, chr(10)) > 0 THEN substr(t, strpos(t, chr(10)) + 1) ELSE '' END), '[\p{{L}}\p{{N}}_]+') AS a FROM b),
+             it AS (SELECT item_id, q, a, len(q) + len(a) AS n_words, {_GRAMS.format('q')} AS gq, {_GRAMS.format('a')} AS ga FROM i0 WHERE len(q) + len(a) > 0),
+             st AS (SELECT count(*) AS n, avg(n_words) AS mean, CAST(max(n_words) AS BIGINT) AS step FROM it),
+             tf AS (SELECT item_id, n_words, term, count(*) AS tf FROM (SELECT item_id, n_words, unnest(list_concat(q, a)) AS term FROM it) GROUP BY ALL),
+             df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+             wt AS (SELECT item_id, term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n_words / mean)) AS w FROM tf JOIN df USING (term), st),
+             lim AS (SELECT item_id, 0.4::DOUBLE * sum(w) AS least FROM wt GROUP BY item_id),
+             d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS ws FROM documents),
+             pa AS (SELECT doc_id, j, ws[j * step + 1:(j + 2) * step] AS p FROM (SELECT doc_id, ws, step, unnest(range(CAST(greatest(1, ceil(len(ws) / CAST(step AS DOUBLE))) AS BIGINT))) AS j FROM d, st)),
+             sc AS (SELECT doc_id, j, item_id, sum(w) AS score FROM (SELECT doc_id, j, unnest(list_distinct(p)) AS term FROM pa) JOIN wt USING (term) GROUP BY ALL),
+             h AS (SELECT doc_id, j, item_id, score, ' ' || array_to_string(p, ' ') || ' ' AS p, gq, ga FROM sc JOIN lim USING (item_id) JOIN pa USING (doc_id, j) JOIN it USING (item_id) WHERE score >= least),
+             o AS (SELECT doc_id, j, item_id, score, {_HELD.format('gq')} / nullif(len(gq), 0) AS question_overlap, {_HELD.format('ga')} / nullif(len(ga), 0) AS answer_overlap, ({_HELD.format('gq')} + {_HELD.format('ga')}) / (len(gq) + len(ga)) AS overlap FROM h)
+        SELECT doc_id, item_id, round(score, 6) AS score, round(question_overlap, 6) AS question_overlap, round(answer_overlap, 6) AS answer_overlap, round(overlap, 6) AS overlap
+        FROM o WHERE overlap >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overlap DESC, score DESC, j) = 1"""
