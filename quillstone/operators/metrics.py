@@ -153,3 +153,33 @@ def bootstrap(rows: DataFrame, columns: list[str], metric: Callable[[pd.DataFram
         return pd.DataFrame([(round(float(v.mean()), digits), round(float(np.percentile(v, 100 * alpha / 2)), digits), round(float(np.percentile(v, 100 * (1 - alpha / 2))), digits), round(float(v.std()), digits), len(v))], columns=["mean", "ci_lower", "ci_upper", "std", "n"])
 
     return rows.select(*columns, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(lambda pdf: run(pdf.sort_values(columns, kind="stable").reset_index(drop=True)), "mean double, ci_lower double, ci_upper double, std double, n long")
+
+
+def skipped_dimensions(flags: Column) -> Column:
+    """Metrics that a case's na_flags (map of names to booleans) leave out."""
+    names = {"csf_trajectory": "M4_csf", "cns_lm_recist": "M3_cns", "body_lesion_recist": "M3_body", "symptom_trajectory": "M4_symptom"}
+    return F.filter(F.array(*(F.when(F.coalesce(F.element_at(flags, k), F.lit(False)), v) for k, v in names.items())), lambda x: x.isNotNull())
+
+
+def stability(scores: DataFrame, keys: tuple[str, ...], score: Column, digits: int = 6) -> DataFrame:
+    """keys, n, mean, cv (sample deviation over mean), verdict: stable below 0.05, moderate below 0.15."""
+    g = scores.groupBy(*keys).agg(F.count(score).alias("n"), F.avg(score).alias("m"), F.stddev_samp(score).alias("sd"))
+    cv = F.col("sd") / F.nullif(F.col("m"), F.lit(0.0))
+    return g.select(*keys, "n", F.round("m", digits).alias("mean"), F.round(cv, digits).alias("cv"), F.when(cv < 0.05, "stable").when(cv < 0.15, "moderate").otherwise("unstable").alias("verdict"))
+
+
+def ceiling_floor(scores: DataFrame, keys: tuple[str, ...], score: Column, high: float = 0.95, low: float = 0.05, digits: int = 6) -> DataFrame:
+    """keys, shares of scores at the ceiling and at the floor."""
+    share = lambda c: F.round(F.avg(c.cast("double")), digits)
+    return scores.groupBy(*keys).agg(share(score >= high).alias("ceiling"), share(score <= low).alias("floor"))
+
+
+def random_baseline(rows: DataFrame, truth: str, n: int = 200, seed: int = 42) -> DataFrame:
+    """mean accuracy of truths against shuffles of themselves; for evaluation tables (one task, NumPy's generator)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng(seed)
+        y = np.sort(pdf[truth].to_numpy())
+        return pd.DataFrame({"accuracy": [round(float(np.mean([(y == rng.permutation(y)).mean() for _ in range(n)])), 4)]})
+
+    return rows.select(truth, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, "accuracy double")

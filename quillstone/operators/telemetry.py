@@ -50,3 +50,11 @@ def failure_stage(stages: list[tuple[str, Column]], in_gold: Column, in_db: Colu
     for name, there in stages:
         out = out.when(~there, name)
     return out.otherwise("not_a_retrieval_failure")
+
+
+def workflow(calls: DataFrame, case: str, tool: Column, accepted: Column, budget: Column) -> DataFrame:
+    """Per case: calls, tools as `name:count` in order, distinct accepted ids, budget used and its largest value."""
+    t = calls.select(case, tool.alias("tool"), accepted.alias("id"), budget.alias("budget"))
+    tools = t.groupBy(case, "tool").agg(F.count("*").alias("c")).groupBy(case).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tool", "c"))), lambda x: F.concat_ws(":", x["tool"], x["c"].cast("string"))), ",").alias("tools"))
+    total = t.groupBy(case).agg(F.count("*").alias("calls"), F.countDistinct("id").alias("accepted"), F.max("budget").alias("budget"))
+    return total.join(tools, case)

@@ -227,3 +227,25 @@ def benefit_levels(spark, sf):
 def request_packing(spark, sf):
     d = _t(spark, sf, "documents").select("source", "doc_id", "n_chars")
     return evidence.pack(d, ("source",), ["doc_id"], F.least(F.col("n_chars"), F.lit(900))).select("source", "doc_id", "batch")
+
+
+@query("score_stability", """SELECT l_returnflag, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity) / avg(l_quantity), 6) AS cv, CASE WHEN stddev_samp(l_quantity) / avg(l_quantity) < 0.05 THEN 'stable' WHEN stddev_samp(l_quantity) / avg(l_quantity) < 0.15 THEN 'moderate' ELSE 'unstable' END AS verdict FROM lineitem GROUP BY l_returnflag""")
+def score_stability(spark, sf):
+    return metrics.stability(_t(spark, sf, "lineitem"), ("l_returnflag",), F.col("l_quantity"))
+
+
+@query("ceiling_floor", "SELECT event_type, round(avg((value >= 95)::INT), 6) AS ceiling, round(avg((value <= 5)::INT), 6) AS floor FROM events GROUP BY event_type")
+def ceiling_floor(spark, sf):
+    return metrics.ceiling_floor(_t(spark, sf, "events"), ("event_type",), F.col("value"), 95.0, 5.0)
+
+
+@query("workflow_metrics", """WITH t AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY ALL), s AS (SELECT user_id, string_agg(event_type || ':' || c, ',' ORDER BY event_type) AS tools FROM t GROUP BY user_id)
+        SELECT e.user_id, count(*) AS calls, count(DISTINCT CASE WHEN value > 50 THEN event_id END) AS accepted, max(value) AS budget, any_value(tools) AS tools FROM events e JOIN s USING (user_id) GROUP BY e.user_id""")
+def workflow_metrics(spark, sf):
+    return telemetry.workflow(_t(spark, sf, "events"), "user_id", F.col("event_type"), F.when(F.col("value") > 50, F.col("event_id")), F.col("value"))
+
+
+@query("na_mask", """SELECT doc_id, array_to_string(list_filter([CASE WHEN lang = 'en' THEN 'M4_csf' END, CASE WHEN source = 'src1' THEN 'M3_cns' END], lambda x: x IS NOT NULL), ',') AS skipped FROM documents""")
+def na_mask(spark, sf):
+    flags = F.create_map(F.lit("csf_trajectory"), F.col("lang") == "en", F.lit("cns_lm_recist"), F.col("source") == "src1")
+    return _t(spark, sf, "documents").select("doc_id", F.array_join(metrics.skipped_dimensions(flags), ",").alias("skipped"))

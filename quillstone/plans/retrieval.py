@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import dense, evidence, fusion, lexical, structured, twostage
+from ..operators import dense, evidence, fusion, lexical, router, rules, structured, twostage
 from .registry import query
 
 STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
@@ -367,3 +367,26 @@ def citation_validation(spark, sf):
     allowed = F.filter("cited", lambda x: F.length(x) == 3)
     return c.select("conv_id", "turn", F.size("cited").cast("long").alias("n_cited"), F.size(F.array_except("cited", allowed)).cast("long").alias("n_rejected"))
 
+
+
+_ROUTE_ASK = "(SELECT item_id * 2 AS query_id, text FROM benchmark WHERE item_id < 8 UNION ALL SELECT item_id * 2 + 1, text || ' ing toxicity failed' FROM benchmark WHERE item_id < 8)"
+
+
+@query(
+    "route_batch",
+    f"""WITH r AS ({bm25_sql("(SELECT doc_id AS id, text FROM documents WHERE lang <> 'es')", _ROUTE_ASK, 10)}),
+             h AS (SELECT query_id // 2 AS query_id, id, min(query_id % 2) AS counter FROM r GROUP BY ALL),
+             c AS (SELECT query_id, CAST(sum({_SUPPORT_SQL}::INT) AS BIGINT) AS support, CAST(sum({_AGAINST_SQL}::INT) AS BIGINT) AS contradiction, CAST(sum({_RISK_SQL}::INT) AS BIGINT) AS risk, CAST(sum(counter) AS BIGINT) AS counter_hits FROM h JOIN documents ON doc_id = id GROUP BY query_id)
+        SELECT *, CASE WHEN support = 0 AND contradiction = 0 AND risk = 0 THEN 'insufficient_evidence' WHEN contradiction + risk > greatest(1, support) THEN 'needs_caution_due_to_contradiction_or_risk'
+                       WHEN support = 0 AND (counter_hits > 0 OR contradiction > 0) THEN 'not_supported' ELSE 'supported_with_monitoring' END AS verdict FROM c""",
+)
+def route_batch(spark, sf):
+    q = _t(spark, sf, "benchmark").where("item_id < 8").select(F.col("item_id").alias("query_id"), "text")
+    chunks = _t(spark, sf, "documents").where("lang <> 'es'")
+    return router.run(q, chunks, chunk_id="doc_id", hint=F.concat("text", F.lit(" ing toxicity failed")))[1]
+
+
+@query("constraint_extraction", """SELECT conv_id, turn, CASE WHEN contains(lower(text), 'luad') THEN 'LUAD' WHEN contains(lower(text), 'nsclc') THEN 'NSCLC' WHEN contains(lower(text), 'sclc') THEN 'SCLC' END AS cancer_type, contains(lower(text), 'ddi') OR contains(lower(text), 'interaction') AS ddi FROM conversations""")
+def constraint_extraction(spark, sf):
+    c = _t(spark, sf, "conversations").select("conv_id", "turn", rules.constraints(F.col("text")).alias("c"))
+    return c.select("conv_id", "turn", "c.cancer_type", (F.size("c.ddi_terms") > 0).alias("ddi"))

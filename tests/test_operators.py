@@ -177,3 +177,37 @@ def test_lineage(spark):
     got = evidence.lineage(claims, spark.createDataFrame([("c1",)], "id string"), claim="claim", refs="refs", evidence_id="id").orderBy("ref").collect()
     assert [(r["ref"], r["resolved"]) for r in got] == [("c1", True), ("c9", False)]
     assert json.dumps([r["claim"] for r in got]) == '["claim_01", "claim_01"]'
+
+
+def test_route_counts_support_before_counter(spark):
+    from quillstone.operators import router
+
+    chunks = spark.createDataFrame([("c1", "egfr response improved", "2020-01-01"), ("c2", "egfr fatal toxicity death", "2020-01-01"), ("c3", "egfr response", "2030-01-01")], "chunk_id string, text string, date string")
+    q = spark.createDataFrame([(1, "egfr response"), (2, "nothing here")], "query_id int, text string")
+    rows, verdict = router.run(q, chunks, hint=F.concat("text", F.lit(" toxicity")), cutoff="2025-01-01", date_col="date")
+    assert {(r["query_id"], r["chunk_id"], r["counter"]) for r in rows.collect()} >= {(1, "c1", False), (2, "c2", True)}
+    assert all(r["chunk_id"] != "c3" for r in rows.collect())
+    assert {r["query_id"]: r["verdict"] for r in verdict.collect()}[2] == "needs_caution_due_to_contradiction_or_risk"
+
+
+def test_fetch_keeps_the_order_asked_for(spark):
+    from quillstone.operators import router
+
+    wanted = spark.createDataFrame([(1, 0, "b"), (1, 1, "zz"), (1, 2, "a"), (1, 3, "c")], "query_id int, pos int, id string")
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "chunk_id string")
+    assert [r["chunk_id"] for r in router.fetch(wanted, rows, "chunk_id", 2).orderBy("pos").collect()] == ["b", "a"]
+    docs = spark.createDataFrame([("d2", "7"), ("d1", "7")], "doc_id string, pmid string")
+    assert router.by_pmid(spark.createDataFrame([(1, "7"), (2, "8")], "query_id int, pmid string"), docs).orderBy("query_id").collect()[0]["doc_id"] == "d1"
+
+
+def test_few_shot_references(spark):
+    from quillstone.operators import router
+
+    cases = spark.createDataFrame([("a", ["x", "y"], 0.5)], "case_id string, features array<string>, s double")
+    refs = spark.createDataFrame([("a", ["x", "y"], 0.9), ("b", ["x", "y"], 0.5), ("c", [], 0.52)], "ref_id string, ref_features array<string>, r double")
+    assert [r["ref_id"] for r in router.expand_nearest(cases, refs, F.col("r"), "features").orderBy("rank").collect()] == ["b", "c"]
+
+
+def test_random_baseline_of_one_label_is_perfect(spark):
+    rows = spark.createDataFrame([("x",)] * 5, "y string")
+    assert metrics.random_baseline(rows, "y", n=5).first()["accuracy"] == 1.0
