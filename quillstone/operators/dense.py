@@ -18,17 +18,24 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, id_col: str, vector_col: str, space_col: str | None = None, top_k: int = 10, per_space: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, id_col: str, vector_col: str, space_col: str | None = None, top_k: int = 10, per_space: int | None = None, block: int = 2048) -> DataFrame:
     """query_id, id, space, score, rank. Scores of zero or less and vectors of another length are left out; ties go by id.
 
-    queries: query_id, vector; a handful, so this side is replicated by the optimiser's choice of join."""
+    queries: query_id, vector. They go to the vectors in blocks of at most `block` by broadcast, so that no vector is
+    shuffled; each block keeps its best hits only."""
     v = vectors.select(F.col(id_col).alias("id"), (F.col(space_col).cast("string") if space_col else F.lit("all")).alias("space"), F.col(vector_col).cast("array<double>").alias("v"))
     q = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"))
-    hits = v.join(q, F.size("v") == F.size("q")).select("query_id", "id", "space", dot(F.col("v"), F.col("q")).alias("score")).where("score > 0")
+    n = q.count()
     order = [F.round("score", 9).desc(), F.col("id")]
-    if per_space:
-        hits = hits.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "space").orderBy(*order))).where(F.col("_r") <= per_space).drop("_r")
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= top_k)
+    out = None
+    for k in range(max(1, -(-n // block))):
+        part = q if n <= block else q.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block))) == k)
+        hits = v.join(F.broadcast(part), F.size("v") == F.size("q")).select("query_id", "id", "space", dot(F.col("v"), F.col("q")).alias("score")).where("score > 0")
+        if per_space:
+            hits = hits.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "space").orderBy(*order))).where(F.col("_r") <= per_space).drop("_r")
+        hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= top_k)
+        out = hits if out is None else out.unionAll(hits)
+    return out
 
 
 def hash_buckets(docs: DataFrame, id_col: str, text: Column, dim: int = DIM) -> DataFrame:

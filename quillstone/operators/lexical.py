@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .sizes import broadcast_up_to
 
 K1, B = 1.5, 0.75
 
@@ -35,16 +36,16 @@ def query_terms(queries: DataFrame, id_col: str, text: Column) -> DataFrame:
     return queries.select(F.col(id_col).alias("query_id"), F.explode(tokenize(text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def search(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text: Column | None = None, query_id: str = "query_id", query_text: Column | None = None, top_k: int = 10) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text: Column | None = None, query_id: str = "query_id", query_text: Column | None = None, top_k: int = 10, most_terms: int = 200_000) -> DataFrame:
     """query_id, id, score, rank: the best documents of each query; equal scores go by id.
 
-    Queries are few against documents, but nothing is broadcast by hand: postings are cut to the queried terms by a semi
-    join that the optimiser plans by size, and ranks are limited before they are shuffled."""
+    Tokens are cut to the queried terms where they are read, by a broadcast of up to `most_terms` terms; with more the
+    semi join shuffles. Ranks are limited before they are shuffled."""
     text = F.col("text") if text is None else text
     q = query_terms(queries, query_id, F.col("text") if query_text is None else query_text)
     tokens = docs.select(F.col(id_col).alias("id"), tokenize(text).alias("tokens")).where(F.size("tokens") > 0)
     stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
-    post = tokens.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    post = tokens.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(broadcast_up_to(q.select("term").distinct(), most_terms), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     n, avg = F.col("n"), F.col("avg_len")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
