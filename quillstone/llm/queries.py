@@ -149,3 +149,14 @@ ORACLES["op9_decontaminate"] = rf"""
              o AS (SELECT doc_id, j, item_id, score, {_HELD.format('gq')} / nullif(len(gq), 0) AS question_overlap, {_HELD.format('ga')} / nullif(len(ga), 0) AS answer_overlap, ({_HELD.format('gq')} + {_HELD.format('ga')}) / (len(gq) + len(ga)) AS overlap FROM h)
         SELECT doc_id, item_id, round(score, 6) AS score, round(question_overlap, 6) AS question_overlap, round(answer_overlap, 6) AS answer_overlap, round(overlap, 6) AS overlap
         FROM o WHERE overlap >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overlap DESC, score DESC, j) = 1"""
+
+ORACLES["op7_suffix_repeats"] = """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+             w AS (SELECT doc_id, i, md5(b[i + 1:i + 400]) AS h FROM (SELECT doc_id, b, unnest(range(n - 399)) AS i FROM d WHERE n >= 400)),
+             r AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+             g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM r),
+             s AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM g) GROUP BY doc_id, part),
+             p AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS free FROM s),
+             k AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans, max(hi) AS tail, string_agg(hex(b[free + 1:lo]), '' ORDER BY lo) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+               CASE WHEN spans IS NULL THEN sha256(b) ELSE sha256(unhex(kept || hex(b[tail + 1:n]))) END AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
