@@ -6,6 +6,7 @@ once the task that wrote it has returned that name; leftovers of failed attempts
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -47,11 +48,20 @@ def stored(df: DataFrame, name: str, free: bool = False, drop: list[DataFrame] |
     for old in drop or []:
         _delete(spark, _PATHS.pop(id(old)))
     if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        release(spark)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Gives back what the driver no longer needs: Python's memory, the JVM's, and with that the shuffle files of dead plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 #: Where stored() has put what it returned, for `drop`.
 _PATHS: dict[int, str] = {}
 

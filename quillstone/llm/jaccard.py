@@ -7,8 +7,8 @@ Paths. A class goes to the buckets of the first `roots` tokens of its sample. An
 of the union's tokens with probability s, the next one again, and so on: it misses all buckets with (1 - s)^roots, and
 `roots` is the number of such runs that reaches the target recall. A bucket of one is dropped, a small one is compared
 pair by pair. A large one is split again: classes near to a few pivots are linked to them and leave; for the rest,
-tokens are sampled anew, and those that at least two classes of the bucket and at most half of them have lead to child
-buckets; a class many of whose tokens are in over half of the bucket goes to a bucket of what is left. What is
+tokens are sampled anew, without those that over half of the bucket has, and lead to child buckets; a class many of whose
+tokens are in over half of the bucket goes to a bucket of what is left. What is
 still large at the last level is compared in blocks, so nothing is capped.
 
 Comparing signatures only groups classes that may be similar, in candidate components. Within a component (in tiles, if
@@ -205,7 +205,7 @@ def _hash(*columns):
     return F.xxhash64(*columns)
 
 
-def candidate_edges(one: DataFrame, *, roots: int, level_roots: int = 10) -> DataFrame:
+def candidate_edges(one: DataFrame, *, roots: int, level_roots: int = 3) -> DataFrame:
     """one: cls, sample, sig -> edges a-b between classes that may be similar; connected components of them hold all similar pairs."""
     members = one.select("cls", F.explode(F.slice("sample", 1, roots)).alias("path"))
     members = members.select(_hash("path").alias("path"), "cls")
@@ -230,16 +230,13 @@ def candidate_edges(one: DataFrame, *, roots: int, level_roots: int = 10) -> Dat
         # Some tokens of each sample, the same ones for all classes that have them.
         some = F.slice(F.sort_array(F.transform("sample", lambda t: F.struct(_hash("path", t).alias("h"), t.alias("token")))), 1, SPLIT)
         left = stored(left.select("path", "cls", F.transform(some, lambda t: t["h"]).alias("tokens")), "jaccard-tokens", free=True, drop=[large])
+        # Tokens that over half of a bucket has do not split it; they are fewer than 2 * SPLIT.
         now = left.groupBy("path").agg(F.count("*").alias("now"))
         df = left.select("path", F.explode("tokens").alias("h")).groupBy("path", "h").agg(F.count("*").alias("df")).where("df > 1").join(now, "path")
-        df = stored(df.select("path", "h", (F.col("df") * 2 > F.col("now")).alias("common")), "jaccard-df")
-        # Tokens that over half of a bucket has are fewer than 2 * SPLIT.
-        common = df.where("common").groupBy("path").agg(F.collect_list("h").alias("common"))
+        common = df.where("df * 2 > now").groupBy("path").agg(F.collect_list("h").alias("common"))
         left = left.join(common, "path", "left").withColumn("own", F.coalesce(F.array_except("tokens", "common"), "tokens"))
-        left = left.repartition(partitions_for(one), "path", "cls")  # rows of one bucket are dealt out before they grow
-        many = (F.size("tokens") - F.size("own")) * 5 >= SPLIT * 2
-        chosen = left.select("path", "cls", F.explode("own").alias("h")).join(df.where("not common"), ["path", "h"]).groupBy("path", "cls").agg(F.slice(F.sort_array(F.collect_list("h")), 1, level_roots).alias("chosen"))
-        children = chosen.select("path", "cls", F.explode("chosen").alias("child")).unionByName(left.where(many).select("path", "cls", _hash("path", F.lit(-1)).alias("child")))
+        many = F.when((F.size("tokens") - F.size("own")) * 5 >= SPLIT * 2, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        children = left.select("path", "cls", F.concat(F.slice("own", 1, level_roots), many).alias("to")).repartition(partitions_for(one), "path", "cls").select("path", "cls", F.explode("to").alias("child"))
         members = children.select(_hash("path", "child").alias("path"), "cls")
     rows = leaves[0]
     for x in leaves[1:]:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, uniform
+from .common import release, text_batches, uniform
 
 WORDS, PREFIXES, DIM, WIDTHS, FILTERS = 1 << 17, 1 << 15, 16, (1, 2, 3), 8
 PREFIX = (3, 5, 7)
@@ -229,6 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         learn = ~aside
     net.train([t for t, k in zip(texts, learn, strict=True) if k], y[learn])
     calibrate(net, [t for t, k in zip(texts, aside, strict=True) if k], y[aside], [x for x, k in zip(langs, aside, strict=True) if k], counts[1] / (counts[0] + counts[1]))
+    del rows, texts
+    release(docs.sparkSession)
     return net
 
 
