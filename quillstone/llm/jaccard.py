@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, partitions_for, stored, text_batches
 
 SAMPLE, BINS = 64, 128
-LEAF, PIVOTS, SPLIT, LEVELS, BLOCK = 1000, 4, 16, 6, 512
+LEAF, PIVOTS, SPLIT, LEVELS, BLOCK = 1000, 4, 5, 6, 512
 #: Signatures differ from the true similarity by about 0.035, for similarities as below; five times that is left open.
 FLOOR, LINK, LEAVE = 0.6, 0.3, 0.7
 SKETCH = "doc_id long, cls long, n int, sample array<long>, sig binary"
@@ -235,7 +235,7 @@ def candidate_edges(one: DataFrame, *, roots: int, level_roots: int = 3) -> Data
         df = left.select("path", F.explode("tokens").alias("h")).groupBy("path", "h").agg(F.count("*").alias("df")).where("df > 1").join(now, "path")
         common = df.where("df * 2 > now").groupBy("path").agg(F.collect_list("h").alias("common"))
         left = left.join(common, "path", "left").withColumn("own", F.coalesce(F.array_except("tokens", "common"), "tokens"))
-        many = F.when((F.size("tokens") - F.size("own")) * 5 >= SPLIT * 2, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        many = F.when((F.size("tokens") - F.size("own")) * 5 >= SPLIT * 3, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
         children = left.select("path", "cls", F.concat(F.slice("own", 1, level_roots), many).alias("to")).repartition(partitions_for(one), "path", "cls").select("path", "cls", F.explode("to").alias("child"))
         members = children.select(_hash("path", "child").alias("path"), "cls")
     rows = leaves[0]
