@@ -9,7 +9,7 @@ then over the files of a stream. No task sees more than one block, or the summar
 Rows: no ids after the last separator of a stream are a document of their own if there are any (`closed` is then
 false); two separators in a row are an empty document; an empty file has no document; a file whose size is no multiple
 of the id width is an error. A separator within a text (its special string) ends a document there as in any flat
-file. For count_documents: null or empty texts give documents of their end id only, repeated rows and null ids give one
+file. For count_documents: such parts are added up, so a document's count is that of its whole text; null or empty texts give documents of their end id only, repeated rows and null ids give one
 each, an empty table gives no file and no row, and other columns are ignored.
 """
 
@@ -25,6 +25,8 @@ from .common import BinaryFile, only, partitions_for, read_range, scratch, store
 from .wordcode import shared_encoder, tokenizer_path
 
 FILES = "stream int, seq int, file string, n_bytes long, ids array<long>"
+#: What write_flat knows besides: of each document in `ids`, the ordinal of its first separator in the stream and how many it wrote.
+WRITTEN = FILES + ", firsts array<long>, seps array<long>"
 BLOCK = "stream int, seq int, block int, n long, places array<long>, gaps array<long>"
 
 
@@ -32,37 +34,42 @@ def write_flat(docs: DataFrame, directory: str, *, id_col: str = "doc_id", text_
     """Each task writes one stream: the documents of its partition as they come, cut into files of file_bytes wherever that falls.
 
     Nothing is shuffled. Returns the stored list of files; documents may span files, none spans streams. `ids` are the
-    ids of the documents that end in a file, for those who want to name the counts; the files themselves hold none."""
+    ids of the documents that end in a file, for those who want to name the counts; the files themselves hold none.
+    `firsts` and `seps` say which separators of the stream each of them wrote: its own end and those within its text."""
     path, dtype = tokenizer or tokenizer_path(), f"<u{width}"
     tail = np.asarray([end_id], dtype=dtype).tobytes()
 
     def write(batches):
         encoder, stream, done, held, ends = shared_encoder(path, dtype), TaskContext.get().partitionId(), [], b"", []
+        ordinal = 0
 
         def put(n: int) -> None:
             nonlocal held, ends
             out = BinaryFile(directory, ".tok")
             out.write(held[:n])
             out.close()
-            done.append((stream, len(done), out.name, out.at, [i for e, i in ends if e <= n]))
-            held, ends = held[n:], [(e - n, i) for e, i in ends if e > n]
+            done.append((stream, len(done), out.name, out.at, *([x[c] for x in ends if x[0] <= n] for c in (1, 2, 3))))
+            held, ends = held[n:], [(e - n, *x) for e, *x in ends if e > n]
 
         for batch in batches:
             parts, at = [held], len(held)
             for doc_id, codes in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                 parts += [codes, tail]
                 at += len(codes) + width
-                ends.append((at, doc_id))
+                seps = 1 + int(np.count_nonzero(np.frombuffer(codes, dtype) == end_id))
+                ends.append((at, doc_id, ordinal, seps))
+                ordinal += seps
             held = b"".join(parts)
             while len(held) >= file_bytes:
                 put(file_bytes)
         if held:
             put(len(held))
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["stream", "seq", "file", "n_bytes", "ids"])
+            types = (pa.int32(), pa.int32(), pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=["stream", "seq", "file", "n_bytes", "ids", "firsts", "seps"])
 
     rows = only(text_batches(docs), id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return stored(rows.mapInArrow(write, FILES), "flat-files")
+    return stored(rows.mapInArrow(write, WRITTEN), "flat-files")
 
 
 def scan_block(ids: np.ndarray, end_id: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -123,7 +130,7 @@ def count_documents(spark: SparkSession, docs: DataFrame, *, end_id: int = 49407
     directory = scratch(spark, "flat")
     files = write_flat(docs, directory, end_id=end_id, **options)
     counts = scan(files, directory, end_id=end_id)
-    ids = files.select("stream", "seq", "ids", F.size("ids").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    named = ids.withColumn("before", before).select("stream", "before", F.posexplode("ids").alias("k", "doc_id")).select("stream", (F.col("before") + F.col("k")).alias("ordinal"), "doc_id")
-    return counts.join(named, ["stream", "ordinal"]).select("doc_id", "n_tokens")
+    written = files.select("stream", F.explode(F.arrays_zip("ids", "firsts", "seps")).alias("d")).select("stream", F.col("d.ids").alias("doc_id"), F.col("d.firsts").alias("first"), F.col("d.seps").alias("seps"))
+    named = written.select("stream", "doc_id", "first", F.explode(F.sequence("first", F.col("first") + F.col("seps") - 1)).alias("ordinal"))
+    # A document is (stream, first): ids may be null or repeated.
+    return counts.join(named, ["stream", "ordinal"]).groupBy("stream", "first", "doc_id").agg(F.sum("n_tokens").alias("n_tokens")).select("doc_id", "n_tokens")

@@ -69,6 +69,16 @@ def test_flat_counts(spark, docs, encoder):
     assert sorted(((r["doc_id"], r["n_tokens"]) for r in got if r["doc_id"] != 7), key=str)[: len(want)] != [] and len(got) >= len(DOCS)
 
 
+def test_flat_counts_of_texts_that_hold_separators(spark, docs, encoder):
+    """A separator in a text must not shift the counts of the documents after it, nor drop the last ones."""
+    more = [(20, "<|endoftext|>"), (21, "after one"), (22, "a <|endoftext|><|endoftext|> b " * 40), (22, "the same id, three words more"), (23, "the last of its stream")]
+    rows = DOCS + more
+    for frame in (docs.select("doc_id", "text"), spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)):
+        given = [(r["doc_id"], r["text"]) for r in frame.collect()]
+        got = sorted(((r["doc_id"], r["n_tokens"]) for r in tokencount.count_documents(spark, frame, file_bytes=64).collect()), key=str)
+        assert got == sorted(((d, len(plain(encoder, t)) + 1) for d, t in given), key=str)
+
+
 def write_ids(spark, where, streams):
     rows = []
     fs, path = file_system(where)
