@@ -34,8 +34,9 @@ VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
-#: A header longer than this is no header.
+#: Read beyond a block's end for the header of its last record, and at a time where a header goes on after that.
 HEADER_BYTES = 1 << 14
+BLANK = b"\r\n\r\n"
 MANIFEST = "file string, n_records long, n_bytes long"
 FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _CANDIDATE = re.compile(rb"WARC/1\.[01]\r\n")
@@ -63,14 +64,33 @@ def pack(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     return VERSION + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
+def header(data: bytes, at: int, read=None) -> bytes | None:
+    """The header at `at` up to its blank line, however long; read(i, n) gives n bytes on from i where data ends too early."""
+    if (end := data.find(BLANK, at)) >= 0:
+        return data[at:end]
+    head, line = bytearray(data[at:]), len(VERSION)
+    while read:
+        # Whole lines are fields; what has another line is no header, and is not read to the end of the file.
+        if (last := head.rfind(b"\r\n")) > line:
+            if any(b":" not in x for x in head[line:last].split(b"\r\n")):
+                return None
+            line = last + 2
+        if not (more := read(at + len(head), HEADER_BYTES)):
+            return None
+        since = len(head) - 3
+        head += more
+        if (end := head.find(BLANK, since)) >= 0:
+            return bytes(head[:end])
+    return None
+
+
+def parse(data: bytes, at: int, read=None) -> tuple[dict[str, str], int, int] | None:
     """(header fields in lower case, start of the block, its length), or None where no header parses."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-    if end < 0:
+    if (head := header(data, at, read)) is None:
         return None
     try:
-        fields = dict((k.strip().lower(), v.strip()) for k, v in (x.split(":", 1) for x in data[at + len(VERSION) : end].decode().split("\r\n")))
-        return fields, end + 4, int(fields["content-length"])
+        fields = dict((k.strip().lower(), v.strip()) for k, v in (x.split(":", 1) for x in head[len(VERSION) :].decode().split("\r\n")))
+        return fields, at + len(head) + 4, int(fields["content-length"])
     except (ValueError, KeyError, UnicodeDecodeError):
         return None
 
@@ -114,9 +134,9 @@ def jump(nexts: np.ndarray) -> np.ndarray:
 
 def candidates(files: DataFrame, directory: str, block_bytes: int = 4 << 20) -> DataFrame:
     """A row for each block of each file, with arrays of its candidates: offset, where its record ends, where its chain
-    leaves the block, and the record's fields. files: file, n_bytes."""
+    leaves the block, how many records it has until there, and the record's fields. files: file, n_bytes."""
     blocks = files.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n_bytes") - 1, F.lit(block_bytes))))
-    item = pa.struct([("offset", pa.int64()), ("next", pa.int64()), ("exit", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+    item = pa.struct([("offset", pa.int64()), ("next", pa.int64()), ("exit", pa.int64()), ("hops", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
     schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("found", pa.list_(item))])
 
     def scan(batches):
@@ -125,30 +145,40 @@ def candidates(files: DataFrame, directory: str, block_bytes: int = 4 << 20) ->
                 fs, base = file_system(directory)
                 found = []
                 with fs.open_input_file(f"{base}/{file}") as f:
-                    data = f.read_at(min(block_bytes + HEADER_BYTES, size - start), start)
-                    for m in _CANDIDATE.finditer(data):
+                    lead = min(len(BLANK), start)  # what a version line comes after
+                    zero = start - lead
+                    read = lambda i, n: f.read_at(min(n, size - zero - i), zero + i)
+                    data = read(0, lead + block_bytes + HEADER_BYTES)
+                    for m in _CANDIDATE.finditer(data, lead):
                         at = m.start()
-                        if at >= block_bytes:
+                        if at >= lead + block_bytes:
                             break
-                        parsed = parse(data, at)
-                        if parsed is None or parsed[2] < 0 or start + parsed[1] + parsed[2] + 4 > size:
+                        # Headers of candidates end at the next blank line, so none is read for two of them.
+                        if zero + at and data[max(0, at - len(BLANK)) : at] != BLANK:
+                            continue
+                        parsed = parse(data, at, read)
+                        if parsed is None or parsed[2] < 0 or zero + parsed[1] + parsed[2] + 4 > size:
                             continue
                         fields, body, length = parsed
                         end = body + length + 4
-                        block = data[body : end - 4] if end <= len(data) else f.read_at(length, start + body)
-                        found.append(describe(start + at, start + end, fields, block))
+                        block = data[body : end - 4] if end <= len(data) else read(body, length)
+                        found.append(describe(zero + at, zero + end, fields, block))
                 offsets = np.array([x["offset"] for x in found], dtype=np.int64)
                 ends = np.array([x["next"] for x in found], dtype=np.int64)
                 if len(found):
                     to = np.searchsorted(offsets, ends)
                     inside = (to < len(offsets)) & (offsets[np.minimum(to, len(offsets) - 1)] == ends)
-                    last = jump(np.where(inside, to, np.arange(len(offsets))))
-                    for x, e in zip(found, ends[last].tolist(), strict=True):
-                        x["exit"] = e
+                    nexts = np.where(inside, to, np.arange(len(offsets)))
+                    last, hops = jump(nexts), [1] * len(found)
+                    for i in range(len(found) - 1, -1, -1):
+                        if inside[i]:
+                            hops[i] += hops[nexts[i]]
+                    for x, e, h in zip(found, ends[last].tolist(), hops, strict=True):
+                        x["exit"], x["hops"] = e, h
                 yield pa.RecordBatch.from_pylist([{"file": file, "start": start, "found": found}], schema=schema)
 
     n = partitions_for(files)
-    return blocks.select("file", "n_bytes", "start").repartition(n, "file", "start").mapInArrow(scan, f"file string, start long, found array<struct<offset:bigint,next:bigint,exit:bigint,{','.join(':'.join(x.split()) for x in FIELDS.split(', '))}>>")
+    return blocks.select("file", "n_bytes", "start").repartition(n, "file", "start").mapInArrow(scan, f"file string, start long, found array<struct<offset:bigint,next:bigint,exit:bigint,hops:bigint,{','.join(':'.join(x.split()) for x in FIELDS.split(', '))}>>")
 
 
 def describe(offset: int, end: int, fields: dict[str, str], block: bytes) -> dict:
@@ -168,7 +198,9 @@ def describe(offset: int, end: int, fields: dict[str, str], block: bytes) -> dic
 
 
 def read_archives(manifest: DataFrame, directory: str, block_bytes: int = 4 << 20) -> DataFrame:
-    """A row for each record reached from the start of its file: FIELDS, file and offset."""
+    """A row for each record reached from the start of its file: FIELDS, file and offset.
+
+    Fails where a file's records are not as many as its manifest says."""
     files = manifest.select("file", "n_bytes")
     found = stored(candidates(files, directory, block_bytes), "warc-candidates")
     # Where a block's chain leads: an edge from each candidate that a chain can enter a block by to its exit.
@@ -187,6 +219,12 @@ def read_archives(manifest: DataFrame, directory: str, block_bytes: int = 4 << 2
             twice = links.select("file", F.col("at").alias("to"), F.col("to").alias("then"))
             links = stored(links.join(twice, ["file", "to"], "left").select("file", "at", F.coalesce("then", "to").alias("to")), "warc-links")
     starts = entries.withColumn("start", F.floor(F.col("at") / F.lit(block_bytes)) * F.lit(block_bytes)).groupBy("file", "start").agg(F.min("at").alias("entry"))
+    # A chain enters a block once; what it reaches there was counted from that entry.
+    hops = F.aggregate(F.filter("found", lambda c: c["offset"] == F.col("entry")), F.lit(0).cast("long"), lambda n, c: n + c["hops"])
+    reached = found.join(starts, ["file", "start"]).select("file", hops.alias("hops")).groupBy("file").agg(F.sum("hops").alias("reached"))
+    lost = manifest.join(reached, "file", "left").withColumn("reached", F.coalesce("reached", F.lit(0))).where("reached <> n_records").select("file", "reached", "n_records").first()
+    if lost:
+        raise ValueError(f"{lost['file']}: {lost['reached']} of {lost['n_records']} records reached")
 
     out = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()), ("offset", pa.int64())])
 

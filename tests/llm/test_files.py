@@ -140,5 +140,33 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark, spark.createDataFrame([(None, None, None, "x")], pages.schema)).first()["payload_bytes"] == 0
 
 
+def test_warc_urls_of_any_length(spark):
+    """A header longer than a read-ahead must not end its file's chain."""
+    rows = [(i, f"http://h/{i}?" + "q" * n, f"<p>{i}</p>") for i, n in enumerate([3, 100_000, 20, 16_300, 16_384, 2_000_000, 5])]
+    rows.append((50, "http://h/t", "x\r\n\r\nWARC/1.1\r\n" + "no field\r\n" * 5000 + "\r\n\r\nWARC/1.1\r\na:" + "b" * 50_000))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    where = scratch(spark, "t")
+    manifest = warc.write_archives(pages, where)
+    for block in (50_000, 4 << 20):
+        got = sorted((r["page_id"], r["payload_digest"]) for r in warc.read_archives(manifest, where, block).collect())
+        assert got == [(i, hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows], block
+
+
+def test_warc_lost_records_are_an_error(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * 40) for i in range(30)], "page_id long, url string, html string").coalesce(1)
+    where = scratch(spark, "t")
+    manifest = warc.write_archives(pages, where)
+    fs, base = file_system(where)
+    name = f"{base}/{manifest.first()['file']}"
+    with fs.open_input_file(name) as f:
+        data = f.read()
+    at = data.index(b"X-Page-Id: 7\r\n")
+    with fs.open_output_stream(name) as f:
+        f.write(data[:at] + data[at:].replace(b"Content-Length: ", b"Content-Xength: ", 1))
+    for block in (2_000, 4 << 20):
+        with pytest.raises(ValueError, match="of 30 records reached"):
+            warc.read_archives(manifest, where, block).count()
+
+
 def test_pointer_jumping():
     assert warc.jump(np.array([1, 2, 2, 4, 4])).tolist() == [2, 2, 2, 4, 4]
