@@ -184,7 +184,8 @@ def candidates(files: DataFrame, directory: str, block_bytes: int = 4 << 20) ->
 def describe(offset: int, end: int, fields: dict[str, str], block: bytes) -> dict:
     """What a record says, from its own bytes where it holds the payload."""
     kind = fields.get("warc-type", "")
-    number = lambda k: int(fields[k]) if re.fullmatch(r"-?\d{1,18}", fields.get(k, "")) else None
+    # Any integer that a long holds; leading zeros do not count.
+    number = lambda k: n if re.fullmatch(r"-?0*\d{1,19}", x := fields.get(k, "")) and -(1 << 63) <= (n := int(x)) < 1 << 63 else None
     payload = block[at + 4 :] if (at := block.find(b"\r\n\r\n")) >= 0 else block
     if kind == "revisit":
         try:

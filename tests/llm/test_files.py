@@ -152,6 +152,15 @@ def test_warc_urls_of_any_length(spark):
         assert got == [(i, hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows], block
 
 
+def test_warc_ids_of_all_longs(spark):
+    ids = [-(1 << 63), -(10**18), -1, 0, 10**18 - 1, 10**18, 1234567890123456789, (1 << 63) - 1]
+    pages = spark.createDataFrame([(i, "http://h", "same " * 300) for i in ids], "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["refers_to"]) for r in warc.round_trip(spark, pages).collect())
+    assert got == [(i, None if i == ids[-1] else ids[-1]) for i in ids]
+    for x, n in (("9223372036854775808", None), ("-9223372036854775809", None), ("0" * 30 + "7", 7), ("7" * 30, None), ("", None)):
+        assert warc.describe(0, 1, {"x-page-id": x}, b"")["page_id"] == n
+
+
 def test_warc_lost_records_are_an_error(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * 40) for i in range(30)], "page_id long, url string, html string").coalesce(1)
     where = scratch(spark, "t")
