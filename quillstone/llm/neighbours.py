@@ -14,7 +14,8 @@ sides of a tile are of bounded size; no pair outside a tile's survivors is ever
 
 Rows: vectors that are null, empty, all zero or hold a null, NaN or infinity take no part, as query or as candidate;
 vectors of different lengths are never compared; a null id is ignored; repeated ids are candidates of their own, but
-none with the query's own id is its neighbour; fewer than k candidates give fewer rows; ties go to the smaller id;
+none with the query's own id is its neighbour; a repeated query row is one query (the SQL lists its neighbours once for
+each repeat within the same k ranks); different vectors under one id are not told apart; fewer than k candidates give fewer rows; ties go to the smaller id;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -93,11 +94,13 @@ def heaps(rows, k: int):
 def nearest(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, every: int = 100, candidate_block: int = 8192, query_block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows, by Euclidean distance, of the rows whose id is a multiple of `every`."""
     v = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull()).where(usable(F.col("vector")))
-    # Equal vectors: the k + 1 smallest ids stand for all of them (one may be the query's own). Spark keeps the limit before the shuffle too.
+    # Equal vectors: the k + 1 smallest distinct ids stand for all of them (one may be the query's own), each with its number of
+    # rows, up to k. Repeated rows are combined before the shuffle, and Spark keeps the limit before it too.
     same = Window.partitionBy("vector").orderBy("id")
-    members = v.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
-    distinct = stored(members.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "vector", "ids"), "nn-vectors")
-    asked = stored(v.where(F.col("id") % every == 0).join(distinct.select("vector", "rep"), "vector").select(F.col("id").alias("query_id"), F.col("rep").alias("query")), "nn-queries")
+    members = v.groupBy("vector", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times")).withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
+    distinct = stored(members.groupBy("vector").agg(F.sort_array(F.collect_list(F.struct("id", "times"))).alias("ids")).select(F.col("ids")[0]["id"].alias("rep"), "vector", "ids"), "nn-vectors")
+    asked = v.where(F.col("id") % every == 0).distinct().join(distinct.select("vector", "rep"), "vector")
+    asked = stored(asked.select(F.col("id").alias("query_id"), F.col("rep").alias("query")), "nn-queries")
     queries = asked.select(F.col("query").alias("rep")).distinct()
 
     codes = stored(coded(distinct), "nn-codes")
@@ -133,6 +136,7 @@ def nearest(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     schema = "query long, score double, rep long"
     top = exact.mapInPandas(merge, schema).repartition("query").mapInPandas(merge, schema)
     # Back from vectors to rows.
-    hits = asked.join(top, "query").join(distinct.select("rep", F.explode("ids").alias("vec_id")), "rep").where("vec_id <> query_id")
+    hits = asked.join(top, "query").join(distinct.select("rep", F.explode("ids").alias("m")), "rep").where("m.id <> query_id")
+    hits = hits.select("query_id", "score", F.col("m.id").alias("vec_id"), F.explode(F.sequence(F.lit(1), F.col("m.times"))).alias("time"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -37,6 +37,23 @@ def test_nearest_equals_brute_force(spark, blocks):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_keep_all_neighbours(spark):
+    """A query row twelve times, others that share its vector, and candidate rows twelve times."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(8).round(3).tolist()) for i in range(120)]
+    rows += [rows[0]] * 11 + [(501 + i, rows[0][1]) for i in range(3)] + [(7, rows[0][1])] * 12
+    rows += [rows[20]] * 11
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (5, 20):
+        got = neighbours.nearest(df, k=k, candidate_block=16, query_block=2).collect()
+        want = []
+        for q in (0, 100):
+            asks = {tuple(v) for i, v in rows if i == q}
+            all_ = sorted((float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum())), i) for x in asks for i, y in rows if i != q)[:k]
+            want += [(q, r + 1, i, round(s, 9)) for r, (s, i) in enumerate(all_)]
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == want
+
+
 def test_tile_bounds_hold():
     import pandas as pd
 
