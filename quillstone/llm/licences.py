@@ -11,7 +11,8 @@ Most paragraphs need no score: the largest weights that each word can bring into
 and a paragraph whose sum cannot outweigh the class of other text is passed over. That bound is exact.
 
 Rows: null and empty texts and blank lines have no paragraph; a text may have several rows, one for each paragraph with
-licence text, numbered from 0 among its lines; repeated rows get theirs each; null ids are kept; an empty table gives an
+licence text, numbered from 0 among its lines; adjacent lines up to a blank one are a paragraph too, with the number of
+their first line, where together they confirm a family that none of them confirms (a grant wrapped over lines); repeated rows get theirs each; null ids are kept; an empty table gives an
 empty result; other columns are ignored. Whole texts are scanned, a line of any length as one paragraph.
 """
 
@@ -183,11 +184,34 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
         m = Model.__new__(Model)
         m.__dict__ = shared.value
         get, floor = m.top.get, m.floor()
+        known = {g for ts in TEMPLATES.values() for t in ts for tw in [words(t)] for g in zip(tw, tw[1:], tw[2:])}
+
+        def wrapped(block: list[list[str]], sure: set[str]):
+            """(family, probability, similarity) that lines confirm together, from their first known 3-gram to their last."""
+            w = [x for line in block for x in line]
+            if not known.intersection(zip(w, w[1:], w[2:])):
+                return None
+            at = [i for i, g in enumerate(zip(w, w[1:], w[2:])) if g in known]
+            w = w[at[0] : at[-1] + 3]
+            if not any(f not in sure and similarity(w, f) >= confirm for f in TEMPLATES):
+                return None
+            p = m.probabilities(w)
+            best = int(p[:-1].argmax())
+            family, like = m.families[best], similarity(w, m.families[best])
+            return (family, float(p[best]), like) if p[-1] < 0.5 and p[best] >= m.limit and like >= confirm and family not in sure else None
+
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
-                for k, line in enumerate(text.split("\n") if text else ()):
+                block, sure = [], set()
+                for k, line in enumerate([*text.split("\n"), ""] if text else ()):
                     w = words(line)
+                    if line.strip():
+                        block.append(w)
+                    else:
+                        if len(block) > 1 and (grant := wrapped(block, sure)):
+                            out.append((doc_id, k - len(block), *grant, True))
+                        block, sure = [], set()
                     if not w or sum([get(x, 0.0) for x in w]) < floor:
                         continue
                     p = m.probabilities(w)
@@ -197,6 +221,8 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
                     family = m.families[best] if p[best] >= m.limit else UNKNOWN
                     like = similarity(w, m.families[best])
                     out.append((doc_id, k, family, float(p[best]), like, family != UNKNOWN and like >= confirm))
+                    if out[-1][-1]:
+                        sure.add(family)
             yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)

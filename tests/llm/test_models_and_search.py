@@ -199,6 +199,23 @@ def test_licence_paragraphs(spark):
     assert licences.scan(df.limit(0), model).count() == 0 and licences.fit(df.limit(0)).top
 
 
+def test_wrapped_licences_are_confirmed(spark):
+    import textwrap
+
+    prose = "The river rose in spring and the field was wet.\nNo one went there."
+    docs, want = [], set()
+    for k, (family, ts) in enumerate(licences.TEMPLATES.items()):
+        for j, t in enumerate(ts):
+            if len(licences.words(t)) > 24:
+                docs.append((10 * k + j, f"{prose}\n\n{textwrap.fill(t, 72, initial_indent=' * ', subsequent_indent=' * ')}\n\n{prose}", "en", "s", 0.0))
+                docs.append((5000 + 10 * k + j, f"{prose}\n{textwrap.fill(t, 72)}\n{prose}", "en", "s", 0.0))
+                want |= {(10 * k + j, family), (5000 + 10 * k + j, family)}
+    docs += [(9000 + i, f"{prose}\n\n{prose}", "en", "s", 0.0) for i in range(40)]
+    df = spark.createDataFrame(docs, DOC)
+    got = {(r["doc_id"], r["family"]) for r in licences.scan(df, licences.fit(df)).collect() if r["confirmed"]}
+    assert len(want) > 15 and want <= got and all(d < 9000 for d, _ in got)
+
+
 # ---- toxicity
 
 
