@@ -57,13 +57,14 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
 class Index:
     """Postings of one shard. items: (item_id, text); df, n, mean: statistics of all items."""
 
-    def __init__(self, items, df: dict[str, int], n: int, mean: float, retrieve: float, gram: int, block: int = 16):
+    def __init__(self, items, df: dict[str, int], n: int, mean: float, retrieve: float, gram: int, block: int = 16, longest: int | None = None):
         self.gram, self.block = gram, block
         kept = [(i, *split_item(t)) for i, t in items if words(t)]
         kept.sort(key=lambda x: (len(x[1]) + len(x[2]), str(x[0])))  # like lengths together: tighter blocks
         self.ids = [x[0] for x in kept]
         self.parts = [(set(grams(q, gram)), set(grams(a, gram))) for _, q, a in kept]
-        self.longest = max((len(q) + len(a) for _, q, a in kept), default=1)
+        # Passages follow the longest item of the whole benchmark, of which these may be a shard.
+        self.longest = longest or max((len(q) + len(a) for _, q, a in kept), default=1)
         self.vocabulary: dict[str, int] = {}
         self.terms, self.weights, self.limits, spare, postings = [], [], [], [], defaultdict(dict)
         for k, (_, q, a) in enumerate(kept):
@@ -169,7 +170,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
             yield pd.DataFrame({"term": [r[1] for r in rows], "n": 1, "length": 0})
             yield pd.DataFrame({"term": "", "n": [int(x > 0) for x in lengths], "length": lengths})
 
-    counted = stored(bench.mapInPandas(terms, "term string, n long, length long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length")), "bench-terms")
+    counted = stored(bench.mapInPandas(terms, "term string, n long, length long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length"), F.max("length").alias("longest")), "bench-terms")
     whole = counted.where("term = ''").first()
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -180,7 +181,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
         rows = [(r["item_id"], r["text"]) for r in part.collect()]  # about shard_bytes
         own = part.mapInPandas(terms, "term string, n long, length long").select("term").distinct()
         df = {r["term"]: r["n"] for r in counted.join(own, "term", "left_semi").collect()}
-        one = _search(text, Index(rows, df, whole["n"] if whole else 0, (whole["length"] / max(1, whole["n"])) if whole else 1.0, retrieve, gram), verify)
+        one = _search(text, Index(rows, df, whole["n"] if whole else 0, (whole["length"] / max(1, whole["n"])) if whole else 1.0, retrieve, gram, longest=whole["longest"] if whole else None), verify)
         found = one if found is None else found.unionAll(one)
     return found
 

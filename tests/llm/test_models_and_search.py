@@ -170,6 +170,19 @@ def test_pruning_keeps_all_above_the_threshold():
     assert found == want and want
 
 
+def test_passages_do_not_depend_on_shards(spark):
+    """A short item whose halves lie further apart than twice its own length, within a passage of the longest item."""
+    half = [" ".join(f"h{k}w{i}" for i in range(10)) for k in range(2)]
+    items = [(1, " ".join(half))] + [(2 + j, " ".join(f"l{j}w{i}" for i in range(200 - j))) for j in range(6)]
+    filler = " ".join(f"f{i}" for i in range(50))
+    d = spark.createDataFrame([(1, f"{half[0]} {filler} {half[1]}")], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    one = decontaminate.leaks(d, b).collect()
+    assert [r["item_id"] for r in one] == [1]
+    for size in (1000, 300):
+        assert decontaminate.leaks(d, b, shard_bytes=size).collect() == one
+
+
 # ---- licences
 
 
