@@ -36,6 +36,8 @@ SAMPLE, BINS = 64, 128
 LEAF, PIVOTS, SPLIT, LEVELS, BLOCK = 1000, 4, 5, 6, 512
 #: Signatures differ from the true similarity by about 0.035, for similarities as below; five times that is left open.
 FLOOR, LINK, LEAVE = 0.6, 0.3, 0.7
+#: The threshold and recall that these and SPLIT were set for.
+LEAST, MOST = 0.8, 1 - 1e-7
 SKETCH = "doc_id long, cls long, n int, sample array<long>, sig binary"
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -320,7 +322,11 @@ def _verify(threshold: float, words: int):
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 1 - 1e-7) -> DataFrame:
     """A row for each document: doc_id, class_id (smallest id of its group of linked documents), n_links (documents of
-    similarity `threshold` or more, copies included), copies (documents with the same set), n_shingles."""
+    similarity `threshold` or more, copies included), copies (documents with the same set), n_shingles.
+
+    Thresholds below LEAST and recalls above MOST are an error: the floors and splits would lose true pairs."""
+    if threshold < LEAST or recall > MOST:
+        raise ValueError(f"floors and splits are set for thresholds of {LEAST} or more and recalls of {MOST} or less")
     roots = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold))) if threshold < 1 else 1
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = stored(sketches(text, words), "jaccard-sketch")

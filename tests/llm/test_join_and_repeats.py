@@ -30,6 +30,12 @@ def corpus():
     return rows + [(900, None, None, None), (901, "", "", 0), (902, " \n ", "", 0), (None, "only here once " * 3, "q", 2), (3, rows[3][1], "again", 5)]
 
 
+@pytest.mark.parametrize("options", [{"threshold": 0.5}, {"threshold": 0.79}, {"recall": 1 - 1e-9}])
+def test_thresholds_that_floors_are_not_set_for_are_refused(spark, options):
+    with pytest.raises(ValueError, match="floors"):
+        jaccard.groups(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), **options)
+
+
 def brute_groups(rows, t=0.8):
     sets = []
     for _, text, *_ in rows:
