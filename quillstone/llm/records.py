@@ -65,7 +65,7 @@ def write_records(docs: DataFrame, directory: str, *, id_col: str = "doc_id", te
     def write(batches):
         encoder, pid, seq, data, offsets, n_ids, done = shared_encoder(path, dtype), TaskContext.get().partitionId(), 0, None, [], 0, []
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 if data is None:
                     data, offsets, n_ids = BinaryFile(directory, ".rec"), [], 0
                     data.write(MAGIC + struct.pack("<H6x", width))

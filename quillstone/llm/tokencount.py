@@ -53,7 +53,7 @@ def write_flat(docs: DataFrame, directory: str, *, id_col: str = "doc_id", text_
 
         for batch in batches:
             parts, at = [held], len(held)
-            for doc_id, codes in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, codes in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 parts += [codes, tail]
                 at += len(codes) + width
                 seps = 1 + int(np.count_nonzero(np.frombuffer(codes, dtype) == end_id))
