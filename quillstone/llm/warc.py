@@ -1,7 +1,8 @@
 """WARC archives written from pages and read back by verified boundary chains.
 
 Writing: equal payloads of at least `revisit_from` bytes are stored once, with the largest page id; the others become
-revisit records that refer to it. Payload digests are computed by Spark before anything is written.
+revisit records that refer to it. Payload digests are computed by Spark before anything is written, and only pages
+whose digest may be a repeated one are shuffled.
 
 Reading: a file is read in blocks by independent tasks. Each task lists every offset in its block that looks like a
 record (the version line after a blank line, and a header that parses), with the offset its length leads to. Within a
@@ -38,6 +39,9 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 HEADER_BYTES = 1 << 14
 BLANK = b"\r\n\r\n"
 MANIFEST = "file string, n_records long, n_bytes long"
+#: Of the first writer: a row for each file, or a page that is handed on. Probes of the filter: 32-bit parts of a digest.
+HANDED = pa.schema([("file", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("digest", pa.string()), ("n", pa.int64())])
+PROBES = 3
 FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _CANDIDATE = re.compile(rb"WARC/1\.[01]\r\n")
 
@@ -46,8 +50,8 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
-def pack(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
-    """One record with its closing blank lines. digest: lower-case hex SHA-1 of the payload."""
+def pack(page_id, url, payload: bytes | None, digest: str, refers_to, n: int | None = None) -> bytes:
+    """One record with its closing blank lines. digest: lower-case hex SHA-1 of the payload, n: its bytes where it is not at hand."""
     block = HTTP if refers_to is not None else HTTP + payload
     head = [
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
@@ -56,7 +60,7 @@ def pack(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
         f"WARC-Target-URI: {re.sub(r'\s', '%20', url or '')}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         f"X-Page-Id: {'' if page_id is None else page_id}",
-        f"X-Payload-Bytes: {len(payload)}",
+        f"X-Payload-Bytes: {len(payload) if n is None else n}",
     ]
     if refers_to is not None:
         head += [f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}", f"WARC-Profile: {PROFILE}"]
@@ -95,34 +99,91 @@ def parse(data: bytes, at: int, read=None) -> tuple[dict[str, str], int, int] |
         return None
 
 
+def sieve(digests: DataFrame, most_bits: int = 1 << 26) -> np.ndarray:
+    """Bits of a Bloom filter of hex digests, at most `most_bits` of them (8 MB): what it does not hold is not among them."""
+    bits = min(most_bits, max(1 << 10, 1 << (16 * digests.count()).bit_length()))
+    place = F.explode(F.array(*(F.conv(F.substring("digest", 1 + 8 * i, 8), 16, 10).cast("long") for i in range(PROBES))))
+    words = digests.select(place.alias("at")).select((F.col("at") % bits).alias("at")).select(F.shiftright("at", 5).alias("word"), F.expr("shiftleft(1L, cast(at % 32 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # a row for each of at most most_bits / 32 words
+    out = np.zeros(bits // 32, dtype=np.uint32)
+    out[found["word"].to_numpy()] = found["bit"].to_numpy().astype(np.uint32)
+    return out
+
+
+def in_sieve(bits: np.ndarray, digest: str) -> bool:
+    places = (int(digest[8 * i : 8 * i + 8], 16) % (32 * len(bits)) for i in range(PROBES))
+    return all(bits[p >> 5] >> np.uint32(p & 31) & np.uint32(1) for p in places)
+
+
+class Archives:
+    """The archives of one task, each closed at `file_bytes`; `done` has a row of the manifest for each."""
+
+    def __init__(self, directory: str, file_bytes: int):
+        self.directory, self.most, self.out, self.n, self.done = directory, file_bytes, None, 0, []
+
+    def add(self, record: bytes) -> None:
+        self.out, self.n = self.out or BinaryFile(self.directory, ".warc"), self.n + 1
+        self.out.write(record)
+        if self.out.at >= self.most:
+            self.close()
+
+    def close(self) -> None:
+        if self.out:
+            self.out.close()
+            self.done.append((self.out.name, self.n, self.out.at))
+            self.out, self.n = None, 0
+
+
 def write_archives(pages: DataFrame, directory: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = 1000, file_bytes: int = 32 << 20) -> DataFrame:
     """Writes the archives; returns the stored manifest, a row for each file.
 
-    Digests of equal payloads meet in one aggregate of (digest, largest id), which is combined before its shuffle; only
-    digests that occur more than once join back, so pages are not shuffled for the sake of the rest.
+    Digests of equal payloads meet in one aggregate of (digest, largest id), which is combined before its shuffle. Those
+    that occur more than once go to all tasks as a Bloom filter of bounded size. A page whose digest it does not hold is
+    written where it is read; the others are handed on and joined with their digest's largest id. Of equal payloads in a
+    batch only that of the largest id is handed on with its bytes, as the others can only be revisits.
     """
     rows = text_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("n", F.length("payload"))
-    many = rows.where(F.col("n") >= revisit_from).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("digest").alias("digest_of"), "first")
-    rows = rows.join(many, F.col("digest") == F.col("digest_of"), "left").select("page_id", "url", "payload", "digest", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
-
-    def write(batches):
-        out, n, done = None, 0, []
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("n", F.length("payload").cast("long"))
+    many = rows.where(F.col("n") >= revisit_from).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("digest", "first")
+    many = stored(many, "warc-repeated")
+    bits = many.sparkSession.sparkContext.broadcast(sieve(many))
+    names = [f.name for f in HANDED]
+
+    def alone(batches):
+        held, files = bits.value, Archives(directory, file_bytes)
+        for batch in batches:
+            on = []
+            for page_id, url, payload, digest, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n >= revisit_from and in_sieve(held, digest):
+                    on.append([None, None, None, page_id, url, payload, digest, n])
+                else:
+                    files.add(pack(page_id, url, payload, digest, None))
+            top: dict = {}
+            for row in on:
+                if row[3] is not None:
+                    top[row[6]] = max(row[3], top.get(row[6], row[3]))
+            for row in on:
+                if row[6] in top and row[3] != top[row[6]]:
+                    row[5] = None
+            if on:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*on, strict=True), HANDED, strict=True)], names=names)
+        files.close()
+        if files.done:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, d, strict=False)) for d in files.done], schema=HANDED)
+
+    def repeated(batches):
+        files = Archives(directory, file_bytes)
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out, n = out or BinaryFile(directory, ".warc"), n + 1
-                out.write(pack(*row))
-                if out.at >= file_bytes:
-                    out.close()
-                    done.append((out.name, n, out.at))
-                    out, n = None, 0
-        if out:
-            out.close()
-            done.append((out.name, n, out.at))
-        if done:
-            yield pa.RecordBatch.from_pylist([dict(zip(("file", "n_records", "n_bytes"), d, strict=True)) for d in done], schema=pa.schema([("file", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
-
-    return stored(rows.mapInArrow(write, MANIFEST), "warc-manifest")
+            for page_id, url, payload, digest, n, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                files.add(pack(page_id, url, payload, digest, refers_to, n))
+        files.close()
+        if files.done:
+            yield pa.RecordBatch.from_pylist([dict(zip(names[:3], d, strict=True)) for d in files.done], schema=pa.schema(list(HANDED)[:3]))
+
+    first = stored(rows.mapInArrow(alone, MANIFEST + ", page_id long, url string, payload binary, digest string, n long"), "warc-first")
+    on = first.where("file is null").select("page_id", "url", "payload", "digest", "n").join(many.withColumnRenamed("digest", "digest_of"), F.col("digest") == F.col("digest_of"), "left")
+    on = on.select("page_id", "url", "payload", "digest", "n", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    return first.where("file is not null").select("file", "n_records", "n_bytes").unionAll(stored(on.mapInArrow(repeated, MANIFEST), "warc-manifest"))
 
 
 def jump(nexts: np.ndarray) -> np.ndarray:

@@ -161,6 +161,36 @@ def test_warc_ids_of_all_longs(spark):
         assert warc.describe(0, 1, {"x-page-id": x}, b"")["page_id"] == n
 
 
+def test_warc_repeats_of_all_kinds(spark):
+    """Null ids among repeats, repeated rows, one payload of most rows, over several tasks; a filter that lets everything through changes nothing."""
+    rows = [(None if i % 7 == 0 else i, f"u{i}", ("same " * 300, "other " * 250, f"own {i} " * 200, "none " * 240)[i % 4]) for i in range(80)] + [(76, "u76", "same " * 300)] * 3
+    rows += [(None, "u", "null only " * 200)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    first: dict = {}
+    for p, _, h in rows:
+        if p is not None:
+            first[h] = max(p, first.get(h, p))
+    times = {h: sum(x[2] == h for x in rows) for _, _, h in rows}
+    want = []
+    for p, _, h in rows:
+        again = times[h] > 1 and h in first and p != first[h]
+        want.append((p, len(h), hashlib.sha1(h.encode()).hexdigest(), "revisit" if again else "response", first[h] if again else None))
+    for held in (warc.in_sieve, lambda bits, digest: True):
+        kept, warc.in_sieve = warc.in_sieve, held
+        try:
+            got = warc.round_trip(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+        finally:
+            warc.in_sieve = kept
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_sieve_holds_all_digests(spark):
+    digests = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(4000)]
+    bits = warc.sieve(spark.createDataFrame([(d,) for d in digests[:1000]], "digest string"))
+    assert all(warc.in_sieve(bits, d) for d in digests[:1000]) and sum(warc.in_sieve(bits, d) for d in digests[1000:]) < 150
+    assert not warc.in_sieve(warc.sieve(spark.createDataFrame([], "digest string")), digests[0])
+
+
 def test_warc_lost_records_are_an_error(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * 40) for i in range(30)], "page_id long, url string, html string").coalesce(1)
     where = scratch(spark, "t")
