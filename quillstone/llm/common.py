@@ -9,23 +9,30 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Words as several contracts define them: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none (tests)."""
+    """The folder that driver and executors share; one is made only where the session names none and all of it runs in one process (tests)."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='quillstone-')}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='quillstone-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -122,6 +129,25 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def by_text(df: DataFrame, work: Callable[[], Callable[[list[str | None]], Iterable[tuple]]], schema: str) -> DataFrame:
+    """The texts of df (its last column) through work, in batches; the other columns are carried along as they are.
+
+    work() is called once a task and returns what takes the texts of a batch and yields (places, *columns): for each row
+    made, the place of its text in the batch and its values. Carried columns never pass through pandas, where a null
+    turns longs into doubles. schema: of the result, carried columns first."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        call = work()
+        for batch in batches:
+            for places, *columns in call(batch.column(batch.num_columns - 1).to_pylist()):
+                at = pa.array(places, pa.int64())
+                carried = [batch.column(i).take(at) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip([*carried, *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(carried) :], strict=True))], arrow, strict=True)], schema=arrow)
+
+    return text_batches(df).mapInArrow(run, schema)
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns: columns of the caller with clashing names never meet an operator's own."""
     return df.select(*(F.col(f"`{c}`") for c in columns))
@@ -156,21 +182,24 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node -> smallest node of its component, by alternating large-star and small-star steps.
 
     edges: columns a, b of longs; loops and repeats are harmless. Each round is written to the shared folder, so the
-    plan stays short and a lost executor repeats one round at most. Nodes without an edge do not appear.
+    plan stays short and a lost executor repeats one round at most; so are the smallest neighbours, which makes both sides
+    of their joins plain shuffles that Spark can split where a node has very many neighbours. Nodes without an edge do
+    not appear. Edges that still change after `rounds` rounds are an error.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before = stored(e, "components"), None
     for _ in range(rounds):
         # large star: each node's larger neighbours go to the smallest of its neighbourhood
         sym = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = sym.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = stored(sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-low")
+        large = sym.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = stored(large.distinct(), "components")
         # small star: a node and its smaller neighbours go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "components-low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         e = stored(small, "components")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
-            break
+            return e.unionAll(e.select(F.col("v").alias("u"), "v")).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         before = now
-    return e.unionAll(e.select(F.col("v").alias("u"), "v")).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    raise RuntimeError(f"components of the graph are not final after {rounds} rounds")

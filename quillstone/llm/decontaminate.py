@@ -9,8 +9,8 @@ the score that the item's own words would give it. All such items are found, wit
 - postings are grouped in blocks of items with the largest weight of each word in the block; a block is passed over
   where the sum of these, with all that words which are not essential could add, stays below 1;
 - so is an item of the blocks left, by its own weights; what is still left is scored in full.
-What is retrieved is verified: the share of the item's word n-grams that the passage holds, for its question (first
-line) and its answer (the other lines) apart and together.
+What is retrieved is verified: the passage must hold the share `verify` of the word n-grams of the item's question (first
+line) and of its answer (the other lines), of each by itself; a part without words is not asked for.
 
 The index is built from all items in shards of a bounded number of bytes, with document frequencies over all items, and
 each shard is broadcast by itself; so the result does not depend on the number of shards.
@@ -25,18 +25,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_batches
+from .common import by_text, stored, text_batches
 
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
-SPARE = 0.25
+SPARE, VERIFY = 0.25, 0.6
 #: Words of documents that are looked up together.
 CHUNK = 200_000
 
@@ -139,8 +140,10 @@ class Index:
                     continue
                 held = held or set(grams(docs[d][a : a + 2 * step], self.gram)) | {g for m in range(1, self.gram) for g in grams(docs[d][a : a + 2 * step], m)}
                 q, an = (len(x & held) / len(x) if x else None for x in self.parts[k])
+                if any(x is not None and x < verify for x in (q, an)):
+                    continue
                 both = sum(len(x & held) for x in self.parts[k]) / sum(map(len, self.parts[k]))
-                if both >= verify and (d, k) not in best or (d, k) in best and (both, score) > (best[d, k][3], best[d, k][0]):
+                if (d, k) not in best or (both, score) > (best[d, k][3], best[d, k][0]):
                     best[d, k] = (score, q, an, both)
         return [(d, self.ids[k], *x) for (d, k), x in best.items()]
 
@@ -159,49 +162,80 @@ def _runs(keys: np.ndarray, values: np.ndarray):
             yield int(keys[i]), values[i:j].tolist()
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", retrieve: float = 0.4, verify: float = 0.6, gram: int = 5, shard_bytes: int = 16 << 20) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", verify: float = VERIFY, **options) -> DataFrame:
     """A row for each document and item that it holds: the best passage's BM25 score and overlaps of question, answer and both."""
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = [_search(text, index, verify) for index in _indexes(items, **options)]
+    return reduce(DataFrame.unionAll, found)
+
+
+def _indexes(items: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", retrieve: float = 0.4, gram: int = 5, shard_bytes: int = 16 << 20):
+    """An index for each shard of the items, with the statistics of all of them."""
     bench = stored(items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null"), "bench-items")
 
     def terms(batches):
         for pdf in batches:
-            rows = [(i, w, len(ws)) for i, t in enumerate(pdf["text"]) for ws in [words(t)] for w in set(ws)]
+            rows = [(w, len(ws)) for t in pdf["text"] for ws in [words(t)] for w in set(ws)]
             lengths = [len(words(t)) for t in pdf["text"]]
-            yield pd.DataFrame({"term": [r[1] for r in rows], "n": 1, "length": 0})
+            yield pd.DataFrame({"term": [r[0] for r in rows], "n": 1, "length": 0})
             yield pd.DataFrame({"term": "", "n": [int(x > 0) for x in lengths], "length": lengths})
 
-    counted = stored(bench.mapInPandas(terms, "term string, n long, length long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length"), F.max("length").alias("longest")), "bench-terms")
+    counts = lambda df: df.select("text").mapInPandas(terms, "term string, n long, length long")
+    counted = stored(counts(bench).groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length"), F.max("length").alias("longest")), "bench-terms")
     whole = counted.where("term = ''").first()
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shards = max(1, -(-size // shard_bytes))
-    found = None
     for k in range(shards):
         part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         rows = [(r["item_id"], r["text"]) for r in part.collect()]  # about shard_bytes
-        own = part.mapInPandas(terms, "term string, n long, length long").select("term").distinct()
-        df = {r["term"]: r["n"] for r in counted.join(own, "term", "left_semi").collect()}
-        one = _search(text, Index(rows, df, whole["n"] if whole else 0, (whole["length"] / max(1, whole["n"])) if whole else 1.0, retrieve, gram, longest=whole["longest"] if whole else None), verify)
-        found = one if found is None else found.unionAll(one)
-    return found
+        df = {r["term"]: r["n"] for r in counted.join(counts(part).select("term").distinct(), "term", "left_semi").collect()}
+        yield Index(rows, df, whole["n"] if whole else 0, (whole["length"] / max(1, whole["n"])) if whole else 1.0, retrieve, gram, longest=whole["longest"] if whole else None)
+
+
+def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The documents that hold no item, with the columns that they had. Each is judged by its own text where it lies, so null or repeated ids and clashing columns do not matter, and nothing is shuffled."""
+    verify = options.pop("verify", VERIFY)
+    for index in _indexes(items, **options):
+        docs = text_batches(docs).where(~_holds(docs, index, verify)(F.col(f"`{text_col}`")))
+    return docs
+
+
+def _of(shared) -> Index:
+    index = Index.__new__(Index)
+    index.__dict__ = shared.value
+    return index
+
+
+def _found(index: Index, texts: list[str | None], verify: float) -> list[tuple]:
+    """What index.search finds in all texts, looked up CHUNK words at a time, with the place of the text first."""
+    part, base, size, out = [], 0, 0, []
+    for t in texts:
+        w = words(t)
+        part.append(w)
+        size += len(w)
+        if size >= CHUNK:
+            out += [(base + d, *x) for d, *x in index.search(part, verify)]
+            part, base, size = [], base + len(part), 0
+    return out + [(base + d, *x) for d, *x in index.search(part, verify)]
 
 
 def _search(text: DataFrame, index: Index, verify: float) -> DataFrame:
     shared = text.sparkSession.sparkContext.broadcast(index.__dict__)
 
-    def search(batches):
-        index = Index.__new__(Index)
-        index.__dict__ = shared.value
-        for pdf in batches:
-            part, ids, size, out = [], [], 0, []
-            for doc_id, t in [*zip(pdf["doc_id"], pdf["text"], strict=True), (None, None)]:
-                w = words(t)
-                part.append(w), ids.append(doc_id)
-                size += len(w)
-                if size >= CHUNK:
-                    out += [(ids[d], *x) for d, *x in index.search(part, verify)]
-                    part, ids, size = [], [], 0
-            out += [(ids[d], *x) for d, *x in index.search(part, verify)]
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"question_overlap": "float64", "answer_overlap": "float64"})
-
-    return text_batches(text).mapInPandas(search, SCHEMA)
+    def work():
+        one = _of(shared)
+        return lambda texts: [tuple(zip(*out, strict=True))] if (out := _found(one, texts, verify)) else []
+
+    return by_text(text, work, SCHEMA)
+
+
+def _holds(docs: DataFrame, index: Index, verify: float):
+    shared = docs.sparkSession.sparkContext.broadcast(index.__dict__)
+
+    @F.pandas_udf("boolean")
+    def holds(text: pd.Series) -> pd.Series:
+        out = np.zeros(len(text), dtype=bool)
+        out[[x[0] for x in _found(_of(shared), text.tolist(), verify)]] = True
+        return pd.Series(out)
+
+    return holds

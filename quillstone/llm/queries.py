@@ -148,7 +148,7 @@ ORACLES["op9_decontaminate"] = rf"""
              h AS (SELECT doc_id, j, item_id, score, ' ' || array_to_string(p, ' ') || ' ' AS p, gq, ga FROM sc JOIN lim USING (item_id) JOIN pa USING (doc_id, j) JOIN it USING (item_id) WHERE score >= least),
              o AS (SELECT doc_id, j, item_id, score, {_HELD.format('gq')} / nullif(len(gq), 0) AS question_overlap, {_HELD.format('ga')} / nullif(len(ga), 0) AS answer_overlap, ({_HELD.format('gq')} + {_HELD.format('ga')}) / (len(gq) + len(ga)) AS overlap FROM h)
         SELECT doc_id, item_id, round(score, 6) AS score, round(question_overlap, 6) AS question_overlap, round(answer_overlap, 6) AS answer_overlap, round(overlap, 6) AS overlap
-        FROM o WHERE overlap >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overlap DESC, score DESC, j) = 1"""
+        FROM o WHERE coalesce(question_overlap, 1) >= 0.6 AND coalesce(answer_overlap, 1) >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overlap DESC, score DESC, j) = 1"""
 
 ORACLES["op7_suffix_repeats"] = """
         WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),

@@ -6,9 +6,9 @@ pooled to its maximum, and a logistic layer scores the pooled values. For scorin
 multiplied with all filters once; positions then only add up rows of that product.
 
 Fitting reads labelled rows whose crc32 of the id is not a multiple of `folds`: at most `sample` of each class, the
-first by a hash of the id, collected as hashed words (bounded, a parameter). A fifth of them is kept out of the training
+first by a hash of the id, collected to the driver (bounded in rows and in characters, parameters). A fifth of them is kept out of the training
 to calibrate: a logistic map of the scores, weighted to the class shares of all labels, makes 0.5 the even odds, and a
-threshold is set for each language with enough rows (for flagged(); languages, labels, sources and ids are never inputs
+threshold is set for each language with enough rows (for clean(); languages, labels, sources and ids are never inputs
 of a score). Scoring covers every whole text.
 
 Rows: a null or empty text has no words and gets the score of none; a null id is never held out nor learned from; of
@@ -24,10 +24,10 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, text_batches, uniform
+from .common import by_text, release, stored, text_batches, uniform
 
 WORDS, PREFIXES, DIM, WIDTHS, FILTERS = 1 << 17, 1 << 15, 16, (1, 2, 3), 8
 PREFIX = (3, 5, 7)
@@ -204,8 +204,12 @@ def held_out(doc_id, folds: int = 5):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", folds: int = 5, sample: int = 3000, seed: int = 11) -> Net:
-    """Learns from at most `sample` labelled documents of each class, outside the fold that is held out."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", folds: int = 5, sample: int = 3000, longest: int = 200_000, most_chars: int = 48_000_000, seed: int = 11) -> Net:
+    """Learns from at most `sample` labelled documents of each class, outside the fold that is held out.
+
+    The sample is bounded in characters too: texts of over `longest` are not learned from, and of the others the first
+    (by a hash of the id) that have `most_chars` together. An id with several rows is learned from once, by the smallest
+    of its texts."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(~held_out(F.col("doc_id"), folds)).groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("u", uniform(F.col("doc_id"), seed))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -215,8 +219,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return net
     picked = [known.where(F.col("y") == c).orderBy("u", "doc_id").limit(sample) for c in (0, 1)]
     picked = picked[0].unionAll(picked[1])  # a bounded number of rows, so that this side can be broadcast
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = text.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "lang", "y", "u").toPandas().sort_values(["u", "doc_id", "text"]).drop_duplicates("doc_id")
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.coalesce(F.length(F.col(text_col)), F.lit(0)) <= longest)
+    rows = text.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y", "u").agg(F.min(F.struct("text", "lang")).alias("d")).select("doc_id", "y", "u", "d.*")
+    rows = stored(rows.withColumn("chars", F.coalesce(F.length("text"), F.lit(0))), "toxic-sample")  # at most 2 * sample rows
+    sizes = rows.select("u", "doc_id", "chars").orderBy("u", "doc_id").toPandas()
+    last = sizes["u"][sizes["chars"].cumsum() <= most_chars].max()
+    rows = rows.where(F.col("u") <= F.lit(float(last))).orderBy("u", "doc_id").toPandas()
     y, texts, langs = rows["y"].to_numpy(), rows["text"].tolist(), rows["lang"].tolist()
     if len(set(y.tolist())) < 2:
         net.prior = float(y.mean()) if len(y) else 0.0
@@ -238,25 +246,27 @@ def score(docs: DataFrame, net: Net, *, id_col: str = "doc_id", text_col: str =
     """doc_id, held_out, score, predicted: a row for each document, from its whole text."""
     model = docs.sparkSession.sparkContext.broadcast(net.__dict__)
 
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": in_chunks(Net.of(model.value), pdf["text"].tolist())})
+    def work():
+        return lambda texts: [(range(len(texts)), in_chunks(Net.of(model.value), texts))]
 
-    text = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = text.mapInPandas(run, "doc_id long, score double")
+    out = by_text(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-def flagged(docs: DataFrame, net: Net, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents with a column `toxic_flag`: the score is at or above the threshold of the document's language."""
+def is_toxic(docs: DataFrame, net: Net, *, text_col: str = "text", lang_col: str = "lang") -> Column:
+    """Whether a document's score is at or above the threshold of its language; a condition, so no column of docs can clash."""
     model = docs.sparkSession.sparkContext.broadcast(net.__dict__)
-    limits = net.thresholds
 
     @F.pandas_udf("double")
     def scored(text: pd.Series) -> pd.Series:
         return pd.Series(in_chunks(Net.of(model.value), text.tolist()))
 
-    limit = F.lit(limits.get("", 0.5))
-    for name, cut in sorted(limits.items()):
+    limit = F.lit(net.thresholds.get("", 0.5))
+    for name, cut in sorted(net.thresholds.items()):
         limit = F.when(F.col(f"`{lang_col}`") == name, cut).otherwise(limit) if name else limit
-    return text_batches(docs).withColumn("toxic_flag", scored(F.col(f"`{text_col}`")) >= limit)
+    return scored(F.col(f"`{text_col}`")) >= limit
+
+
+def clean(docs: DataFrame, net: Net, **columns) -> DataFrame:
+    """The documents below their language's threshold, with the columns that they had."""
+    return text_batches(docs).where(~is_toxic(docs, net, **columns))

@@ -34,8 +34,8 @@ def test_stages_and_columns(stages):
 
 def test_toxic_documents_go(spark, sf, stages):
     before, after = stages[0][1], stages[1][1]
-    flags = toxicity.flagged(before, toxicity.fit(before, table(spark, sf, "labels")))
-    assert ids(before) - ids(after) == ids(flags.where("toxic_flag")) and ids(after)
+    net = toxicity.fit(before, table(spark, sf, "labels"))
+    assert ids(before) - ids(after) == ids(before.where(toxicity.is_toxic(before, net))) and ids(after)
 
 
 def test_one_of_each_group_stays(stages):
