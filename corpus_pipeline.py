@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillstone.llm import decontaminate, jaccard, mixing, records, toxicity
 from quillstone.llm.common import release, stored, table
@@ -18,7 +17,7 @@ from quillstone.llm.common import release, stored, table
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents at or above their language's toxicity threshold go. The classifier learns from the labels of these documents."""
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.flagged(docs, net).where("not toxic_flag").select(*docs.columns)
+    return toxicity.clean(docs, net)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    held = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(held, docs["doc_id"] == held["__held"], "left_anti")
+    """Documents that hold a benchmark item go, whatever their id."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
