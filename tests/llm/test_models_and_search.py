@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import defaultdict
@@ -55,6 +56,21 @@ def test_repeated_rows_keep_all_neighbours(spark):
         assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == want
 
 
+@pytest.mark.parametrize("scales", [(1e160,), (1e-170,), (1e300, 1.0), (1e160, 1e-160, 1.0), (5e-324,), (1e-308, 1e307)])
+def test_magnitudes_lose_no_neighbours(spark, scales):
+    """Finite vectors whose squares overflow or vanish, alone and beside others."""
+    rng = np.random.default_rng(8)
+    rows = [(100 * i if i < 5 else 100 * i + 1, (rng.integers(1, 9, 4) * scales[i % len(scales)]).tolist()) for i in range(24)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, candidate_block=4, query_block=2).collect()
+    dist = lambda x, y: math.dist(x, y)  # noqa: E731  scales by the largest difference itself
+    want = []
+    for q, x in rows[:5]:
+        want += [(q, r + 1, s) for r, s in enumerate(sorted(dist(x, y) for i, y in rows if i != q)[:3])]
+    found = sorted((r["query_id"], r["rank"], r["score"]) for r in got)
+    assert [f[:2] for f in found] == [w[:2] for w in want]
+    assert all(f[2] == w[2] or abs(f[2] / w[2] - 1) < 1e-9 for f, w in zip(found, want, strict=True))
+
+
 def test_tile_bounds_hold():
     import pandas as pd
 
