@@ -4,20 +4,23 @@ A document is the set of its runs of `words` words (lower case, split at white s
 copies cost one set. Each class keeps a sample, the smallest hashes of its set, and a signature.
 
 Paths. A class goes to the buckets of the first `roots` tokens of its sample. Any pair of similarity s shares the first
-of the union's tokens with probability s, the next one again, and so on: it misses all buckets with (1 - s)^roots, and
-`roots` is the number of such runs that reaches the target recall. A bucket of one is dropped, a small one is compared
+of the union's tokens with probability s, the next one again, and so on, and splits of a bucket part it with at most
+PARTED: it misses all buckets with (1 - s (1 - PARTED))^roots, and `roots` is the number of such runs that reaches the
+target recall. A bucket of one is dropped, a small one is compared
 pair by pair. A large one is split again: classes near to a few pivots are linked to them and leave; for the rest,
 tokens are sampled anew, without those that over half of the bucket has, and lead to child buckets; a class many of whose
 tokens are in over half of the bucket goes to a bucket of what is left. What is
 still large at the last level is compared in blocks, so nothing is capped.
 
-Comparing signatures only groups classes that may be similar, in candidate components. Within a component (in tiles, if
-it is large) the whole sets are rebuilt from the whole texts and compared exactly. Links are counted in the tiles and
-never written as pairs; a tile gives each class its count and one edge to the smallest class it is connected to.
+Comparing signatures only groups classes that may be similar, in candidate components. Then sets are rebuilt from the
+whole texts, once a class, and compared exactly: a component within one tile, a larger one (in classes or in shingles)
+in tiles of two blocks, each of which gets the sets of those classes only whose signature is near one of the tile.
+Links are counted in the tiles and never written as pairs; a tile gives each class its count and one edge to the
+smallest class it is connected to. Classes go by 64 bits of a 128-bit hash, whose other half shows two sets of one name.
 
 Rows: a null text or one without words has no set, no link, and is its own group; a text of fewer than `words` words is
 one run of all its words; repeated rows are copies; null ids stay null and are never a group's name while it has another
-id; an empty table gives an empty result; other columns are ignored. Very long texts are sets like others.
+id; of rows with equal ids and other texts each is a document; an empty table gives an empty result; other columns are ignored. Very long texts are sets like others.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, partitions_for, stored, text_batches
+from .common import by_text, connected_components, partitions_for, stored
 
 SAMPLE, BINS = 64, 128
 LEAF, PIVOTS, SPLIT, LEVELS, BLOCK = 1000, 4, 5, 6, 512
@@ -38,7 +41,12 @@ LEAF, PIVOTS, SPLIT, LEVELS, BLOCK = 1000, 4, 5, 6, 512
 FLOOR, LINK, LEAVE = 0.6, 0.3, 0.7
 #: The threshold and recall that these and SPLIT were set for.
 LEAST, MOST = 0.8, 1 - 1e-7
-SKETCH = "doc_id long, cls long, n int, sample array<long>, sig binary"
+#: The share of similar pairs that the splits of one root's path may part (measured: below a twentieth a level).
+PARTED = 0.1
+SKETCH = "doc_id long, row long, cls long, alt long, n int, sample array<long>, sig binary"
+SETS = "cls long, comp long, blocks int, i int, weight long, n int, sig binary, tokens binary"
+#: Shingles of a tile's block, about: with BLOCK it bounds a task's memory.
+TOKENS = 1_500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,8 +83,12 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
-def class_of(tokens: np.ndarray) -> int | None:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64)) if len(tokens) else None
+def class_of(tokens: np.ndarray, seed: int = 0) -> tuple[int | None, int | None]:
+    """The two halves of a set's 128-bit hash, as longs: the class's name, and what tells sets of one name apart."""
+    if not len(tokens):
+        return None, None
+    h = xxhash.xxh3_128_intdigest(tokens.tobytes(), seed)
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (h & (1 << 64) - 1, h >> 64))
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -94,21 +106,32 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a > 0)).sum(axis=1) / np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1))
 
 
-def in_chunks(pdf: pd.DataFrame, size: int = 1_500_000):
-    """Rows whose texts are about `size` characters together, one row at least."""
-    ends = pdf["text"].map(lambda t: len(t) if t else 0).cumsum().to_numpy() // size
-    for part in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(ends)) + 1):
-        yield pdf.iloc[part]
+def in_chunks(texts: list[str | None], size: int = 1_500_000):
+    """(place of the first, texts) of about `size` characters together, one text at least."""
+    part, base, chars = [], 0, 0
+    for t in texts:
+        part.append(t)
+        chars += len(t) if t else 0
+        if chars >= size:
+            yield base, part
+            part, base, chars = [], base + len(part), 0
+    if part:
+        yield base, part
 
 
-def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    def run(batches):
-        for pdf in batches:
-            for part in in_chunks(pdf):
-                sets = shingle_sets(part["text"].tolist(), words)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "cls": pd.array([class_of(s) for s in sets], dtype="Int64"), "n": [len(s) for s in sets], "sample": [s[:SAMPLE].astype(np.int64) for s in sets], "sig": [signature(s) if len(s) else b"" for s in sets]})
+def sketches(docs: DataFrame, words: int, seed: int = 0) -> DataFrame:
+    """doc_id, row, text -> SKETCH."""
+
+    def work():
+        def call(texts):
+            for base, part in in_chunks(texts):
+                sets = shingle_sets(part, words)
+                cls, alt = zip(*(class_of(s, seed) for s in sets), strict=True)
+                yield range(base, base + len(part)), cls, alt, [len(s) for s in sets], [s[:SAMPLE].astype(np.int64) for s in sets], [signature(s) if len(s) else b"" for s in sets]
 
-    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SKETCH)
+        return call
+
+    return by_text(docs.select("doc_id", "row", "text"), work, SKETCH)
 
 
 def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -290,20 +313,34 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify(threshold: float, words: int):
+def _near_tiles(batches):
+    """comp, ti, tj, i, cls, n, sig of a tile -> its classes with a near signature (of a fitting size) on the other side."""
+    for pdf, starts in by_group(batches, ["comp", "ti", "tj"]):
+        for part in np.split(np.arange(len(pdf)), starts[1:]):
+            g = pdf.iloc[part]
+            sig, n, own = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(g), BINS), g["n"].to_numpy(), g["i"].to_numpy()
+            left = np.flatnonzero(own == g["ti"].iloc[0])
+            right = left if g["ti"].iloc[0] == g["tj"].iloc[0] else np.flatnonzero(own == g["tj"].iloc[0])
+            keep = np.zeros(len(g), dtype=bool)
+            for k in left.tolist():
+                fits = right[(right != k) & (n[right] >= LEAST * n[k] - 1e-9) & (n[k] >= LEAST * n[right] - 1e-9)]
+                near = fits[estimate(sig[k][None], sig[fits]) >= FLOOR]
+                keep[near] = True
+                keep[k] |= len(near) > 0
+            yield g[keep][["comp", "ti", "tj", "cls"]]
+
+
+def _verify(threshold: float):
     def run(batches):
         for pdf, starts in by_group(batches, ["comp", "ti", "tj"]):
             out = []
             for part in np.split(np.arange(len(pdf)), starts[1:]):
                 g = pdf.iloc[part]
-                sets = shingle_sets(g["text"].tolist(), words)
-                fits = [class_of(s) == c for s, c in zip(sets, g["cls"].tolist(), strict=True)]  # another row may have the id
-                keep = np.flatnonzero(fits)
-                _, first = np.unique(g["cls"].to_numpy()[keep], return_index=True)
-                keep = keep[np.sort(first)]
-                if len(keep) < 2:
+                _, first = np.unique(g["cls"].to_numpy(), return_index=True)  # repeated rows give a class twice
+                g = g.iloc[np.sort(first)]
+                if len(g) < 2:
                     continue
-                sets, cls, weight, block = [sets[k] for k in keep], g["cls"].to_numpy()[keep], g["weight"].to_numpy()[keep], g["i"].to_numpy()[keep]
+                sets, cls, weight, block = [np.frombuffer(t, dtype=np.uint64) for t in g["tokens"]], g["cls"].to_numpy(), g["weight"].to_numpy(), g["i"].to_numpy()
                 n = np.array([len(s) for s in sets])
                 shared = common_counts(sets)
                 linked = (shared * (1 + threshold) >= threshold * (n[:, None] + n[None]) - 1e-9) & (shared > 0)
@@ -320,39 +357,80 @@ def _verify(threshold: float, words: int):
     return run
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 1 - 1e-7) -> DataFrame:
-    """A row for each document: doc_id, class_id (smallest id of its group of linked documents), n_links (documents of
-    similarity `threshold` or more, copies included), copies (documents with the same set), n_shingles.
+def _sets(rows: DataFrame, words: int, seed: int) -> DataFrame:
+    """cls, comp, blocks, i, weight, text of a class's first row -> SETS; another row may have the id, its set is another's."""
+
+    def work():
+        def call(texts):
+            for base, part in in_chunks(texts):
+                sets = shingle_sets(part, words)
+                yield range(base, base + len(part)), [len(s) for s in sets], [signature(s) if len(s) else b"" for s in sets], [s.tobytes() for s in sets], [class_of(s, seed)[0] for s in sets]
+
+        return call
+
+    return by_text(rows.select("cls", "comp", "blocks", "i", "weight", "text"), work, SETS + ", found long").where("found = cls").drop("found")
 
-    Thresholds below LEAST and recalls above MOST are an error: the floors and splits would lose true pairs."""
+
+def _classes(text: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(a row for each document with its class, classes with sample and signature, classes with first row and weight, the
+    seed of their names). Names are halves of 128-bit hashes; should two sets share one, all are named anew."""
+    for seed in range(4):
+        sketch = stored(sketches(text, words, seed), "jaccard-sketch")
+        there = sketch.where("cls is not null")
+        # A class goes by its smallest id, and among equal ones by the hash of the text; no id is larger than any.
+        rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("rep")
+        classes = stored(there.groupBy("cls").agg(rep, F.count("*").alias("weight"), F.max("n").alias("n"), (F.min("alt") != F.max("alt")).alias("several")), "jaccard-weights")
+        if classes.where("several").isEmpty():
+            one = stored(there.groupBy("cls").agg(F.first("sample").alias("sample"), F.first("sig").alias("sig")), "jaccard-classes")
+            return stored(sketch.select("doc_id", "row", "cls", "n"), "jaccard-ids", free=True, drop=[sketch]), one, classes.drop("several"), seed
+    raise RuntimeError("sets that share a 64-bit name under each of four hashes")
+
+
+def _grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = MOST) -> DataFrame:
+    """A row for each document: doc_id, row (the hash of its text), cls, n, name (of its group: none, doc_id, row), n_links, copies."""
     if threshold < LEAST or recall > MOST:
         raise ValueError(f"floors and splits are set for thresholds of {LEAST} or more and recalls of {MOST} or less")
-    roots = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold))) if threshold < 1 else 1
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = stored(sketches(text, words), "jaccard-sketch")
-    one = stored(sketch.where("cls is not null").groupBy("cls").agg(F.first("sample").alias("sample"), F.first("sig").alias("sig")), "jaccard-classes")
-    sketch = stored(sketch.select("doc_id", "cls", "n"), "jaccard-ids", free=True, drop=[sketch])
-    classes = stored(sketch.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")), "jaccard-weights")
+    # A root's path misses a pair that does not share its token (1 - threshold) or that splits part (PARTED).
+    roots = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold * (1 - PARTED)))) if threshold < 1 else 1
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    sketch, one, classes, seed = _classes(text, words)
     comp = connected_components(candidate_edges(one, roots=roots)).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
     comp = stored(comp, "jaccard-candidates", free=True, drop=[one])
-    size = comp.groupBy("comp").agg(F.count("*").alias("size"))
-    rows = comp.join(size, "comp").join(classes, "cls").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rows = rows.withColumn("i", F.pmod(_hash("cls"), F.col("blocks")).cast("int"))
-    rows = rows.join(text.withColumnRenamed("doc_id", "rep_id"), F.col("rep").eqNullSafe(F.col("rep_id")))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("i", "j").alias("ti"), F.greatest("i", "j").alias("tj"), "i", "cls", "weight", "text")
-    n = partitions_for(docs)
-    linked = rows.repartition(n, "comp", "ti", "tj").sortWithinPartitions("comp", "ti", "tj").mapInPandas(_verify(threshold, words), "cls long, other long, links long")
-    linked = stored(linked, "jaccard-linked", free=True)
-    whole = connected_components(linked.select(F.col("cls").alias("a"), F.col("other").alias("b")))
+    rows = comp.join(classes, "cls")
+    size = rows.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(TOKENS))).cast("int").alias("blocks"))
+    rows = rows.join(size, "comp").withColumn("i", F.pmod(_hash("cls"), F.col("blocks")).cast("int")).select("cls", "comp", "blocks", "i", "weight", "rep.doc_id", "rep.row")
+    rows = rows.join(text.toDF("rep_id", "rep_row", "text"), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("row") == F.col("rep_row")))
+    sets = stored(_sets(rows, words, seed), "jaccard-sets", free=True)
+    part = partitions_for(docs)
+    # Of components in several blocks, each tile gets the sets of those classes only whose signature is near one of the tile.
+    cut = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("ti"), F.greatest("i", j).alias("tj")))
+    large = sets.where("blocks > 1").select("comp", "cls", "i", "n", "sig", F.explode(cut).alias("t")).select("comp", "t.ti", "t.tj", "i", "cls", "n", "sig")
+    near = stored(large.repartition(part, "comp", "ti", "tj").sortWithinPartitions("comp", "ti", "tj").mapInPandas(_near_tiles, "comp long, ti int, tj int, cls long"), "jaccard-near")
+    whole = sets.select("comp", "i", "cls", "weight", "tokens")
+    tiles = near.join(whole.drop("comp"), "cls").select("comp", "ti", "tj", "i", "cls", "weight", "tokens")
+    tiles = tiles.unionAll(sets.where("blocks = 1").select("comp", F.lit(0).alias("ti"), F.lit(0).alias("tj"), "i", "cls", "weight", "tokens"))
+    linked = tiles.repartition(part, "comp", "ti", "tj").sortWithinPartitions("comp", "ti", "tj").mapInPandas(_verify(threshold), "cls long, other long, links long")
+    linked = stored(linked, "jaccard-linked", free=True, drop=[sets])
+    groups_ = connected_components(linked.select(F.col("cls").alias("a"), F.col("other").alias("b")))
     count = linked.groupBy("cls").agg(F.sum("links").alias("links"))
-    named = classes.join(whole, F.col("cls") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cls"))
-    name = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = named.join(name, "component").join(count, "cls", "left").select("cls", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("weight").alias("copies"))
-    return sketch.select("doc_id", "cls", "n").join(named, "cls", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.col("n").alias("n_shingles"))
+    named = classes.join(groups_, F.col("cls") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cls"))
+    name = named.groupBy("component").agg(F.min("rep").alias("name"))
+    named = named.join(name, "component").join(count, "cls", "left").select("cls", "name", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("weight").alias("copies"))
+    return sketch.join(named, "cls", "left")
+
+
+def groups(docs: DataFrame, **options) -> DataFrame:
+    """A row for each document: doc_id, class_id (smallest id of its group of linked documents), n_links (documents of
+    similarity `threshold` or more, copies included), copies (documents with the same set), n_shingles.
+
+    Options: id_col, text_col, words, threshold, recall. Thresholds below LEAST and recalls above MOST are an error: the
+    floors and splits would lose true pairs."""
+    return _grouped(docs, **options).select("doc_id", F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("name.doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.col("n").alias("n_shingles"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without all but one of each group: that with the smallest id stays (repeats of its row with it)."""
-    g = groups(docs, id_col=id_col, text_col=text_col, **options)
-    drop = g.where("doc_id <> class_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(drop, F.col(f"`{id_col}`") == F.col("__dropped"), "left_anti")
+    """The documents without all but one of each group: that with the smallest id stays, among rows of that id the text of
+    the smallest hash (repeats of its row with it). Rows without an id go where their group has another."""
+    g = _grouped(docs, id_col=id_col, text_col=text_col, **options).where(F.col("name").isNotNull())
+    drop = g.where(~(F.col("doc_id").eqNullSafe(F.col("name.doc_id")) & (F.col("row") == F.col("name.row")))).select(F.col("doc_id").alias("__dropped"), F.col("row").alias("__row")).distinct()
+    return docs.join(drop, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__dropped")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__row")), "left_anti")

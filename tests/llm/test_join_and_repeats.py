@@ -62,7 +62,7 @@ def brute_groups(rows, t=0.8):
     return sorted(((rows[i][0], rows[i][0] if not sets[i] else name[root(i)], links[i]) for i in range(len(rows))), key=str)
 
 
-@pytest.mark.parametrize("limits", [{}, {"LEAF": 5, "BLOCK": 4, "PIVOTS": 2}, {"LEAF": 2, "BLOCK": 3, "LEVELS": 1}])
+@pytest.mark.parametrize("limits", [{}, {"LEAF": 5, "BLOCK": 4, "PIVOTS": 2}, {"LEAF": 2, "BLOCK": 3, "LEVELS": 1}, {"TOKENS": 200}])
 def test_groups_equal_brute_force(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(jaccard, k, v)
@@ -81,6 +81,52 @@ def test_one_of_each_group_stays(spark):
     assert len(ids) == len({(c if n else d) for d, c, n in brute_groups(rows)})
 
 
+def test_rows_without_or_with_equal_ids(spark):
+    """Copies without an id go where another has one; two texts of one id are two documents."""
+    a, b, c = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    near = a.replace("a30", "x")
+    rows = [(None, a, "1"), (5, a, "2"), (3, near, "3"), (3, b, "4"), (4, b + " end", "5"), (3, near, "6"), (None, c, "7"), (None, c, "8"), (None, None, "9"), (None, "", "10")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(d).collect()]
+    assert sorted(kept, key=str) == sorted([(3, near), (3, near), (3, b), (None, c), (None, c), (None, None), (None, "")], key=str)
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"], r["copies"]) for r in jaccard.groups(d).collect()), key=str)
+    want = [(None, 3, 3, 2), (5, 3, 3, 2), (3, 3, 3, 2), (3, 3, 3, 2), (3, 3, 1, 1), (4, 3, 1, 1), (None, None, 1, 2), (None, None, 1, 2), (None, None, 0, 1), (None, None, 0, 1)]
+    assert got == sorted(want, key=str)
+
+
+def test_recall_at_the_default_limits(spark):
+    """Buckets far above LEAF: pairs of a similarity just above the threshold among documents that share boilerplate."""
+    rng = random.Random(13)
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(90)]  # in every document; alone it makes no pair similar
+    rows, pairs = [], []
+    for i in range(1500):
+        own = [f"o{rng.randrange(10**7)}" for _ in range(110)]
+        d = shared + own
+        other = list(d)
+        other[rng.randrange(100, 190)] = f"x{i}"  # up to five shingles of 196 on either side
+        other += [f"y{rng.randrange(10**7)}" for _ in range(28)]
+        pairs.append((2 * i, 2 * i + 1))
+        rows += [(2 * i, " ".join(d)), (2 * i + 1, " ".join(other))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    like = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs]
+    assert 0.8 <= min(like) and max(like) < 0.86 and len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.4
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i - i % 2, 1) for i, _ in rows}
+
+
+def test_names_that_collide_are_given_anew(spark, monkeypatch):
+    real = jaccard.class_of
+    monkeypatch.setattr(jaccard, "class_of", lambda tokens, seed=0: (real(tokens)[0] and (7 if seed == 0 else real(tokens, seed)[0]), real(tokens, seed)[1]))
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l"), (4, None)]
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
+
+
+def test_components_that_are_not_final_are_an_error(spark):
+    with pytest.raises(RuntimeError, match="not final"):
+        connected_components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long"), rounds=1)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert jaccard.groups(empty).count() == 0 and suffixdup.cut(empty).count() == 0
