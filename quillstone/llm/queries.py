@@ -14,7 +14,7 @@ from .jaccard import groups
 from .mixing import mix
 from .neighbours import nearest
 from .records import round_trip
-from .suffixdup import cut
+from .suffixdup import GRAM, PASSAGE, cut, factors
 from .tokencount import count_documents
 
 
@@ -45,7 +45,7 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return cut(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,13 +150,20 @@ ORACLES["op9_decontaminate"] = rf"""
         SELECT doc_id, item_id, round(score, 6) AS score, round(question_overlap, 6) AS question_overlap, round(answer_overlap, 6) AS answer_overlap, round(overlap, 6) AS overlap
         FROM o WHERE coalesce(question_overlap, 1) >= 0.6 AND coalesce(answer_overlap, 1) >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overlap DESC, score DESC, j) = 1"""
 
-ORACLES["op7_suffix_repeats"] = """
+_RUN = " + ".join(f"x[i + {k}] * {f}" for k, f in enumerate(factors(), 1))
+
+ORACLES["op7_suffix_repeats"] = rf"""
         WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
              w AS (SELECT doc_id, i, md5(b[i + 1:i + 400]) AS h FROM (SELECT doc_id, b, unnest(range(n - 399)) AS i FROM d WHERE n >= 400)),
              r AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
              g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM r),
              s AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM g) GROUP BY doc_id, part),
              p AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS free FROM s),
-             k AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans, max(hi) AS tail, string_agg(hex(b[free + 1:lo]), '' ORDER BY lo) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+             k AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans, max(hi) AS tail, string_agg(hex(b[free + 1:lo]), '' ORDER BY lo) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id),
+             xs AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) // 2) AS x FROM documents),
+             hs AS (SELECT doc_id, list_transform(range(CAST(len(x) - {GRAM - 1} AS BIGINT)), lambda i: {_RUN}) AS h FROM xs WHERE len(x) >= {PASSAGE}),
+             rs AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, CAST(len(h) - {PASSAGE - GRAM - 1} AS BIGINT)), lambda i: list_min(h[i:i + {PASSAGE - GRAM}])))) AS run FROM hs),
+             sp AS (SELECT DISTINCT doc_id FROM rs WHERE run IN (SELECT run FROM rs GROUP BY run HAVING count(*) > 1))
         SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
-               CASE WHEN spans IS NULL THEN sha256(b) ELSE sha256(unhex(kept || hex(b[tail + 1:n]))) END AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+               CASE WHEN spans IS NULL THEN sha256(b) ELSE sha256(unhex(kept || hex(b[tail + 1:n]))) END AS kept_sha256,
+               CAST(sp.doc_id IS NOT NULL AS INTEGER) AS shares_passage FROM d LEFT JOIN k USING (doc_id) LEFT JOIN sp USING (doc_id)"""

@@ -6,14 +6,23 @@ occur once are dropped. What is indexed for the others are their contexts: the b
 anchor can reach. Equal contexts are one, with their number of occurrences.
 
 Index. Under each anchor the contexts are sorted by what follows the anchor: column 0 of a positional Burrows-Wheeler
-transform. Each step left permutes the rows stably by their byte in the next column, the transform's column; it is held
-as runs, rows that share a byte and follow each other. Within a run neighbours stay neighbours and keep how far they
-match; only the heads of runs need a new value, the least of those between them and the run before, which is sampled at
-run ends. So streaming through the columns gives, for every row and column, the length to which it matches its nearest
-row from that column on (its matching statistics), and a window is marked if that reaches `length`. All anchors of a
-task go through the columns together. Very large groups of one anchor, in which a task's memory would grow with the
-corpus, are counted by window hashes instead (128 bits): first of the bytes that all windows of a range share, then, where
-another context shares those too, of each window, combined before the shuffle.
+transform. Each step left permutes the rows stably by their byte in the next column, the transform's column. It is only
+ever held as runs: rows that follow each other and had the same bytes in all columns so far. A run is its first and its
+last row (the sampled ends) and how far its first row matches the last one of the run before. A step splits runs where
+neighbours differ in the column, permutes the runs, and gives each the least match between it and the run it now
+follows; runs of one row that neither follow nor precede another under their anchor are dropped. So streaming through the columns gives the matching
+statistics: a run's ends match to the length held with the run, and neighbours within a run by how far they agree on
+either side of the anchor, which needs no column. Windows are marked where these lengths reach `length`. Beside the
+contexts themselves, memory follows the runs.
+
+A group of one anchor too large for a task is split by its windows: a context falls apart in pieces, one for each range
+of windows, under keys of the anchor, the range and the bytes that all windows of the range share; equal pieces are one.
+Equal windows stay under one key. What is still too large is split into narrower ranges, down to single windows, whose
+pieces are equal or apart. All pieces go through the same index, so the result does not depend on sizes.
+
+Passages. Besides, documents that hold a passage of another one are told: the hashes of runs of GRAM words are winnowed
+so that of any PASSAGE words a run is selected; a selected run that another document has too is a passage. So none of
+PASSAGE words or more is missed, and none of under GRAM words counts; repeats within a document do not.
 
 Marked windows leave as intervals; those of a document are merged and cut from its bytes.
 
@@ -33,13 +42,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions_for, stored, text_batches
+from .common import by_text, partitions_for, stored
 from .jaccard import by_group
 
 K = 64
-#: Contexts of an anchor from which window hashes take over (a row takes about 3 KB in the columns), rows that go through
-#: the columns together, and ranges of windows that hashes first tell apart by the bytes that a range shares.
-LARGE, ROWS, RANGES = 100_000, 8_000, 8
+#: Contexts of one key that a task takes (about 1 KB each), contexts that go through the columns together, and the parts a
+#: range of windows is split into.
+LARGE, ROWS, PARTS = 50_000, 20_000, 8
+#: Words of the runs that are compared, and of the passages that always have one selected.
+GRAM, PASSAGE = 40, 50
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,221 +112,303 @@ def _spread_max(least: np.ndarray, n: int, w: int) -> np.ndarray:
     return np.maximum(suffix[:n], prefix[w - 1 : w - 1 + n])
 
 
-def mark_columns(group: np.ndarray, left: list[bytes], right: list[bytes], length: int) -> np.ndarray:
-    """For rows of contexts, in groups (equal numbers next to each other): starts[row, j], the window that begins j bytes
-    before the anchor also occurs in another row of the group. left: the bytes before the anchor; right: from it on."""
-    n, reach = len(group), length - K
-    order = np.array(sorted(range(n), key=lambda i: (group[i], right[i])), dtype=np.int64)
-    rlen = np.array([len(x) for x in right], dtype=np.int64)
-    llen = np.array([len(x) for x in left], dtype=np.int64)
-    byte = np.zeros((n, length), dtype=np.uint8)
-    for i, x in enumerate(right):
-        byte[i, : len(x)] = np.frombuffer(x, dtype=np.uint8)
-    a, b = order[1:], order[:-1]
-    differ = byte[a] != byte[b]
-    ends = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
-    ends = np.minimum(ends, np.minimum(rlen[a], rlen[b]))
-    # match[i]: column up to which row i of the order agrees with the row before it; below any column where it starts a group
-    match = np.append(-length - 1, np.where(group[a] == group[b], ends, -length - 1)).astype(np.int64)
-    del byte
-    back = np.full((n, reach + 1), 256, dtype=np.int16)
-    for i, x in enumerate(left):
-        back[i, 1 : len(x) + 1] = np.frombuffer(x, dtype=np.uint8)[::-1]
-    starts = np.zeros((n, reach + 1), dtype=bool)
-    base = group.astype(np.int64) - int(group.min())
-    for j in range(reach + 1):
-        if j:
-            key = base[order] * 257 + back[order, j]
-            step = np.argsort(key, kind="stable")
-            sorted_key = key[step]
-            match = _next_match(match, step, sorted_key, -j)
-            order = order[step]
-        hit = match >= length - j
-        if hit.any():
-            rows = np.flatnonzero(hit)
-            starts[order[rows], j] = True
-            starts[order[rows - 1], j] = True
-    starts &= np.arange(reach + 1)[None] <= llen[:, None]
-    return starts
-
-
-def _next_match(match: np.ndarray, step: np.ndarray, key: np.ndarray, column: int) -> np.ndarray:
-    """Matches after a step left. In a run neighbours keep theirs; a head takes the least since its byte's run before."""
-    out = match[step].copy()
-    same = np.append(False, key[1:] == key[:-1])
-    dead = key % 257 == 256  # the text begins here
-    heads = np.flatnonzero(same & (np.append(1, np.diff(step)) != 1))
-    if len(heads):
-        bounds = np.stack([step[heads - 1] + 1, step[heads] + 1], axis=1).ravel()
-        out[heads] = np.minimum.reduceat(np.append(match, match[-1:]), bounds)[::2]
-    out[~same] = column
-    group_start = np.append(True, key[1:] // 257 != key[:-1] // 257)
-    out[group_start] = -(1 << 40)
-    out[dead] = -(1 << 40)
+def common_ends(rows: list[bytes], at: np.ndarray, before: bool, width: int) -> np.ndarray:
+    """For each k of `at` how many bytes rows k - 1 and k agree in, from their starts (or, with before, from their ends)."""
+    out = np.zeros(len(at), dtype=np.int64)
+    for i in range(0, len(at), 4096):
+        part = at[i : i + 4096]
+        table = np.zeros((2, len(part), width), dtype=np.uint8)
+        sizes = np.zeros((2, len(part)), dtype=np.int64)
+        for side, shift in ((0, -1), (1, 0)):
+            for x, k in enumerate(part.tolist()):
+                raw = np.frombuffer(rows[k + shift], dtype=np.uint8)
+                table[side, x, : len(raw)] = raw[::-1] if before else raw
+                sizes[side, x] = len(raw)
+        differ = table[0] != table[1]
+        out[i : i + 4096] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), width), sizes.min(axis=0))
     return out
 
 
-def spans_of(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows with a marked window, least and greatest j): all of a row's windows hold the anchor, so they cover one interval."""
-    rows = np.flatnonzero(starts.any(axis=1))
-    s = starts[rows]
-    return rows, s.argmax(axis=1), s.shape[1] - 1 - s[:, ::-1].argmax(axis=1)
-
-
-OCCURRENCE = "anchor long, ctx long, dkey long, pos int"
-FOUND = "anchor long, ctx long, lo int, hi int"
+def mark(group: np.ndarray, left: list[bytes], right: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least, most) for rows of contexts, in groups: the windows that begin so many bytes before the anchor and that
+    another row of the group has, -1 where there is none. left: the bytes before the anchor; right: from it on.
+
+    All marked windows of a row hold its anchor, so what they cover lies between the two."""
+    n, reach = len(group), max(map(len, left), default=0)
+    order = sorted(range(n), key=lambda i: (group[i], right[i]))
+    group, left, right = group[order], [left[i] for i in order], [right[i] for i in order]
+    same = np.flatnonzero(group[1:] == group[:-1]) + 1
+    follows = np.full(n, -1, dtype=np.int64)  # bytes that a row and the one before it agree in, from the anchor on
+    follows[same] = common_ends(right, same, False, length)
+    precedes = np.full(n, -1, dtype=np.int64)  # and before the anchor
+    precedes[same] = common_ends(left, same, True, max(1, reach))
+    least, most = np.full(n, n and length, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+
+    def hit(rows, lo, hi):
+        np.minimum.at(least, rows, lo)
+        np.maximum.at(most, rows, hi)
+
+    # Neighbours within a run, for as many columns as they are one.
+    lo = np.maximum(0, length - follows[same])
+    ok = lo <= precedes[same]
+    for rows in (same[ok], same[ok] - 1):
+        hit(rows, lo[ok], precedes[same][ok])
+    # Runs, column by column. A key is what rows must share to meet again: the group and all bytes of the columns so far.
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, dtype=np.int64)
+    last = np.append(first[1:], n) - 1 if n else first
+    key, match = np.arange(len(first)), np.full(len(first), -1, dtype=np.int64)
+    padded = np.append(follows, [length, length])
+
+    def inner(first, last):
+        """The least match between rows of a run."""
+        least = np.minimum.reduceat(padded, np.stack([first + 1, last + 1], axis=1).ravel())[::2] if len(first) else first
+        return np.where(last > first, least, length)
+
+    within = inner(first, last)
+    breaks = same[np.argsort(precedes[same], kind="stable")]
+    cut_at = np.searchsorted(precedes[breaks], np.arange(reach + 2))
+    lengths = np.array([len(x) for x in left], dtype=np.int64)
+    for j in range(1, reach + 1):
+        if not len(first):
+            break
+        new = breaks[cut_at[j - 1] : cut_at[j]]  # rows that differ from the one before in column j
+        if len(new):
+            by_row = np.argsort(first, kind="stable")
+            inside = by_row[np.maximum(np.searchsorted(first[by_row], new, "right") - 1, 0)]
+            there = (first[inside] < new) & (last[inside] >= new)
+            new, inside = new[there], inside[there]
+        if len(new):
+            o = np.lexsort((new, inside))
+            new, inside = new[o], inside[o]
+            ends = last[inside].copy()
+            ends[:-1] = np.where(inside[1:] == inside[:-1], new[1:] - 1, ends[:-1])
+            head = np.unique(inside, return_index=True)
+            last[head[0]] = new[head[1]] - 1
+            within[head[0]], parts = inner(first[head[0]], last[head[0]]), inner(new, ends)
+            first, last, key, match, within = (np.insert(x, inside + 1, y) for x, y in ((first, new), (last, ends), (key, key[inside]), (match, follows[new]), (within, parts)))
+        # The column: a byte for each run (none where the texts begin), and the runs permuted stably by it.
+        byte = np.fromiter((left[r][-j] if j <= w else 256 for r, w in zip(first.tolist(), lengths[first].tolist(), strict=True)), dtype=np.int64, count=len(first))
+        step = np.argsort(key * 257 + byte, kind="stable")
+        sorted_key = (key * 257 + byte)[step]
+        joined = np.append(False, sorted_key[1:] == sorted_key[:-1])
+        now = np.full(len(step), -1, dtype=np.int64)
+        heads = np.flatnonzero(joined)
+        if len(heads):
+            # from the run after the one now followed up to this one, and what lies within the runs passed over
+            bounds = np.stack([2 * step[heads - 1] + 2, 2 * step[heads] + 1], axis=1).ravel()
+            now[heads] = np.minimum.reduceat(np.stack([match, within], axis=1).ravel(), bounds)[::2]
+        # Runs that follow or precede another one go on, and those of several rows, which may part.
+        alive = byte[step] != 256
+        joined &= alive
+        keep = alive & (joined | np.append(joined[1:], False) | (last > first)[step])
+        first, last, within, match = first[step][keep], last[step][keep], within[step][keep], np.where(joined, now, -1)[keep]
+        key = np.cumsum(np.append(1, np.diff(sorted_key[keep]) != 0))[: int(keep.sum())]
+        reaches = np.flatnonzero(match >= length - j)
+        hit(first[reaches], j, j)
+        hit(last[reaches - 1], j, j)
+    back = np.empty(n, dtype=np.int64)
+    back[order] = np.arange(n)
+    return np.where(most < 0, -1, least)[back], most[back]
+
+
+OCCURRENCE = "doc_id long, row long, anchor long, ctx long, pos int"
 
 
 def occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """dkey, bytes -> each anchor with the hash of its context."""
+    """doc_id, row, raw -> each anchor with the hash of its context. Contexts are only ever told apart under one anchor, so
+    the two hashes are 128 bits together."""
     reach = length - K
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for dkey, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    def work():
+        def call(texts):
+            for i, raw in enumerate(texts):
                 if len(raw) < length:
                     continue
                 at, h = anchors(np.frombuffer(raw, dtype=np.uint8), length)
                 left, right = np.minimum(at, reach), np.minimum(len(raw) - at, length)
-                out[0].append(h.astype(np.int64))
-                out[1].append(np.fromiter((xxhash.xxh3_64_intdigest(raw[p - x : p + y], x) for p, x, y in zip(at.tolist(), left.tolist(), right.tolist(), strict=True)), dtype=np.uint64, count=len(at)).astype(np.int64))
-                out[2].append(np.full(len(at), dkey, dtype=np.int64))
-                out[3].append(at.astype(np.int32))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=[x.split()[0] for x in OCCURRENCE.split(", ")])
+                ctx = np.fromiter((xxhash.xxh3_64_intdigest(raw[p - x : p + y], x) for p, x, y in zip(at.tolist(), left.tolist(), right.tolist(), strict=True)), dtype=np.uint64, count=len(at))
+                yield np.full(len(at), i), h.astype(np.int64), ctx.astype(np.int64), at.astype(np.int32)
 
-    return docs.mapInArrow(run, OCCURRENCE)
+        return lambda texts: _together(call(texts), 4)
+
+    return by_text(docs.select("doc_id", "row", "raw"), work, OCCURRENCE)
+
+
+def _together(parts, columns: int):
+    """The rows of many small parts at once."""
+    parts = list(parts)
+    return [tuple(np.concatenate([p[k] for p in parts]) for k in range(columns))] if parts else []
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of wanted contexts (anchor, ctx, dkey, pos): anchor, ctx, lhs, rhs."""
-    per = wanted.groupBy("dkey").agg(F.collect_list(F.struct("anchor", "ctx", "pos")).alias("at"))  # bounded by the document
+    """The bytes of wanted contexts (anchor, ctx, doc_id, row, pos): anchor, ctx, lhs, rhs."""
+    per = wanted.groupBy(F.col("doc_id").alias("of"), F.col("row").alias("of_row")).agg(F.collect_list(F.struct("anchor", "ctx", "pos")).alias("at"))  # bounded by the document
 
     def run(batches):
         for pdf in batches:
             rows = [(x["anchor"], x["ctx"], raw[max(0, x["pos"] - length + K) : x["pos"]], raw[x["pos"] : x["pos"] + length]) for raw, at in zip(pdf["raw"], pdf["at"], strict=True) for x in at]
             yield pd.DataFrame(rows, columns=["anchor", "ctx", "lhs", "rhs"])
 
-    return docs.join(per, "dkey").select("raw", "at").mapInPandas(run, "anchor long, ctx long, lhs binary, rhs binary")
+    found = docs.join(per, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row"))).select("raw", "at").mapInPandas(run, "anchor long, ctx long, lhs binary, rhs binary")
+    return found.dropDuplicates(["anchor", "ctx"])  # repeated rows give theirs each
+
+
+#: A piece: its key and name, its ranges of windows, where they begin before its anchor, and its bytes around the anchor.
+PIECE = "key binary, piece binary, a int, b int, lhs binary, rhs binary"
+MARKED = "key binary, piece binary, least int, most int"
 
 
 def _index(length: int):
     def run(batches):
-        for pdf, starts in by_group(batches, ["anchor"]):
-            pdf = pdf.assign(group=np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(pdf))))).drop_duplicates(["anchor", "ctx"])
-            group = pdf["group"].to_numpy()
-            cut = np.flatnonzero(np.diff(np.searchsorted(group, np.unique(group)) // ROWS)) + 1
-            firsts = [0, *np.searchsorted(group, np.unique(group))[cut].tolist(), len(pdf)]
-            for a, b in zip(firsts[:-1], firsts[1:], strict=True):
-                part = pdf.iloc[a:b]
-                rows, least, most = spans_of(mark_columns(part["group"].to_numpy(), part["lhs"].tolist(), part["rhs"].tolist(), length))
-                yield pd.DataFrame({"anchor": part["anchor"].to_numpy()[rows], "ctx": part["ctx"].to_numpy()[rows], "lo": -most, "hi": length - least})
+        for pdf, starts in by_group(batches, ["key"]):
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(pdf))))
+            cut = np.flatnonzero(np.diff(starts // ROWS)) + 1
+            for lo, hi in zip([0, *starts[cut].tolist()], [*starts[cut].tolist(), len(pdf)], strict=True):
+                part = pdf.iloc[lo:hi]
+                least, most = mark(group[lo:hi], part["lhs"].tolist(), part["rhs"].tolist(), length)
+                # Windows outside of a piece's range are another piece's.
+                least, most = np.maximum(least, part["a"].to_numpy()), np.minimum(most, part["b"].to_numpy())
+                found = np.flatnonzero((most >= 0) & (least <= most))
+                yield pd.DataFrame({"key": part["key"].to_numpy()[found], "piece": part["piece"].to_numpy()[found], "least": least[found], "most": most[found]})
 
     return run
 
 
-def _bounds(length: int) -> list[tuple[int, int]]:
-    """The windows (bytes before the anchor) of each range, first and last."""
-    cuts = np.linspace(0, length - K + 1, RANGES + 1).astype(int).tolist()
-    return [(a, b - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
+def _narrower(length: int):
+    """Pieces of a range of windows -> those of its parts, each with the name of what it was cut from."""
 
-def _ranges(length: int):
     def run(batches):
         for pdf in batches:
             rows = []
-            for anchor, ctx, lhs, rhs in pdf.itertuples(index=False):
-                raw, at = lhs + rhs, len(lhs)
-                for r, (a, b) in enumerate(_bounds(length)):
-                    if a <= len(lhs) and length - b <= len(rhs):
-                        rows.append((anchor, ctx, r, xxhash.xxh3_128_digest(raw[at - a : at + length - b])))
-            yield pd.DataFrame(rows, columns=["anchor", "ctx", "r", "shared"])
-
-    return run
-
-
-def _windows(length: int):
-    def run(batches):
-        for pdf in batches:
-            for i in range(0, len(pdf), 500):
-                rows = []
-                for anchor, ctx, lhs, rhs, ranges in pdf.iloc[i : i + 500].itertuples(index=False):
-                    raw, at = lhs + rhs, len(lhs)
-                    for a, b in (_bounds(length)[r] for r in ranges):
-                        for j in range(max(a, length - len(rhs)), min(b, len(lhs)) + 1):
-                            rows.append((anchor, ctx, j, xxhash.xxh3_128_digest(raw[at - j : at - j + length])))
-                yield pd.DataFrame(rows, columns=["anchor", "ctx", "j", "window"])
+            for key, piece, a, b, lhs, rhs in zip(*(pdf[c] for c in ("key", "piece", "a", "b", "lhs", "rhs")), strict=True):
+                cuts = np.unique(np.linspace(a, b + 1, PARTS + 1).astype(int)).tolist()
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                    y -= 1
+                    before, after = lhs[-y:] if y else b"", rhs[: length - x]
+                    if len(lhs) >= x and len(rhs) >= length - y:
+                        shared = (lhs[-x:] if x else b"") + rhs[: length - y]
+                        own = xxhash.xxh3_128_digest(before + after, len(before))
+                        rows.append((key, piece, xxhash.xxh3_128_digest(key + bytes([x & 255, x >> 8, y & 255, y >> 8]) + shared), own, x, y, before, after))
+            yield pd.DataFrame(rows, columns=["of", "of_piece", "key", "piece", "a", "b", "lhs", "rhs"])
 
     return run
 
 
-def _by_windows(large: DataFrame, length: int) -> DataFrame:
-    """anchor, ctx, lhs, rhs of very large groups -> the interval of each context's repeated windows."""
-    twice = lambda df, *keys: df.groupBy(*keys).agg((F.min("ctx") != F.max("ctx")).alias("t")).where("t").select(*keys)
-    shared = stored(large.mapInPandas(_ranges(length), "anchor long, ctx long, r int, shared binary"), "dup-ranges")
-    alive = shared.join(twice(shared, "anchor", "r", "shared"), ["anchor", "r", "shared"]).groupBy("anchor", "ctx").agg(F.collect_list("r").alias("ranges"))
-    rows = large.join(alive, ["anchor", "ctx"]).select("anchor", "ctx", "lhs", "rhs", "ranges")
-    hashed = stored(rows.mapInPandas(_windows(length), "anchor long, ctx long, j int, window binary"), "dup-windows")
-    marked = hashed.join(twice(hashed, "anchor", "j", "window"), ["anchor", "j", "window"])
-    return marked.groupBy("anchor", "ctx").agg((-F.max("j")).alias("lo"), (F.lit(length) - F.min("j")).alias("hi"))
+def marked(pieces: DataFrame, length: int, large: int) -> DataFrame:
+    """PIECE rows, a row for each piece of a key -> MARKED."""
+    part, levels, out = partitions_for(pieces), [], None
+    while True:
+        sizes = pieces.groupBy("key").agg(F.count("*").alias("size"))
+        big = stored(sizes.where(F.col("size") > large).select("key"), "dup-large")
+        more = not big.isEmpty()
+        some = pieces.join(big, "key", "left_anti") if more else pieces
+        found = some.repartition(part, "key").sortWithinPartitions("key", "piece").mapInPandas(_index(length), MARKED)
+        levels.append(found)
+        if not more:
+            break
+        cut = stored(pieces.join(big, "key", "left_semi").mapInPandas(_narrower(length), "of binary, of_piece binary, " + PIECE), "dup-pieces")
+        whole = cut.groupBy("key", "piece").agg(F.count("*").alias("c"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("lhs").alias("lhs"), F.first("rhs").alias("rhs"))
+        pieces = stored(whole, "dup-pieces")
+        levels.append(cut.select("of", "of_piece", "key", "piece"))
+        levels.append(pieces.where("c > 1").select("key", "piece", F.col("a").alias("least"), F.col("b").alias("most")))  # equal pieces: every window of theirs
+        pieces = pieces.select("key", "piece", "a", "b", "lhs", "rhs")
+    out = levels.pop()
+    while levels:
+        repeated, names, above = levels.pop(), levels.pop(), levels.pop()
+        inner = out.unionAll(repeated).groupBy("key", "piece").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+        up = names.join(inner, ["key", "piece"]).groupBy("of", "of_piece").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+        out = above.unionAll(up.select(F.col("of").alias("key"), F.col("of_piece").alias("piece"), "least", "most"))
+    return out
 
 
 def repeats(docs: DataFrame, length: int, large: int = LARGE) -> DataFrame:
-    """dkey, raw -> dkey, lo, hi: intervals of bytes covered by windows that also start elsewhere (they may overlap)."""
+    """doc_id, row, raw -> doc_id, row, lo, hi: intervals of bytes covered by windows that also start elsewhere (they may overlap)."""
     every = stored(occurrences(docs, length), "dup-anchors")
-    again = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    occ = stored(every.join(again, "anchor", "left_semi"), "dup-repeated", free=True, drop=[every])
-    per = occ.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min("dkey").alias("dkey"))
-    mixed = occ.groupBy("anchor").agg((F.min("ctx") != F.max("ctx")).alias("mixed")).where("mixed").select("anchor")
+    again = stored(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "dup-again")
+    occ = stored(every.join(again, "anchor", "left_semi"), "dup-repeated", free=True, drop=[every, again])
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "pos")).alias("place")
+    per = stored(occ.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), place), "dup-contexts", free=True)
+    mixed = stored(per.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "dup-mixed")
     # Contexts that occur twice: every window in them does. All that a window over the anchor can reach is clipped to the text later.
-    whole = per.where("c > 1").select("anchor", "ctx", F.lit(K - length).alias("lo"), F.lit(length).alias("hi"))
+    whole = per.where("c > 1").select("anchor", "ctx", F.lit(0).alias("least"), F.lit(length - K).alias("most"))
     # Contexts whose anchor has others too: their bytes are needed, from one place each.
-    wanted = per.select("anchor", "ctx", "dkey").join(mixed, "anchor", "left_semi")
-    wanted = stored(occ.join(wanted, ["anchor", "ctx", "dkey"]).groupBy("anchor", "ctx", "dkey").agg(F.min("pos").alias("pos")), "dup-contexts")
-    sizes = wanted.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > large)
-    big = [r["anchor"] for r in sizes.limit(1).collect()]
-    bytes_ = contexts(docs, wanted, length)
-    n = partitions_for(docs)
-    if big:
-        bytes_ = stored(bytes_, "dup-bytes")
-        marked = _by_windows(bytes_.join(sizes.select("anchor"), "anchor", "left_semi").select("anchor", "ctx", "lhs", "rhs"), length)
-        bytes_ = bytes_.join(sizes.select("anchor"), "anchor", "left_anti")
-    found = bytes_.repartition(n, "anchor").sortWithinPartitions("anchor", "ctx").mapInPandas(_index(length), FOUND)
-    if big:
-        found = found.unionAll(marked.select("anchor", "ctx", "lo", "hi"))
-    spans = stored(found.unionAll(whole).groupBy("anchor", "ctx").agg(F.min("lo").alias("from"), F.max("hi").alias("to")), "dup-spans", free=True)
-    return occ.select("anchor", "ctx", "dkey", "pos").join(spans, ["anchor", "ctx"]).select("dkey", (F.col("pos") + F.col("from")).alias("lo"), (F.col("pos") + F.col("to")).alias("hi"))
+    wanted = per.join(mixed, "anchor", "left_semi").select("anchor", "ctx", "place.doc_id", "place.row", "place.pos")
+    name = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    pieces = contexts(docs, wanted, length).select(name("anchor").alias("key"), name("ctx").alias("piece"), F.lit(0).alias("a"), F.lit(length - K).alias("b"), "lhs", "rhs")
+    found = marked(stored(pieces, "dup-bytes", free=True), length, large)
+    long = lambda c: F.conv(F.hex(c), 16, -10).cast("long")
+    found = found.select(long("key").alias("anchor"), long("piece").alias("ctx"), "least", "most")
+    spans = stored(found.unionAll(whole).groupBy("anchor", "ctx").agg((-F.max("most")).alias("from"), (F.lit(length) - F.min("least")).alias("to")), "dup-spans", free=True)
+    return occ.join(spans, ["anchor", "ctx"]).select("doc_id", "row", (F.col("pos") + F.col("from")).alias("lo"), (F.col("pos") + F.col("to")).alias("hi"))
+
+
+def _numbers(words: list[str]) -> np.ndarray:
+    """A number below 2^31 for each word, the first bits of its md5: any engine with md5 gives the same."""
+    return np.fromiter((int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") >> 1 for w in words), dtype=np.int64, count=len(words))
+
+
+def factors() -> list[int]:
+    """Of the words of a run in its hash: below 2^20, from a rule."""
+    return [int.from_bytes(hashlib.md5(str(k).encode()).digest()[:4], "big") >> 12 for k in range(GRAM)]
+
+
+def selected_runs(numbers: np.ndarray) -> np.ndarray:
+    """The distinct hashes of runs of GRAM words of which each PASSAGE words have one: the least of them."""
+    if len(numbers) < PASSAGE:
+        return np.zeros(0, dtype=np.int64)
+    h = np.zeros(len(numbers) - GRAM + 1, dtype=np.int64)
+    for k, f in enumerate(factors()):
+        h += numbers[k : k + len(h)] * f
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, PASSAGE - GRAM + 1).min(axis=1))
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """doc_id, row, raw -> distinct doc_id, row of the documents that hold a passage of another one (or of a repeated row)."""
+
+    def work():
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def call(texts):
+            for i in range(0, len(texts), 500):
+                split = pc.ascii_split_whitespace(pa.array(texts[i : i + 500], pa.binary()).cast(pa.string()))
+                words = split.flatten().dictionary_encode()
+                empty = pc.equal(words.dictionary, "").to_numpy(zero_copy_only=False)
+                numbers = _numbers(words.dictionary.to_pylist())
+                at, of = split.offsets.to_numpy(), words.indices.to_numpy(zero_copy_only=False)
+                for k in range(len(split)):
+                    own = of[at[k] - at[0] : at[k + 1] - at[0]]
+                    runs = selected_runs(numbers[own[~empty[own]]])
+                    if len(runs):
+                        yield np.full(len(runs), i + k), runs
+
+        return lambda texts: _together(call(texts), 2)
+
+    every = stored(by_text(docs.select("doc_id", "row", "raw"), work, "doc_id long, row long, run long"), "passage-runs")
+    again = stored(every.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run"), "passage-again")
+    return stored(every.join(again, "run", "left_semi").select("doc_id", "row").distinct(), "passage-documents", free=True, drop=[every, again])
 
 
 def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, large: int = LARGE) -> DataFrame:
-    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed spans (byte offsets)."""
-    rows = text_batches(docs).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("dkey"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    found = repeats(rows.select("dkey", "raw"), length, large)
+    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage (1 if another document holds
+    a passage of it, else 0), and the removed spans (byte offsets)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+    shared = passages(rows).select(F.col("doc_id").alias("shared_id"), F.col("row").alias("shared_row"))
+    found = repeats(rows, length, large)
     # Intervals of a document, merged: overlapping ones by a running maximum of their ends.
-    order = Window.partitionBy("dkey").orderBy("lo", "hi")
-    found = found.groupBy("dkey", "lo").agg(F.max("hi").alias("hi")).withColumn("reach", F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    order = Window.partitionBy("doc_id", "row").orderBy("lo", "hi")
+    found = found.groupBy("doc_id", "row", "lo").agg(F.max("hi").alias("hi")).withColumn("reach", F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     found = found.withColumn("part", F.sum(F.when(F.col("reach") >= F.col("lo"), 0).otherwise(1)).over(order))
-    merged = found.groupBy("dkey", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("dkey").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("wide"))
-    merged = stored(merged, "dup-merged", free=True)
-
-    def kept(raw: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([_digest(r, [] if s is None else s) for r, s in zip(raw, spans, strict=True)])
-
-    digest = F.pandas_udf(kept, "string")
+    merged = found.groupBy("doc_id", "row", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy(F.col("doc_id").alias("of"), F.col("row").alias("of_row")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("wide"))
+    marks = merged.join(shared, F.col("of").eqNullSafe(F.col("shared_id")) & (F.col("of_row") == F.col("shared_row")), "full")
+    marks = stored(marks.select(F.coalesce("of", "shared_id").alias("of"), F.coalesce("of_row", "shared_row").alias("of_row"), "wide", F.col("shared_row").isNotNull().cast("int").alias("shares")), "dup-merged", free=True)
+    out = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row")), "left")
     size = F.length("raw")
-    clipped = F.transform("wide", lambda s: F.struct(F.greatest(s["lo"], F.lit(0)).alias("lo"), F.least(s["hi"], size).alias("hi")))
-    out = rows.join(merged, "dkey", "left").withColumn("spans", clipped)
-    size = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["hi"] - x["lo"]), F.lit(0).cast("long"))
-    return out.select("doc_id", F.length("raw").cast("long").alias("n_bytes"), size.alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.when(F.col("spans").isNull(), F.sha2("raw", 256)).otherwise(digest("raw", "spans")).alias("kept_sha256"), "spans")
-
-
-def _digest(raw: bytes, spans) -> str:
-    h, at = hashlib.sha256(), 0
-    for s in spans:
-        h.update(raw[at : s["lo"]])
-        at = s["hi"]
-    h.update(raw[at:])
-    return h.hexdigest()
+    out = out.withColumn("spans", F.transform("wide", lambda s: F.struct(F.greatest(s["lo"], F.lit(0)).alias("lo"), F.least(s["hi"], size).alias("hi"))))
+    gone = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["hi"] - x["lo"]), F.lit(0).cast("long"))
+    # What is left: the bytes from each removed run's end to the next one's start.
+    n = F.size("spans")
+    from_ = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("spans", i - 1)["hi"])
+    gaps = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(from_(i).alias("lo"), F.when(i == n, size).otherwise(F.get("spans", i)["lo"]).alias("hi")))
+    kept = F.aggregate(gaps, F.lit(b""), lambda acc, g: F.concat(acc, F.substring("raw", g["lo"] + 1, g["hi"] - g["lo"])))
+    return out.select("doc_id", size.cast("long").alias("n_bytes"), gone.alias("n_removed"), F.coalesce(n, F.lit(0)).cast("long").alias("n_spans"), F.sha2(F.when(F.col("spans").isNull(), F.col("raw")).otherwise(kept), 256).alias("kept_sha256"), F.coalesce("shares", F.lit(0)).alias("shares_passage"), "spans")

@@ -170,10 +170,46 @@ def test_repeats_equal_brute_force(spark, large):
     docs = [text(rng.randrange(0, 700)) for _ in range(15)]
     docs += [text(200) + shared + text(rng.randrange(0, 300)) for _ in range(6)] + [text(50) + shared[10:410] for _ in range(2)] + [shared[:399]]
     docs += [base, base, base[:500] + "#" + base[501:], base[100:], "ab" * 600, "line\n" * 120, text(450) + shared[:405] + "|" + shared[:405]]
-    rows = [(i, d, "c", 3) for i, d in enumerate(docs)] + [(100, None, "c", 1), (101, "", "c", 1), (0, docs[0], "c", 2), (102, "x" * 400, None, None)]
+    docs += [text(rng.randrange(0, 9)) + base[a : a + 420 + rng.randrange(0, 80)] + text(rng.randrange(0, 9)) for a in range(0, 300, 7)]
+    rows = [(i, d, "c", 3) for i, d in enumerate(docs)] + [(100, None, "c", 1), (101, "", "c", 1), (0, docs[0], "c", 2), (102, "x" * 400, None, None), (None, base[:600], "c", 1), (None, text(500), "c", 1), ((1 << 53) + 1, docs[3], "c", 1)]
     got = suffixdup.cut(spark.createDataFrame(rows, SCHEMA), large=large).collect()
-    want = sorted((r[0], *b) for r, b in zip(rows, brute_cut([r[1] for r in rows], 400), strict=True))
-    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    want = sorted(((r[0], *b) for r, b in zip(rows, brute_cut([r[1] for r in rows], 400), strict=True)), key=str)
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == want
+
+
+def test_runs_mark_the_windows_of_brute_force():
+    """Groups of small alphabets: many runs that part and meet again, texts that begin or end near the anchor."""
+    rng = random.Random(3)
+    for trial in range(400):
+        length = rng.choice([66, 75, 90])
+        reach, letters = length - suffixdup.K, "ab" if trial % 2 else "abcd"
+        rows: dict = {}
+        for _ in range(rng.randrange(1, 50)):
+            lhs = "".join(rng.choice(letters) for _ in range(rng.choice([reach, reach, rng.randrange(reach + 1)])))
+            rhs = "A" * suffixdup.K + "".join(rng.choice(letters) for _ in range(rng.randrange(reach + 1)))
+            if rows and rng.random() < 0.7:
+                _, x, y = rng.choice(list(rows))
+                k, m = rng.randrange(len(x) + 1), rng.randrange(suffixdup.K, len(y) + 1)
+                lhs, rhs = (lhs + x[k:])[-reach:], (y[:m] + rhs[m:])[:length]
+            rows[rng.randrange(3), lhs, rhs] = None
+        rows = sorted(rows)
+        wins = [{j: (x[len(x) - j :] + y)[:length] for j in range(len(x) + 1) if len(y) >= length - j} for _, x, y in rows]
+        count = Counter((r[0], j, w) for r, ws in zip(rows, wins, strict=True) for j, w in ws.items())
+        least, most = suffixdup.mark(np.array([r[0] for r in rows]), [r[1].encode() for r in rows], [r[2].encode() for r in rows], length)
+        for k, (r, ws) in enumerate(zip(rows, wins, strict=True)):
+            js = [j for j, w in ws.items() if count[r[0], j, w] > 1]
+            assert (least[k], most[k]) == ((min(js), max(js)) if js else (-1, -1))
+
+
+def test_shared_passages(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = words(60)
+    docs = [words(30) + shared + words(20), words(5) + shared[:50], words(100) + shared[9:59], words(50) + shared[:39] + words(50), words(4) + shared[20:59] + words(9), words(300)]
+    docs += [["again", "and"] * 80, words(10) + [*(loop := words(55)), *loop], words(49), words(3)]
+    rows = [(i, ("  " if i % 2 else "\n").join(d)) for i, d in enumerate(docs)] + [(20, None), (21, ""), (None, " ".join(docs[5][100:150]))]
+    got = {r["doc_id"]: r["shares_passage"] for r in suffixdup.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, x in got.items() if x} == {0, 1, 2, 5, None} and set(got) == {r[0] for r in rows}
 
 
 def test_every_window_has_an_anchor():
