@@ -14,7 +14,7 @@ from .jaccard import groups
 from .mixing import mix
 from .neighbours import nearest
 from .records import round_trip
-from .suffixdup import GRAM, PASSAGE, cut, factors
+from .suffixdup import GRAM, MIX, PASSAGE, PRIMES, cut, factors
 from .tokencount import count_documents
 
 
@@ -161,8 +161,9 @@ ORACLES["op7_suffix_repeats"] = rf"""
              p AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS free FROM s),
              k AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans, max(hi) AS tail, string_agg(hex(b[free + 1:lo]), '' ORDER BY lo) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id),
              xs AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) // 2) AS x FROM documents),
-             hs AS (SELECT doc_id, list_transform(range(CAST(len(x) - {GRAM - 1} AS BIGINT)), lambda i: {_RUN}) AS h FROM xs WHERE len(x) >= {PASSAGE}),
-             rs AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, CAST(len(h) - {PASSAGE - GRAM - 1} AS BIGINT)), lambda i: list_min(h[i:i + {PASSAGE - GRAM}])))) AS run FROM hs),
+             hs AS (SELECT doc_id, list_transform(range(CAST(len(x) - {GRAM - 1} AS BIGINT)), lambda i: {_RUN}) AS s FROM xs WHERE len(x) >= {PASSAGE}),
+             os AS (SELECT doc_id, list_transform(s, lambda v: (v % {PRIMES[0]} * {MIX[0]} % {PRIMES[1]} + v // {PRIMES[0]} * {MIX[1]} % {PRIMES[1]}) % {PRIMES[1]} * 2147483648 + v % {PRIMES[0]}) AS h FROM hs),
+             rs AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, CAST(len(h) - {PASSAGE - GRAM - 1} AS BIGINT)), lambda i: list_min(h[i:i + {PASSAGE - GRAM}])))) AS run FROM os),
              sp AS (SELECT DISTINCT doc_id FROM rs WHERE run IN (SELECT run FROM rs GROUP BY run HAVING count(*) > 1))
         SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
                CASE WHEN spans IS NULL THEN sha256(b) ELSE sha256(unhex(kept || hex(b[tail + 1:n]))) END AS kept_sha256,

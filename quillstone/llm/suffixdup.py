@@ -48,7 +48,7 @@ from .jaccard import by_group
 K = 64
 #: Contexts of one key that a task takes (about 1 KB each), contexts that go through the columns together, and the parts a
 #: range of windows is split into.
-LARGE, ROWS, PARTS = 50_000, 20_000, 8
+LARGE, ROWS, PARTS = 20_000, 20_000, 8
 #: Words of the runs that are compared, and of the passages that always have one selected.
 GRAM, PASSAGE = 40, 50
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -168,6 +168,7 @@ def mark(group: np.ndarray, left: list[bytes], right: list[bytes], length: int)
     breaks = same[np.argsort(precedes[same], kind="stable")]
     cut_at = np.searchsorted(precedes[breaks], np.arange(reach + 2))
     lengths = np.array([len(x) for x in left], dtype=np.int64)
+    text, text_ends = np.frombuffer(b"\0" * (reach + 1) + b"".join(left), dtype=np.uint8).astype(np.int16), np.cumsum(lengths) + reach + 1
     for j in range(1, reach + 1):
         if not len(first):
             break
@@ -187,9 +188,10 @@ def mark(group: np.ndarray, left: list[bytes], right: list[bytes], length: int)
             within[head[0]], parts = inner(first[head[0]], last[head[0]]), inner(new, ends)
             first, last, key, match, within = (np.insert(x, inside + 1, y) for x, y in ((first, new), (last, ends), (key, key[inside]), (match, follows[new]), (within, parts)))
         # The column: a byte for each run (none where the texts begin), and the runs permuted stably by it.
-        byte = np.fromiter((left[r][-j] if j <= w else 256 for r, w in zip(first.tolist(), lengths[first].tolist(), strict=True)), dtype=np.int64, count=len(first))
-        step = np.argsort(key * 257 + byte, kind="stable")
-        sorted_key = (key * 257 + byte)[step]
+        byte = np.where(lengths[first] >= j, text[text_ends[first] - j], 256)
+        column = key * 257 + byte
+        step = np.argsort(column, kind="stable")
+        sorted_key = column[step]
         joined = np.append(False, sorted_key[1:] == sorted_key[:-1])
         now = np.full(len(step), -1, dtype=np.int64)
         heads = np.flatnonzero(joined)
@@ -274,48 +276,58 @@ def _index(length: int):
     return run
 
 
+NAMES = "of binary, of_piece binary, key binary, piece binary, a int, b int"
+
+
 def _narrower(length: int):
-    """Pieces of a range of windows -> those of its parts, each with the name of what it was cut from."""
+    """Pieces of a range of windows -> the names of what its parts cut from them; no bytes."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for key, piece, a, b, lhs, rhs in zip(*(pdf[c] for c in ("key", "piece", "a", "b", "lhs", "rhs")), strict=True):
                 cuts = np.unique(np.linspace(a, b + 1, PARTS + 1).astype(int)).tolist()
+                raw, at = lhs + rhs, len(lhs)
                 for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                     y -= 1
-                    before, after = lhs[-y:] if y else b"", rhs[: length - x]
-                    if len(lhs) >= x and len(rhs) >= length - y:
-                        shared = (lhs[-x:] if x else b"") + rhs[: length - y]
-                        own = xxhash.xxh3_128_digest(before + after, len(before))
-                        rows.append((key, piece, xxhash.xxh3_128_digest(key + bytes([x & 255, x >> 8, y & 255, y >> 8]) + shared), own, x, y, before, after))
-            yield pd.DataFrame(rows, columns=["of", "of_piece", "key", "piece", "a", "b", "lhs", "rhs"])
+                    if at >= x and len(rhs) >= length - y:
+                        shared = xxhash.xxh3_128_digest(key + bytes([x & 255, x >> 8, y & 255, y >> 8]) + raw[at - x : at + length - y])
+                        before = min(y, at)
+                        rows.append((key, piece, shared, xxhash.xxh3_128_digest(raw[at - before : at + length - x], before), x, y))
+            yield pd.DataFrame(rows, columns=["of", "of_piece", "key", "piece", "a", "b"])
 
     return run
 
 
 def marked(pieces: DataFrame, length: int, large: int) -> DataFrame:
-    """PIECE rows, a row for each piece of a key -> MARKED."""
-    part, levels, out = partitions_for(pieces), [], None
+    """PIECE rows, a row for each piece of a key -> MARKED.
+
+    Keys of more than `large` pieces are split by ranges of windows: first in names only; bytes are then cut, one piece of
+    each name, for those keys alone that still have several pieces."""
+    part, levels = partitions_for(pieces), []
     while True:
         sizes = pieces.groupBy("key").agg(F.count("*").alias("size"))
         big = stored(sizes.where(F.col("size") > large).select("key"), "dup-large")
         more = not big.isEmpty()
         some = pieces.join(big, "key", "left_anti") if more else pieces
-        found = some.repartition(part, "key").sortWithinPartitions("key", "piece").mapInPandas(_index(length), MARKED)
-        levels.append(found)
+        levels.append(some.repartition(part, "key").sortWithinPartitions("key", "piece").mapInPandas(_index(length), MARKED))
         if not more:
             break
-        cut = stored(pieces.join(big, "key", "left_semi").mapInPandas(_narrower(length), "of binary, of_piece binary, " + PIECE), "dup-pieces")
-        whole = cut.groupBy("key", "piece").agg(F.count("*").alias("c"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("lhs").alias("lhs"), F.first("rhs").alias("rhs"))
-        pieces = stored(whole, "dup-pieces")
-        levels.append(cut.select("of", "of_piece", "key", "piece"))
-        levels.append(pieces.where("c > 1").select("key", "piece", F.col("a").alias("least"), F.col("b").alias("most")))  # equal pieces: every window of theirs
-        pieces = pieces.select("key", "piece", "a", "b", "lhs", "rhs")
+        parents = stored(pieces.join(big, "key", "left_semi"), "dup-parents")
+        names = stored(parents.mapInPandas(_narrower(length), NAMES), "dup-names")
+        per = stored(names.groupBy("key", "piece").agg(F.count("*").alias("c"), F.min("a").alias("a"), F.min("b").alias("b"), F.min(F.struct("of", "of_piece")).alias("src")), "dup-names")
+        levels.append(names.select("of", "of_piece", "key", "piece"))
+        levels.append(per.where("c > 1").select("key", "piece", F.col("a").alias("least"), F.col("b").alias("most")))  # equal pieces: every window of theirs
+        mixed = stored(per.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "dup-mixed")
+        wanted = per.join(mixed, "key", "left_semi").select("src.of", "src.of_piece", "key", "piece", "a", "b")
+        cut = wanted.join(parents.select(F.col("key").alias("of"), F.col("piece").alias("of_piece"), "lhs", "rhs"), ["of", "of_piece"])
+        lhs = F.expr("substring(lhs, greatest(length(lhs) - b, 0) + 1, b)")
+        pieces = stored(cut.select("key", "piece", "a", "b", lhs.alias("lhs"), F.expr(f"substring(rhs, 1, {length} - a)").alias("rhs")), "dup-pieces")
     out = levels.pop()
     while levels:
         repeated, names, above = levels.pop(), levels.pop(), levels.pop()
         inner = out.unionAll(repeated).groupBy("key", "piece").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+        inner = stored(inner, "dup-inner")
         up = names.join(inner, ["key", "piece"]).groupBy("of", "of_piece").agg(F.min("least").alias("least"), F.max("most").alias("most"))
         out = above.unionAll(up.select(F.col("of").alias("key"), F.col("of_piece").alias("piece"), "least", "most"))
     return out
@@ -352,14 +364,37 @@ def factors() -> list[int]:
     return [int.from_bytes(hashlib.md5(str(k).encode()).digest()[:4], "big") >> 12 for k in range(GRAM)]
 
 
-def selected_runs(numbers: np.ndarray) -> np.ndarray:
-    """The distinct hashes of runs of GRAM words of which each PASSAGE words have one: the least of them."""
-    if len(numbers) < PASSAGE:
-        return np.zeros(0, dtype=np.int64)
+#: Of the order of runs: two primes and two factors below 2^31.
+PRIMES, MIX = (2147483647, 2147483629), (1812433253, 1664525261)
+
+
+def selected_runs(numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the distinct hashes of runs of GRAM words in each text of which each PASSAGE words have one: the
+    least of them. numbers: the words of all texts, one after the other; sizes: how many each has.
+
+    The weighted sum of a run differs little from the next one's, so sums are put in an order without regard to their
+    size: 31 bits of order, then 31 of the sum."""
+    count = np.maximum(0, sizes - PASSAGE + 1)  # windows of each text
+    if not count.any():
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     h = np.zeros(len(numbers) - GRAM + 1, dtype=np.int64)
     for k, f in enumerate(factors()):
         h += numbers[k : k + len(h)] * f
-    return np.unique(np.lib.stride_tricks.sliding_window_view(h, PASSAGE - GRAM + 1).min(axis=1))
+    high, low = np.divmod(h, PRIMES[0])
+    order = (low * MIX[0] % PRIMES[1] + high * MIX[1] % PRIMES[1]) % PRIMES[1]
+    h = (order << 31) + low
+    least = h[: len(h) - (PASSAGE - GRAM)].copy()
+    for k in range(1, PASSAGE - GRAM + 1):
+        np.minimum(least, h[k : k + len(least)], out=least)
+    text = np.repeat(np.arange(len(sizes)), count)
+    starts = np.cumsum(sizes) - sizes
+    least = least[np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(len(text))]
+    new = np.append(True, (least[1:] != least[:-1]) | (text[1:] != text[:-1]))
+    text, least = text[new], least[new]
+    by = np.lexsort((least, text))
+    text, least = text[by], least[by]
+    new = np.append(True, (least[1:] != least[:-1]) | (text[1:] != text[:-1]))
+    return text[new], least[new]
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -370,19 +405,15 @@ def passages(docs: DataFrame) -> DataFrame:
         import pyarrow.compute as pc
 
         def call(texts):
-            for i in range(0, len(texts), 500):
-                split = pc.ascii_split_whitespace(pa.array(texts[i : i + 500], pa.binary()).cast(pa.string()))
-                words = split.flatten().dictionary_encode()
-                empty = pc.equal(words.dictionary, "").to_numpy(zero_copy_only=False)
-                numbers = _numbers(words.dictionary.to_pylist())
-                at, of = split.offsets.to_numpy(), words.indices.to_numpy(zero_copy_only=False)
-                for k in range(len(split)):
-                    own = of[at[k] - at[0] : at[k + 1] - at[0]]
-                    runs = selected_runs(numbers[own[~empty[own]]])
-                    if len(runs):
-                        yield np.full(len(runs), i + k), runs
-
-        return lambda texts: _together(call(texts), 2)
+            split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+            words = split.flatten().dictionary_encode()
+            full = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)
+            numbers, of = _numbers(words.dictionary.to_pylist()), words.indices.to_numpy(zero_copy_only=False)
+            there = np.append(0, np.cumsum(full[of])) if len(of) else np.zeros(1, dtype=np.int64)
+            at = split.offsets.to_numpy() - split.offsets[0].as_py()
+            yield selected_runs(numbers[of[full[of]]] if len(of) else np.zeros(0, dtype=np.int64), np.diff(there[at]))
+
+        return call
 
     every = stored(by_text(docs.select("doc_id", "row", "raw"), work, "doc_id long, row long, run long"), "passage-runs")
     again = stored(every.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run"), "passage-again")
