@@ -1,10 +1,15 @@
 """Sources mixed to target weights by Pareto order sampling.
 
 Every source has a target in words. Its documents first get the certain whole copies that all of them get, the whole
-part of target / source size. What is left is sampled: each document has an inclusion probability p (that fraction,
-times its own weight if there is one) and a random number u from its id, and documents are ranked by
-(u / (1 - u)) / (p / (1 - p)), Pareto order sampling (Rosen 1997). The sample is fixed in size: from the top of the
-ranking, as many as fit in the words left; two more passes fill the gap with the next ones that are small enough.
+part of target / source size. What is left, the gap, is sampled: each document has an inclusion probability p and a
+random number u from its id, and documents are ranked by (u / (1 - u)) / (p / (1 - p)), Pareto order sampling (Rosen
+1997). Probabilities are unequal: p = t min(1, long / size), times the document's own weight over its source's largest
+if there are weights. So documents of up to `long` words have equal chances, and a longer one's fall as its size grows:
+the words it is expected to bring stay those of a document of `long` words, and no few of them make up the mix. `long` is
+the least doubling of the source's mean size with which the expected words reach the gap at a t of 1 or less; t makes
+them equal to it. A document larger than the gap cannot be taken and has probability 0.
+The sample is fixed in size, which is counted in words: from the top of the ranking, as many as fit in the gap. Two more
+passes close what is left, less than one document, with the next ones that are small enough.
 
 No rank over a whole source is ever made in one task: documents fall in buckets of the ranking, word sums of buckets
 are added up, and only the bucket at which the words run out is ranked one by one. All that leaves the executors is one
@@ -26,6 +31,10 @@ from .common import WORD, stored, uniform
 
 #: Documents in a bucket of the ranking, about.
 BUCKET = 1000
+#: Doublings of the mean size that `long` is looked for among.
+DOUBLINGS = 21
+STATE = ("source", "source_size", "target", "whole", "gap_words")
+CHANCES = ("long", "odds", "most_weight")
 
 
 def words(text: Column) -> Column:
@@ -49,11 +58,30 @@ def targets(sizes: DataFrame, *, share: float, weights: tuple[float, ...], cap:
     return s.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(first * F.col("w")).alias("target"))
 
 
-def _rank() -> Column:
+def _inclusion(size: str = "size", weight: str = "weight", of: str = "") -> Column:
+    """The probability that the gap's sample takes a document; null where nothing is sampled."""
+    p = F.col(f"{of}odds") * F.least(F.lit(1.0), F.col(f"{of}long") / F.col(size)) * (F.col(weight) / F.col(f"{of}most_weight"))
+    return F.when((F.col(f"{of}gap_words") > 0) & (F.col(size) > 0) & (F.col(size) <= F.col(f"{of}gap_words")), F.least(p, F.lit(1 - 1e-9)))
+
+
+def _rank(p: Column, u: str = "u") -> Column:
     """Place in the ranking, from 0 to 1: odds x as x / (1 + x)."""
-    p = F.least(F.col("fraction") * F.col("weight") / F.col("mean_weight"), F.lit(1 - 1e-9))
-    odds = F.col("u") / (1 - F.col("u")) * ((1 - p) / p)
-    return F.when(F.col("fraction") > 0, odds / (1 + odds))
+    odds = F.col(u) / (1 - F.col(u)) * ((1 - p) / p)
+    return F.when(p > 0, odds / (1 + odds))
+
+
+def _chances(base: DataFrame, state: DataFrame) -> DataFrame:
+    """state with long, odds (t) and most_weight of each source."""
+    means = base.groupBy(F.col("source").alias("source_of")).agg(F.count(F.when(F.col("size") > 0, 1)).alias("n"), F.max("weight").alias("most_weight"))
+    state = state.join(means, F.col("source").eqNullSafe(F.col("source_of"))).drop("source_of")
+    long = lambda j: F.ceil(F.col("source_size") / F.nullif(F.col("n"), F.lit(0)) * F.lit(float(1 << j))).cast("long")
+    rows = _with_state(base, state).where((F.col("size") > 0) & (F.col("size") <= F.col("gap_words")))
+    mass = rows.groupBy(F.col("source").alias("source_of")).agg(*(F.sum(F.least(F.col("size"), long(j)) * (F.col("weight") / F.col("most_weight"))).alias(f"mass{j}") for j in range(DOUBLINGS)))
+    state = state.join(mass, F.col("source").eqNullSafe(F.col("source_of")), "left").drop("source_of")
+    levels = F.array(*(F.struct(long(j).alias("long"), F.col(f"mass{j}").alias("mass")) for j in range(DOUBLINGS)))
+    level = F.coalesce(F.get(F.filter(levels, lambda x: x["mass"] >= F.col("gap_words")), 0), F.element_at(levels, -1))
+    state = state.withColumn("level", level)
+    return state.select(*STATE, F.col("level.long").alias("long"), F.least(F.lit(1.0), F.col("gap_words") / F.col("level.mass")).alias("odds"), "most_weight")
 
 
 def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, share: float = 1.5, weights: tuple[float, ...] = (3.0, 1.0, 2.0), cap: int = 2, seed: int = 17, passes: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -64,10 +92,8 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     )
     state = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), share=share, weights=weights, cap=cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    state = state.withColumn("whole", F.floor(rate).cast("int")).withColumn("fraction", rate - F.floor(rate)).withColumn("gap", F.col("target") - F.col("whole") * F.col("source_size"))
-    # Weights are relative: the mean word of a source has its fraction as inclusion probability.
-    means = base.groupBy(F.col("source").alias("source_of")).agg(F.coalesce(F.sum(F.col("weight") * F.col("size")) / F.nullif(F.sum("size"), F.lit(0)), F.lit(1.0)).alias("mean_weight"))
-    state = state.join(means, F.col("source").eqNullSafe(F.col("source_of"))).drop("source_of")
+    state = state.withColumn("whole", F.floor(rate).cast("int")).withColumn("gap_words", F.col("target") - F.floor(rate) * F.col("source_size"))
+    state = _chances(base, state).withColumn("gap", F.col("gap_words"))
     state = stored(state.withColumn("cuts", F.expr("cast(array() as array<struct<most:double,cut:struct<rank:double,doc_id:bigint,size:bigint>>>)")), "mix-state")
     buckets = 1 << max(6, math.ceil(math.log2(max(1, base.count()) / BUCKET)))
     for _ in range(passes):
@@ -82,7 +108,7 @@ def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
 
 def _taken() -> Column:
     key = F.struct(F.col("rank"), F.col("doc_id").cast("long").alias("doc_id"), F.col("size"))
-    return F.exists("cuts", lambda c: (F.col("size") <= c["most"]) & (key <= c["cut"]))
+    return F.col("rank").isNotNull() & F.exists("cuts", lambda c: (F.col("size") <= c["most"]) & (key <= c["cut"]))
 
 
 def _cut(rank: Column) -> Column:
@@ -91,7 +117,7 @@ def _cut(rank: Column) -> Column:
 
 def _fill(base: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
     """One more cut for each source: from the top of the ranking, as many of the documents that are left and no larger than the gap as fit in it."""
-    rows = _with_state(base, state).withColumn("rank", _rank()).where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & F.col("rank").isNotNull())
+    rows = _with_state(base, state).withColumn("rank", _rank(_inclusion())).where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & F.col("rank").isNotNull())
     rows = rows.where(~_taken()).select("source", "doc_id", "size", "rank", "gap", F.floor(F.col("rank") * buckets).alias("bucket"))
     sums = rows.groupBy("source", "bucket", "gap").agg(F.sum("size").alias("total"))
     run = Window.partitionBy("source").orderBy("bucket")
@@ -110,29 +136,28 @@ def _fill(base: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
     )
     s = state.join(ends, F.col("source").eqNullSafe(F.col("source_of")), "left")
     cut = F.array(F.struct(F.col("gap").alias("most"), F.col("cut").alias("cut")))
-    return s.select("source", "source_size", "target", "whole", "fraction", "mean_weight", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"), F.when(F.col("used").isNotNull(), F.concat("cuts", cut)).otherwise(F.col("cuts")).alias("cuts"))
+    return s.select(*STATE, *CHANCES, (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"), F.when(F.col("used").isNotNull(), F.concat("cuts", cut)).otherwise(F.col("cuts")).alias("cuts"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target (of its source), copies, taken (words)."""
+    """A row for each document: doc_id, source, size, source_size, target (of its source), inclusion (the probability that
+    the sample beyond the whole copies takes it), copies, taken (words)."""
     base, state = plan(docs, **options)
-    rows = _with_state(base, state).withColumn("rank", _rank())
+    rows = _with_state(base, state).withColumn("p", _inclusion()).withColumn("rank", _rank(F.col("p")))
     copies = F.col("whole") + F.when(_taken(), 1).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("p", F.lit(0.0)).alias("inclusion"), copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, seed: int = 17, **options) -> DataFrame:
     """The documents, each as often as the mix takes it, with the columns that they had."""
     _, state = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, weight_col=weight_col, seed=seed, **options)
-    state = state.select(F.struct("source", "whole", "fraction", "mean_weight", "cuts").alias("__mix"))
+    state = state.select(F.struct("source", "whole", "gap_words", *CHANCES, "cuts").alias("__mix"))
     weight = (F.col(weight_col) if weight_col else F.lit(1.0)).cast("double")
     drawn = docs.join(state, F.col(source_col).eqNullSafe(F.col("__mix.source")))
     own = F.struct(uniform(F.col(id_col), seed).alias("u"), words(F.col(text_col)).alias("size"), weight.alias("weight"))
     drawn = drawn.withColumn("__own", own)
-    p = F.least(F.col("__mix.fraction") * F.col("__own.weight") / F.col("__mix.mean_weight"), F.lit(1 - 1e-9))
-    odds = F.col("__own.u") / (1 - F.col("__own.u")) * ((1 - p) / p)
-    key = F.struct(F.when(F.col("__mix.fraction") > 0, odds / (1 + odds)).alias("rank"), F.col(id_col).cast("long").alias("doc_id"), F.col("__own.size").alias("size"))
+    rank = _rank(_inclusion("__own.size", "__own.weight", "__mix."), "__own.u")
+    key = F.struct(rank.alias("rank"), F.col(id_col).cast("long").alias("doc_id"), F.col("__own.size").alias("size"))
     extra = F.exists("__mix.cuts", lambda c: (F.col("__own.size") <= c["most"]) & (key <= c["cut"]))
-    n = F.col("__mix.whole") + F.when(extra, 1).otherwise(0)
-    drawn = drawn.withColumn("__n", F.col("__mix.whole") + F.when(extra, 1).otherwise(0)).where("__n > 0")
+    drawn = drawn.withColumn("__n", F.col("__mix.whole") + F.when(extra & rank.isNotNull(), 1).otherwise(0)).where("__n > 0")
     return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -109,9 +109,13 @@ ORACLES["op3_source_mix"] = (
              s4 AS (SELECT source, source_size, CASE WHEN level * w >= most THEN most ELSE max(CASE WHEN level * w < most THEN level END) OVER () * w END AS target FROM s3),
              s5 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM s4),
              ag AS (SELECT source, target - floor(rate) * source_size AS gap FROM s5),
-             ad0 AS (SELECT s0.doc_id, s0.source, s0.size, s0.u, CAST(floor(rate) AS INTEGER) AS whole, least(rate - floor(rate), 1 - 1e-9) AS f, source_size, target FROM s0 JOIN s5 ON s0.source IS NOT DISTINCT FROM s5.source),
-             ad1 AS (SELECT *, u / (1 - u) * ((1 - f) / f) AS odds FROM ad0 WHERE f > 0),
-             ad AS (SELECT doc_id, source, size, odds / (1 + odds) AS rank, whole, source_size, target, false AS taken FROM ad1 UNION ALL SELECT doc_id, source, size, NULL, whole, source_size, target, false FROM ad0 WHERE NOT f > 0),"""
+             m0 AS (SELECT s0.source, gap, any_value(source_size)::DOUBLE / nullif(count(*) FILTER (WHERE size > 0), 0) AS mean FROM s0 JOIN ag ON s0.source IS NOT DISTINCT FROM ag.source JOIN s1 ON s0.source IS NOT DISTINCT FROM s1.source GROUP BY s0.source, gap),
+             m1 AS (SELECT m0.source, j, CAST(ceil(mean * 2.0::DOUBLE ** j) AS BIGINT) AS long, sum(least(size, CAST(ceil(mean * 2.0::DOUBLE ** j) AS BIGINT))) AS mass, any_value(gap) AS gap FROM m0 JOIN s0 ON s0.source IS NOT DISTINCT FROM m0.source CROSS JOIN range(21) r(j) WHERE size > 0 AND size <= gap GROUP BY m0.source, j, mean),
+             m2 AS (SELECT source, long, least(1.0::DOUBLE, gap / mass) AS t FROM m1 QUALIFY row_number() OVER (PARTITION BY source ORDER BY CASE WHEN mass >= gap THEN j ELSE 41 - j END) = 1),
+             ad0 AS (SELECT s0.doc_id, s0.source, s0.size, s0.u, CAST(floor(rate) AS INTEGER) AS whole, CASE WHEN ag.gap > 0 AND size > 0 AND size <= ag.gap THEN least(t * least(1.0::DOUBLE, long::DOUBLE / size), 1 - 1e-9) END AS p, source_size, target
+                     FROM s0 JOIN s5 ON s0.source IS NOT DISTINCT FROM s5.source JOIN ag ON s0.source IS NOT DISTINCT FROM ag.source LEFT JOIN m2 ON s0.source IS NOT DISTINCT FROM m2.source),
+             ad1 AS (SELECT *, u / (1 - u) * ((1 - p) / p) AS odds FROM ad0 WHERE p > 0),
+             ad AS (SELECT doc_id, source, size, odds / (1 + odds) AS rank, whole, source_size, target, false AS taken FROM ad1 UNION ALL SELECT doc_id, source, size, NULL, whole, source_size, target, false FROM ad0 WHERE coalesce(p, 0) <= 0),"""
     + "".join(_MIX_PASS.format(p=p, n=n) for p, n in zip("abc", "bcd", strict=True))
     + """
              z AS (SELECT 1)  -- ends the list of passes

@@ -63,10 +63,12 @@ def test_damage_is_found():
             records.unframe(bad, 0)
 
 
-def test_flat_counts(spark, docs, encoder):
-    got = tokencount.count_documents(spark, docs, file_bytes=64).collect()
-    want = sorted(((d, len(plain(encoder, t)) + 1) for d, t in DOCS if d != 7), key=str)
-    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got if r["doc_id"] != 7), key=str)[: len(want)] != [] and len(got) >= len(DOCS)
+@pytest.mark.parametrize("file_bytes", [64, 16 << 20])
+def test_flat_counts(spark, docs, encoder, file_bytes):
+    """Every row, the text that holds separators, the null id and the repeated rows included, against plain encoding."""
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in tokencount.count_documents(spark, docs, file_bytes=file_bytes).collect()), key=str)
+    assert got == sorted(((d, len(plain(encoder, t)) + 1) for d, t in DOCS), key=str)
+    assert dict(got)[7] == len(plain(encoder, dict(DOCS)[7])) + 1
 
 
 def test_flat_counts_of_texts_that_hold_separators(spark, docs, encoder):
