@@ -173,14 +173,16 @@ def _indexes(items: DataFrame, *, item_col: str = "item_id", item_text_col: str
     """An index for each shard of the items, with the statistics of all of them."""
     bench = stored(items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null"), "bench-items")
 
-    def terms(batches):
-        for pdf in batches:
-            rows = [(w, len(ws)) for t in pdf["text"] for ws in [words(t)] for w in set(ws)]
-            lengths = [len(words(t)) for t in pdf["text"]]
-            yield pd.DataFrame({"term": [r[0] for r in rows], "n": 1, "length": 0})
-            yield pd.DataFrame({"term": "", "n": [int(x > 0) for x in lengths], "length": lengths})
-
-    counts = lambda df: df.select("text").mapInPandas(terms, "term string, n long, length long")
+    def terms():
+        def call(texts):
+            of = [words(t) for t in texts]
+            own = [(i, w) for i, ws in enumerate(of) for w in set(ws)]
+            yield [i for i, _ in own], [w for _, w in own], [1] * len(own), [0] * len(own)
+            yield range(len(of)), [""] * len(of), [int(bool(ws)) for ws in of], [len(ws) for ws in of]
+
+        return call
+
+    counts = lambda df: by_text(df.select("text"), terms, "term string, n long, length long")
     counted = stored(counts(bench).groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length"), F.max("length").alias("longest")), "bench-terms")
     whole = counted.where("term = ''").first()
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0

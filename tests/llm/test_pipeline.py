@@ -70,3 +70,49 @@ def test_records_hold_every_copy(stages):
     assert a == b
     n = records.orderBy("start").collect()
     assert all(x["start"] + x["n_tokens"] == y["start"] for x, y in zip(n[:-1], n[1:], strict=True))
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars int, toxic_flag string, cls string, size double, rank int, item_id long"
+
+
+def written(spark, path, docs, labels, items):
+    spark.createDataFrame(docs, CLASH).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def through(spark, path):
+    docs = table(spark, path, "documents")
+    out = [docs]
+    for k, (name, f) in enumerate(corpus_pipeline.STAGES):
+        docs = f(spark, docs, path)
+        assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == out[0].columns
+        out.append(docs := stored(docs, f"e-{name}"))
+    return out
+
+
+def test_every_stage_with_odd_rows(spark, tmp_path):
+    """Null ids, texts, languages and sources, empty and very long texts, repeated rows, clashing columns."""
+    import random
+
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    item, twin, big = prose(30), prose(80), (1 << 53) + 1
+    rows = [(i, f"{prose(30)} idiot scum {prose(20)}" if i % 4 == 0 else prose(60), ("en", "de", None)[i % 3], ("a", "b", None)[i % 3]) for i in range(400)]
+    labels = [(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (5, None)]
+    rows += [(1000, None, None, None), (1001, "", "en", "a"), (None, None, None, None), (1002, prose(30_000), "en", "a"), (1003, twin, "en", "a"), (None, twin, "en", "b"), (big, twin + " end", None, None), (1004, prose(40), "en", "b"), (1004, rows[1][1] + " more", "en", "b")]
+    rows += [(1005, f"{prose(20)} {item} {prose(20)}", "en", "a"), (None, f"{item} {prose(70)}", "en", "a"), (None, f"{prose(50)} idiot scum idiot", "en", "a"), (1006, same := prose(50), "en", "a"), (1006, same, "en", "a")]
+    docs = [(*r, 1, "yes", "c", 0.5, 3, 9) for r in rows]
+    start, clean, single, kept, mixed_, ids = through(spark, written(spark, tmp_path, docs, labels, [(1, item), (None, None), (3, "")]))
+    texts = lambda df: [r["text"] for r in df.collect()]
+    assert not [t for t in texts(clean) if t and "idiot" in t] and clean.count() >= len(rows) - 101 - 8
+    assert sum((t or "").startswith(twin) for t in texts(single)) == 1 and (1003, twin) in {(r["doc_id"], r["text"]) for r in single.collect()}
+    assert not [t for t in texts(kept) if t and item in t] and kept.count() == single.count() - sum(item in (t or "") for t in texts(single))
+    assert sorted(str(r["doc_id"]) for r in ids.collect()) == sorted(str(r["doc_id"]) for r in mixed_.collect()) and mixed_.count()
+
+
+def test_every_stage_without_rows(spark, tmp_path):
+    for k, (docs, labels, items) in enumerate((([], [], []), ([(1, "a b c d e f", "en", "a", 1, None, None, None, None, None)], [], []), ([(None,) * 10], [(None, None)], [(None, None)]))):
+        out = through(spark, written(spark, tmp_path / str(k), docs, labels, items))
+        assert all(df.count() <= max(1, 2 * len(docs)) for df in out) and out[3].count() == len(docs)
