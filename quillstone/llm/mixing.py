@@ -155,7 +155,7 @@ def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     weight = (F.col(weight_col) if weight_col else F.lit(1.0)).cast("double")
     drawn = docs.join(state, F.col(source_col).eqNullSafe(F.col("__mix.source")))
     own = F.struct(uniform(F.col(id_col), seed).alias("u"), words(F.col(text_col)).alias("size"), weight.alias("weight"))
-    drawn = drawn.withColumn("__own", own)
+    drawn = drawn.withColumn("__own", F.explode(F.array(own)))  # counted once, however often it is referred to
     rank = _rank(_inclusion("__own.size", "__own.weight", "__mix."), "__own.u")
     key = F.struct(rank.alias("rank"), F.col(id_col).cast("long").alias("doc_id"), F.col("__own.size").alias("size"))
     extra = F.exists("__mix.cuts", lambda c: (F.col("__own.size") <= c["most"]) & (key <= c["cut"]))
