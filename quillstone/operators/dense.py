@@ -18,8 +18,9 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, id_col: str, vector_col: str, space_col: str | None = None, top_k: int = 10, per_space: int | None = None, block: int = 2048) -> DataFrame:
-    """query_id, id, space, score, rank. Scores of zero or less and vectors of another length are left out; ties go by id.
+def search(vectors: DataFrame, queries: DataFrame, *, id_col: str, vector_col: str, space_col: str | None = None, top_k: int = 10, per_space: int | None = None, block: int = 2048, least: float | None = 0.0, own: bool = True) -> DataFrame:
+    """query_id, id, space, score, rank. Scores of `least` or less and vectors of another length are left out (own=False: and the row
+    of the query's own id); ties go by id.
 
     queries: query_id, vector. They go to the vectors in blocks of at most `block` by broadcast, so that no vector is
     shuffled; each block keeps its best hits only."""
@@ -30,7 +31,9 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str, vector_col: s
     out = None
     for k in range(max(1, -(-n // block))):
         part = q if n <= block else q.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block))) == k)
-        hits = v.join(F.broadcast(part), F.size("v") == F.size("q")).select("query_id", "id", "space", dot(F.col("v"), F.col("q")).alias("score")).where("score > 0")
+        hits = v.join(F.broadcast(part), F.size("v") == F.size("q")).select("query_id", "id", "space", dot(F.col("v"), F.col("q")).alias("score"))
+        hits = hits if least is None else hits.where(F.col("score") > least)
+        hits = hits if own else hits.where("id <> query_id")
         if per_space:
             hits = hits.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "space").orderBy(*order))).where(F.col("_r") <= per_space).drop("_r")
         hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= top_k)
@@ -38,20 +41,32 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str, vector_col: s
     return out
 
 
-def hash_buckets(docs: DataFrame, id_col: str, text: Column, dim: int = DIM) -> DataFrame:
-    """id, bucket, weight: unit-length signed counts of the tokens' md5 buckets; sparse, so that no dense vector is built."""
-    t = docs.select(F.col(id_col).alias("id"), F.explode(tokenize(text)).alias("term"))
+def _signed(docs: DataFrame, id_col: str, text: Column, dim: int) -> DataFrame:
+    """id, bucket, w: signed counts of the tokens' md5 buckets, where they are not 0."""
+    t = docs.select(F.col(id_col).alias("id"), F.explode(tokenize(text)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("c"))
     h = F.md5("term")
     sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    t = t.select("id", (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int").alias("bucket"), sign.alias("s"))
-    b = t.groupBy("id", "bucket").agg(F.sum("s").alias("w")).where("w <> 0")
-    length = b.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return b.join(length, "id").select("id", "bucket", (F.col("w") / F.col("length")).alias("weight"))
-
-
-def hash_search(docs: DataFrame, queries: DataFrame, *, id_col: str, text: Column, query_id: str, query_text: Column, top_k: int = 10) -> DataFrame:
-    d = hash_buckets(docs, id_col, text)
-    q = hash_buckets(queries, query_id, query_text).select(F.col("id").alias("query_id"), "bucket", F.col("weight").alias("qw"))
-    hits = d.join(q, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score")).where(F.round("score", 9) > 0)
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    t = t.select("id", (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int").alias("bucket"), (sign * F.col("c")).alias("s"))
+    return t.groupBy("id", "bucket").agg(F.sum("s").alias("w")).where("w <> 0")
+
+
+def hash_buckets(docs: DataFrame, id_col: str, text: Column, dim: int = DIM) -> DataFrame:
+    """id, bucket, weight: unit-length signed counts of the tokens' md5 buckets; sparse, so that no dense vector is built."""
+    per = _signed(docs, id_col, text, dim).groupBy("id").agg(F.collect_list(F.struct("bucket", "w")).alias("b"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))  # at most dim buckets
+    return per.select("id", "length", F.explode("b").alias("b")).select("id", "b.bucket", (F.col("b.w") / F.col("length")).alias("weight"))
+
+
+def hash_search(docs: DataFrame, queries: DataFrame, *, id_col: str, text: Column, query_id: str, query_text: Column, top_k: int = 10, dim: int = DIM, block: int = 200) -> DataFrame:
+    """query_id, id, score, rank. Each document is one row with its length and buckets; queries go to the documents in blocks
+    of at most `block`, so no bucket is shuffled again and only scores of documents that share one are made."""
+    d = _signed(docs, id_col, text, dim).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("b"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    q = hash_buckets(queries, query_id, query_text, dim).groupBy(F.col("id").alias("query_id")).agg(F.collect_list(F.struct("bucket", "weight")).alias("q"))
+    n = queries.count()
+    order, out = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id"), None
+    dot_ = F.aggregate("q", F.lit(0.0), lambda s, x: s + x["weight"] * F.coalesce(F.try_element_at("b", x["bucket"]), F.lit(0.0)))
+    for k in range(max(1, -(-n // block))):
+        part = q if n <= block else q.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block))) == k)
+        hits = d.crossJoin(F.broadcast(part)).select("query_id", "id", (dot_ / F.col("length")).alias("score")).where(F.round("score", 9) > 0)
+        hits = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+        out = hits if out is None else out.unionAll(hits)
+    return out

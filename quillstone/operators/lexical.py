@@ -13,12 +13,19 @@ from ..functions.text import tokenize
 from .sizes import broadcast_up_to
 
 K1, B = 1.5, 0.75
+#: A term that no text has, as tokens hold no space.
+MARK = " "
+
+
+def tokenized(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """id, tokens of the documents with a token. The array goes through a generator, so that it is computed once however
+    often it is referred to."""
+    return docs.select(F.col(id_col).alias("id"), F.explode(F.array(tokenize(text))).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """id, term, tf, len; documents without a token are not indexed."""
-    tokens = docs.select(F.col(id_col).alias("id"), tokenize(text).alias("tokens")).where(F.size("tokens") > 0)
-    return tokens.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    return tokenized(docs, id_col, text).select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, text: Column) -> DataFrame:
@@ -31,6 +38,11 @@ def doc_freq(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def term_documents(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """term, df straight from the texts: each document counts a term once, and counts are combined before the one shuffle."""
+    return doc_freq(tokenized(docs, id_col, text).select(F.explode(F.array_distinct("tokens")).alias("term")))
+
+
 def query_terms(queries: DataFrame, id_col: str, text: Column) -> DataFrame:
     """query_id, term, qtf: a repeated query token counts as often as it is repeated."""
     return queries.select(F.col(id_col).alias("query_id"), F.explode(tokenize(text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -43,10 +55,14 @@ def search(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text:
     semi join shuffles. Ranks are limited before they are shuffled."""
     text = F.col("text") if text is None else text
     q = query_terms(queries, query_id, F.col("text") if query_text is None else query_text)
-    tokens = docs.select(F.col(id_col).alias("id"), tokenize(text).alias("tokens")).where(F.size("tokens") > 0)
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
-    post = tokens.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(broadcast_up_to(q.select("term").distinct(), most_terms), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    # One scan and one shuffle serve statistics, document frequencies and scores: every document also posts its length
+    # under the term MARK, and all three read the same columns of the same postings (tf too), so that Spark reuses the exchange.
+    terms = q.select("term").distinct().unionAll(q.sparkSession.range(1).select(F.lit(MARK).alias("term")))
+    tokens = tokenized(docs, id_col, text).select("id", F.size("tokens").alias("len"), F.explode(F.concat(F.array(F.lit(MARK)), "tokens")).alias("term")).where(F.col("term").isNotNull())
+    post = tokens.join(broadcast_up_to(terms, most_terms), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    mark = F.col("tf") * (F.col("term") == MARK).cast("int") > 0
+    stats = post.agg(F.count(F.when(mark, 1)).alias("n"), F.avg(F.when(mark, F.col("len"))).alias("avg_len"))
+    df = post.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
     n, avg = F.col("n"), F.col("avg_len")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))

@@ -54,7 +54,7 @@ def tokenize_stats(spark, sf):
 
 @query("doc_freq_topn", f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(tokens)) AS term FROM {tokens_sql('documents', 'doc_id')}) GROUP BY term ORDER BY df DESC, term LIMIT 50")
 def doc_freq_topn(spark, sf):
-    return lexical.doc_freq(lexical.postings(_t(spark, sf, "documents"), "doc_id", F.col("text"))).orderBy(F.col("df").desc(), "term").limit(50)
+    return lexical.term_documents(_t(spark, sf, "documents"), "doc_id", F.col("text")).orderBy(F.col("df").desc(), "term").limit(50)
 
 
 _CHUNKS_SQL = r"""(SELECT doc_id, CAST(k AS INTEGER) AS chunk_order, substr(t, CAST(k * 780 + 1 AS BIGINT), 900) AS chunk
@@ -312,7 +312,7 @@ def contradiction_verdict(spark, sf):
 @query(
     "safety_gate_rules",
     f"""WITH e AS (SELECT source, count(*) AS n, max((lower({_LEVEL_SQL}) LIKE '%ddi%')::INT) AS ddi, max(({_word_sql('grade[ ]*[34]|fatal|death|life[- ]?threatening|qt[ ]*prolong|hepatotox|pneumonitis|interstitial|cardiotox')})::INT) AS severe,
-                    min(({_LEVEL_SQL} IN ('case_report_evidence', 'structured_extraction_evidence'))::INT) AS only_low, max(({_word_sql('guideline|nccn|esmo|asco')})::INT) AS guideline FROM documents WHERE lang = 'de' GROUP BY source),
+                    min(({_LEVEL_SQL} IN ('case_report_evidence', 'structured_extraction_evidence'))::INT) AS only_low, max(({_word_sql('guideline|nccn|esmo|asco')})::INT) AS guideline FROM documents GROUP BY source),
              q AS (SELECT DISTINCT source, 'dose 80 mg and interaction of ' || source AS ask FROM documents),
              j AS (SELECT q.source, coalesce(n, 0) AS n, coalesce(ddi, 0) AS ddi, coalesce(severe, 0) AS severe, coalesce(only_low, 0) AS only_low, coalesce(guideline, 0) AS guideline FROM q LEFT JOIN e USING (source))
         SELECT source, CAST(n AS BIGINT) AS evidence_rows,
@@ -322,7 +322,7 @@ def contradiction_verdict(spark, sf):
 def safety_gate_rules(spark, sf):
     d = _t(spark, sf, "documents")
     ask = d.select("source").distinct().withColumn("ask", F.concat(F.lit("dose 80 mg and interaction of "), F.col("source")))
-    return evidence.safety(ask, d.where("lang = 'de'"), key="source", query=F.col("ask"), text=F.col("text"), level=_level())
+    return evidence.safety(ask, d, key="source", query=F.col("ask"), text=F.col("text"), level=_level())
 
 
 @query(
@@ -369,21 +369,20 @@ def citation_validation(spark, sf):
 
 
 
-_ROUTE_ASK = "(SELECT item_id * 2 AS query_id, text FROM benchmark WHERE item_id < 8 UNION ALL SELECT item_id * 2 + 1, text || ' ing toxicity failed' FROM benchmark WHERE item_id < 8)"
+_ROUTE_ASK = "(SELECT item_id * 2 AS query_id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, text || ' ing toxicity failed' FROM benchmark)"
 
 
 @query(
     "route_batch",
-    f"""WITH r AS ({bm25_sql("(SELECT doc_id AS id, text FROM documents WHERE lang <> 'es')", _ROUTE_ASK, 10)}),
+    f"""WITH r AS ({bm25_sql("(SELECT doc_id AS id, text FROM documents)", _ROUTE_ASK, 10)}),
              h AS (SELECT query_id // 2 AS query_id, id, min(query_id % 2) AS counter FROM r GROUP BY ALL),
              c AS (SELECT query_id, CAST(sum({_SUPPORT_SQL}::INT) AS BIGINT) AS support, CAST(sum({_AGAINST_SQL}::INT) AS BIGINT) AS contradiction, CAST(sum({_RISK_SQL}::INT) AS BIGINT) AS risk, CAST(sum(counter) AS BIGINT) AS counter_hits FROM h JOIN documents ON doc_id = id GROUP BY query_id)
         SELECT *, CASE WHEN support = 0 AND contradiction = 0 AND risk = 0 THEN 'insufficient_evidence' WHEN contradiction + risk > greatest(1, support) THEN 'needs_caution_due_to_contradiction_or_risk'
                        WHEN support = 0 AND (counter_hits > 0 OR contradiction > 0) THEN 'not_supported' ELSE 'supported_with_monitoring' END AS verdict FROM c""",
 )
 def route_batch(spark, sf):
-    q = _t(spark, sf, "benchmark").where("item_id < 8").select(F.col("item_id").alias("query_id"), "text")
-    chunks = _t(spark, sf, "documents").where("lang <> 'es'")
-    return router.run(q, chunks, chunk_id="doc_id", hint=F.concat("text", F.lit(" ing toxicity failed")))[1]
+    q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return router.run(q, _t(spark, sf, "documents"), chunk_id="doc_id", hint=F.concat("text", F.lit(" ing toxicity failed")))[1]
 
 
 @query("constraint_extraction", """SELECT conv_id, turn, CASE WHEN contains(lower(text), 'luad') THEN 'LUAD' WHEN contains(lower(text), 'nsclc') THEN 'NSCLC' WHEN contains(lower(text), 'sclc') THEN 'SCLC' END AS cancer_type, contains(lower(text), 'ddi') OR contains(lower(text), 'interaction') AS ddi FROM conversations""")

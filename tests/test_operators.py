@@ -71,6 +71,16 @@ def test_bm25_against_a_plain_loop(spark):
     assert {r["id"]: round(r["score"], 9) for r in got} == plain_bm25(docs, q)
 
 
+def test_bm25_reads_its_texts_once(spark, tmp_path):
+    """Statistics, frequencies and scores share one scan and one tokenisation."""
+    spark.createDataFrame([(i, f"alpha beta w{i % 7} w{i % 5}") for i in range(50)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    q = spark.createDataFrame([(0, "alpha w3")], "query_id long, text string")
+    out = lexical.search(spark.read.parquet(str(tmp_path / "d")), q, top_k=3)
+    assert len(out.collect()) == 3
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet") == 1 and plan.count("ReusedExchange") == 2
+
+
 def test_dense_drops_other_lengths_and_non_positive(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [-1.0, 0.0]), (4, [1.0])], "id long, v array<double>")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, vector array<double>")
