@@ -1 +1 @@
-from . import evaluation, retrieval, rules  # noqa: F401
+from . import assembly, evaluation, retrieval, rules  # noqa: F401
