@@ -85,7 +85,11 @@ def is_reference_list(text: Column, least: int = 3) -> Column:
 
 def publication_date(value: Column) -> Column:
     """A bibliographic date as yyyy-MM-dd; months and years alone become their last day; null where nothing parses."""
-    raw = F.trim(F.regexp_replace(value, r"(?U)\s+", " "))
+    # bound once, as it is referred to many times
+    return F.get(F.transform(F.array(F.trim(F.regexp_replace(value, r"(?U)\s+", " "))), lambda raw: _date(raw)), 0)
+
+
+def _date(raw: Column) -> Column:
     last = lambda y, m: F.date_format(F.last_day(F.try_to_date(F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-01")), "yyyy-MM-dd")), "yyyy-MM-dd")
     part = lambda pattern, k: F.nullif(F.regexp_extract(raw, pattern, k), F.lit(""))
     name = "([A-Za-z]{3,9})"

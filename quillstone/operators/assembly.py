@@ -154,3 +154,15 @@ def gold_overlap(query: Column, text: Column) -> Column:
     date = F.exists(F.regexp_extract_all(query, F.lit(DATE), F.lit(0)), lambda d: plain(text).contains(plain(d)))
     outcome = F.exists(F.regexp_extract_all(query, F.lit(OUTCOME), F.lit(0)), lambda o: lower.contains(F.lower(o)))
     return F.struct(F.round(share, 4).alias("lexical"), date.alias("date_hit"), outcome.alias("outcome_hit"), ((share >= 0.35) | (date & outcome)).alias("passes"))
+
+
+def citations(text: Column, pattern: str, allowed: Column | None = None) -> Column:
+    """What a text cites (distinct matches, in order) and which of it is not allowed; nothing is rejected without a list."""
+    cited = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.struct(cited.alias("cited"), (F.array().cast("array<string>") if allowed is None else F.array_except(cited, allowed)).alias("rejected"))
+
+
+def last_rounds(rows: DataFrame, keys: tuple[str, ...], order: str, n: int = 2) -> DataFrame:
+    """The last n rows of each history."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
+    return rows.withColumn("_n", place).where(F.col("_n") <= n).drop("_n")

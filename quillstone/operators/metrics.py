@@ -126,6 +126,11 @@ def ranking(hits: DataFrame, gains: Column, keys: tuple[str, ...] = ("query_id",
     return out.select(*keys, F.round("dcg", digits).alias("dcg"), F.round("idcg", digits).alias("idcg"), F.round(ratio(F.col("dcg"), F.col("idcg")), digits).alias("ndcg"), F.round("rr", digits).alias("rr"), F.round("recall3", digits).alias("recall3"), F.col("top1").alias("top1"))
 
 
+def overlap(a: Column, b: Column, digits: int = 6) -> Column:
+    """Jaccard similarity of two arrays as sets; 0 where both are empty."""
+    return F.round(ratio(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), digits)
+
+
 def compliance(refs: DataFrame, key: str, date: Column, cutoff: Column) -> DataFrame:
     """key, compliant, violations: references after the cutoff, without a parseable date, or without any, violate."""
     parsed = F.try_to_date(F.coalesce(date, F.lit("9999-12-31")), "yyyy-MM-dd")

@@ -69,6 +69,17 @@ def search(profiles: DataFrame, entities: DataFrame, requested: list[tuple[str,
     return out.orderBy(F.col("score").desc(), F.col("matched").desc(), F.col("case_id").desc()).limit(limit)
 
 
+def entity_pairs(rows: DataFrame, case: str, entities: dict[str, Column]) -> DataFrame:
+    """case_id, entity_type, entity_value (lower case), each pair once: what search() reads."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("entity_type"), F.lower(v).alias("entity_value")) for k, v in entities.items())))
+    return rows.select(F.col(case).alias("case_id"), pairs.alias("e")).select("case_id", "e.*").distinct()
+
+
+def containing(rows: DataFrame, value: Column, needle: str) -> DataFrame:
+    """Rows whose value contains the needle, regardless of case."""
+    return rows.where(F.lower(value).contains(needle.strip().lower()))
+
+
 def known_by(docs: DataFrame, cutoff: str | None, *, date_col: str = "date", source_col: str | None = None, source: str = "citation_publication_date", mode: str = "cutoff") -> DataFrame:
     """Rows proven to be published by the cutoff; undated ones and those dated otherwise than by their metadata are not."""
     if mode not in ("off", "cutoff"):

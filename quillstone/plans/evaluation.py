@@ -131,7 +131,7 @@ def top_overlap_jaccard(spark, sf):
     e = _t(spark, sf, "events")
     a = e.where("value > 50").groupBy("user_id").agg(F.collect_set("event_type").alias("a"))
     b = e.where("value <= 50").groupBy("user_id").agg(F.collect_set("event_type").alias("b"))
-    return a.join(b, "user_id").select("user_id", F.round(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")), 6).alias("jaccard"))
+    return a.join(b, "user_id").select("user_id", metrics.overlap(F.col("a"), F.col("b")).alias("jaccard"))
 
 
 @query("compliance_rate", """WITH r AS (SELECT o_custkey, (o_orderdate > TIMESTAMP '1997-01-01') AS bad FROM orders) SELECT o_custkey, CAST(sum(bad::INT) AS BIGINT) AS violations, sum(bad::INT) = 0 AS compliant FROM r GROUP BY o_custkey""")

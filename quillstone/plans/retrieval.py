@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import dense, evidence, fusion, lexical, router, rules, structured, twostage
+from ..operators import assembly, dense, evidence, fusion, lexical, router, rules, structured, twostage
 from .registry import query
 
 STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
@@ -191,11 +191,8 @@ _ENTITY_SQL = """(SELECT o_custkey AS case_id, 'priority' AS entity_type, lower(
 
 def entity_index(spark, sf) -> DataFrame:
     """case_id, entity_type, entity_value of customers and their orders, distinct."""
-    o, c = _t(spark, sf, "orders"), _t(spark, sf, "customer")
-    pairs = F.explode(F.array(F.struct(F.lit("priority").alias("t"), F.lower("o_orderpriority").alias("v")), F.struct(F.lit("status").alias("t"), F.lower("o_orderstatus").alias("v"))))
-    a = o.select(F.col("o_custkey").alias("case_id"), pairs.alias("e")).select("case_id", F.col("e.t").alias("entity_type"), F.col("e.v").alias("entity_value"))
-    b = c.select(F.col("c_custkey").alias("case_id"), F.lit("segment").alias("entity_type"), F.lower("c_mktsegment").alias("entity_value"))
-    return a.unionByName(b).distinct()
+    a = structured.entity_pairs(_t(spark, sf, "orders"), "o_custkey", {"priority": F.col("o_orderpriority"), "status": F.col("o_orderstatus")})
+    return a.unionByName(structured.entity_pairs(_t(spark, sf, "customer"), "c_custkey", {"segment": F.col("c_mktsegment")}))
 
 
 @query(
@@ -222,7 +219,7 @@ def entity_index_explode(spark, sf):
 
 @query("entity_like_match", "SELECT p_brand, count(*) AS n_parts FROM part WHERE lower(p_type) LIKE '%econ%' GROUP BY p_brand")
 def entity_like_match(spark, sf):
-    return _t(spark, sf, "part").where(F.lower("p_type").contains("econ")).groupBy("p_brand").agg(F.count("*").alias("n_parts"))
+    return structured.containing(_t(spark, sf, "part"), F.col("p_type"), " ECON").groupBy("p_brand").agg(F.count("*").alias("n_parts"))
 
 
 @query("temporal_cutoff_search", "SELECT o_custkey, count(*) AS n_orders, max(o_orderdate) AS latest FROM orders WHERE o_orderdate IS NOT NULL AND o_orderdate <= TIMESTAMP '1995-06-30' AND o_orderpriority = '1-URGENT' GROUP BY o_custkey")
@@ -339,11 +336,12 @@ def doc_type_ladder(spark, sf):
 @query(
     "html_meta_date",
     """SELECT page_id, regexp_extract(html, '(?i)<html[^>]*[ ]lang=["'']([^"'']+)["'']', 1) AS lang, length(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title_chars,
-              CAST(NULL AS VARCHAR) AS published FROM pages""",
+              CASE page_id % 3 WHEN 0 THEN '2021-03-31' WHEN 1 THEN '2020-12-31' END AS published FROM pages""",
 )
 def html_meta_date(spark, sf):
-    p = _t(spark, sf, "pages")
-    return p.select("page_id", F.regexp_extract("html", r"(?i)<html[^>]*[ ]lang=[\"']([^\"']+)[\"']", 1).alias("lang"), F.length(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)).cast("long").alias("title_chars"), text.meta_publication_date(F.col("html")).alias("published"))
+    p = _t(spark, sf, "pages").withColumn("html", F.coalesce("html", F.lit("")))
+    meta = F.when(F.col("page_id") % 3 == 0, '<META name="citation_publication_date" content="2021/03">').when(F.col("page_id") % 3 == 1, "<meta content='2020' x name='citation_publication_date'/>").otherwise('<meta name="citation_publication_date" content="soon">')
+    return p.select("page_id", F.regexp_extract("html", r"(?i)<html[^>]*[ ]lang=[\"']([^\"']+)[\"']", 1).alias("lang"), F.length(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)).cast("long").alias("title_chars"), text.meta_publication_date(F.concat("html", meta)).alias("published"))
 
 
 @query(
@@ -363,10 +361,9 @@ def lineage_unresolved(spark, sf):
         SELECT conv_id, turn, CAST(len(cited) AS BIGINT) AS n_cited, CAST(len(list_filter(cited, lambda x: length(x) <> 3)) AS BIGINT) AS n_rejected FROM c""",
 )
 def citation_validation(spark, sf):
-    c = _t(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(F.regexp_extract_all("text", F.lit(r"[0-9]{3,}"), F.lit(0))).alias("cited"))
-    allowed = F.filter("cited", lambda x: F.length(x) == 3)
-    return c.select("conv_id", "turn", F.size("cited").cast("long").alias("n_cited"), F.size(F.array_except("cited", allowed)).cast("long").alias("n_rejected"))
-
+    allowed = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.lpad(i.cast("string"), 3, "0"))
+    c = _t(spark, sf, "conversations").select("conv_id", "turn", assembly.citations(F.col("text"), r"[0-9]{3,}", allowed).alias("c"))
+    return c.select("conv_id", "turn", F.size("c.cited").cast("long").alias("n_cited"), F.size("c.rejected").cast("long").alias("n_rejected"))
 
 
 _ROUTE_ASK = "(SELECT item_id * 2 AS query_id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, text || ' ing toxicity failed' FROM benchmark)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import rules
+from ..operators import assembly, rules
 from .registry import query
 
 
@@ -56,7 +56,8 @@ def rank_window_rescue(spark, sf):
 
 @query("recent_rounds", f"SELECT query_id, turn, label FROM {_HITS_SQL} WHERE rank <= 2")
 def recent_rounds(spark, sf):
-    return _hits(spark, sf).where("rank <= 2").select("query_id", "turn", "label")
+    c = _t(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), F.col("role").alias("label"), "turn")
+    return assembly.last_rounds(c, ("query_id",), "turn", 2).select("query_id", "turn", "label")
 
 
 @query(
