@@ -166,3 +166,95 @@ def last_rounds(rows: DataFrame, keys: tuple[str, ...], order: str, n: int = 2)
     """The last n rows of each history."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
     return rows.withColumn("_n", place).where(F.col("_n") <= n).drop("_n")
+
+
+def _first_rows(refs: DataFrame, evidence: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
+    """The first reference (by claim, side, position) to each id, joined to its evidence; blank texts go."""
+    named = refs.withColumn("id", F.trim("id")).where(F.col("id") != "")
+    first = named.groupBy(*keys, "id").agg(F.min(F.struct("claim_order", "side", "place", *fields)).alias("_r"))
+    rows = first.join(evidence, [*keys, "id"]).withColumn("content", F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
+    return rows.where(F.col("content") != "")
+
+
+def _numbered(rows: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...], rest: tuple[str, ...], limit: int, chars: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_r.claim_order", "_r.side", "_r.place"))
+    kept = rows.withColumn("rank", place).where(F.col("rank") <= limit)
+    return kept.select(*keys, "rank", "id", *(F.col(f"_r.{f}").alias(f) for f in fields), *rest, F.left("content", F.lit(chars)).alias("content"), F.coalesce("pub_date", F.lit("NA")).alias("pub_date"))
+
+
+def compact_evidence(claims: DataFrame, evidence: DataFrame, keys: tuple[str, ...], allowed: str | None = None, limit: int = 8, chars: int = 1600) -> DataFrame:
+    """What a prediction reads: direct evidence of each claim, then what counters it, each id and each text (without regard
+    to case and spaces) once, the first `limit` of each answer.
+
+    claims: keys, claim_order, status, claim_scope, direct, supporting (instead of a null `direct`), counter (arrays of ids)
+    and, where `allowed` names it, an array of the ids that may be direct (null: all). evidence: keys, id, text, type, pub_date."""
+    live = claims.where(~F.coalesce(F.col("status") == "rejected_by_safety_gate", F.lit(False)))
+    direct = F.coalesce("direct", "supporting")
+    if allowed:
+        direct = F.when(F.col(allowed).isNull(), direct).otherwise(F.filter(direct, lambda x: F.array_contains(F.col(allowed), x)))
+    scope = F.coalesce("claim_scope", F.lit("")).alias("claim_scope")
+    side = lambda n, role, ids: live.select(*keys, "claim_order", F.lit(n).alias("side"), F.lit(role).alias("evidence_role"), scope, F.posexplode(ids).alias("place", "id"))
+    fields = ("evidence_role", "claim_scope")
+    rows = _first_rows(side(0, "direct", direct).unionAll(side(1, "counter", F.col("counter"))), evidence, keys, fields)
+    once = rows.groupBy(*keys, F.lower("content").alias("_t")).agg(F.min(F.struct("_r", "id", "content", "type", "pub_date")).alias("_m")).select(*keys, "_m.*")
+    return _numbered(once, keys, fields, ("type",), limit, chars)
+
+
+def bounded_evidence(claims: DataFrame, evidence: DataFrame, keys: tuple[str, ...], allowed: str | None = None, limit: int = 10, chars: int = 1600) -> DataFrame:
+    """Evidence of claims that have partial or analogous support only, each id once, under the level of its first claim.
+
+    claims: keys, claim_order, status, support_level, claim_scope, subject_entity, partial, analog (arrays of ids); `allowed`
+    as in compact_evidence, for all ids. evidence: keys, id, text, pub_date."""
+    live = claims.where(~F.coalesce(F.col("status") == "rejected_by_safety_gate", F.lit(False)) & F.col("support_level").isin("partial", "analog"))
+    ids = F.when(F.col("support_level") == "partial", F.col("partial")).otherwise(F.col("analog"))
+    words = [F.coalesce(c, F.lit("")).alias(c) for c in ("claim_scope", "subject_entity")]
+    refs = live.select(*keys, "claim_order", F.lit(0).alias("side"), "support_level", *words, *([F.col(allowed).alias("_allowed")] if allowed else []), F.posexplode(ids).alias("place", "id"))
+    if allowed:
+        refs = refs.where(F.col("_allowed").isNull() | F.array_contains("_allowed", F.trim("id")))
+    fields = ("support_level", "claim_scope", "subject_entity")
+    return _numbered(_first_rows(refs, evidence, keys, fields), keys, fields, (), limit, chars)
+
+
+def _nodes(text: str | None) -> list[tuple[str | None, object]]:
+    """(name, value) of every node of a JSON text in its order; nothing where it does not parse."""
+    try:
+        stack = [(None, json.loads(text))] if text else []
+    except (ValueError, RecursionError):
+        return []
+    out = []
+    while stack:
+        out.append(node := stack.pop())
+        below = node[1].items() if isinstance(node[1], dict) else ((None, x) for x in node[1]) if isinstance(node[1], list) else ()
+        stack.extend(reversed(list(below)))
+    return out
+
+
+def leaf_texts(data: Column) -> Column:
+    """All values of a JSON text, at any depth and in order, as trimmed texts; blanks, zeros, false and null are left out."""
+
+    @F.pandas_udf("array<string>")
+    def leaves(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [s for _, v in _nodes(t) if v and not isinstance(v, (dict, list)) and (s := str(v).strip())])
+
+    return leaves(data)
+
+
+def strings_under(data: Column, names: tuple[str, ...]) -> Column:
+    """Distinct texts and whole numbers that a JSON text holds under one of the names, alone or in a list, sorted."""
+
+    @F.pandas_udf("array<string>")
+    def collect(texts: pd.Series) -> pd.Series:
+        held = lambda t: (x for n, v in _nodes(t) if n in names for x in (v if isinstance(v, list) else [v]) if isinstance(x, (str, int)))
+        return texts.map(lambda t: sorted({str(x) for x in held(t)} - {""}))
+
+    return collect(data)
+
+
+def payloads_named(data: Column, names: tuple[str, ...]) -> Column:
+    """The values under one of the names at any depth of a JSON text, as JSON texts in its order."""
+
+    @F.pandas_udf("array<string>")
+    def collect(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [json.dumps(v, ensure_ascii=False) for n, v in _nodes(t) if n in names])
+
+    return collect(data)

@@ -196,3 +196,35 @@ def reply_objects(spark, sf):
     secret = F.when(F.col("conv_id") % 2 == 0, F.lit('{"api_key": "s3cret", "n": 1}')).otherwise(F.lit('{"n": 1}'))
     name = F.concat(F.lit("case/"), F.col("conv_id"), F.lit(":1"))
     return _t(spark, sf, "conversations").select("conv_id", "turn", text.json_object(said).alias("reply"), text.redact(secret).alias("safe"), text.safe_id(name).alias("name"))
+
+
+@query(
+    "prediction_evidence",
+    """WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus FROM orders),
+             r AS (SELECT o_custkey, o_orderkey, 0 AS side, 0 AS place, 'direct' AS evidence_role, o_orderkey % 23 AS n FROM o WHERE o_orderstatus <> 'P' UNION ALL SELECT o_custkey, o_orderkey, 0, 1, 'direct', o_orderkey % 29 FROM o WHERE o_orderstatus <> 'P'
+                   UNION ALL SELECT o_custkey, o_orderkey, 1, 0, 'counter', o_orderkey % 31 FROM o WHERE o_orderstatus <> 'P'),
+             f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY o_custkey, n ORDER BY o_orderkey, side, place) = 1),
+             e AS (SELECT DISTINCT o_custkey, o_orderkey % 23 AS n FROM o),
+             j AS (SELECT *, n % 17 AS t FROM f JOIN e USING (o_custkey, n) QUALIFY row_number() OVER (PARTITION BY o_custkey, n % 17 ORDER BY o_orderkey, side, place) = 1)
+        SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, side, place) AS INTEGER) AS rank, CAST(n AS VARCHAR) AS id, evidence_role, 'text ' || t AS content FROM j QUALIFY rank <= 8""",
+)
+def prediction_evidence(spark, sf):
+    o = _t(spark, sf, "orders")
+    n = lambda m: (F.col("o_orderkey") % m).cast("string")
+    status = F.when(F.col("o_orderstatus") == "P", "rejected_by_safety_gate").otherwise("supported")
+    none = F.lit(None).cast("array<string>")
+    claims = o.select("o_custkey", F.col("o_orderkey").alias("claim_order"), status.alias("status"), F.lit("case").alias("claim_scope"), none.alias("direct"), F.array(n(23), n(29)).alias("supporting"), F.array(n(31)).alias("counter"))
+    held = o.select("o_custkey", (F.col("o_orderkey") % 23).alias("n")).distinct()
+    evidence = held.select("o_custkey", F.col("n").cast("string").alias("id"), F.concat(F.lit(" text  "), F.col("n") % 17).alias("text"), F.lit("case").alias("type"), F.lit(None).cast("string").alias("pub_date"))
+    return assembly.compact_evidence(claims, evidence, ("o_custkey",)).select("o_custkey", "rank", "id", "evidence_role", "content")
+
+
+@query(
+    "nested_values",
+    """SELECT conv_id, turn, ' x ,' || turn || ',c' || conv_id AS ids, 'x,' || conv_id || CASE WHEN turn = 0 THEN '' ELSE ',' || turn END AS leaves FROM conversations""",
+)
+def nested_values(spark, sf):
+    body = F.concat(F.lit('{"a": [{"doc_id": " x "}], "b": {"doc_ids": ["c'), F.col("conv_id"), F.lit('"], "n": {"doc_id": '), F.col("turn"), F.lit("}}, "), F.lit('"z": [null, false, ""]}'))
+    ids = assembly.strings_under(body, ("doc_id", "doc_ids"))  # sorted: the text " x ", the number, the text with c
+    leaves = F.transform(assembly.leaf_texts(body), lambda x: F.regexp_replace(x, "^c", ""))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", F.array_join(ids, ",").alias("ids"), F.array_join(leaves, ",").alias("leaves"))
