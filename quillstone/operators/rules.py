@@ -22,6 +22,16 @@ GENES = (
 NOT_GENES = ("AI", "AN", "CNS", "CT", "CSF", "DDI", "ECOG", "LUAD", "MRI", "NA", "NSCLC", "PET", "PS", "PR", "CR", "SD", "PD", "SCLC", "TKI")
 DRUGS = ("osimertinib", "gefitinib", "afatinib", "alectinib", "crizotinib", "temozolomide", "olaparib", "atezolizumab")
 ALTERED = r"(EXON\d+|\d+DEL|\d+DELETION|\d+INS|\d+DUP|\d+AMP|AMPLIFICATION|FUSION|REARRANGEMENT|MUTATION|L858R|T790M|C797S|G719X|S768I)|\d"
+#: Words of a question that a search should keep, and words that widen it.
+CLINICAL_WORDS = ("progression", "progressed", "resistance", "resistant", "after", "following", "subsequent", "post", "switch", "line", "toxicity", "adverse", "response", "benefit")
+CLINICAL_SIGNS = "进展|耐药|失败|后续|换药|毒性|不良反应|获益|缓解|相似|类似|同类|机制|原因"
+WIDENING = {
+    "broaden_to_similar_case": ("similar", "similar case", "相似", "类似", "同类", "同靶点", "同通路"),
+    "broaden_to_resistance_mechanism": ("resistance", "resistant", "耐药", "进展", "progression", "progressed"),
+    "broaden_to_mechanism": ("mechanism", "机制", "pathway", "原因"),
+}
+SAME_CLASS = ("同类", "类似", "同靶点", "同通路")
+SAME_FAMILY = ("同类", "类似", "同通路")
 COUNTER_HINT = "反证 毒性 不良反应 进展 耐药 禁忌 风险"
 
 
@@ -72,6 +82,21 @@ def constraints(query: Column) -> Column:
     return F.struct(cancer.alias("cancer_type"), responses.alias("responses"), genes.alias("gene_alterations"), drugs.alias("drugs"), ddi.alias("ddi_terms"))
 
 
+def constraint_layers(query: Column) -> Column:
+    """Struct of hard constraints, soft hints (clinical_terms, retrieval_focus) and expansion_hints; a null question has none."""
+    text = F.coalesce(query, F.lit(""))
+    q, hard = F.lower(text), constraints(text)
+    said = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: q.contains(w))
+    tagged = lambda field, tag: F.transform(F.coalesce(hard[field], F.array().cast("array<string>")), lambda x: F.concat(F.lit(f"{tag}:"), x))
+    where = lambda c, values: F.when(c, values).otherwise(F.array().cast("array<string>"))
+    clinical = F.concat(F.filter(F.array(*map(F.lit, CLINICAL_WORDS)), lambda w: q.contains(w)), F.regexp_extract_all(text, F.lit(f"({CLINICAL_SIGNS})"), F.lit(1)))
+    focus = F.concat(tagged("drugs", "drug"), tagged("gene_alterations", "gene"), tagged("responses", "response"), tagged("ddi_terms", "ddi"))
+    wider = [where(said(words), F.array(F.lit(name))) for name, words in WIDENING.items()]
+    wider += [where(said(SAME_CLASS), tagged("drugs", "same_class_drug")), where(said(SAME_FAMILY), tagged("gene_alterations", "same_family_gene"))]
+    soft = F.struct(F.array_distinct(clinical).alias("clinical_terms"), F.array_distinct(focus).alias("retrieval_focus"))
+    return F.struct(hard.alias("hard_constraints"), soft.alias("soft_hints"), F.array_distinct(F.concat(*wider)).alias("expansion_hints"))
+
+
 def grounded(proposed: Column, source: Column) -> Column:
     """Proposed values that the source text names literally, whatever the case."""
     s = F.lower(source)

@@ -114,3 +114,11 @@ def content_hashes(spark, sf):
 @query("citation_pointers", "SELECT doc_id, (contains(lower(text), '[doi]')::INT + contains(lower(text), '[pubmed]')::INT + contains(lower(text), '[google scholar]')::INT + contains(lower(text), 'pmid:')::INT + contains(lower(text), 'doi:')::INT) >= 2 AS is_pointer FROM documents")
 def citation_pointers(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", rules.is_citation_pointer(F.col("text")).alias("is_pointer"))
+
+
+@query("constraint_hints", """SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'progression,耐药' WHEN 1 THEN 'toxicity,相似' ELSE '' END AS clinical, CASE item_id % 3 WHEN 0 THEN 'drug:gefitinib' WHEN 1 THEN 'response:PD' ELSE 'ddi:drug interaction' END AS focus,
+        CASE item_id % 3 WHEN 0 THEN 'broaden_to_resistance_mechanism' WHEN 1 THEN 'broaden_to_similar_case' ELSE 'broaden_to_mechanism' END AS wider FROM benchmark""")
+def constraint_hints(spark, sf):
+    asked = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("Gefitinib 耐药 progression "), F.col("item_id"))).when(F.col("item_id") % 3 == 1, F.lit("toxicity, best pd 相似")).otherwise(F.lit("ddi mechanism"))
+    c = _t(spark, sf, "benchmark").select("item_id", rules.constraint_layers(asked).alias("c"))
+    return c.select("item_id", F.array_join("c.soft_hints.clinical_terms", ",").alias("clinical"), F.array_join("c.soft_hints.retrieval_focus", ",").alias("focus"), F.array_join("c.expansion_hints", ",").alias("wider"))

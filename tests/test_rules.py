@@ -27,6 +27,18 @@ def test_constraints(spark):
     assert spark.range(1).select(rules.grounded(F.array(F.lit("Osimertinib"), F.lit("x")), F.lit("on osimertinib"))).first()[0] == ["Osimertinib"]
 
 
+def test_constraint_layers(spark):
+    asked = ["Osimertinib 耐药后 Progression in EGFR T790M, similar 同类 DDI, 耐药 PR?", None, "", "第二 同靶点 gefitinib pathway"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "i int, q string")
+    got = {r["i"]: r["c"] for r in df.select("i", rules.constraint_layers(F.col("q")).alias("c")).collect()}
+    a, gene = got[0], got[0]["hard_constraints"]["gene_alterations"]
+    assert a["soft_hints"]["clinical_terms"] == ["progression", "耐药", "同类"] and any("T790M" in g for g in gene)
+    assert a["soft_hints"]["retrieval_focus"] == ["drug:osimertinib", *(f"gene:{g}" for g in gene), "response:PR", "ddi:drug interaction"]
+    assert a["expansion_hints"] == ["broaden_to_similar_case", "broaden_to_resistance_mechanism", "same_class_drug:osimertinib", *(f"same_family_gene:{g}" for g in gene)]
+    assert all(got[i]["expansion_hints"] == [] and got[i]["soft_hints"]["clinical_terms"] == [] and got[i]["soft_hints"]["retrieval_focus"] == [] for i in (1, 2))
+    assert got[3]["expansion_hints"] == ["broaden_to_similar_case", "broaden_to_mechanism", "same_class_drug:gefitinib"]
+
+
 def test_activation_gate(spark):
     rows = [("a", True, True, True), ("a", False, False, False), ("b", False, True, True), ("c", True, True, False), ("d", True, False, True)]
     got = {r["skill_id"]: (r["status"], r["efficacy"], r["callability"]) for r in rules.activation_gate(spark.createDataFrame(rows, "skill_id string, baseline_wrong boolean, intervention_correct boolean, mounted boolean")).collect()}
