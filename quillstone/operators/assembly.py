@@ -15,6 +15,9 @@ REQUIRED = ("overall_benefit", "body_lesion_recist", "cns_lm_recist", "csf_traje
 BENEFIT = ("获益", "不获益")
 SEARCHES = ("hybrid_search", "dense_search", "bm25_search", "structured_search")
 COMBINATIONS = ("osimertinib plus", "furmonertinib plus", "combined with", "combination therapy of", "gefitinib plus", "almonertinib plus", "aumolertinib plus")
+#: Fields of a citation that an item has itself or in its metadata, and those that only its citation has.
+CITED = ("doc_id", "case_id", "event_id", "pmid", "title", "evidence_level")
+PLACED = ("field_path", "start_char", "end_char", "chunk_order")
 #: Statuses of claims that go first, and patterns of outcomes, dates, instances and terms.
 FIRST_STATUS = ("contested", "safety_limited")
 OUTCOME = r"(?iU)进展|增多|增大|新发|缓解|缩小|稳定|复发|progress(?:ion|ed)?|response|\bPD\b|\bPR\b|\bSD\b"
@@ -258,3 +261,29 @@ def payloads_named(data: Column, names: tuple[str, ...]) -> Column:
         return texts.map(lambda t: [json.dumps(v, ensure_ascii=False) for n, v in _nodes(t) if n in names])
 
     return collect(data)
+
+
+def citation_records(evidence: DataFrame, keys: tuple[str, ...] = (), chars: int = 500) -> DataFrame:
+    """A citation of each item: its own fields, else those of its metadata; places from its citation, and the words quoted.
+
+    evidence: keys, chunk_id, text, citation_json, metadata_json (JSON texts) and any of the other fields; a field that the
+    table lacks counts as absent, and so do blank values and JSON that is no object."""
+    own = lambda n: F.nullif(F.col(n).cast("string"), F.lit("")) if n in evidence.columns else F.lit(None).cast("string")
+    part = lambda c, n: F.nullif(F.get_json_object(c, f"$.{n}"), F.lit("")) if c in evidence.columns else F.lit(None).cast("string")
+    source = F.coalesce(part("citation_json", "source_file"), own("source_file"), part("metadata_json", "source_file"))
+    fields = [F.coalesce(own(n), part("metadata_json", n)).alias(n) for n in CITED]
+    numbers = [part("citation_json", n).cast("string" if n == "field_path" else "long").alias(n) for n in PLACED]
+    quoted = F.left(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", ""), F.lit(chars)).alias("quoted_span")
+    return evidence.select(*keys, F.coalesce(own("chunk_id"), own("id")).alias("chunk_id"), *fields, source.alias("source_file"), *numbers, quoted)
+
+
+def citation_inventory(citations: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, kind (chunk_id or pmid), value: what an answer may cite, each once."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), F.col(n).cast("string").alias("value")) for n in ("chunk_id", "pmid"))))
+    return citations.select(*keys, kinds.alias("c")).select(*keys, "c.*").where(F.coalesce("value", F.lit("")) != "").distinct()
+
+
+def entity_text(entities: dict[str, Column]) -> Column:
+    """"name: a, b | other: c" of the named arrays that are not empty."""
+    named = (F.when(F.size(v) > 0, F.concat(F.lit(f"{n}: "), F.array_join(v, ", "))) for n, v in entities.items())
+    return F.concat_ws(" | ", *named)

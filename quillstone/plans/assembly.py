@@ -228,3 +228,15 @@ def nested_values(spark, sf):
     ids = assembly.strings_under(body, ("doc_id", "doc_ids"))  # sorted: the text " x ", the number, the text with c
     leaves = F.transform(assembly.leaf_texts(body), lambda x: F.regexp_replace(x, "^c", ""))
     return _t(spark, sf, "conversations").select("conv_id", "turn", F.array_join(ids, ",").alias("ids"), F.array_join(leaves, ",").alias("leaves"))
+
+
+@query(
+    "citation_records",
+    """SELECT CAST(doc_id AS VARCHAR) AS chunk_id, 'c' || doc_id AS case_id, CASE WHEN doc_id % 2 = 0 THEN 'own' ELSE 'p' || doc_id END AS pmid, CAST(doc_id AS BIGINT) AS start_char, substr(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), 1, 500) AS quoted_span FROM documents WHERE doc_id IS NOT NULL""",
+)
+def citation_records(spark, sf):
+    d = _t(spark, sf, "documents").where(F.col("doc_id").isNotNull())
+    own = F.when(F.col("doc_id") % 2 == 0, "own").otherwise(F.lit(""))
+    meta = F.concat(F.lit('{"case_id": "c'), F.col("doc_id"), F.lit('", "pmid": "p'), F.col("doc_id"), F.lit('"}'))
+    items = d.select(F.col("doc_id").alias("chunk_id"), "text", own.alias("pmid"), meta.alias("metadata_json"), F.concat(F.lit('{"start_char": '), F.col("doc_id"), F.lit("}")).alias("citation_json"))
+    return assembly.citation_records(items).select("chunk_id", "case_id", "pmid", "start_char", "quoted_span")
