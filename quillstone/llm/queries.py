@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, toxicity, warc
+from . import licences, toxicity, turns, warc
 from .common import table
 from .decontaminate import leaks
 from .jaccard import groups
+from .linededup import LineIndex
 from .mixing import mix
 from .neighbours import nearest
 from .records import round_trip
+from .spelling import variants
 from .suffixdup import GRAM, MIX, PASSAGE, PRIMES, cut, factors
 from .tokencount import count_documents
 
@@ -61,6 +63,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, index = table(spark, sf_dir, "documents"), LineIndex(spark)
+    index.insert(docs)
+    return index.dedupe(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.digest(turns.repair(turns.damage(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licences": op1_licences,
     "op2_nearest": op2_nearest,
@@ -72,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 ORACLES: dict[str, str] = {
