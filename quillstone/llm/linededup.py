@@ -365,9 +365,13 @@ class LineIndex:
 
     # ---- use
 
-    def repeated(self, docs: DataFrame) -> DataFrame:
-        """doc_id, keys: what each document of docs loses, as a list of keys. docs need not be in the index."""
-        want = self._lines(docs).select("key", "doc_id")
+    def repeated(self, docs: DataFrame | None = None) -> DataFrame:
+        """doc_id, keys: what each document of docs loses, as a list of keys. docs need not be in the index; without docs,
+        the documents of the index."""
+        want = self.postings() if docs is None else self._lines(docs)
+        if want is None:
+            raise ValueError("the index holds no documents yet")
+        want = want.select("key", "doc_id")
         if not self.now.filters:
             return want.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).limit(0)
         many = self.refs().where("n_docs > 1").select("key", "owner")
@@ -375,9 +379,11 @@ class LineIndex:
         lost = maybe.join(many, "key").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
-    def dedupe(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n_lines, n_dropped, kept: each row of docs without the lines that it loses to a smaller document."""
-        rows, lost, least = only(docs, "doc_id", "text"), self.repeated(docs), self.least
+    def dedupe(self, docs: DataFrame, indexed: bool = False) -> DataFrame:
+        """doc_id, n_lines, n_dropped, kept: each row of docs without the lines that it loses to a smaller document.
+
+        indexed: all of docs are in the index, with these texts; the keys of their lines are read there."""
+        rows, lost, least = only(docs, "doc_id", "text"), self.repeated(None if indexed else docs), self.least
         rows = rows.join(lost.withColumnRenamed("doc_id", "loser"), F.col("doc_id").eqNullSafe(F.col("loser")), "left").select("doc_id", "keys", "text")
         kind = rows.schema[0].dataType.simpleString()
         schema = pa.schema([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])

@@ -70,7 +70,7 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, index = table(spark, sf_dir, "documents"), LineIndex(spark)
     index.insert(docs)
-    return index.dedupe(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    return index.dedupe(docs, indexed=True).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,7 +147,8 @@ def test_lines_at_once(spark):
     rows = line_rows(1, range(60)) + [(None, "Line 1 of the poolé\nonly of the null row"), (None, "Line 1 of the poolé"), (100, None), (101, ""), (102, "the row twice\n."), (102, "the row twice\n.")]
     index = LineIndex(spark)
     index.insert(frame(spark, rows))
-    assert sorted((tuple(r) for r in index.dedupe(frame(spark, rows)).collect()), key=str) == plain_lines(rows)
+    for indexed in (False, True):
+        assert sorted((tuple(r) for r in index.dedupe(frame(spark, rows), indexed).collect()), key=str) == plain_lines(rows)
 
 
 def test_lines_are_reversible(spark):
@@ -164,7 +165,8 @@ def test_lines_are_reversible(spark):
     half = [r for r in b if r[0] % 2]
     index.delete(spark.createDataFrame([(r[0],) for r in half] + [(5000,)], "doc_id long"))
     left = a + [r for r in b if r[0] % 2 == 0] + c
-    assert sorted((tuple(r) for r in index.dedupe(frame(spark, left)).collect()), key=str) == plain_lines(left)
+    for indexed in (False, True):
+        assert sorted((tuple(r) for r in index.dedupe(frame(spark, left), indexed).collect()), key=str) == plain_lines(left)
     # another session opens the same folder; what was deleted may come back
     again = LineIndex(spark, index.folder)
     again.insert(frame(spark, half))
