@@ -191,3 +191,62 @@ ORACLES["op7_suffix_repeats"] = rf"""
         SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
                CASE WHEN spans IS NULL THEN sha256(b) ELSE sha256(unhex(kept || hex(b[tail + 1:n]))) END AS kept_sha256,
                CAST(sp.doc_id IS NOT NULL AS INTEGER) AS shares_passage FROM d LEFT JOIN k USING (doc_id) LEFT JOIN sp USING (doc_id)"""
+
+#: The 256 remainders of crc32, from their rule.
+_CRC_TABLE = "SELECT list(v ORDER BY i) AS crc FROM (WITH RECURSIVE s AS (SELECT i, i AS v, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM s WHERE k < 8) SELECT i, v FROM s WHERE k = 8)"
+#: crc32 of a list of bytes: the bytes follow the start value.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, {0}), lambda c, b: xor(c // 256, crc[CAST(xor(c, b) % 256 AS BIGINT) + 1])), 4294967295)"
+_BYTES = "list_transform(range(strlen({0})), lambda i: CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT))"
+
+ORACLES["op11_spelling_variants"] = rf"""
+        WITH RECURSIVE t AS ({_CRC_TABLE}),
+             r0 AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{5,}}')) AS run FROM documents),
+             r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM r0 GROUP BY ALL),
+             h AS (SELECT run, n, {_CRC.format(_BYTES.format("(coalesce(doc_id::VARCHAR, '') || ':' || run)"))} AS h FROM r, t),
+             w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+             k AS (SELECT DISTINCT word, n, unnest(list_append(list_transform(range(length(word)), lambda i: left(word, i) || '?' || substr(word, i + 2)), word)) AS k, 0 AS less FROM w
+                   UNION SELECT word, n, unnest(list_transform(range(length(word)), lambda i: left(word, i) || substr(word, i + 2))) AS k, 1 AS less FROM w),
+             p AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM k a JOIN k b ON a.k = b.k AND a.word <> b.word AND a.less + b.less < 2),
+             f AS (SELECT word, count(*) AS n_near, arg_max(other, m) AS any_form, max(m) AS m FROM p GROUP BY word),
+             b AS (SELECT p.word, min(other) AS form FROM p JOIN f ON p.word = f.word AND p.m = f.m GROUP BY p.word),
+             x AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN form END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n FROM w LEFT JOIN f ON f.word = w.word LEFT JOIN b ON b.word = w.word),
+             c AS (SELECT word, word AS at FROM x UNION ALL SELECT c.word, x.form FROM c JOIN x ON x.word = c.at WHERE x.form IS NOT NULL),
+             e AS (SELECT c.word, c.at AS root FROM c JOIN x ON x.word = c.at WHERE x.form IS NULL)
+        SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM x JOIN e USING (word)"""
+
+ORACLES["op12_line_dedup"] = r"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+             l AS (SELECT row, doc_id, i, lines[i] AS line, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM (SELECT row, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+             m AS (SELECT k, min(doc_id) AS owner FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT coalesce(doc_id::VARCHAR, 'null')) > 1)
+        SELECT any_value(l.doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE owner <> l.doc_id OR owner IS NOT NULL AND l.doc_id IS NULL) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE owner IS NULL OR owner = l.doc_id), '')) AS kept_sha256
+        FROM l LEFT JOIN m USING (k) GROUP BY row"""
+
+_STEP = "CASE {q}::VARCHAR || {r} WHEN '0s' THEN 1 WHEN '0u' THEN 2 WHEN '1u' THEN 2 WHEN '2a' THEN 3 WHEN '3u' THEN 2 END"
+ORACLES["op13_turn_repair"] = rf"""
+        WITH RECURSIVE t AS ({_CRC_TABLE}),
+             c0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+             c1 AS (SELECT conv_id, turn, role, text, {_CRC.format(_BYTES.format('key'))} % 20 AS h FROM c0, t),
+             c2 AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c1 WHERE h <> 0),
+             c3 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM c2),
+             c4 AS (SELECT *, left(role, 1) AS r, CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault FROM c3),
+             ids AS (SELECT DISTINCT conv_id FROM conversations),
+             n AS (SELECT ids.conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated, count(i) AS rows
+                   FROM ids LEFT JOIN c4 ON c4.conv_id IS NOT DISTINCT FROM ids.conv_id GROUP BY ids.conv_id),
+             g AS (SELECT conv_id, count(*) AS illegal FROM (SELECT conv_id, lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair, lag(i) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM c4) WHERE before IS NOT NULL AND pair NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+             o AS (SELECT * FROM (VALUES (0, '', 0, 0, NULL, NULL), (0, 'I', 2, 5, 'user:', NULL), (0, 'II', 3, 10, 'user:', 'assistant:'), (1, '', 1, 0, NULL, NULL), (1, 'I', 2, 5, 'user:', NULL), (1, 'II', 3, 10, 'user:', 'assistant:'),
+                                         (2, '', 2, 0, NULL, NULL), (2, 'I', 3, 5, 'assistant:', NULL), (3, '', 3, 0, NULL, NULL), (3, 'I', 2, 5, 'user:', NULL)) v(q, ins, dest, paid, one, two)),
+             e AS (SELECT q, ins || label AS label, label AS edit, dest, paid, one, two FROM o, (VALUES ('K'), ('R')) l(label) UNION ALL SELECT q, 'D', 'D', q, 0, NULL, NULL FROM o WHERE ins = ''),
+             a AS (SELECT e.q, e.label, e.edit, r.r, paid + CASE edit WHEN 'R' THEN 1 WHEN 'D' THEN 2 ELSE 0 END AS paid, one, two,
+                          CASE edit WHEN 'D' THEN dest WHEN 'R' THEN CASE dest WHEN 2 THEN 3 ELSE 2 END ELSE {_STEP.format(q='dest', r='r.r')} END AS too, CASE WHEN edit = 'R' THEN CASE dest WHEN 2 THEN 'assistant' ELSE 'user' END END AS new_role FROM e, (SELECT DISTINCT r FROM c4) r),
+             w AS (SELECT conv_id, 0::BIGINT AS i, 0 AS q, 0 AS cost, '' AS audit, []::VARCHAR[] AS said, 1 AS best FROM ids
+                   UNION ALL
+                   SELECT * FROM (
+                       SELECT w.conv_id, w.i + 1, a.too, w.cost + a.paid + CASE WHEN c4.fault = 't' AND a.edit <> 'D' THEN 5 ELSE 0 END AS cost, w.audit || a.label AS audit,
+                              w.said || list_filter([a.one, a.two, CASE a.edit WHEN 'K' THEN c4.role || ':' || c4.text WHEN 'R' THEN a.new_role || ':' || c4.text END], lambda x: x IS NOT NULL) AS said,
+                              row_number() OVER (PARTITION BY w.conv_id, a.too ORDER BY w.cost + a.paid + CASE WHEN c4.fault = 't' AND a.edit <> 'D' THEN 5 ELSE 0 END, w.audit || a.label) AS best
+                       FROM w JOIN c4 ON c4.conv_id IS NOT DISTINCT FROM w.conv_id AND c4.i = w.i + 1 JOIN a ON a.q = w.q AND a.r = c4.r WHERE a.too IS NOT NULL AND (a.edit = 'D' OR c4.fault NOT IN ('b', 'd'))) WHERE best = 1),
+             z AS (SELECT w.conv_id, cost + o.paid AS cost, audit || ins AS audit, said || list_filter([one, two], lambda x: x IS NOT NULL) AS said FROM w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.rows = w.i JOIN o ON o.q = w.q WHERE o.dest IN (0, 3)
+                   QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY cost + o.paid, audit || ins) = 1)
+        SELECT n.conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(array_to_string(said, chr(10))) AS repaired_sha256
+        FROM n JOIN z ON z.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM n.conv_id"""
