@@ -35,7 +35,7 @@ def candidate_pool(hits: DataFrame, channels: tuple[str, ...], detail: str, rese
     """id, pool_pos: the first `reserve` of each channel in the order of channels, then the best fused hits of the detail
     channel, then the other fused hits, cut at `size`."""
     keys = list(keys)
-    fused = hits.groupBy(*keys, "id").agg(F.sum(1 / (F.lit(k) + F.col("rank"))).alias("rrf"), F.min(F.when(F.col("rank") <= reserve, F.array_position(F.array(*map(F.lit, channels)), F.col("channel")) * 100 + F.col("rank"))).alias("kept"), F.max((F.col("channel") == detail).cast("int")).alias("is_detail"))
+    fused = hits.groupBy(*keys, "id").agg(F.sum(1 / (F.lit(k) + F.col("rank"))).alias("rrf"), F.min(F.when(F.col("rank") <= reserve, F.nullif(F.array_position(F.array(*map(F.lit, channels)), F.col("channel")), F.lit(0)) * 100 + F.col("rank"))).alias("kept"), F.max((F.col("channel") == detail).cast("int")).alias("is_detail"))
     nth = F.row_number().over(Window.partitionBy(*keys, "lane").orderBy(F.round("rrf", 12).desc(), "id"))
     fused = fused.withColumn("lane", F.when(F.col("kept").isNotNull(), 0).when(F.col("is_detail") == 1, 1).otherwise(2)).withColumn("n", nth)
     fused = fused.withColumn("lane", F.when((F.col("lane") == 1) & (F.col("n") > details), 2).otherwise(F.col("lane")))

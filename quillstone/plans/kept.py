@@ -1,13 +1,16 @@
-"""Queries over kept tables: a postings index that grows, and searches of it."""
+"""Queries over kept tables: a postings index that grows and searches of it, and retrieval batches over a state table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..operators import batch, dense, lexical
 from ..operators.postings import PostingsIndex
+from ..sources.folders import stored
 from .registry import query
-from .retrieval import _ask, _ASK_SQL, _t, bm25_sql, tokens_sql
+from .retrieval import _ask, _ASK_SQL, _CHUNKS_SQL, _hash_sql, _t, bm25_sql, chunks, tokens_sql
 
 
 def grown(spark: SparkSession, sf: str) -> PostingsIndex:
@@ -37,3 +40,101 @@ def kept_index_subset(spark, sf):
 @query("kept_index_doc_freq", f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(tokens)) AS term FROM {tokens_sql('documents', 'doc_id')}) GROUP BY term")
 def kept_index_doc_freq(spark, sf):
     return grown(spark, sf).doc_freq()
+
+
+def _terms_sql(low: str) -> str:
+    """Query terms of a lower-cased text, as functions.text.retrieval_terms has them for texts without CJK."""
+    phrases = ", ".join(f"'{p}'" for p in text.CLINICAL_PHRASES)
+    stop = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+    raw = rf"list_filter(list_concat(list_transform(regexp_extract_all(trim(regexp_replace({low}, '\s+', ' ', 'g')), '[a-z][a-z0-9_.+-]*|\d+(?:\.\d+)?(?:\s*(?:mg|g|%|周|月|天))?'), lambda w: trim(w)), list_filter([{phrases}], lambda p: contains({low}, p))), lambda w: length(w) >= 2 AND w NOT IN ({stop}))"
+    return f"(SELECT list_filter(l, lambda x, i: list_position(l, x) = i)[1:64] FROM (SELECT {raw} AS l))"
+
+
+def _held_sql(t: str, parts: str, words: str) -> str:
+    return f"(regexp_matches({t}, '{parts}') OR list_has_any(regexp_split_to_array({t}, '[^\\p{{L}}\\p{{N}}_]+'), ['{words}']))"
+
+
+def _types_sql(t: str) -> dict[str, str]:
+    return {
+        "early": _held_sql(t, "early|initial|first assessment|response", "cr', 'pr', 'orr', 'dcr"),
+        "progress": _held_sql(t, "resistan|progress|relapse", "pd"),
+        "toxic": _held_sql(t, "toxicit|adverse", "ae"),
+        "outcome": _held_sql(t, "outcome|survival|death", "pfs', 'os"),
+    }
+
+
+def _details_sql(n: int, state: str, said: str) -> str:
+    """Common table d{n}: the details of a round, over the state before them; said: the texts of its actions."""
+    words = ", ".join(f"'{w}'" for w in batch.CLINICAL.split("(?:")[1].split(")")[0].split("|"))
+    return f"""
+             m{n} AS (SELECT query_id, doc_id, max((score, -row)) AS top FROM (SELECT query_id, id, score, row_number() OVER (ORDER BY id) AS row FROM (SELECT query_id, id, max(score) AS score FROM {state} GROUP BY ALL)) JOIN ch USING (id) GROUP BY query_id, doc_id),
+             n{n} AS (SELECT query_id, doc_id FROM m{n} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY top DESC) <= 10),
+             t{n} AS (SELECT item_id AS query_id, {_terms_sql(f"lower(concat_ws(' ', text, {said}))")} AS terms FROM benchmark),
+             e{n} AS (SELECT query_id, doc_id, id, len(list_filter(terms, lambda t: contains(lower(text), t))) / greatest(1, len(terms))::DOUBLE + least(0.25::DOUBLE, 0.025::DOUBLE * len(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w IN ({words})))) AS score
+                      FROM n{n} JOIN t{n} USING (query_id) JOIN ch USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 9) DESC, id) <= 3),
+             d{n} AS (SELECT query_id, 'document_detail' AS channel, {n} AS round, 0 AS pos, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank, id, round(score, 6) AS score FROM e{n})"""
+
+
+def _plus_sql(wants: str, has: str, by: float) -> str:
+    return f"CASE WHEN {wants} AND {has} THEN {by}::DOUBLE ELSE 0 END"
+
+
+_ASKS = "(SELECT item_id AS query_id, text FROM benchmark)"
+_LATER = "split_part(text, chr(10), 2)"
+_A, _F = _types_sql("lower(ask)"), _types_sql("found")
+_BATCH_SQL = rf"""
+        WITH ch AS (SELECT printf('%010d#%06d', doc_id, chunk_order) AS id, doc_id, chunk AS text FROM {_CHUNKS_SQL}),
+             hd AS {_hash_sql(tokens_sql('ch', 'id'), 'id')}, hq AS {_hash_sql(tokens_sql('benchmark', 'item_id'), 'item_id')},
+             dn AS (SELECT item_id AS query_id, id, sum(hd.weight * hq.weight) AS score FROM hd JOIN hq USING (bucket) GROUP BY ALL HAVING round(score, 9) > 0),
+             dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM dn QUALIFY rank <= 30),
+             pl AS (SELECT query_id, doc_id, max(score) AS dense, string_agg(lower(text), ' ' ORDER BY lower(text)) AS found FROM dr JOIN ch USING (id) GROUP BY ALL),
+             pa AS (SELECT query_id, doc_id, dense, found, text AS ask, {_terms_sql('lower(text)')} AS terms FROM pl JOIN {_ASKS} USING (query_id)),
+             pb AS (SELECT query_id, doc_id, 0.7::DOUBLE * dense + 0.3::DOUBLE * len(list_filter(terms, lambda t: contains(found, t))) / greatest(1, len(terms)) AS locator, terms, {', '.join(f'({_A[k]} OR {_F[k]}) AS w_{k}' for k in _A)} FROM pa QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(locator, 9) DESC, doc_id) <= 30),
+             pc AS (SELECT pb.*, ch.id, {_held_sql('lower(text)', 'early|initial|first', "cr', 'pr', 'orr', 'dcr")} AS early, {_held_sql('lower(text)', 'resistan|progress|relapse', 'pd')} AS progress, {_held_sql('lower(text)', 'toxicit|adverse', 'ae')} AS toxic, {_held_sql('lower(text)', 'response|outcome|survival', "pfs', 'os")} AS outcome,
+                           len(list_filter(terms, lambda t: contains(lower(text), t))) / greatest(1, len(terms))::DOUBLE AS cover FROM pb JOIN ch USING (doc_id)),
+             pd AS (SELECT query_id, doc_id, id, locator, cover + {_plus_sql('w_early', 'early', 0.35)} + {_plus_sql('w_progress', 'progress', 0.30)} + {_plus_sql('w_toxic', 'toxic', 0.30)} + {_plus_sql('w_outcome', 'outcome', 0.20)} - {_plus_sql('w_early', '(progress AND NOT early)', 0.35)} AS score,
+                           CASE WHEN early THEN 1 WHEN toxic OR progress AND NOT w_progress THEN 2 ELSE 3 END AS bucket FROM pc),
+             pe AS (SELECT * FROM pd QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, bucket ORDER BY round(score, 9) DESC, id) = 1),
+             pf AS (SELECT query_id, doc_id, id, 0.55::DOUBLE * locator + 0.45::DOUBLE * score AS score FROM pe QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(pe.score, 9) DESC, id) <= 3),
+             pg AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 9) DESC, id) > 1 AS INT) AS sibling FROM pf),
+             ph AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sibling, round(score, 9) DESC, id) AS rank FROM pg QUALIFY rank <= 32),
+             b1 AS ({bm25_sql('(SELECT id, text FROM ch)', _ASKS, 20)}),
+             b2 AS ({bm25_sql('(SELECT id, text FROM ch)', f"(SELECT item_id AS query_id, {_LATER} AS text FROM benchmark)", 20)}),
+             sw AS (SELECT DISTINCT query_id, unnest(list_filter(tokens, lambda w: length(w) >= 9)) AS value FROM {tokens_sql(_ASKS, 'query_id')}),
+             se AS (SELECT DISTINCT id, unnest(list_filter(tokens, lambda w: length(w) >= 9)) AS value FROM {tokens_sql('ch', 'id')}),
+             st AS (SELECT query_id, id, count(*) / any_value(n)::DOUBLE AS score FROM se JOIN sw USING (value) JOIN (SELECT query_id, count(*) AS n FROM sw GROUP BY query_id) USING (query_id) GROUP BY query_id, id),
+             sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM st QUALIFY rank <= 20),
+             s1 AS (SELECT query_id, 'step3_then_step2_search' AS channel, 1 AS round, 0 AS pos, rank, id, round(score, 6) AS score FROM ph UNION ALL SELECT query_id, 'dense_search', 1, 0, rank, id, round(score, 6) FROM dr WHERE rank <= 20 UNION ALL SELECT query_id, 'bm25_search', 1, 1, rank, id, score FROM b1),{_details_sql(1, 's1', "text || ' ' || text")},
+             s2 AS (SELECT * FROM s1 UNION ALL SELECT * FROM d1 UNION ALL SELECT query_id, 'structured_search', 2, 0, rank, id, round(score, 6) FROM sr UNION ALL SELECT query_id, 'bm25_search', 2, 1, rank, id, score FROM b2),{_details_sql(2, 's2', f"rtrim(text || ' ' || {_LATER})")},
+             lf AS (SELECT query_id, channel, id, min((round, pos, rank)) AS first FROM (SELECT * FROM s2 UNION ALL SELECT * FROM d2) GROUP BY query_id, channel, id),
+             li AS (SELECT query_id, channel, id, row_number() OVER (PARTITION BY query_id, channel ORDER BY first, id) AS rank FROM lf),
+             fu AS (SELECT query_id, id, sum(1 / (60.0::DOUBLE + rank)) AS rrf, count(*) AS n_channels, max(CASE channel WHEN 'document_detail' THEN 1 ELSE 0 END) AS is_detail,
+                           min(CASE WHEN rank <= 3 THEN CASE channel WHEN 'bm25_search' THEN 1 WHEN 'dense_search' THEN 2 WHEN 'step3_then_step2_search' THEN 3 WHEN 'document_detail' THEN 4 END * 100 + rank END) AS kept FROM li GROUP BY query_id, id),
+             la AS (SELECT *, CASE WHEN kept IS NOT NULL THEN 0 WHEN is_detail = 1 AND row_number() OVER (PARTITION BY query_id, kept IS NULL, is_detail ORDER BY round(rrf, 12) DESC, id) <= 5 THEN 1 ELSE 2 END AS lane FROM fu),
+             po AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lane, kept NULLS LAST, round(rrf, 12) DESC, id) AS rank FROM la)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, id, doc_id, round(rrf, 9) AS rrf, n_channels, lane, md5(text) AS digest FROM po JOIN ch USING (id) WHERE rank <= 12"""
+
+
+@query("retrieval_batch", _BATCH_SQL)
+def retrieval_batch(spark, sf):
+    """Two rounds for every benchmark item: dense, lexical and located details of its text; then its long words and its answer."""
+    rows = chunks(_t(spark, sf, "documents")).select(F.format_string("%010d#%06d", "doc_id", "chunk_order").alias("chunk_id"), "doc_id", F.col("chunk").alias("text"))
+    rows = stored(rows, "batch-chunks")
+    goals = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    answer = F.coalesce(F.try_element_at(F.split("text", "\n"), F.lit(2)), F.lit(""))
+    plan = ((1, 0, "dense_search", F.col("text")), (1, 1, "bm25_search", F.col("text")), (2, 0, "structured_search", F.col("text")), (2, 1, "bm25_search", answer))
+    actions = goals.select("query_id", F.explode(F.array(*(F.struct(F.lit(r).alias("round"), F.lit(p).alias("pos"), F.lit(c).alias("channel"), t.alias("text")) for r, p, c, t in plan))).alias("a")).select("query_id", "a.*")
+
+    def near(asks: DataFrame, k: int = 20) -> DataFrame:
+        return dense.hash_search(rows, asks, id_col="chunk_id", text=F.col("text"), query_id="query_id", query_text=F.col("text"), top_k=k)
+
+    def long_words(docs: DataFrame, key: str, to: str) -> DataFrame:
+        return docs.select(F.col(key).alias(to), F.explode(F.filter(text.tokenize(F.col("text")), lambda w: F.length(w) >= 9)).alias("value"))
+
+    searches = {
+        "dense_search": near,
+        "bm25_search": lambda asks: lexical.search(rows, asks, id_col="chunk_id", top_k=20),
+        "structured_search": lambda asks: batch.structured(long_words(rows, "chunk_id", "id"), long_words(asks, "query_id", "query_id")),
+    }
+    _, found = batch.run(goals, actions, rows, searches, locate=lambda asks: batch.locate_then_detail(asks, near(asks, 30), rows))
+    return found.select("query_id", "rank", "id", "doc_id", F.round("rrf", 9).alias("rrf"), "n_channels", "lane", F.md5("text").alias("digest"))
