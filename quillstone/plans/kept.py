@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import excerpt, text
 from ..operators import batch, dense, lexical
 from ..operators.postings import PostingsIndex
 from ..sources.folders import stored
@@ -138,3 +138,33 @@ def retrieval_batch(spark, sf):
     }
     _, found = batch.run(goals, actions, rows, searches, locate=lambda asks: batch.locate_then_detail(asks, near(asks, 30), rows))
     return found.select("query_id", "rank", "id", "doc_id", F.round("rrf", 9).alias("rrf"), "n_channels", "lane", F.md5("text").alias("digest"))
+
+
+_SIGNAL_SQL = excerpt.SIGNAL.replace("(?iU)", "(?i)")
+_ROOM = "(700 - a.used - CASE WHEN len(a.c) > 0 THEN 5 ELSE 0 END)"
+_EXCERPT_SQL = rf"""
+        WITH h AS ({bm25_sql('(SELECT doc_id AS id, text FROM documents)', _ASKS, 5)}),
+             r AS (SELECT query_id, id, trim(regexp_replace(d.text, '\s+', ' ', 'g')) AS norm, list_filter(regexp_extract_all(lower(b.text), '{excerpt.TERM}'), lambda t: length(t) >= 2) AS raw FROM h JOIN documents d ON d.doc_id = id JOIN benchmark b ON b.item_id = query_id),
+             t AS (SELECT query_id, id, norm, term, min(k) AS k FROM (SELECT query_id, id, norm, unnest(raw) AS term, generate_subscripts(raw, 1) AS k FROM r) GROUP BY query_id, id, norm, term),
+             p AS (SELECT query_id, id, term, k, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i, len(pieces) AS n FROM (SELECT query_id, id, term, k, string_split(lower(norm), term) AS pieces FROM t)),
+             c AS (SELECT query_id, id, sum(length(piece)) OVER (PARTITION BY query_id, id, k ORDER BY i) + (i - 1) * length(term) AS loc, k, i, n FROM p),
+             c3 AS (SELECT query_id, id, loc, 0 AS w FROM c WHERE i < n QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY k, i) <= {excerpt.CENTRES}),
+             s AS (SELECT query_id, id, regexp_split_to_array(flat, '{_SIGNAL_SQL}') AS pieces, regexp_extract_all(flat, '{_SIGNAL_SQL}') AS found FROM (SELECT query_id, id, regexp_replace(norm, '[À-ɏ]', 'q', 'g') AS flat FROM r)),
+             c2 AS (SELECT query_id, id, sum(a + b) OVER (PARTITION BY query_id, id ORDER BY i) - b AS loc, 1 AS w FROM (SELECT query_id, id, i, length(pieces[i]) AS a, length(found[i]) AS b FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM s))),
+             l AS (SELECT query_id, id, list({{'c': []::STRUCT(s BIGINT, e BIGINT)[], 'used': 0::BIGINT, 'over': false, 's': greatest(0, loc - 140)::BIGINT, 'e': least(length(norm), loc + 140)::BIGINT}} ORDER BY w, loc) AS ws FROM (SELECT * FROM c3 UNION ALL SELECT * FROM c2) JOIN r USING (query_id, id) GROUP BY query_id, id),
+             z AS (SELECT r.query_id, r.id, norm, list_reduce(list_prepend({{'c': [{{'s': 0::BIGINT, 'e': 175::BIGINT}}], 'used': 175::BIGINT, 'over': false, 's': 0::BIGINT, 'e': 0::BIGINT}}, coalesce(ws, [])), lambda a, x:
+                       CASE WHEN a.over OR len(list_filter(a.c, lambda q: x.s >= q.s AND x.e <= q.e)) > 0 THEN a
+                            WHEN {_ROOM} <= {excerpt.LEAST_ROOM} THEN {{'c': a.c, 'used': a.used, 'over': true, 's': x.s, 'e': x.e}}
+                            WHEN least(x.e, x.s + {_ROOM}) - x.s > {excerpt.LEAST_WINDOW} THEN {{'c': list_append(a.c, {{'s': x.s, 'e': least(x.e, x.s + {_ROOM})}}), 'used': a.used + least(x.e, x.s + {_ROOM}) - x.s, 'over': false, 's': x.s, 'e': x.e}}
+                            ELSE a END).c AS c FROM r LEFT JOIN l ON l.query_id = r.query_id AND l.id = r.id),
+             y AS (SELECT query_id, id, norm, c, array_to_string(list_transform(list_sort(c), lambda q: trim(substr(norm, q.s + 1, q.e - q.s))), ' ... ') AS cut FROM z)
+        SELECT query_id, id, CASE WHEN length(norm) <= 700 THEN norm WHEN len(c) = 1 THEN left(norm, 697) || '...' WHEN length(cut) > 700 THEN rtrim(left(cut, 697)) || '...' ELSE cut END AS excerpt FROM y"""
+
+
+@query("query_excerpts", _EXCERPT_SQL)
+def query_excerpts(spark, sf):
+    """Excerpts of the best documents of every benchmark item, around the item's own terms."""
+    docs, asks = _t(spark, sf, "documents").select("doc_id", "text"), _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("ask"))
+    hits = lexical.search(docs, asks, query_text=F.col("ask"), top_k=5).select("query_id", F.col("id").alias("doc_id"))
+    rows = hits.join(docs, "doc_id").join(asks, "query_id")
+    return rows.select("query_id", F.col("doc_id").alias("id"), excerpt.query_excerpt(F.col("text"), F.col("ask"), 700).alias("excerpt"))
