@@ -79,7 +79,7 @@ def labelled_reply(text: Column, field: str = "benefit_binary", labels: tuple[st
             while at >= 0:
                 try:
                     found, _ = decoder.raw_decode(t, at)
-                except json.JSONDecodeError:
+                except (json.JSONDecodeError, RecursionError):  # no JSON, or nested deeper than the parser goes
                     found = None
                 if isinstance(found, dict) and found.get(field) in labels:
                     return json.dumps(found, ensure_ascii=False, sort_keys=True)

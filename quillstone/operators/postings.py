@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.folders import get_text, names, new_folder, put_text
+from ..sources.folders import Manifest, get_text, names, new_folder, put_text
 from . import lexical
 from .sizes import broadcast_up_to
 
@@ -37,20 +37,15 @@ class PostingsIndex:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, *, buckets: int = 64, deal: int = 8, id_type: str = "bigint"):
         self.spark, self.folder, self.deal = spark, folder or new_folder(spark, "postings"), deal
-        self.state = {"number": 0, "buckets": buckets, "id_type": id_type, "deltas": []}
-        self.refresh()
+        self.manifest = Manifest(spark, self.folder, {"buckets": buckets, "id_type": id_type, "deltas": []})
+
+    @property
+    def state(self) -> dict:
+        return self.manifest.state
 
     def refresh(self) -> None:
         """Takes over what other writers have added."""
-        manifests = [n for n in names(self.spark, self.folder) if n.startswith("manifest-")]
-        if manifests:
-            self.state = json.loads(get_text(self.spark, f"{self.folder}/{manifests[-1]}"))
-
-    def _commit(self, deltas: list[dict]) -> None:
-        new = self.state | {"number": self.state["number"] + 1, "deltas": deltas}
-        if not put_text(self.spark, f"{self.folder}/manifest-{new['number']:08d}", json.dumps(new)):
-            raise RuntimeError("another writer has changed the index; refresh() and add again")
-        self.state = new
+        self.manifest.refresh()
 
     def _read(self, what: str) -> DataFrame:
         kind = self.state["id_type"]
@@ -78,13 +73,13 @@ class PostingsIndex:
             raise ValueError("some of these documents are in the index already")
         name = new_folder(self.spark, "delta").rsplit("/", 1)[1]
         post = tokens.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-        self._commit([*self.state["deltas"], self._write(post, sizes, name)])
+        self.manifest.commit(deltas=[*self.state["deltas"], self._write(post, sizes, name)])
 
     def compact(self) -> None:
         """Writes all deltas as one; readers of the old ones are not disturbed."""
         if len(self.state["deltas"]) > 1:
             name = new_folder(self.spark, "delta").rsplit("/", 1)[1]
-            self._commit([self._write(self._read("postings").drop("bucket"), self._read("sizes"), name)])
+            self.manifest.commit(deltas=[self._write(self._read("postings").drop("bucket"), self._read("sizes"), name)])
 
     @property
     def n_docs(self) -> int:

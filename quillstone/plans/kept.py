@@ -9,6 +9,8 @@ from ..functions import excerpt, text
 from ..operators import batch, dense, lexical
 from ..operators.postings import PostingsIndex
 from ..sources.folders import stored
+from ..streaming.eventlog import EventLog
+from ..streaming.sessions import ConversationState
 from .registry import query
 from .retrieval import _ask, _ASK_SQL, _CHUNKS_SQL, _hash_sql, _t, bm25_sql, chunks, tokens_sql
 
@@ -168,3 +170,31 @@ def query_excerpts(spark, sf):
     hits = lexical.search(docs, asks, query_text=F.col("ask"), top_k=5).select("query_id", F.col("id").alias("doc_id"))
     rows = hits.join(docs, "doc_id").join(asks, "query_id")
     return rows.select("query_id", F.col("doc_id").alias("id"), excerpt.query_excerpt(F.col("text"), F.col("ask"), 700).alias("excerpt"))
+
+
+@query("ordered_log", "SELECT row_number() OVER (ORDER BY event_id % 3, ts, event_id) AS seq, event_id, event_type FROM events")
+def ordered_log(spark, sf):
+    """All events, appended in three batches, one of which comes again."""
+    events, log = _t(spark, sf, "events"), EventLog(spark)
+    for k in (0, 1, 1, 2):
+        log.append(events.where(F.col("event_id") % 3 == k), k)
+    return log.read().select("seq", "event_id", "event_type")
+
+
+_SAID = "md5(string_agg({0}, chr(10) ORDER BY turn))"
+
+
+@query(
+    "conversation_states",
+    f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS n FROM conversations),
+             r AS (SELECT conv_id, {_SAID.format("turn::VARCHAR || role || text")} AS recent FROM t WHERE n <= 3 GROUP BY conv_id),
+             q AS (SELECT conv_id, count(*) AS n_turns, md5(arg_min(text, turn) FILTER (WHERE role = 'user')) AS question, md5(arg_max(text, turn) FILTER (WHERE role = 'assistant')) AS answer FROM conversations GROUP BY conv_id)
+        SELECT conv_id::VARCHAR AS session_id, n_turns, question, answer, recent FROM q JOIN r USING (conv_id)""",
+)
+def conversation_states(spark, sf):
+    """All conversations, turn by turn in three batches that come out of order."""
+    turns, state = _t(spark, sf, "conversations").withColumnRenamed("conv_id", "session_id"), ConversationState(spark)
+    for k, part in enumerate(("turn >= 4", "turn < 2", "turn between 2 and 3")):
+        state.append(turns.where(part), k)
+    said = F.array_join(F.transform("recent", lambda r: F.concat(r["turn"].cast("string"), r["role"], r["text"])), "\n")
+    return state.read().select("session_id", "n_turns", F.md5("question.text").alias("question"), F.md5("answer.text").alias("answer"), F.md5(said).alias("recent"))

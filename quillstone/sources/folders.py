@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -78,3 +79,23 @@ def put_text(spark: SparkSession, path: str, text: str, replace: bool = False) -
             return False
         raise
     return True
+
+
+class Manifest:
+    """Which tables of a folder count: the newest of its numbered files. A number is taken once, so of two writers at once
+    the later one gets an error and nothing that it wrote is read."""
+
+    def __init__(self, spark: SparkSession, folder: str, empty: dict):
+        self.spark, self.folder, self.state = spark, folder, {"number": 0} | empty
+        self.refresh()
+
+    def refresh(self) -> None:
+        found = [n for n in names(self.spark, self.folder) if n.startswith("manifest-")]
+        if found:
+            self.state = json.loads(get_text(self.spark, f"{self.folder}/{found[-1]}"))
+
+    def commit(self, **changes) -> None:
+        new = self.state | changes | {"number": self.state["number"] + 1}
+        if not put_text(self.spark, f"{self.folder}/manifest-{new['number']:08d}", json.dumps(new)):
+            raise RuntimeError("another writer has changed this folder; refresh() and write again")
+        self.state = new
