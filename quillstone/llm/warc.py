@@ -195,9 +195,10 @@ def jump(nexts: np.ndarray) -> np.ndarray:
 
 def candidates(files: DataFrame, directory: str, block_bytes: int = 4 << 20) -> DataFrame:
     """A row for each block of each file, with arrays of its candidates: offset, where its record ends, where its chain
-    leaves the block, how many records it has until there, and the record's fields. files: file, n_bytes."""
+    leaves the block, how many records it has until there, where its block starts, and the record's fields. Only headers are
+    read; what a payload says of itself waits until its record is reached. files: file, n_bytes."""
     blocks = files.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n_bytes") - 1, F.lit(block_bytes))))
-    item = pa.struct([("offset", pa.int64()), ("next", pa.int64()), ("exit", pa.int64()), ("hops", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+    item = pa.struct([("offset", pa.int64()), ("next", pa.int64()), ("exit", pa.int64()), ("hops", pa.int64()), ("body", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
     schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("found", pa.list_(item))])
 
     def scan(batches):
@@ -221,9 +222,7 @@ def candidates(files: DataFrame, directory: str, block_bytes: int = 4 << 20) ->
                         if parsed is None or parsed[2] < 0 or zero + parsed[1] + parsed[2] + 4 > size:
                             continue
                         fields, body, length = parsed
-                        end = body + length + 4
-                        block = data[body : end - 4] if end <= len(data) else read(body, length)
-                        found.append(describe(zero + at, zero + end, fields, block))
+                        found.append(describe(zero + at, zero + body, zero + body + length + 4, fields))
                 offsets = np.array([x["offset"] for x in found], dtype=np.int64)
                 ends = np.array([x["next"] for x in found], dtype=np.int64)
                 if len(found):
@@ -239,24 +238,27 @@ def candidates(files: DataFrame, directory: str, block_bytes: int = 4 << 20) ->
                 yield pa.RecordBatch.from_pylist([{"file": file, "start": start, "found": found}], schema=schema)
 
     n = partitions_for(files)
-    return blocks.select("file", "n_bytes", "start").repartition(n, "file", "start").mapInArrow(scan, f"file string, start long, found array<struct<offset:bigint,next:bigint,exit:bigint,hops:bigint,{','.join(':'.join(x.split()) for x in FIELDS.split(', '))}>>")
+    return blocks.select("file", "n_bytes", "start").repartition(n, "file", "start").mapInArrow(scan, f"file string, start long, found array<struct<offset:bigint,next:bigint,exit:bigint,hops:bigint,body:bigint,{','.join(':'.join(x.split()) for x in FIELDS.split(', '))}>>")
 
 
-def describe(offset: int, end: int, fields: dict[str, str], block: bytes) -> dict:
-    """What a record says, from its own bytes where it holds the payload."""
-    kind = fields.get("warc-type", "")
+def describe(offset: int, body: int, end: int, fields: dict[str, str]) -> dict:
+    """What a record's header says; the digest and size of a payload that it holds itself are left open."""
+    kind, digest, n = fields.get("warc-type", ""), None, None
     # Any integer that a long holds; leading zeros do not count.
     number = lambda k: n if re.fullmatch(r"-?0*\d{1,19}", x := fields.get(k, "")) and -(1 << 63) <= (n := int(x)) < 1 << 63 else None
-    payload = block[at + 4 :] if (at := block.find(b"\r\n\r\n")) >= 0 else block
     if kind == "revisit":
         try:
             digest = base64.b32decode(fields.get("warc-payload-digest", "").removeprefix("sha1:")).hex()
         except ValueError:
             digest = None
         n = number("x-payload-bytes")
-    else:
-        digest, n = hashlib.sha1(payload).hexdigest(), len(payload)
-    return {"offset": offset, "next": end, "page_id": number("x-page-id"), "payload_bytes": n, "payload_digest": digest, "record_type": kind, "refers_to": number("x-refers-to-page")}
+    return {"offset": offset, "next": end, "body": body, "page_id": number("x-page-id"), "payload_bytes": n, "payload_digest": digest, "record_type": kind, "refers_to": number("x-refers-to-page")}
+
+
+def payload_of(block: bytes) -> tuple[str, int]:
+    """(hex SHA-1, size) of the payload in a record's block."""
+    payload = block[at + 4 :] if (at := block.find(b"\r\n\r\n")) >= 0 else block
+    return hashlib.sha1(payload).hexdigest(), len(payload)
 
 
 def read_archives(manifest: DataFrame, directory: str, block_bytes: int = 4 << 20) -> DataFrame:
@@ -295,9 +297,14 @@ def read_archives(manifest: DataFrame, directory: str, block_bytes: int = 4 << 2
             for file, entry, items in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 by = {x["offset"]: x for x in items}
                 rows, at = [], entry
-                while at in by:
-                    rows.append(by[at] | {"file": file})
-                    at = by[at]["next"]
+                fs, base = file_system(directory)
+                with fs.open_input_file(f"{base}/{file}") as f:
+                    while at in by:
+                        row = by[at] | {"file": file}
+                        if row["record_type"] != "revisit":
+                            row["payload_digest"], row["payload_bytes"] = payload_of(f.read_at(row["next"] - 4 - row["body"], row["body"]))
+                        rows.append(row)
+                        at = row["next"]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=out)
 
