@@ -220,3 +220,21 @@ def test_every_window_has_an_anchor():
         starts = np.arange(len(data) - 400 + 1)
         inside = np.searchsorted(at, starts + 400 - suffixdup.K, "right") - np.searchsorted(at, starts)
         assert (inside > 0).all()
+
+
+def test_very_many_spans_in_one_text_take_linear_time(spark):
+    import time
+
+    r = random.Random(6)
+    part = "".join(r.choice("abcdefgh") for _ in range(450))
+    # 3,000 removed spans with bytes between them that are not repeated
+    text = "".join(part + f"{i:07d}{r.random():.17f}" for i in range(3000))
+    began = time.time()
+    row = suffixdup.cut(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_spans == 3000 and time.time() - began < 60
+    kept, at = hashlib.sha256(), 0
+    for s in row.spans:
+        kept.update(text[at : s["lo"]].encode())
+        at = s["hi"]
+    kept.update(text[at:].encode())
+    assert row.kept_sha256 == kept.hexdigest()
