@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
+from . import substrings
 
 
 def term(c: Column) -> Column:
@@ -21,9 +22,12 @@ def by_names(rows: DataFrame, wanted: DataFrame, *names: Column, aliases: Column
 
 
 def by_mutation(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose mutation equals or contains a wanted term: the terms of a query are few and go along as one array."""
-    w = wanted.where(F.coalesce("term", F.lit("")) != "").groupBy("query_id").agg(F.collect_set(term(F.col("term"))).alias("_terms"))
-    return rows.join(w, F.exists("_terms", lambda t: term(F.col("mutation")).contains(t))).drop("_terms")
+    """Rows whose mutation equals or contains a wanted term; distinct mutations meet distinct terms by their n-grams."""
+    w = wanted.select("query_id", term(F.col("term")).alias("_term")).where(F.coalesce("_term", F.lit("")) != "").distinct()
+    names = rows.select(term(F.col("mutation")).alias("text")).distinct()
+    pairs = substrings.containing(names.select(F.col("text").alias("text_id"), "text"), w.select(F.col("_term").alias("needle_id"), F.col("_term").alias("needle")).distinct())
+    hits = w.join(pairs, F.col("_term") == F.col("needle_id")).select("query_id", F.col("text_id").alias("_mutation")).distinct()
+    return rows.join(hits, term(F.col("mutation")) == F.col("_mutation")).drop("_mutation")
 
 
 def case_interactions(rows: DataFrame, *, drugs: list[str], mutations: list[str], interactions: list[str], top_k: int = 20) -> DataFrame:

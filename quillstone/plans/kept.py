@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import excerpt, text
-from ..operators import batch, dense, lexical
+from ..operators import batch, dense, lexical, resample, substrings
 from ..operators.postings import PostingsIndex
 from ..sources.folders import stored
 from ..streaming.eventlog import EventLog
@@ -198,3 +198,30 @@ def conversation_states(spark, sf):
         state.append(turns.where(part), k)
     said = F.array_join(F.transform("recent", lambda r: F.concat(r["turn"].cast("string"), r["role"], r["text"])), "\n")
     return state.read().select("session_id", "n_turns", F.md5("question.text").alias("question"), F.md5("answer.text").alias("answer"), F.md5(said).alias("recent"))
+
+
+@query(
+    "substring_matches",
+    """WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS needle FROM benchmark),
+             n AS (SELECT * FROM w WHERE length(needle) >= 7 OR length(needle) = 2)
+        SELECT item_id, needle, count(*) AS n_docs, min(doc_id) AS first_doc FROM n JOIN documents ON contains(lower(text), needle) GROUP BY item_id, needle""",
+)
+def substring_matches(spark, sf):
+    """Long and two-letter words of every benchmark item, wherever documents contain them, also inside words."""
+    words = _t(spark, sf, "benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("needle")).distinct()
+    words = words.where("length(needle) >= 7 OR length(needle) = 2")
+    pairs = substrings.containing(_t(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text")), words.select(F.col("needle").alias("needle_id"), "needle").distinct())
+    per = pairs.groupBy(F.col("needle_id").alias("needle")).agg(F.count("*").alias("n_docs"), F.min("text_id").alias("first_doc"))
+    return words.join(per, "needle").select("item_id", "needle", "n_docs", "first_doc")
+
+
+@query("resampled_return_rate")
+def resampled_return_rate(spark, sf):
+    """Intervals of the share of returned lines, by line number, over all of lineitem."""
+    rows = _t(spark, sf, "lineitem").select("l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("back"))
+    return resample.bootstrap(rows, {"back": F.col("back"), "of": F.lit(1)}, F.col("back") / F.nullif(F.col("of"), F.lit(0.0)), keys=("l_linenumber",), n=400)
+
+
+@query("shuffled_priorities")
+def shuffled_priorities(spark, sf):
+    return resample.shuffled_baseline(_t(spark, sf, "orders"), F.col("o_orderpriority"))
