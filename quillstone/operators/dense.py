@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .sizes import broadcast_up_to
 
 DIM = 512
 
@@ -70,3 +71,14 @@ def hash_search(docs: DataFrame, queries: DataFrame, *, id_col: str, text: Colum
         hits = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
         out = hits if out is None else out.unionAll(hits)
     return out
+
+
+def bucket_search(vectors: DataFrame, queries: DataFrame, *, top_k: int = 10, most: int = 1_000_000) -> DataFrame:
+    """query_id, id, score, rank: as hash_search, from hash_buckets of both sides, for many queries at once.
+
+    Vectors meet only the queries that share a bucket with them; the products of a vector lie in one task, where they are
+    added up before scores are shuffled. Up to `most` buckets of queries are broadcast."""
+    q = broadcast_up_to(queries.select(F.col("id").alias("query_id"), "bucket", F.col("weight").alias("w")), most)
+    hits = vectors.join(q, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("w")).alias("score")).where(F.round("score", 9) > 0)
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
