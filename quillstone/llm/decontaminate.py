@@ -12,8 +12,10 @@ the score that the item's own words would give it. All such items are found, wit
 What is retrieved is verified: the passage must hold the share `verify` of the word n-grams of the item's question (first
 line) and of its answer (the other lines), of each by itself; a part without words is not asked for.
 
-The index is built from all items in shards of a bounded number of bytes, with document frequencies over all items, and
-each shard is broadcast by itself; so the result does not depend on the number of shards.
+The index is built from all items in shards, with document frequencies over all items, and each shard is broadcast by
+itself; so the result does not depend on the number of shards. A shard is flat arrays and one dictionary of its words, at
+most `BYTES_WORD` a word of its items and `BYTES_TERM` a distinct word; shards are as many as keep that below `index_bytes`.
+n-grams are 64-bit hashes of word numbers.
 
 Rows: a null or empty text has no passage, a null or wordless item is never retrieved; items or parts shorter than n
 words count as one n-gram; repeated documents each get their rows, repeated items theirs; empty tables give an empty
@@ -24,7 +26,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
 from functools import reduce
 
 import numpy as np
@@ -40,6 +41,8 @@ SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answ
 SPARE, VERIFY = 0.25, 0.6
 #: Words of documents that are looked up together.
 CHUNK = 200_000
+#: Bytes of an index for each word of its items and for each distinct one (its text, a number, a slot of the dictionary).
+BYTES_WORD, BYTES_TERM = 44, 180
 
 
 def words(text: str | None) -> list[str]:
@@ -55,48 +58,74 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     return words(question), words(answer)
 
 
+def _hashes(ids: np.ndarray, m: int) -> np.ndarray:
+    """64-bit hashes of all runs of m word numbers."""
+    ids, h = ids.astype(np.uint64), np.full(max(0, len(ids) - m + 1), m, dtype=np.uint64)
+    for k in range(m):
+        h = (h ^ (ids[k : k + len(h)] + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 class Index:
     """Postings of one shard. items: (item_id, text); df, n, mean: statistics of all items."""
 
     def __init__(self, items, df: dict[str, int], n: int, mean: float, retrieve: float, gram: int, block: int = 16, longest: int | None = None):
         self.gram, self.block = gram, block
-        kept = [(i, *split_item(t)) for i, t in items if words(t)]
+        self.vocabulary: dict[str, int] = {}
+        number = lambda text: np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in text], dtype=np.int32)
+        kept = [(i, number(q), number(a)) for i, t in items for q, a in [split_item(t)] if q or a]
         kept.sort(key=lambda x: (len(x[1]) + len(x[2]), str(x[0])))  # like lengths together: tighter blocks
         self.ids = [x[0] for x in kept]
-        self.parts = [(set(grams(q, gram)), set(grams(a, gram))) for _, q, a in kept]
+        # n-grams of question and answer of each item, sorted; those of part p stand at gram_at[p] to gram_at[p + 1].
+        parts = [np.unique(_hashes(p, min(gram, len(p)))) if len(p) else np.empty(0, np.uint64) for _, q, a in kept for p in (q, a)]
+        self.grams, self.gram_at = _flat(parts, np.uint64)
         # Passages follow the longest item of the whole benchmark, of which these may be a shard.
         self.longest = longest or max((len(q) + len(a) for _, q, a in kept), default=1)
-        self.vocabulary: dict[str, int] = {}
-        self.terms, self.weights, self.limits, spare, postings = [], [], [], [], defaultdict(dict)
-        for k, (_, q, a) in enumerate(kept):
-            tf = Counter(q + a)
-            length = len(q) + len(a)
-            w = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * length / mean)) for t, c in tf.items()}
-            tids = np.array([self.vocabulary.setdefault(t, len(self.vocabulary)) for t in w])
-            weights = np.array(list(w.values()))
-            limit = retrieve * weights.sum()
-            share = weights / limit
+        idf = np.array([math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in self.vocabulary])
+        terms, weights, limits, spare, essential, shares = [], [], [], [], [], []
+        for _, q, a in kept:
+            tids, tf = np.unique(np.concatenate([q, a]), return_counts=True)
+            w = idf[tids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(q) + len(a)) / mean))
+            limit = retrieve * w.sum()
+            share = w / limit
             order = np.argsort(share, kind="stable")
             rest = np.cumsum(share[order]) < SPARE
-            for t, x in zip(tids[order[~rest]].tolist(), share[order[~rest]].tolist(), strict=True):
-                postings[t][k] = x
-            spare.append(share[order[rest]].sum())
-            self.terms.append(tids), self.weights.append(weights), self.limits.append(limit)
-        self.spare = np.array(spare)
+            essential.append(tids[order[~rest]]), shares.append(share[order[~rest]]), spare.append(share[order[rest]].sum())
+            terms.append(tids), weights.append(w), limits.append(limit)
+        self.all_terms, self.term_at = _flat(terms, np.int32)
+        self.all_weights, _ = _flat(weights, np.float64)
+        self.limits, self.spare = np.array(limits), np.array(spare)
         self.needs = np.array([1 - max(spare[b : b + block]) for b in range(0, len(kept), block)]) if kept else np.ones(1)
-        counts = np.array([len(postings.get(t, ())) for t in range(len(self.vocabulary))] + [0], dtype=np.int64)  # the last: unknown words
+        # Postings by word: items and shares of their thresholds, rounded up, as they bound scores from above.
+        owner, at = _flat(essential, np.int32)
+        item = np.repeat(np.arange(len(kept), dtype=np.int32), np.diff(at))
+        order = np.argsort(owner, kind="stable")
+        owner, self.items = owner[order], item[order]
+        self.shares = np.nextafter(_flat(shares, np.float32)[0][order], np.float32(np.inf))
+        counts = np.bincount(owner, minlength=len(self.vocabulary) + 1)  # the last: unknown words
         self.at = np.concatenate([[0], np.cumsum(counts)])
-        self.items = np.array([k for t in range(len(self.vocabulary)) for k in postings.get(t, ())], dtype=np.int64)
-        self.shares = np.array([x for t in range(len(self.vocabulary)) for x in postings.get(t, {}).values()])
         # The largest share of each word in each block.
-        owner = np.repeat(np.arange(len(counts)), counts) * len(self.needs) + self.items // block
-        cells, inverse = np.unique(owner, return_inverse=True)
-        self.most = np.zeros(len(cells))
+        cells, inverse = np.unique(owner.astype(np.int64) * len(self.needs) + self.items // block, return_inverse=True)
+        self.most = np.zeros(len(cells), dtype=np.float32)
         np.maximum.at(self.most, inverse, self.shares)
-        self.blocks = cells % len(self.needs)
+        self.blocks = (cells % len(self.needs)).astype(np.int32)
         self.block_at = np.searchsorted(cells, np.arange(len(counts) + 1) * len(self.needs))
         self.essential = counts > 0
 
+    @property
+    def terms(self) -> list[np.ndarray]:
+        return np.split(self.all_terms, self.term_at[1:-1])
+
+    @property
+    def weights(self) -> list[np.ndarray]:
+        return np.split(self.all_weights, self.term_at[1:-1])
+
+    def held(self, item: int, grams: np.ndarray) -> tuple[list[int], list[int]]:
+        """(how many n-grams of the question and of the answer are among some sorted ones; how many each has)."""
+        parts = [self.grams[self.gram_at[p] : self.gram_at[p + 1]] for p in (2 * item, 2 * item + 1)]
+        return [int(_among(p, grams).sum()) for p in parts], [len(p) for p in parts]
+
     def search(self, docs: list[list[str]], verify: float) -> list[tuple[int, int, float, float | None, float | None, float]]:
         """(number of the document, item, score, overlaps) of the best passage for each item that a document is found to hold."""
         step, unknown = self.longest, len(self.vocabulary)
@@ -132,22 +161,37 @@ class Index:
         for p, group in _runs(pair // max(1, len(self.ids)), pair % max(1, len(self.ids))):
             d = int(np.searchsorted(first, p, "right")) - 1
             a = (p - int(first[d])) * step
-            here = np.unique(tids[starts[d] + a : min(starts[d] + a + 2 * step, starts[d + 1])])
-            held = None
+            said = tids[starts[d] + a : min(starts[d] + a + 2 * step, starts[d + 1])]
+            here, held = np.unique(said), None
             for k in group:
-                score = float(self.weights[k][np.isin(self.terms[k], here)].sum())
+                own = slice(self.term_at[k], self.term_at[k + 1])
+                score = float(self.all_weights[own][_among(self.all_terms[own], here)].sum())
                 if score < self.limits[k]:
                     continue
-                held = held or set(grams(docs[d][a : a + 2 * step], self.gram)) | {g for m in range(1, self.gram) for g in grams(docs[d][a : a + 2 * step], m)}
-                q, an = (len(x & held) / len(x) if x else None for x in self.parts[k])
+                if held is None:  # unknown words have a number that no item has, so their n-grams are in none
+                    held = np.unique(np.concatenate([_hashes(said, m) for m in range(1, self.gram + 1)]))
+                found, of = self.held(k, held)
+                q, an = (x / y if y else None for x, y in zip(found, of, strict=True))
                 if any(x is not None and x < verify for x in (q, an)):
                     continue
-                both = sum(len(x & held) for x in self.parts[k]) / sum(map(len, self.parts[k]))
+                both = sum(found) / sum(of)
                 if (d, k) not in best or (both, score) > (best[d, k][3], best[d, k][0]):
                     best[d, k] = (score, q, an, both)
         return [(d, self.ids[k], *x) for (d, k), x in best.items()]
 
 
+def _flat(arrays: list[np.ndarray], dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(all values in a row, where each array starts and ends in it)."""
+    flat = np.concatenate(arrays).astype(dtype) if arrays else np.empty(0, dtype)
+    return flat, np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int64)
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among sorted ones."""
+    at = np.searchsorted(known, values)
+    return (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == values) if len(known) else np.zeros(len(values), dtype=bool)
+
+
 def _expand(at: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places of all postings of the terms, how many each has)."""
     n = at[term + 1] - at[term]
@@ -169,8 +213,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     return reduce(DataFrame.unionAll, found)
 
 
-def _indexes(items: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", retrieve: float = 0.4, gram: int = 5, shard_bytes: int = 16 << 20):
-    """An index for each shard of the items, with the statistics of all of them."""
+def _indexes(items: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", retrieve: float = 0.4, gram: int = 5, shard_bytes: int = 16 << 20, index_bytes: int = 64 << 20):
+    """An index for each shard of the items (about shard_bytes of texts and index_bytes of index at most), with the statistics of all of them."""
     bench = stored(items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null"), "bench-items")
 
     def terms():
@@ -186,7 +230,7 @@ def _indexes(items: DataFrame, *, item_col: str = "item_id", item_text_col: str
     counted = stored(counts(bench).groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length"), F.max("length").alias("longest")), "bench-terms")
     whole = counted.where("term = ''").first()
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
+    shards = max(1, -(-size // shard_bytes), _shards(whole["length"] if whole else 0, counted.count() - 1, index_bytes))
     for k in range(shards):
         part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         rows = [(r["item_id"], r["text"]) for r in part.collect()]  # about shard_bytes
@@ -194,6 +238,13 @@ def _indexes(items: DataFrame, *, item_col: str = "item_id", item_text_col: str
         yield Index(rows, df, whole["n"] if whole else 0, (whole["length"] / max(1, whole["n"])) if whole else 1.0, retrieve, gram, longest=whole["longest"] if whole else None)
 
 
+def _shards(length: int, distinct: int, most: int) -> int:
+    """How many shards keep an index below `most` bytes, for items of so many words, and so many distinct ones."""
+    apart = -(-length * (BYTES_WORD + BYTES_TERM) // most)  # as if each word were new
+    room = most - distinct * BYTES_TERM
+    return min(apart, -(-length * BYTES_WORD // room)) if room > 0 else apart
+
+
 def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The documents that hold no item, with the columns that they had. Each is judged by its own text where it lies, so null or repeated ids and clashing columns do not matter, and nothing is shuffled."""
     verify = options.pop("verify", VERIFY)

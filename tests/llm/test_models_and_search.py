@@ -1,5 +1,6 @@
 import math
 import random
+import sys
 import re
 from collections import defaultdict
 
@@ -219,6 +220,29 @@ def test_pruning_keeps_all_above_the_threshold():
     assert found == want and want
 
 
+def test_an_index_is_as_small_as_its_estimate(spark):
+    """Half of the words are rare, so that the vocabulary counts too; null ids keep their items."""
+    import pickle
+    from collections import Counter
+
+    rng = random.Random(4)
+    items = [(i or None, " ".join(f"r{rng.randrange(60_000)}" if rng.random() < 0.5 else f"c{rng.randrange(200)}" for _ in range(rng.randrange(5, 150)))) for i in range(3000)]
+    ws = [decontaminate.words(t) for _, t in items]
+    df = Counter(x for w in ws for x in set(w))
+    n = sum(map(len, ws))
+    index = decontaminate.Index(items, df, len(ws), n / len(ws), 0.4, 5)
+    most = decontaminate.BYTES_WORD * n + decontaminate.BYTES_TERM * len(df)
+    arrays = sum(x.nbytes for x in index.__dict__.values() if isinstance(x, np.ndarray))
+    assert arrays + sum(sys.getsizeof(w) + 32 for w in index.vocabulary) + sys.getsizeof(index.vocabulary) < most and len(pickle.dumps(index.__dict__)) < most
+    assert {i for _, i, *_ in index.search([ws[0], ws[7]], verify=1.0)} == {None, 7}
+    shards = decontaminate._shards(n, len(df), most // 3)
+    assert 3 <= shards <= 40 and decontaminate._shards(0, -1, 10) == 0 and decontaminate._shards(n, len(df), most) == 1
+    b = spark.createDataFrame(items[:40], "item_id long, text string")
+    d = spark.createDataFrame([(k, items[k][1]) for k in range(0, 40, 4)], "doc_id long, text string")
+    found = lambda **o: sorted((r["doc_id"], str(r["item_id"])) for r in decontaminate.leaks(d, b, **o).collect())
+    assert found(index_bytes=200_000) == found() == sorted((k, str(k or None)) for k in range(0, 40, 4))
+
+
 def test_passages_do_not_depend_on_shards(spark):
     """A short item whose halves lie further apart than twice its own length, within a passage of the longest item."""
     half = [" ".join(f"h{k}w{i}" for i in range(10)) for k in range(2)]
