@@ -15,6 +15,8 @@ REQUIRED = ("overall_benefit", "body_lesion_recist", "cns_lm_recist", "csf_traje
 BENEFIT = ("获益", "不获益")
 SEARCHES = ("hybrid_search", "dense_search", "bm25_search", "structured_search")
 COMBINATIONS = ("osimertinib plus", "furmonertinib plus", "combined with", "combination therapy of", "gefitinib plus", "almonertinib plus", "aumolertinib plus")
+#: Fixed value: the share of a gold text's terms that covers it.
+LEAST_SHARE = 0.35
 #: Fields of a citation that an item has itself or in its metadata, and those that only its citation has.
 CITED = ("doc_id", "case_id", "event_id", "pmid", "title", "evidence_level")
 PLACED = ("field_path", "start_char", "end_char", "chunk_order")
@@ -147,16 +149,30 @@ def case_and_node(instance: Column, pattern: str = CASE_AND_NODE) -> Column:
     return F.struct(F.when(case == "", instance).otherwise(case).alias("case_id"), F.when(case == "", 0).otherwise(F.regexp_extract(instance, pattern, 2).try_cast("int")).alias("node"))
 
 
-def gold_overlap(query: Column, text: Column) -> Column:
-    """How a text covers a gold text: share of its distinct terms, whether one of its dates and one of its outcomes are there, and
-    whether it passes (a share of 0.35, or date and outcome)."""
-    lower = F.lower(text)
-    terms = F.array_distinct(F.regexp_extract_all(query, F.lit(TERM), F.lit(0)))
+def plain_dates(text: Column) -> Column:
+    """A text with its dates written alike."""
+    return F.regexp_replace(F.regexp_replace(text, "[年月]", "-"), "日", "")
+
+
+def gold_marks(query: Column) -> Column:
+    """Distinct terms, dates and outcomes of a gold text."""
+    found = lambda pattern: F.array_distinct(F.regexp_extract_all(query, F.lit(pattern), F.lit(0)))
+    return F.struct(found(TERM).alias("terms"), found(DATE).alias("dates"), found(OUTCOME).alias("outcomes"))
+
+
+def marks_overlap(marks: Column, text: Column) -> Column:
+    """How a text covers a gold text, given its marks: share of its terms, whether one of its dates and one of its outcomes are
+    there, and whether it passes (a share of LEAST_SHARE, or date and outcome)."""
+    lower, terms = F.lower(text), marks["terms"]
     share = F.size(F.filter(terms, lambda t: lower.contains(F.lower(t)))) / F.greatest(F.lit(1), F.size(terms))
-    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "[年月]", "-"), "日", "")
-    date = F.exists(F.regexp_extract_all(query, F.lit(DATE), F.lit(0)), lambda d: plain(text).contains(plain(d)))
-    outcome = F.exists(F.regexp_extract_all(query, F.lit(OUTCOME), F.lit(0)), lambda o: lower.contains(F.lower(o)))
-    return F.struct(F.round(share, 4).alias("lexical"), date.alias("date_hit"), outcome.alias("outcome_hit"), ((share >= 0.35) | (date & outcome)).alias("passes"))
+    date = F.exists(marks["dates"], lambda d: plain_dates(text).contains(plain_dates(d)))
+    outcome = F.exists(marks["outcomes"], lambda o: lower.contains(F.lower(o)))
+    return F.struct(F.round(share, 4).alias("lexical"), date.alias("date_hit"), outcome.alias("outcome_hit"), ((share >= LEAST_SHARE) | (date & outcome)).alias("passes"))
+
+
+def gold_overlap(query: Column, text: Column) -> Column:
+    """marks_overlap of a gold text and a text."""
+    return marks_overlap(gold_marks(query), text)
 
 
 def citations(text: Column, pattern: str, allowed: Column | None = None) -> Column:

@@ -1 +1 @@
-from . import assembly, evaluation, kept, retrieval, rules  # noqa: F401
+from . import assembly, evaluation, kept, mining, retrieval, rules  # noqa: F401

@@ -23,10 +23,12 @@ def rows(df):
 
 
 def test_every_query_has_sql():
-    assert set(registry.QUERIES) == set(registry.ORACLES)
+    """But for those that draw weights from hashes, which test_resample_and_substrings.py compares with NumPy's."""
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"resampled_return_rate", "shuffled_priorities"}
+    assert set(registry.ORACLES) <= set(registry.QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, sf, db, name):
     ours, theirs = registry.QUERIES[name](spark, sf).toPandas(), db.execute(registry.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
