@@ -81,7 +81,9 @@ def covering(golds: DataFrame, chunks: DataFrame) -> DataFrame:
         pairs = pairs.join(wanted.withColumnRenamed("needle", "needle_id"), "needle_id").select("gold_id", F.col("text_id").alias("id"))
         met = pairs if met is None else met.unionByName(pairs)
     rows = met.distinct().join(marks, "gold_id").join(chunks.select("id", "text"), "id")
-    return rows.select("gold_id", "id", marks_overlap(F.col("m"), F.col("text")).alias("o")).where("o.passes").select("gold_id", "id", "o.lexical", "o.date_hit", "o.outcome_hit")
+    # a generator, so that the comparison is made once and not for each column that reads it
+    rows = rows.select("gold_id", "id", F.inline(F.array(marks_overlap(F.col("m"), F.col("text")))))
+    return rows.where("passes").select("gold_id", "id", "lexical", "date_hit", "outcome_hit")
 
 
 def candidates(hits: DataFrame, keys: tuple[str, ...] = ("case_id",), then: tuple[str, ...] = ("pos", "id"), most: int = MOST) -> DataFrame:

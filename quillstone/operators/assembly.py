@@ -163,11 +163,14 @@ def gold_marks(query: Column) -> Column:
 def marks_overlap(marks: Column, text: Column) -> Column:
     """How a text covers a gold text, given its marks: share of its terms, whether one of its dates and one of its outcomes are
     there, and whether it passes (a share of LEAST_SHARE, or date and outcome)."""
-    lower, terms = F.lower(text), marks["terms"]
-    share = F.size(F.filter(terms, lambda t: lower.contains(F.lower(t)))) / F.greatest(F.lit(1), F.size(terms))
-    date = F.exists(marks["dates"], lambda d: plain_dates(text).contains(plain_dates(d)))
-    outcome = F.exists(marks["outcomes"], lambda o: lower.contains(F.lower(o)))
-    return F.struct(F.round(share, 4).alias("lexical"), date.alias("date_hit"), outcome.alias("outcome_hit"), ((share >= LEAST_SHARE) | (date & outcome)).alias("passes"))
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  a value that many terms are compared with
+    terms = marks["terms"]
+    share = lambda low: F.size(F.filter(terms, lambda t: low.contains(F.lower(t)))) / F.greatest(F.lit(1), F.size(terms))
+    date = lambda plain: F.exists(marks["dates"], lambda d: plain.contains(plain_dates(d)))
+    outcome = lambda low: F.exists(marks["outcomes"], lambda o: low.contains(F.lower(o)))
+    found = once(F.lower(text), lambda low: F.struct(share(low).alias("share"), once(plain_dates(text), date).alias("date"), outcome(low).alias("outcome")))
+    passes = lambda f: (f["share"] >= LEAST_SHARE) | (f["date"] & f["outcome"])
+    return once(found, lambda f: F.struct(F.round(f["share"], 4).alias("lexical"), f["date"].alias("date_hit"), f["outcome"].alias("outcome_hit"), passes(f).alias("passes")))
 
 
 def gold_overlap(query: Column, text: Column) -> Column:

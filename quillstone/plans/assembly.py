@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import assembly, batching
+from .kept import _terms_sql
 from .registry import query
 
 
@@ -50,12 +51,14 @@ def reply_fields(spark, sf):
 
 @query(
     "labelled_replies",
-    """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL ELSE '{"benefit_binary": "' || CASE WHEN conv_id % 2 = 0 THEN '获益' ELSE '不获益' END || '", "turn": ' || turn || '}' END AS reply FROM conversations""",
+    """SELECT conv_id, turn, role, md5(CASE WHEN text IS NULL THEN NULL WHEN length(text) % 3 <> 0 THEN text END) AS said FROM conversations""",
 )
 def labelled_replies(spark, sf):
-    label = F.when(F.col("turn") % 3 == 0, "maybe").when(F.col("conv_id") % 2 == 0, "获益").otherwise("不获益")
-    said = F.concat(F.lit('{"benefit_binary": "?"} and {broken, then '), F.lit('{"turn": '), F.col("turn").cast("string"), F.lit(', "benefit_binary": "'), label, F.lit('"} as {"benefit_binary": "获益"'))
-    return _t(spark, sf, "conversations").select("conv_id", "turn", assembly.labelled_reply(said).alias("reply"))
+    """Each turn's whole text in a labelled object, between the text itself and an object whose label is unknown."""
+    label = F.when(F.length("text") % 3 == 0, "maybe").when(F.length("text") % 3 == 1, "获益").otherwise("不获益")
+    told = F.to_json(F.struct(F.lit("?").alias("benefit_binary"), "text")), F.to_json(F.struct("text", label.alias("benefit_binary")))
+    said = F.concat("text", F.lit(" {broken, "), told[0], F.lit(" then "), told[1], F.col("text"), F.lit('{"benefit_binary": "获益"'))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", "role", F.md5(F.get_json_object(assembly.labelled_reply(said), "$.text")).alias("said"))
 
 
 @query(
@@ -140,21 +143,23 @@ def numbered_batches(spark, sf):
     return batching.batch_ids(batching.not_done(_t(spark, sf, "supplier").select("s_suppkey"), held, "s_suppkey"), ["s_suppkey"], 8, groups=4).select("s_suppkey", "position", "batch")
 
 
-_WITH_REFERENCES = r"""(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'body ' || doc_id || chr(10) || 'see references below' || chr(10) || '## 7. References:' || chr(10) || '[DOI] [PubMed] Google Scholar' WHEN doc_id % 3 = 1 THEN 'References' || chr(10) || 'only' ELSE 'no heading, references in a line' END AS t FROM documents)"""
+_HEAD = text.REFERENCE_HEADING
 
 
-def _with_references(spark, sf) -> DataFrame:
-    d = F.col("doc_id")
-    t = F.when(d % 3 == 0, F.concat(F.lit("body "), d, F.lit("\nsee references below\n## 7. References:\n[DOI] [PubMed] Google Scholar"))).when(d % 3 == 1, F.lit("References\nonly")).otherwise(F.lit("no heading, references in a line"))
-    return _t(spark, sf, "documents").select("doc_id", t.alias("t"))
+def _body_sql(t: str) -> str:
+    return rf"CASE WHEN regexp_matches({t}, '(?im:{_HEAD})') THEN regexp_replace(regexp_extract({t}, '(?s)\A(.*)(?im:{_HEAD})', 1), '\s+\z', '') ELSE coalesce({t}, '') END"
 
 
 @query(
     "reference_sections",
-    f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'body ' || doc_id || chr(10) || 'see references below' WHEN doc_id % 3 = 1 THEN '' ELSE t END AS body, doc_id % 3 = 0 AS is_list FROM {_WITH_REFERENCES}""",
+    rf"""WITH d AS (SELECT doc_id, text AS own, concat(text, chr(10), '## 7. References:', chr(10), text, ' [DOI] [PubMed] Google Scholar') AS cited, replace(text, '. ', chr(10) || 'references' || chr(10)) AS headed FROM documents)
+        SELECT doc_id, md5({_body_sql("own")}) AS own, md5({_body_sql("cited")}) AS cited, md5({_body_sql("headed")}) AS headed, coalesce(len(regexp_extract_all(cited, '{text.REFERENCE_POINTER}')) >= 3, false) AS is_list FROM d""",
 )
 def reference_sections(spark, sf):
-    return _with_references(spark, sf).select("doc_id", text.strip_references(F.col("t")).alias("body"), text.is_reference_list(F.col("t")).alias("is_list"))
+    """Whole texts: as they are, with a list of references below, and with a heading in place of each end of a sentence."""
+    cited = F.concat(F.coalesce("text", F.lit("")), F.lit("\n## 7. References:\n"), F.coalesce("text", F.lit("")), F.lit(" [DOI] [PubMed] Google Scholar"))
+    d = _t(spark, sf, "documents").select("doc_id", F.col("text").alias("own"), cited.alias("cited"), F.replace("text", F.lit(". "), F.lit("\nreferences\n")).alias("headed"))
+    return d.select("doc_id", *(F.md5(text.strip_references(F.col(c))).alias(c) for c in ("own", "cited", "headed")), text.is_reference_list(F.col("cited")).alias("is_list"))
 
 
 @query(
@@ -166,24 +171,25 @@ def event_type_parts(spark, sf):
     return _t(spark, sf, "orders").select("o_orderkey", F.array_join(text.event_types(raw), ",").alias("types"))
 
 
+_PLAIN_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[[^\]]*\]', ' ', 'g'), '(?m)#.*$', ' ', 'g'), '\b(?:AND|OR|NOT)\b', ' ', 'g'), '[()"]', ' ', 'g')"""
+
+
 @query(
     "query_adaptation",
-    """SELECT item_id, 'lung cancer EGFR' || ' ' || item_id || CASE WHEN item_id % 2 = 0 THEN ' t790m' ELSE '' END AS adapted FROM benchmark""",
+    rf"""WITH w AS (SELECT conv_id, turn, role, list_filter(string_split(trim(regexp_replace({_PLAIN_SQL}, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS l FROM (SELECT conv_id, turn, role, replace(replace(text, ' of ', ' OR '), '. ', '[Title] (') AS text FROM conversations)),
+             m AS (SELECT conv_id, turn, role, l, list_transform(l, lambda x: lower(x)) AS low FROM w)
+        SELECT conv_id, turn, role, array_to_string(list_filter(l, lambda x, i: list_position(low, lower(x)) = i)[1:64], ' ') AS adapted FROM m""",
 )
 def query_adaptation(spark, sf):
-    asked = F.concat(F.lit('("lung cancer"[Title] OR LUNG) AND EGFR NOT egfr '), F.col("item_id"), F.when(F.col("item_id") % 2 == 0, " t790m # a note").otherwise(F.lit(" # t790m")))
-    return _t(spark, sf, "benchmark").select("item_id", text.adapt_query(asked).alias("adapted"))
+    """All turns as search strings: a common word as an operator, ends of sentences as field tags and brackets."""
+    asked = F.replace(F.replace("text", F.lit(" of "), F.lit(" OR ")), F.lit(". "), F.lit("[Title] ("))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", "role", text.adapt_query(asked).alias("adapted"))
 
 
-@query(
-    "retrieval_term_lists",
-    """SELECT item_id, 'osimertinib,' || (item_id + 10) || ' mg,脑转移,cns' || CASE WHEN item_id % 2 = 0 THEN ',x' || item_id ELSE '' END AS terms FROM (SELECT * FROM benchmark) ORDER BY item_id""",
-)
+@query("retrieval_term_lists", f"SELECT item_id, array_to_string({_terms_sql('lower(text)')}, ',') AS terms FROM (SELECT item_id, text || ' 40 mg of 12.5% t790m' AS text FROM benchmark)")
 def retrieval_term_lists(spark, sf):
-    asked = F.concat(F.lit("Osimertinib the "), F.col("item_id") + 10, F.lit(" mg cns "), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("x"), F.col("item_id"))).otherwise(F.lit("a")), F.lit(" 脑转移"))
-    terms = F.filter(text.retrieval_terms(asked), lambda t: ~t.isin("脑转", "转移"))  # without its 2-grams
-    order = F.concat(F.filter(terms, lambda t: t == "osimertinib"), F.filter(terms, lambda t: t.endswith("mg")), F.filter(terms, lambda t: t == "脑转移"), F.filter(terms, lambda t: t == "cns"), F.filter(terms, lambda t: t.rlike("^x[0-9]+$")))
-    return _t(spark, sf, "benchmark").select("item_id", F.array_join(order, ",").alias("terms"))
+    """The terms of every item, in their order, with doses after its text."""
+    return _t(spark, sf, "benchmark").select("item_id", F.array_join(text.retrieval_terms(F.concat("text", F.lit(" 40 mg of 12.5% t790m"))), ",").alias("terms"))
 
 
 @query(
@@ -221,13 +227,15 @@ def prediction_evidence(spark, sf):
 
 @query(
     "nested_values",
-    """SELECT conv_id, turn, ' x ,' || turn || ',c' || conv_id AS ids, 'x,' || conv_id || CASE WHEN turn = 0 THEN '' ELSE ',' || turn END AS leaves FROM conversations""",
+    r"""WITH t AS (SELECT conv_id, turn, role, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS said FROM conversations)
+        SELECT conv_id, md5(array_to_string(list_sort(list_distinct(list(turn::VARCHAR) || list(text) FILTER (WHERE text <> ''))), '|')) AS ids,
+               md5(concat_ws('|', string_agg(concat_ws('|', CASE WHEN turn <> 0 THEN turn END, nullif(role, ''), nullif(said, '')), '|' ORDER BY turn, role, text), CASE WHEN conv_id <> 0 THEN conv_id END)) AS leaves FROM t GROUP BY conv_id""",
 )
 def nested_values(spark, sf):
-    body = F.concat(F.lit('{"a": [{"doc_id": " x "}], "b": {"doc_ids": ["c'), F.col("conv_id"), F.lit('"], "n": {"doc_id": '), F.col("turn"), F.lit("}}, "), F.lit('"z": [null, false, ""]}'))
-    ids = assembly.strings_under(body, ("doc_id", "doc_ids"))  # sorted: the text " x ", the number, the text with c
-    leaves = F.transform(assembly.leaf_texts(body), lambda x: F.regexp_replace(x, "^c", ""))
-    return _t(spark, sf, "conversations").select("conv_id", "turn", F.array_join(ids, ",").alias("ids"), F.array_join(leaves, ",").alias("leaves"))
+    """Conversations as JSON texts: what stands under two names at any depth, and all leaves in order."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    body = _t(spark, sf, "conversations").groupBy("conv_id").agg(turns).select("conv_id", F.to_json(F.struct("turns", "conv_id")).alias("body"))
+    return body.select("conv_id", F.md5(F.array_join(assembly.strings_under(F.col("body"), ("turn", "text")), "|")).alias("ids"), F.md5(F.array_join(assembly.leaf_texts(F.col("body")), "|")).alias("leaves"))
 
 
 @query(
