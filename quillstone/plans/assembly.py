@@ -164,11 +164,15 @@ def reference_sections(spark, sf):
 
 @query(
     "event_type_parts",
-    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'treatment,response' WHEN 1 THEN 'toxicity' WHEN 2 THEN 'metastasis,progression,other' ELSE 'other' END AS types FROM orders""",
+    """WITH s AS (SELECT conv_id, turn, role, list_transform(string_split(replace(replace(replace(text, '. ', '+'), ' of ', '+ Toxicity +'), ' the ', ' treat '), '+'), lambda x: lower(trim(x))) AS l FROM conversations WHERE text <> ''),
+             k AS (SELECT conv_id, turn, role, list_transform(l, lambda s: CASE WHEN s IN ('diagnosis', 'molecular', 'treatment', 'response', 'progression', 'toxicity', 'metastasis', 'ddi', 'outcome', 'other') THEN s WHEN contains(s, 'metasta') THEN 'metastasis' WHEN contains(s, 'tox') OR contains(s, 'adverse') THEN 'toxicity' WHEN contains(s, 'molec') OR contains(s, 'mutation') THEN 'molecular'
+                   WHEN contains(s, 'diagn') THEN 'diagnosis' WHEN contains(s, 'treat') OR contains(s, 'therapy') THEN 'treatment' WHEN contains(s, 'resp') THEN 'response' WHEN contains(s, 'prog') THEN 'progression' ELSE 'other' END) AS t FROM s)
+        SELECT conv_id, turn, role, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ',') AS types FROM k""",
 )
 def event_type_parts(spark, sf):
-    raw = F.when(F.col("o_orderkey") % 4 == 0, "Systemic Therapy+ response + treat").when(F.col("o_orderkey") % 4 == 1, "Adverse event+TOXICITY").when(F.col("o_orderkey") % 4 == 2, "brain metastases+progressive disease+visit").otherwise(F.lit(None).cast("string"))
-    return _t(spark, sf, "orders").select("o_orderkey", F.array_join(text.event_types(raw), ",").alias("types"))
+    """Sentences of whole turns as parts of a type, with words in them that name one."""
+    raw = F.replace(F.replace(F.replace("text", F.lit(". "), F.lit("+")), F.lit(" of "), F.lit("+ Toxicity +")), F.lit(" the "), F.lit(" treat "))
+    return _t(spark, sf, "conversations").where("text <> ''").select("conv_id", "turn", "role", F.array_join(text.event_types(raw), ",").alias("types"))
 
 
 _PLAIN_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[[^\]]*\]', ' ', 'g'), '(?m)#.*$', ' ', 'g'), '\b(?:AND|OR|NOT)\b', ' ', 'g'), '[()"]', ' ', 'g')"""
@@ -194,14 +198,14 @@ def retrieval_term_lists(spark, sf):
 
 @query(
     "reply_objects",
-    """SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN NULL ELSE '{"id":' || conv_id || '}' END AS reply, CASE WHEN conv_id % 2 = 0 THEN '{"api_key": "[REDACTED]", "n": 1}' ELSE '{"n": 1}' END AS safe, 'case_' || conv_id || '_1' AS name FROM conversations""",
+    """SELECT conv_id, turn, role, md5(CASE WHEN turn % 4 <> 3 THEN text END) AS reply, CASE WHEN role = 'user' THEN '{"api_key":"[REDACTED]","n":' || turn || '}' ELSE '{"key":"' || md5(text) || '","n":' || turn || '}' END AS safe, md5(regexp_replace(text, '[^A-Za-z0-9_.-]', '_', 'g')) AS name FROM conversations""",
 )
 def reply_objects(spark, sf):
-    body = F.concat(F.lit('{"id":'), F.col("conv_id"), F.lit("}"))
-    said = F.when(F.col("turn") % 4 == 0, body).when(F.col("turn") % 4 == 1, F.concat(F.lit("so:\n```json\n"), body, F.lit("\n```"))).when(F.col("turn") % 4 == 2, F.concat(F.lit("it is "), body, F.lit(" as asked"))).otherwise(F.lit("none {here"))
-    secret = F.when(F.col("conv_id") % 2 == 0, F.lit('{"api_key": "s3cret", "n": 1}')).otherwise(F.lit('{"n": 1}'))
-    name = F.concat(F.lit("case/"), F.col("conv_id"), F.lit(":1"))
-    return _t(spark, sf, "conversations").select("conv_id", "turn", text.json_object(said).alias("reply"), text.redact(secret).alias("safe"), text.safe_id(name).alias("name"))
+    """Each turn's whole text in an object that is the reply, stands in a fence after the text, between texts, or is cut off."""
+    body, t = F.to_json(F.struct("conv_id", "text")), F.col("text")
+    said = F.when(F.col("turn") % 4 == 0, body).when(F.col("turn") % 4 == 1, F.concat(t, F.lit("\n```json\n"), body, F.lit("\n```\n"), t)).when(F.col("turn") % 4 == 2, F.concat(t, body, t)).otherwise(F.concat(t, F.left(body, F.length(body) - 1)))
+    secret = F.when(F.col("role") == "user", F.to_json(F.struct(t.alias("api_key"), F.col("turn").alias("n")))).otherwise(F.to_json(F.struct(F.md5("text").alias("key"), F.col("turn").alias("n"))))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", "role", F.md5(F.get_json_object(text.json_object(said), "$.text")).alias("reply"), text.redact(secret).alias("safe"), F.md5(text.safe_id(t)).alias("name"))
 
 
 @query(

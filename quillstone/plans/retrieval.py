@@ -336,11 +336,13 @@ def doc_type_ladder(spark, sf):
 @query(
     "html_meta_date",
     """SELECT page_id, regexp_extract(html, '(?i)<html[^>]*[ ]lang=["'']([^"'']+)["'']', 1) AS lang, length(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title_chars,
-              CASE page_id % 3 WHEN 0 THEN '2021-03-31' WHEN 1 THEN '2020-12-31' END AS published FROM pages""",
+              CASE page_id % 3 WHEN 0 THEN strftime(last_day(day), '%Y-%m-%d') WHEN 1 THEN strftime(day, '%Y-12-31') END AS published FROM (SELECT *, DATE '1970-01-01' + CAST(hash_day AS INTEGER) AS day FROM (SELECT *, length(html) * 7 % 20000 AS hash_day FROM pages))""",
 )
 def html_meta_date(spark, sf):
     p = _t(spark, sf, "pages").withColumn("html", F.coalesce("html", F.lit("")))
-    meta = F.when(F.col("page_id") % 3 == 0, '<META name="citation_publication_date" content="2021/03">').when(F.col("page_id") % 3 == 1, "<meta content='2020' x name='citation_publication_date'/>").otherwise('<meta name="citation_publication_date" content="soon">')
+    day = F.date_add(F.lit("1970-01-01").cast("date"), (F.length("html") * 7 % 20000).cast("int"))  # a date of the page's own
+    meta = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<META name="citation_publication_date" content="'), F.date_format(day, "yyyy/MM"), F.lit('">')))
+    meta = meta.when(F.col("page_id") % 3 == 1, F.concat(F.lit("<meta content='"), F.date_format(day, "yyyy"), F.lit("' x name='citation_publication_date'/>"))).otherwise('<meta name="citation_publication_date" content="soon">')
     return p.select("page_id", F.regexp_extract("html", r"(?i)<html[^>]*[ ]lang=[\"']([^\"']+)[\"']", 1).alias("lang"), F.length(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)).cast("long").alias("title_chars"), text.meta_publication_date(F.concat("html", meta)).alias("published"))
 
 
@@ -386,3 +388,17 @@ def route_batch(spark, sf):
 def constraint_extraction(spark, sf):
     c = _t(spark, sf, "conversations").select("conv_id", "turn", rules.constraints(F.col("text")).alias("c"))
     return c.select("conv_id", "turn", "c.cancer_type", (F.size("c.ddi_terms") > 0).alias("ddi"))
+
+
+@query(
+    "few_shot_examples",
+    """WITH f AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, list_filter(range(1, 9), lambda i: embedding[i] > 0.05) AS f FROM embeddings),
+             s AS (SELECT a.vec_id AS case_id, b.vec_id AS ref_id, list_dot_product(a.v, b.v) + 0.02::DOUBLE * len(list_intersect(a.f, b.f)) AS score FROM f a JOIN f b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0)
+        SELECT case_id, ref_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9) DESC, ref_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""",
+)
+def few_shot_examples(spark, sf):
+    """The three best examples of each vector whose id is a multiple of 100, among all others; features are its large components."""
+    features = F.filter(F.sequence(F.lit(1), F.lit(8)), lambda i: F.get("embedding", i - 1) > 0.05).alias("features")
+    e = _t(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"), features)
+    found = router.nearest_examples(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "case_id"), e.withColumnRenamed("vec_id", "ref_id"), k=3)
+    return found.select("case_id", "ref_id", F.round("score", 6).alias("score"), "rank")

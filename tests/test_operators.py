@@ -2,6 +2,7 @@ import json
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import batching, dense, evidence, fusion, knowledge, lexical, metrics, scoring, structured, telemetry, twostage
@@ -218,6 +219,26 @@ def test_few_shot_references(spark):
     assert [r["ref_id"] for r in router.expand_nearest(cases, refs, F.col("r"), "features").orderBy("rank").collect()] == ["b", "c"]
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_examples_equal_all_pairs(spark, block):
+    import random
+
+    from quillstone.operators import router
+
+    r = random.Random(6)
+    row = lambda i: (i, [round(r.gauss(0, 0.3), 3) for _ in range(4)] if i != 5 else None, ["all", *(f"f{r.randrange(6)}" for _ in range(r.randrange(0, 5)))] if i % 7 else None)
+    rows = [row(i) for i in range(90)] + [(200, [1.0], ["all"]), (201, [2.0], [])]
+    e = spark.createDataFrame(rows, "ref_id long, vector array<double>, features array<string>")
+    got = router.nearest_examples(e.withColumnRenamed("ref_id", "case_id").where("case_id % 3 = 0 OR case_id = 200"), e, bonus=0.2, k=4, block=block)
+    want = []
+    for c, v, f in rows:
+        if v and (c % 3 == 0 or c == 200):
+            scored = sorted((-round(sum(a * b for a, b in zip(v, w, strict=True)) + 0.2 * len(set(f or ()) & set(g or ())), 9), i) for i, w, g in rows if w and len(w) == len(v) and i != c)
+            want += [(c, i, n + 1) for n, (_, i) in enumerate(scored[:4])]
+    assert sorted((x["case_id"], x["ref_id"], x["rank"]) for x in got.collect()) == sorted(want)
+    assert router.nearest_examples(e.withColumnRenamed("ref_id", "case_id").limit(0), e).count() == 0
+
+
 def test_random_baseline_of_one_label_is_perfect(spark):
     rows = spark.createDataFrame([("x",)] * 5, "y string")
     assert metrics.random_baseline(rows, "y", n=5).first()["accuracy"] == 1.0
