@@ -252,3 +252,24 @@ def citation_records(spark, sf):
     meta = F.concat(F.lit('{"case_id": "c'), F.col("doc_id"), F.lit('", "pmid": "p'), F.col("doc_id"), F.lit('"}'))
     items = d.select(F.col("doc_id").alias("chunk_id"), "text", own.alias("pmid"), meta.alias("metadata_json"), F.concat(F.lit('{"start_char": '), F.col("doc_id"), F.lit("}")).alias("citation_json"))
     return assembly.citation_records(items).select("chunk_id", "case_id", "pmid", "start_char", "quoted_span")
+
+
+@query(
+    "bounded_evidence",
+    r"""WITH o AS (SELECT o_custkey, o_orderkey, o_orderkey % 3 AS level FROM orders WHERE o_orderstatus <> 'P'),
+             r AS (SELECT o_custkey, o_orderkey, 0 AS place, 'partial' AS support_level, o_orderkey % 23 AS n FROM o WHERE level = 0 UNION ALL SELECT o_custkey, o_orderkey, 1, 'partial', o_orderkey % 29 FROM o WHERE level = 0
+                   UNION ALL SELECT o_custkey, o_orderkey, 0, 'analog', o_orderkey % 31 FROM o WHERE level = 1),
+             f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY o_custkey, n ORDER BY o_orderkey, place) = 1),
+             e AS (SELECT doc_id AS n, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 1600) AS content FROM documents)
+        SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, place) AS INTEGER) AS rank, CAST(n AS VARCHAR) AS id, support_level, md5(content) AS digest FROM f JOIN e USING (n) WHERE content <> '' QUALIFY rank <= 10""",
+)
+def bounded_evidence(spark, sf):
+    """Partial and analogous support of each customer's orders; the evidence is the documents that they refer to."""
+    o, key = _t(spark, sf, "orders"), F.col("o_orderkey")
+    n = lambda m: (key % m).cast("string")
+    status = F.when(F.col("o_orderstatus") == "P", "rejected_by_safety_gate").otherwise("supported")
+    level = F.when(key % 3 == 0, "partial").when(key % 3 == 1, "analog").otherwise("direct")
+    claims = o.select("o_custkey", key.alias("claim_order"), status.alias("status"), level.alias("support_level"), F.lit("case").alias("claim_scope"), F.lit(None).cast("string").alias("subject_entity"), F.array(n(23), n(29)).alias("partial"), F.array(n(31)).alias("analog"))
+    named = o.select("o_custkey", F.explode(F.array(n(23), n(29), n(31))).alias("id")).distinct()
+    evidence = named.join(_t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.lit(None).cast("string").alias("pub_date")), "id")
+    return assembly.bounded_evidence(claims, evidence, ("o_custkey",)).select("o_custkey", "rank", "id", "support_level", F.md5("content").alias("digest"))
