@@ -48,10 +48,11 @@ def _all(text: Column, pattern: str) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-case latin tokens without stop words, then 2-, 3- and 4-grams of each CJK span; an array in that order."""
-    t = F.lower(normalize_text(text))
-    latin = F.filter(_all(t, r"[A-Za-z0-9\-\+\.]+"), lambda w: ~w.isin(*STOPWORDS))
+    # neither token holds white space, so none is collapsed; most texts have no CJK span to be cut
+    t = F.lower(text)
+    latin = F.filter(_all(t, r"[a-z0-9\-+.]++"), lambda w: ~w.isin(*STOPWORDS))
     cjk = F.flatten(F.transform(_all(t, CJK), lambda s: F.concat(*(ngrams(s, n) for n in (2, 3, 4)))))
-    return F.concat(latin, cjk)
+    return F.when(t.rlike(r"[\x{4e00}-\x{9fff}]"), F.concat(latin, cjk)).otherwise(latin)
 
 
 def retrieval_terms(text: Column, most: int = 64) -> Column:
@@ -66,10 +67,15 @@ def retrieval_terms(text: Column, most: int = 64) -> Column:
 
 def chunk_text(text: Column, size: int = 800, overlap: int = 120) -> Column:
     """Array of windows of `size` characters of the normalised text, each starting `overlap` before the end of the one before."""
-    t, step = normalize_text(text), size - overlap
-    n = F.length(t)
-    count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / F.lit(step)).cast("int") + 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(t, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    step = size - overlap
+
+    def cut(t: Column) -> Column:
+        n = F.length(t)
+        count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / F.lit(step)).cast("int") + 1)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(t, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    # one element, so that the text is normalised once and not for each window
+    return F.get(F.transform(F.array(normalize_text(text)), cut), 0)
 
 
 def strip_references(text: Column) -> Column:

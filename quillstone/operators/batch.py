@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.text import retrieval_terms
 from ..sources.folders import stored
 from . import fusion, twostage
+from .sizes import broadcast_up_to
 
 #: (query_id, text) -> query_id, id, score, rank
 Search = Callable[[DataFrame], DataFrame]
@@ -33,13 +34,22 @@ SEMANTIC, RESERVED = ("dense_search", "hybrid_search"), ("bm25_search", "dense_s
 CLINICAL = r"(?U)\b(?:pemetrexed|carboplatin|cisplatin|osimertinib|almonertinib|leptomeningeal|lmd|csf|response|progress|orr|dcr|recist|pr|sd|pd)\b"
 
 
+#: So many rows that come from questions are broadcast to chunks.
+MOST = 200_000
+
+
+def few(rows: DataFrame, name: str) -> DataFrame:
+    """Rows that grow with the questions and not with the chunks, stored and broadcast, so that no chunk is shuffled to meet them."""
+    return broadcast_up_to(stored(rows, name), MOST)
+
+
 def detail_rows(wanted: DataFrame, chunks: DataFrame, per_document: int = 3) -> DataFrame:
     """query_id, id, score: the best chunks of each wanted document.
 
     wanted: query_id, doc_id, terms. A chunk's score is the share of the terms that it contains, and up to 0.25 for its
     clinical words."""
     text = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    rows = chunks.join(wanted, "doc_id").withColumn("low", text)
+    rows = chunks.join(few(wanted, "details-wanted"), "doc_id").withColumn("low", text)
     score = twostage.coverage(F.col("low"), F.col("terms")) + F.least(F.lit(0.25), F.lit(0.025) * F.regexp_count("low", F.lit(CLINICAL)))
     best = Window.partitionBy("query_id", "doc_id").orderBy(F.round("score", 9).desc(), "id")
     rows = rows.select("query_id", "doc_id", F.col("chunk_id").alias("id"), score.alias("score"))
@@ -51,7 +61,7 @@ def locate_then_detail(asks: DataFrame, locators: DataFrame, chunks: DataFrame,
     twostage.locate_then_detail gives for one question.
 
     asks: query_id, text; locators: query_id, id, score (chunks found); chunks: chunk_id, doc_id, text."""
-    found = locators.join(chunks.withColumnRenamed("chunk_id", "id"), "id")
+    found = few(locators.select("query_id", "id", "score"), "locators").join(chunks.withColumnRenamed("chunk_id", "id"), "id")
     place = found.groupBy("query_id", "doc_id").agg(F.max("score").alias("dense"), F.array_join(F.array_sort(F.collect_list(F.lower("text"))), " ").alias("found"))
     place = place.join(asks.select("query_id", F.col("text").alias("ask"), retrieval_terms(F.lower("text")).alias("terms")), "query_id")
     place = place.withColumn("locator", 0.70 * F.col("dense") + 0.30 * twostage.coverage(F.col("found"), F.col("terms")))
@@ -59,7 +69,7 @@ def locate_then_detail(asks: DataFrame, locators: DataFrame, chunks: DataFrame,
     targets = F.array_distinct(F.concat(twostage.target_types(F.col("ask")), twostage.target_types(F.col("found"))))
     place = place.withColumn("n", F.row_number().over(near)).where(F.col("n") <= documents).select("query_id", "doc_id", "locator", "terms", targets.alias("targets"))
     score, bucket = twostage.detail_score(F.col("text"), F.col("terms"), F.col("targets"))
-    rows = chunks.join(place, "doc_id").select("query_id", "doc_id", F.col("chunk_id").alias("id"), "locator", score.alias("score"), bucket.alias("bucket"))
+    rows = chunks.join(few(place, "located"), "doc_id").select("query_id", "doc_id", F.col("chunk_id").alias("id"), "locator", score.alias("score"), bucket.alias("bucket"))
     order = [F.round("score", 9).desc(), F.col("id")]
     nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     rows = rows.withColumn("b", nth("query_id", "doc_id", "bucket")).where("b = 1").withColumn("d", nth("query_id", "doc_id")).where(F.col("d") <= per_document)
@@ -74,7 +84,9 @@ def structured(entities: DataFrame, asks: DataFrame, top_k: int = 20) -> DataFra
     entities: id, value; asks: query_id, value. Both are made distinct."""
     wanted = asks.select("query_id", "value").distinct()
     n = wanted.groupBy("query_id").agg(F.count("*").alias("of"))
-    hits = entities.select("id", "value").distinct().join(wanted, "value").groupBy("query_id", "id").agg(F.count("*").alias("held"))
+    # cut to the wanted values before anything is shuffled
+    held = entities.select("id", "value").join(broadcast_up_to(wanted.select("value").distinct(), MOST), "value", "left_semi").distinct()
+    hits = held.join(broadcast_up_to(wanted, MOST), "value").groupBy("query_id", "id").agg(F.count("*").alias("held"))
     hits = hits.join(n, "query_id").select("query_id", "id", (F.col("held") / F.col("of")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
@@ -118,7 +130,7 @@ def run(goals: DataFrame, actions: DataFrame, chunks: DataFrame, searches: Mappi
         rows = stored(rows.select("query_id", "channel", F.lit(r).alias("round"), "pos", "rank", "id", F.round("score", places).alias("score")), "batch-round")
         state = rows if state is None else state.unionByName(rows)
         # the documents of the best hits so far, whatever channel found them
-        best = state.groupBy("query_id", "id").agg(F.max("score").alias("score")).join(chunks.select(F.col("chunk_id").alias("id"), "doc_id"), "id")
+        best = few(state.groupBy("query_id", "id").agg(F.max("score").alias("score")), "batch-best").join(chunks.select(F.col("chunk_id").alias("id"), "doc_id"), "id")
         docs = best.groupBy("query_id", "doc_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "id")).alias("top"))
         docs = docs.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("top"))).where(F.col("n") <= documents).select("query_id", "doc_id")
         said = mine.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda a: a["text"]), " ").alias("said"))  # per_round texts
@@ -131,7 +143,7 @@ def run(goals: DataFrame, actions: DataFrame, chunks: DataFrame, searches: Mappi
     lists = _listed(state)
     chosen = fusion.candidate_pool(lists, RESERVED, DETAIL, size=pool, keys=("query_id",))
     fused = lists.groupBy("query_id", "id").agg(F.sum(1 / (F.lit(60.0) + F.col("rank"))).alias("rrf"), F.count("*").alias("n_channels"))
-    rows = chosen.join(fused, ["query_id", "id"]).join(chunks.withColumnRenamed("chunk_id", "id"), "id").join(goals.select("query_id", F.col("text").alias("goal")), "query_id")
+    rows = few(chosen.join(fused, ["query_id", "id"]), "batch-pool").join(chunks.withColumnRenamed("chunk_id", "id"), "id").join(goals.select("query_id", F.col("text").alias("goal")), "query_id")
     rows = rows.withColumn("score", F.lit(None).cast("double") if score is None else score)
     last = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc_nulls_last(), "pool_pos")
     rows = rows.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= evidence)

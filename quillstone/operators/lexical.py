@@ -6,15 +6,22 @@ document frequencies and mean length. Only terms that some query has are joined
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..sources.folders import stored
+from . import products
 from .sizes import broadcast_up_to
 
 K1, B = 1.5, 0.75
 #: A term that no text has, as tokens hold no space.
 MARK = " "
+#: So few terms of queries make few postings, which one plan over one scan joins.
+FEW = 50
 
 
 def tokenized(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -51,10 +58,48 @@ def query_terms(queries: DataFrame, id_col: str, text: Column) -> DataFrame:
 def search(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text: Column | None = None, query_id: str = "query_id", query_text: Column | None = None, top_k: int = 10, most_terms: int = 200_000) -> DataFrame:
     """query_id, id, score, rank: the best documents of each query; equal scores go by id.
 
-    Tokens are cut to the queried terms where they are read, by a broadcast of up to `most_terms` terms; with more the
-    semi join shuffles. Ranks are limited before they are shuffled."""
+    Up to `most_terms` distinct queried terms go to the tasks, which count them in each text where it is read; statistics and
+    scores come from these counts, and only what may be among the best is shuffled. With more terms, with FEW at most in all
+    queries together, or where an id comes twice (its rows are one document), postings are joined."""
     text = F.col("text") if text is None else text
     q = query_terms(queries, query_id, F.col("text") if query_text is None else query_text)
+    if q.limit(FEW + 1).count() <= FEW:
+        return _joined(docs, q, id_col, text, top_k, most_terms)
+    q = stored(q, "query-terms")
+    terms = [r["term"] for r in q.select("term").distinct().limit(most_terms + 1).collect()]
+    if len(terms) > most_terms or not products.one_row_each(docs.select(F.col(id_col).alias("id")), "id"):
+        return _joined(docs, q, id_col, text, top_k, most_terms)
+    post = stored(term_counts(tokenized(docs, id_col, text), terms), "term-counts")
+    n, length = post.agg(F.count("*"), F.sum("len")).first()
+    known = q.sparkSession.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "key": pa.array(range(len(terms)), pa.int32())}))
+    df = F.broadcast(known).join(post.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df")), "key")
+    weights = q.join(df, "term").select("query_id", "key", (F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("qtf")).alias("w"))
+    asks = weights.groupBy("query_id").agg(F.collect_list(F.struct("key", "w")).alias("e")).select("query_id", F.col("e.key").alias("keys"), F.col("e.w").alias("vals"))  # terms of a query
+    part = F.transform("tfs", lambda tf: tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit((length or 0) / max(n, 1)))))
+    return products.best(post.where(F.size("keys") > 0).select("id", "keys", part.alias("vals")), stored(asks, "query-weights"), top_k=top_k, least=0.0)
+
+
+def term_counts(tokens: DataFrame, terms: list[str]) -> DataFrame:
+    """id, len, keys, tfs: of each document (id, tokens) its number of tokens, the places in `terms` of those it has, and how often."""
+    known, kind = pa.array(terms, pa.string()), tokens.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            lists, n = batch.column(1), batch.num_rows
+            code = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            long = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            at = np.repeat(np.arange(n), long)
+            each, times = np.unique((at * max(1, len(terms)) + code)[code >= 0], return_counts=True)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(each // max(1, len(terms)), minlength=n))]).astype(np.int32))
+            keys, tfs = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (each % max(1, len(terms)), times))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(long.astype(np.int32)), keys, tfs], names=["id", "len", "keys", "tfs"])
+
+    products.bounded_batches(tokens.sparkSession)
+    return tokens.select("id", "tokens").mapInArrow(run, f"id {kind}, len int, keys array<int>, tfs array<int>")
+
+
+def _joined(docs: DataFrame, q: DataFrame, id_col: str, text: Column, top_k: int, most_terms: int) -> DataFrame:
+    """search() by a join of postings; q: query_id, term, qtf."""
     # One scan and one shuffle serve statistics, document frequencies and scores: every document also posts its length
     # under the term MARK, and all three read the same columns of the same postings (tf too), so that Spark reuses the exchange.
     terms = q.select("term").distinct().unionAll(q.sparkSession.range(1).select(F.lit(MARK).alias("term")))

@@ -122,14 +122,14 @@ def retrieval_batch(spark, sf):
     """Two rounds for every benchmark item: dense, lexical and located details of its text; then its long words and its answer."""
     rows = chunks(_t(spark, sf, "documents")).select(F.format_string("%010d#%06d", "doc_id", "chunk_order").alias("chunk_id"), "doc_id", F.col("chunk").alias("text"))
     rows = stored(rows, "batch-chunks")
-    vectors = stored(dense.hash_buckets(rows, "chunk_id", F.col("text")), "batch-vectors")
+    vectors = stored(dense.hash_vectors(rows, "chunk_id", F.col("text")), "batch-vectors")
     goals = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     answer = F.coalesce(F.try_element_at(F.split("text", "\n"), F.lit(2)), F.lit(""))
     plan = ((1, 0, "dense_search", F.col("text")), (1, 1, "bm25_search", F.col("text")), (2, 0, "structured_search", F.col("text")), (2, 1, "bm25_search", answer))
     actions = goals.select("query_id", F.explode(F.array(*(F.struct(F.lit(r).alias("round"), F.lit(p).alias("pos"), F.lit(c).alias("channel"), t.alias("text")) for r, p, c, t in plan))).alias("a")).select("query_id", "a.*")
 
     def near(asks: DataFrame, k: int = 20) -> DataFrame:
-        return dense.bucket_search(vectors, dense.hash_buckets(asks, "query_id", F.col("text")), top_k=k)
+        return dense.vector_search(vectors, stored(dense.hash_vectors(asks, "query_id", F.col("text")), "batch-asks"), top_k=k)
 
     def long_words(docs: DataFrame, key: str, to: str) -> DataFrame:
         return docs.select(F.col(key).alias(to), F.explode(F.filter(text.tokenize(F.col("text")), lambda w: F.length(w) >= 9)).alias("value"))
