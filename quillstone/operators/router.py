@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.folders import stored
-from . import dense, evidence, lexical, structured
+from . import evidence, lexical, products, structured
 from .rules import counter_query
 
 
@@ -49,26 +48,15 @@ def expand_nearest(cases: DataFrame, references: DataFrame, score: Column, featu
 def nearest_examples(cases: DataFrame, references: DataFrame, *, bonus: float = 0.02, k: int = 2, block: int = 2048) -> DataFrame:
     """case_id, ref_id, score, rank: as expand_nearest with the dot product of vectors as score, without a join of all pairs.
 
-    cases: case_id, vector, features; references: ref_id, vector, features. A case's k best dot products bound its k best
-    scores from below, as shared features only add. Cases then meet references again in blocks, and only those pass that
-    reach the bound with as many features as they could share at most; so features that most rows share make no pairs. A
-    null or differently long vector takes no part, null features are none, ties go by ref_id."""
+    cases: case_id, vector, features; references: ref_id, vector, features. Features are keys of products.best beside the
+    vectors, each of them worth `bonus`; so features that most rows share make no pairs. A null or differently long vector,
+    or one with null or non-finite components, takes no part; null features are none, ties go by ref_id."""
     if bonus < 0:
         raise ValueError("bonus must not be negative")
-    none = F.array().cast(references.schema["features"].dataType)
-    q = cases.select(F.col("case_id").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), F.array_distinct(F.coalesce("features", none)).alias("f"))
-    r = references.select("ref_id", F.col("vector").cast("array<double>").alias("v"), F.array_distinct(F.coalesce("features", none)).alias("g"))
-    best = dense.search(references, q, id_col="ref_id", vector_col="vector", top_k=k, block=block, least=None, own=False)
-    least = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-    q = stored(q.join(least, "query_id"), "examples-bounds")
-    n, out = q.count(), None
-    order = Window.partitionBy("case_id").orderBy(F.round("score", 9).desc(), "ref_id")
-    for b in range(max(1, -(-n // block))):
-        part = q if n <= block else q.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block))) == b)
-        near = r.join(F.broadcast(part), (F.size("v") == F.size("vector")) & (F.col("ref_id") != F.col("query_id")))
-        near = near.select("query_id", "ref_id", "f", "g", "least", F.inline(F.array(F.struct(dense.dot(F.col("v"), F.col("vector")).alias("dot")))))
-        reach = lambda shared: F.col("least").isNull() | (F.col("dot") + bonus * shared >= F.col("least") - 1e-9)
-        near = near.where(reach(F.least(F.size("f"), F.size("g")))).withColumn("score", F.col("dot") + bonus * F.size(F.array_intersect("f", "g")))
-        near = near.select(F.col("query_id").alias("case_id"), "ref_id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        out = near if out is None else out.unionAll(near)
-    return out
+
+    def row(df: DataFrame, key: str, to: str, each: float) -> DataFrame:
+        f = F.array_distinct(F.filter(F.coalesce("features", F.array().cast(df.schema["features"].dataType)), lambda x: x.isNotNull()))
+        return df.select(F.col(key).alias(to), "vector", f.alias("keys")).withColumn("vals", F.transform("keys", lambda _: F.lit(each)))
+
+    found = products.best(row(references, "ref_id", "id", 1.0), row(cases, "case_id", "query_id", bonus), top_k=k, own=False, block=block)
+    return found.select(F.col("query_id").alias("case_id"), F.col("id").alias("ref_id"), "score", "rank")
