@@ -12,16 +12,21 @@ gold texts of a case count once.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.folders import stored
+from . import products
 from .assembly import LEAST_SHARE, gold_marks, marks_overlap, plain_dates
-from .substrings import containing
+from .sizes import broadcast_up_to
+from .substrings import containing, found_needles
 
 #: Where a case names its anchors and its gold texts, and how many candidates a case keeps.
 ANCHORED, TEXTS, REASON = ("gold_citations", "gold_evidence", "gold_evidence_groups"), ("key_evidence_items", "evidence_items", "gold_evidence_texts"), "benefit_rebalance_reason"
 MOST = 60
+#: So many distinct terms of gold texts go to every task, and so many of their hits are broadcast to chunks.
+MOST_TERMS = 200_000
 
 
 def _list(v: Column, path: str) -> Column:
@@ -86,6 +91,36 @@ def covering(golds: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.where("passes").select("gold_id", "id", "lexical", "date_hit", "outcome_hit")
 
 
+def first_covering(golds: DataFrame, chunks: DataFrame, most: int = MOST) -> DataFrame:
+    """covering(), but of each gold text only the first `most` chunks by share of terms, then by id: no pair of a text and a
+    chunk is listed before it is known to be among them, and chunks are never shuffled.
+
+    Each chunk's terms are found where it is read, and their shares are products with the terms of the gold texts. Chunks that
+    pass by date and outcome alone are listed for the texts that have both. Gold texts of very many terms, whose shares could
+    be equal once rounded, or more terms than a task should know are left to covering()."""
+    marks = stored(golds.where(F.col("text").isNotNull()).select("gold_id", gold_marks(F.col("text")).alias("m")), "gold-marks")
+    terms = stored(marks.select("gold_id", F.size("m.terms").alias("of"), F.explode("m.terms").alias("t")).groupBy("gold_id", "of", F.lower("t").alias("term")).agg(F.count("*").alias("w")), "gold-terms")
+    needles = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(needles) > MOST_TERMS or not terms.where("of > 4000").isEmpty():
+        return covering(golds, chunks)
+    spark = chunks.sparkSession
+    known = spark.createDataFrame(pa.table({"term": pa.array(needles, pa.string()), "key": pa.array(range(len(needles)), pa.int32())}))
+    asks = terms.join(F.broadcast(known), "term").groupBy("gold_id").agg(F.collect_list(F.struct("key", (F.col("w") / F.col("of")).alias("w"))).alias("e"))  # terms of a text
+    held = stored(found_needles(chunks.select(F.col("id").alias("text_id"), F.lower("text").alias("text")), needles).where(F.size("keys") > 0), "gold-held")
+    rows = held.select(F.col("text_id").alias("id"), "keys", F.transform("keys", lambda _: F.lit(1.0)).alias("vals"))
+    asks = stored(asks.select(F.col("gold_id").alias("query_id"), F.col("e.key").alias("keys"), F.col("e.w").alias("vals")), "gold-asks")
+    best = products.best(rows, asks, top_k=most, least=LEAST_SHARE - 1e-9).select(F.col("query_id").alias("gold_id"), "id")
+    both = marks.where((F.size("m.outcomes") > 0) & (F.size("m.dates") > 0))
+    if not both.isEmpty():
+        dates = stored(both.select("gold_id", F.explode(F.array_distinct(F.transform("m.dates", plain_dates))).alias("needle")), "gold-dates")
+        pairs = containing(chunks.select(F.col("id").alias("text_id"), plain_dates(F.col("text")).alias("text")), dates.select(F.col("needle").alias("needle_id"), "needle").distinct())
+        best = best.unionByName(pairs.join(dates, F.col("needle_id") == F.col("needle")).select("gold_id", F.col("text_id").alias("id")))
+    found = broadcast_up_to(stored(best.distinct(), "gold-found"), MOST_TERMS)
+    rows = chunks.select("id", "text").join(found, "id").join(F.broadcast(marks) if marks.limit(10_001).count() <= 10_000 else marks, "gold_id")
+    rows = rows.select("gold_id", "id", F.inline(F.array(marks_overlap(F.col("m"), F.col("text")))))
+    return rows.where("passes").select("gold_id", "id", "lexical", "date_hit", "outcome_hit")
+
+
 def candidates(hits: DataFrame, keys: tuple[str, ...] = ("case_id",), then: tuple[str, ...] = ("pos", "id"), most: int = MOST) -> DataFrame:
     """keys, rank and the other columns of the first hits of each case that cover their gold text: by share of terms, then by score.
 

@@ -31,7 +31,7 @@ def gold_candidates(spark, sf):
     cases = _t(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.to_json(F.struct(truth.alias("ground_truth"))).alias("body"))
     rows = chunks(_t(spark, sf, "documents")).select(F.format_string("%010d#%06d", "doc_id", "chunk_order").alias("id"), F.col("chunk").alias("text"))
     golds = anchors.gold_texts(cases).select(F.struct("case_id", "pos").alias("gold_id"), "text")
-    found = anchors.covering(golds, stored(rows, "gold-chunks")).select("gold_id.*", "id", "lexical", "date_hit", "outcome_hit", F.lit(None).cast("double").alias("score"))
+    found = anchors.first_covering(golds, stored(rows, "gold-chunks")).select("gold_id.*", "id", "lexical", "date_hit", "outcome_hit", F.lit(None).cast("double").alias("score"))
     return anchors.candidates(found).select(F.col("case_id").alias("item_id"), "rank", "pos", "id", "lexical", "date_hit", "outcome_hit")
 
 
