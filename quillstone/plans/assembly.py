@@ -270,6 +270,5 @@ def bounded_evidence(spark, sf):
     status = F.when(F.col("o_orderstatus") == "P", "rejected_by_safety_gate").otherwise("supported")
     level = F.when(key % 3 == 0, "partial").when(key % 3 == 1, "analog").otherwise("direct")
     claims = o.select("o_custkey", key.alias("claim_order"), status.alias("status"), level.alias("support_level"), F.lit("case").alias("claim_scope"), F.lit(None).cast("string").alias("subject_entity"), F.array(n(23), n(29)).alias("partial"), F.array(n(31)).alias("analog"))
-    named = o.select("o_custkey", F.explode(F.array(n(23), n(29), n(31))).alias("id")).distinct()
-    evidence = named.join(_t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.lit(None).cast("string").alias("pub_date")), "id")
+    evidence = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.lit(None).cast("string").alias("pub_date"))
     return assembly.bounded_evidence(claims, evidence, ("o_custkey",)).select("o_custkey", "rank", "id", "support_level", F.md5("content").alias("digest"))
