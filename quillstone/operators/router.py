@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import stored
 from . import evidence, lexical, products, structured
 from .rules import counter_query
+from .sizes import broadcast_up_to
 
 
-def run(queries: DataFrame, chunks: DataFrame, *, chunk_id: str = "chunk_id", text: str = "text", hint: Column | None = None, cutoff: str | None = None, date_col: str | None = None, top_k: int = 10) -> tuple[DataFrame, DataFrame]:
+def run(queries: DataFrame, chunks: DataFrame, *, chunk_id: str = "chunk_id", text: str = "text", hint: Column | None = None, cutoff: str | None = None, date_col: str | None = None, top_k: int = 10, most_hits: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(evidence rows: query_id, chunk, score, counter; verdicts: query_id, counts, verdict).
 
     Both passes are one search over twice the questions. Chunks after the cutoff are gone before statistics are taken. A
-    chunk that both passes find counts as support, with its better score."""
+    chunk that both passes find counts as support, with its better score. Up to `most_hits` hits go to the chunks, so that
+    no text is shuffled."""
     known = structured.known_by(chunks, cutoff, date_col=date_col) if cutoff and date_col else chunks
     ask = hint if hint is not None else counter_query(F.col("text"))
     both = queries.select(F.struct("query_id", F.lit(False).alias("counter")).alias("key"), "text").unionByName(queries.select(F.struct("query_id", F.lit(True).alias("counter")).alias("key"), ask.alias("text")))
     hits = lexical.search(known, both, id_col=chunk_id, text=F.col(text), query_id="key", top_k=top_k)
     rows = hits.select("query_id.*", F.col("id").alias(chunk_id), "score").groupBy("query_id", chunk_id).agg(F.max("score").alias("score"), F.min(F.col("counter").cast("int")).cast("boolean").alias("counter"))
-    rows = rows.join(known.select(chunk_id, F.col(text).alias("evidence_text")), chunk_id)
+    rows = broadcast_up_to(stored(rows, "route-hits"), most_hits).join(known.select(chunk_id, F.col(text).alias("evidence_text")), chunk_id)
     return rows, evidence.verdicts(rows, F.col("evidence_text"), F.col("counter"), ("query_id",))
 
 
