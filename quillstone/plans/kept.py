@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import excerpt, text
 from ..operators import batch, dense, lexical, resample, substrings
 from ..operators.postings import PostingsIndex
+from ..operators.sizes import broadcast_up_to
 from ..sources.folders import stored
 from ..streaming.eventlog import EventLog
 from ..streaming.sessions import ConversationState
@@ -169,7 +170,8 @@ def query_excerpts(spark, sf):
     """Excerpts of the best documents of every benchmark item, around the item's own terms."""
     docs, asks = _t(spark, sf, "documents").select("doc_id", "text"), _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("ask"))
     hits = lexical.search(docs, asks, query_text=F.col("ask"), top_k=5).select("query_id", F.col("id").alias("doc_id"))
-    rows = hits.join(docs, "doc_id").join(asks, "query_id")
+    hits = broadcast_up_to(stored(hits.join(asks, "query_id"), "excerpt-hits"), 200_000)  # texts stay where they are read
+    rows = hits.join(docs, "doc_id")
     return rows.select("query_id", F.col("doc_id").alias("id"), excerpt.query_excerpt(F.col("text"), F.col("ask"), 700).alias("excerpt"))
 
 

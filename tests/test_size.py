@@ -31,3 +31,10 @@ def test_routed_hits_go_to_the_chunks(spark, no_size_hint):
     other, _ = router.run(asks, chunks, **args, most_hits=1)
     assert "SortMergeJoin" in plan(other)
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, other.collect()))
+
+
+def test_excerpts_leave_texts_where_they_are(spark, sf, no_size_hint):
+    from quillstone.plans import registry
+
+    found = registry.QUERIES["query_excerpts"](spark, sf)
+    assert "SortMergeJoin" not in plan(found) and "BroadcastHashJoin" in plan(found)
