@@ -35,6 +35,24 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return tokenized(docs, id_col, text).select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
+def counted(tokens: DataFrame) -> DataFrame:
+    """term, id, tf, len of each document (id, tokens), counted where it is read; besides, each posts its length under the term MARK."""
+    kind, names = tokens.schema["id"].dataType.simpleString(), ["term", "id", "tf", "len"]
+
+    def run(batches):
+        for batch in batches:
+            ids, lists, n = batch.column(0), batch.column(1), batch.num_rows
+            token, long = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            size = max(1, len(token.dictionary))
+            each, times = np.unique(np.repeat(np.arange(n), long) * size + token.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row = each // size
+            yield pa.RecordBatch.from_arrays([token.dictionary.take(pa.array(each % size)), ids.take(pa.array(row)), pa.array(times.astype(np.int64)), pa.array(long[row].astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([MARK] * n, pa.string()), ids, pa.array(np.ones(n, np.int64)), pa.array(long.astype(np.int32))], names=names)
+
+    products.bounded_batches(tokens.sparkSession)
+    return tokens.select("id", "tokens").mapInArrow(run, f"term string, id {kind}, tf long, len int")
+
+
 def corpus_stats(docs: DataFrame, text: Column) -> DataFrame:
     """One row: n documents with tokens and their mean length."""
     sizes = docs.select(F.size(tokenize(text)).alias("len")).where("len > 0")
@@ -72,11 +90,16 @@ def search(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text:
     post = stored(term_counts(tokenized(docs, id_col, text), terms), "term-counts")
     n, length = post.agg(F.count("*"), F.sum("len")).first()
     known = q.sparkSession.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "key": pa.array(range(len(terms)), pa.int32())}))
-    df = F.broadcast(known).join(post.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df")), "key")
-    weights = q.join(df, "term").select("query_id", "key", (F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("qtf")).alias("w"))
+    df = post.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df"))
+    return best_by_counts(post.where(F.size("keys") > 0), q.join(F.broadcast(known), "term"), df, n, length, top_k)
+
+
+def best_by_counts(post: DataFrame, q: DataFrame, df: DataFrame, n: int, length: int | None, top_k: int) -> DataFrame:
+    """search() from counts. post: id, len, keys, tfs of documents; q: query_id, key, qtf; df: key, df; n documents of that length in all."""
+    weights = q.join(df, "key").select("query_id", "key", (F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("qtf")).alias("w"))
     asks = weights.groupBy("query_id").agg(F.collect_list(F.struct("key", "w")).alias("e")).select("query_id", F.col("e.key").alias("keys"), F.col("e.w").alias("vals"))  # terms of a query
     part = F.transform("tfs", lambda tf: tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit((length or 0) / max(n, 1)))))
-    return products.best(post.where(F.size("keys") > 0).select("id", "keys", part.alias("vals")), stored(asks, "query-weights"), top_k=top_k, least=0.0)
+    return products.best(post.select("id", "keys", part.alias("vals")), stored(asks, "query-weights"), top_k=top_k, least=0.0)
 
 
 def term_counts(tokens: DataFrame, terms: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import router
+from quillstone.operators.postings import PostingsIndex
 
 
 @pytest.fixture
@@ -38,3 +39,24 @@ def test_excerpts_leave_texts_where_they_are(spark, sf, no_size_hint):
 
     found = registry.QUERIES["query_excerpts"](spark, sf)
     assert "SortMergeJoin" not in plan(found) and "BroadcastHashJoin" in plan(found)
+
+
+def test_index_searches_of_many_terms_shuffle_no_pairs(spark, sf, no_size_hint):
+    docs, index = spark.read.parquet(f"{sf}/documents.parquet"), PostingsIndex(spark, buckets=5, deal=2)
+    for k in range(2):
+        index.add(docs.where(F.col("doc_id") % 2 == k))
+    asks = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    for within in (None, docs.where("lang = 'de'").select(F.col("doc_id").alias("id"))):
+        found, joined = index.search(asks, within=within), index.search(asks, within=within, most_terms=1)
+        assert "MapInArrow" in plan(found) and "Aggregate" not in plan(found) and "Join" not in plan(found)
+        got, want = ({(r["query_id"], r["id"], r["rank"], round(r["score"], 7)) for r in df.collect()} for df in (found, joined))
+        assert got == want and got
+
+
+def test_documents_that_come_twice_in_a_batch_are_refused(spark):
+    index = PostingsIndex(spark)
+    with pytest.raises(ValueError, match="twice"):
+        index.add(spark.createDataFrame([(1, "word"), (1, "other words")], "doc_id long, text string"))
+    assert index.n_docs == 0 and index.doc_freq().count() == 0
+    index.add(spark.createDataFrame([(1, "word word"), (2, "other words")], "doc_id long, text string"))
+    assert {tuple(r) for r in index._read("sizes").collect()} == {(1, 2), (2, 2)} and index.doc_freq().count() == 3
