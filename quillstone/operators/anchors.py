@@ -25,6 +25,8 @@ from .substrings import containing, found_needles
 #: Where a case names its anchors and its gold texts, and how many candidates a case keeps.
 ANCHORED, TEXTS, REASON = ("gold_citations", "gold_evidence", "gold_evidence_groups"), ("key_evidence_items", "evidence_items", "gold_evidence_texts"), "benefit_rebalance_reason"
 MOST = 60
+#: Values that count for nothing, as text; a text that reads like them, but for the empty one, counts.
+NOTHING = ("", "0", "0.0", "false", "[]", "{}")
 #: So many distinct terms of gold texts go to every task, and so many of their hits are broadcast to chunks.
 MOST_TERMS = 200_000
 
@@ -36,24 +38,31 @@ def _list(v: Column, path: str) -> Column:
 def _value(v: Column, name: str) -> Column:
     """A field as text; null where it is missing or counts for nothing (the text "0" is no number and counts)."""
     got, inner = F.try_variant_get(v, f"$.{name}", "string"), F.try_variant_get(v, f"$.{name}", "variant")
-    return F.when((F.schema_of_variant(inner) == "STRING") & (got != "") | ~got.isin("", "0", "0.0", "false", "[]", "{}"), got)
+    return F.when((F.schema_of_variant(inner) == "STRING") & (got != "") | ~got.isin(*NOTHING), got)
 
 
 def gold_anchors(cases: DataFrame) -> DataFrame:
     """case_id, kind (chunk_id, doc_id, pmid, group_id), value: what a case names as its gold, each once.
 
     cases: case_id, body (JSON text). A plain text in a list is a chunk; members of a group count like itself."""
-    v = cases.select("case_id", F.try_parse_json("body").alias("v"))
-    paths = [f"$.{at}{n}" for at in ("", "ground_truth.") for n in ANCHORED]
-    rows = v.select("case_id", F.explode(F.concat(*(_list(F.col("v"), p) for p in paths))).alias("row"))
-    row = F.col("row")
-    is_text = F.schema_of_variant(row) == "STRING"
-    of = lambda r, names: F.array(*(F.struct(F.lit(n).alias("kind"), _value(r, n).alias("value")) for n in names))
-    inner = F.when(F.size(_list(row, "$.members")) > 0, _list(row, "$.members")).otherwise(_list(row, "$.citations"))
-    members = F.flatten(F.transform(inner, lambda m: of(m, ("chunk_id", "doc_id", "pmid"))))
-    plain = F.array(F.struct(F.lit("chunk_id").alias("kind"), F.try_variant_get(row, "$", "string").alias("value")))
-    named = F.when(is_text, plain).otherwise(F.concat(of(row, ("chunk_id", "doc_id", "pmid", "group_id")), members))
-    return rows.select("case_id", F.explode(named).alias("a")).select("case_id", "a.*").where(F.coalesce("value", F.lit("")) != "").distinct()
+    # Objects become maps, as a path that leads nowhere costs Spark an exception each time. What names an anchor, then each
+    # name, is a row of its own: nothing is looked up in lambda functions, and only what is there becomes text.
+    of = lambda m, n: F.try_element_at(m, F.lit(n))
+    fields = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    m = cases.select("case_id", fields(F.try_parse_json("body")).alias("m")).select("case_id", "m", fields(of(F.col("m"), "ground_truth")).alias("truth"))
+    rows = m.select("case_id", F.explode(F.concat(*(_list(of(F.col(at), n), "$") for at in ("m", "truth") for n in ANCHORED))).alias("row"))
+    rows = rows.withColumn("m", fields(F.col("row"))).select("case_id", "row", "m", _list(of(F.col("m"), "members"), "$").alias("members"))
+    inner = F.when(F.size("members") > 0, F.col("members")).otherwise(_list(of(F.col("m"), "citations"), "$"))
+    v, outer = F.col("v"), F.col("pos") == 0
+    rows = rows.select("case_id", F.posexplode(F.concat(F.array("row"), inner)).alias("pos", "v")).withColumn("m", fields(v))
+    rows = rows.withColumn("is_text", outer & F.col("m").isNull() & (F.schema_of_variant("v") == "STRING"))
+    names = [of(F.col("m"), n) for n in ("chunk_id", "doc_id", "pmid")]
+    plain, group = F.when(F.col("is_text"), v), F.when(outer, of(F.col("m"), "group_id"))
+    named = F.array(*(F.struct(F.lit(n).alias("kind"), x.alias("v"), F.col("is_text").alias("plain")) for n, x in zip(("chunk_id", "chunk_id", "doc_id", "pmid", "group_id"), (plain, *names, group), strict=True)))
+    found = rows.select("case_id", F.explode(named).alias("a")).select("case_id", "a.*").where(v.isNotNull())
+    found = found.select("case_id", "kind", F.try_variant_get(v, "$", "string").alias("value"), F.when(~F.col("plain"), v).alias("v"))
+    counts = ~F.col("value").isin(*NOTHING) | (F.col("value") != "") & (F.coalesce(F.schema_of_variant("v"), F.lit("STRING")) == "STRING")
+    return found.where(counts).select("case_id", "kind", "value").distinct()
 
 
 def present(anchors: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:

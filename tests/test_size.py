@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import router
+from quillstone.operators import anchors, router
 from quillstone.operators.postings import PostingsIndex
 
 
@@ -60,3 +60,15 @@ def test_documents_that_come_twice_in_a_batch_are_refused(spark):
     assert index.n_docs == 0 and index.doc_freq().count() == 0
     index.add(spark.createDataFrame([(1, "word word"), (2, "other words")], "doc_id long, text string"))
     assert {tuple(r) for r in index._read("sizes").collect()} == {(1, 2), (2, 2)} and index.doc_freq().count() == 3
+
+
+def test_anchors_are_rows_before_they_are_looked_up(spark):
+    bodies = [
+        '{"gold_citations": ["c1", "", "0", 7, null, {"chunk_id": 0, "doc_id": "0", "pmid": 12.0, "group_id": "g"}], "gold_evidence": "none"}',
+        '{"ground_truth": {"gold_evidence": [{"doc_id": 5, "members": [{"pmid": "p", "group_id": "h"}, "text", {"chunk_id": []}], "citations": [{"pmid": "q"}]}, {"citations": [{"pmid": "q"}, {"pmid": null}]}]}}',
+        "[1]", "no json", None,
+    ]
+    found = anchors.gold_anchors(spark.createDataFrame(list(enumerate(bodies)), "case_id long, body string"))
+    assert "lambda" not in plan(found)
+    first = {(0, "chunk_id", "c1"), (0, "chunk_id", "0"), (0, "doc_id", "0"), (0, "pmid", "12"), (0, "group_id", "g")}
+    assert {tuple(r) for r in found.collect()} == first | {(1, "doc_id", "5"), (1, "pmid", "p"), (1, "pmid", "q")}
