@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tokens
 from ..functions.text import tokenize
 from ..sources.folders import stored
 from . import products
@@ -35,22 +36,34 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return tokenized(docs, id_col, text).select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
-def counted(tokens: DataFrame) -> DataFrame:
-    """term, id, tf, len of each document (id, tokens), counted where it is read; besides, each posts its length under the term MARK."""
-    kind, names = tokens.schema["id"].dataType.simpleString(), ["term", "id", "tf", "len"]
+def blocks(docs: DataFrame) -> DataFrame:
+    """term, ids, tfs, lens, n: postings of documents (id, text), counted where texts are read; those of a term in some MB of
+    texts are one row, n its documents. Besides, documents with a token post their lengths under the term MARK."""
+    kind = docs.schema["id"].dataType.simpleString()
 
-    def run(batches):
-        for batch in batches:
-            ids, lists, n = batch.column(0), batch.column(1), batch.num_rows
-            token, long = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            size = max(1, len(token.dictionary))
-            each, times = np.unique(np.repeat(np.arange(n), long) * size + token.indices.to_numpy(zero_copy_only=False), return_counts=True)
-            row = each // size
-            yield pa.RecordBatch.from_arrays([token.dictionary.take(pa.array(each % size)), ids.take(pa.array(row)), pa.array(times.astype(np.int64)), pa.array(long[row].astype(np.int32))], names=names)
-            yield pa.RecordBatch.from_arrays([pa.array([MARK] * n, pa.string()), ids, pa.array(np.ones(n, np.int64)), pa.array(long.astype(np.int32))], names=names)
+    def lists(term, code, ids, tf, long):
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        at = np.concatenate([first, [len(code)]]).astype(np.int32)
+        each = (pa.ListArray.from_arrays(pa.array(at), x) for x in (ids, pa.array(tf.astype(np.int32)), pa.array(long.astype(np.int32))))
+        return pa.RecordBatch.from_arrays([term.take(pa.array(code[first])), *each, pa.array(np.diff(at))], names=["term", "ids", "tfs", "lens", "n"])
 
-    products.bounded_batches(tokens.sparkSession)
-    return tokens.select("id", "tokens").mapInArrow(run, f"term string, id {kind}, tf long, len int")
+    def run(batches):
+        for batch in tokens.pooled(batches):
+            ids, n = batch.column(0), batch.num_rows
+            term, code, row = tokens.coded(batch.column(1))
+            long = np.bincount(row, minlength=n)
+            each, times = np.unique(code * n + row, return_counts=True)
+            yield lists(term, each // n, ids.take(pa.array(each % n)), times, long[each % n])
+            has = np.flatnonzero(long)
+            yield lists(pa.array([MARK]), np.zeros(len(has), np.int64), ids.take(pa.array(has)), np.ones(len(has)), long[has])
+
+    products.bounded_batches(docs.sparkSession)
+    return docs.select("id", F.lower("text").alias("text")).mapInArrow(run, f"term string, ids array<{kind}>, tfs array<int>, lens array<int>, n int")
+
+
+def unblocked(blocks: DataFrame, *cols: str) -> DataFrame:
+    """These columns, and id, tf, len of each posting of blocks()."""
+    return blocks.select(*cols, F.inline(F.arrays_zip("ids", "tfs", "lens")).alias("id", "tf", "len"))
 
 
 def corpus_stats(docs: DataFrame, text: Column) -> DataFrame:
