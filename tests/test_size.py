@@ -72,3 +72,18 @@ def test_anchors_are_rows_before_they_are_looked_up(spark):
     assert "lambda" not in plan(found)
     first = {(0, "chunk_id", "c1"), (0, "chunk_id", "0"), (0, "doc_id", "0"), (0, "pmid", "12"), (0, "group_id", "g")}
     assert {tuple(r) for r in found.collect()} == first | {(1, "doc_id", "5"), (1, "pmid", "p"), (1, "pmid", "q")}
+
+
+ODD = [(1, None), (2, ""), (3, "The EGFR-L858R of 肺腺癌 4.5, 肺"), (4, "İK\u212a é-word+\nword WORD."), (5, "the of and"), (6, "x" * 70000 + " egfr-l858r"), (7, "word 肺腺 " * 40)]
+
+
+def test_hashed_texts_are_tokenised_where_they_are_counted(spark):
+    from quillstone.operators import dense
+
+    docs = spark.createDataFrame(ODD, CHUNKS)
+    asks = docs.where("id in (3, 7)")
+    found = dense.hash_search(docs, asks, id_col="id", text=F.col("text"), query_id="id", query_text=F.col("text"))
+    assert "regexp_extract_all" not in plan(dense.hash_vectors(docs, "id", F.col("text"))) and "regexp_extract_all" not in plan(found)
+    a, b = (dense.hash_buckets(d, "id", F.col("text")).select(F.col("id").alias(n), "bucket", F.col("weight").alias(w)) for d, n, w in ((docs, "id", "x"), (asks, "query_id", "y")))
+    want = {(r["query_id"], r["id"], round(r["score"], 7)) for r in a.join(b, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("x") * F.col("y")).alias("score")).where("score > 1e-8").collect()}
+    assert {(r["query_id"], r["id"], round(r["score"], 7)) for r in found.collect()} == want and want
