@@ -100,7 +100,7 @@ def search(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text:
     terms = [r["term"] for r in q.select("term").distinct().limit(most_terms + 1).collect()]
     if len(terms) > most_terms or not products.one_row_each(docs.select(F.col(id_col).alias("id")), "id"):
         return _joined(docs, q, id_col, text, top_k, most_terms)
-    post = stored(term_counts(tokenized(docs, id_col, text), terms), "term-counts")
+    post = stored(term_counts(docs.select(F.col(id_col).alias("id"), text.alias("text")), terms), "term-counts")
     n, length = post.agg(F.count("*"), F.sum("len")).first()
     known = q.sparkSession.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "key": pa.array(range(len(terms)), pa.int32())}))
     df = post.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df"))
@@ -115,23 +115,23 @@ def best_by_counts(post: DataFrame, q: DataFrame, df: DataFrame, n: int, length:
     return products.best(post.select("id", "keys", part.alias("vals")), stored(asks, "query-weights"), top_k=top_k, least=0.0)
 
 
-def term_counts(tokens: DataFrame, terms: list[str]) -> DataFrame:
-    """id, len, keys, tfs: of each document (id, tokens) its number of tokens, the places in `terms` of those it has, and how often."""
-    known, kind = pa.array(terms, pa.string()), tokens.schema["id"].dataType.simpleString()
+def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """id, len, keys, tfs: of each document (id, text) with a token its number of tokens, the places in `terms` of those it has, and how often."""
+    known, kind, size = pa.array(terms, pa.string()), docs.schema["id"].dataType.simpleString(), max(1, len(terms))
 
     def run(batches):
-        for batch in batches:
-            lists, n = batch.column(1), batch.num_rows
-            code = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            long = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            at = np.repeat(np.arange(n), long)
-            each, times = np.unique((at * max(1, len(terms)) + code)[code >= 0], return_counts=True)
-            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(each // max(1, len(terms)), minlength=n))]).astype(np.int32))
-            keys, tfs = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (each % max(1, len(terms)), times))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(long.astype(np.int32)), keys, tfs], names=["id", "len", "keys", "tfs"])
+        for batch in tokens.pooled(batches):
+            n = batch.num_rows
+            term, code, row = tokens.coded(batch.column(1))
+            long, key = np.bincount(row, minlength=n), pc.fill_null(pc.index_in(term, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)[code]
+            each, times = np.unique((row * size + key)[key >= 0], return_counts=True)
+            has = np.flatnonzero(long)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(each // size, minlength=n)[has])]).astype(np.int32))
+            keys, tfs = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (each % size, times))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(has)), pa.array(long[has].astype(np.int32)), keys, tfs], names=["id", "len", "keys", "tfs"])
 
-    products.bounded_batches(tokens.sparkSession)
-    return tokens.select("id", "tokens").mapInArrow(run, f"id {kind}, len int, keys array<int>, tfs array<int>")
+    products.bounded_batches(docs.sparkSession)
+    return docs.select("id", F.lower("text").alias("text")).mapInArrow(run, f"id {kind}, len int, keys array<int>, tfs array<int>")
 
 
 def _joined(docs: DataFrame, q: DataFrame, id_col: str, text: Column, top_k: int, most_terms: int) -> DataFrame:
@@ -139,8 +139,8 @@ def _joined(docs: DataFrame, q: DataFrame, id_col: str, text: Column, top_k: int
     # One scan and one shuffle serve statistics, document frequencies and scores: every document also posts its length
     # under the term MARK, and all three read the same columns of the same postings (tf too), so that Spark reuses the exchange.
     terms = q.select("term").distinct().unionAll(q.sparkSession.range(1).select(F.lit(MARK).alias("term")))
-    tokens = tokenized(docs, id_col, text).select("id", F.size("tokens").alias("len"), F.explode(F.concat(F.array(F.lit(MARK)), "tokens")).alias("term")).where(F.col("term").isNotNull())
-    post = tokens.join(broadcast_up_to(terms, most_terms), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    listed = tokenized(docs, id_col, text).select("id", F.size("tokens").alias("len"), F.explode(F.concat(F.array(F.lit(MARK)), "tokens")).alias("term")).where(F.col("term").isNotNull())
+    post = listed.join(broadcast_up_to(terms, most_terms), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     mark = F.col("tf") * (F.col("term") == MARK).cast("int") > 0
     stats = post.agg(F.count(F.when(mark, 1)).alias("n"), F.avg(F.when(mark, F.col("len"))).alias("avg_len"))
     df = post.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))

@@ -87,3 +87,14 @@ def test_hashed_texts_are_tokenised_where_they_are_counted(spark):
     a, b = (dense.hash_buckets(d, "id", F.col("text")).select(F.col("id").alias(n), "bucket", F.col("weight").alias(w)) for d, n, w in ((docs, "id", "x"), (asks, "query_id", "y")))
     want = {(r["query_id"], r["id"], round(r["score"], 7)) for r in a.join(b, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("x") * F.col("y")).alias("score")).where("score > 1e-8").collect()}
     assert {(r["query_id"], r["id"], round(r["score"], 7)) for r in found.collect()} == want and want
+
+
+def test_queried_terms_are_counted_where_texts_are_read(spark):
+    from quillstone.operators import lexical
+
+    docs = spark.createDataFrame(ODD, CHUNKS)
+    assert "regexp_extract_all" not in plan(lexical.term_counts(docs, ["word", "肺腺"]))
+    assert {(r["id"], r["len"], tuple(r["keys"]), tuple(r["tfs"])) for r in lexical.term_counts(docs, ["word", "肺腺"]).collect()} == {(3, 5, (1,), (1,)), (4, 5, (0,), (1,)), (6, 2, (), ()), (7, 80, (0, 1), (40, 40))}
+    asks = spark.createDataFrame([(1, "word 肺腺癌 " + " ".join(f"w{k}" for k in range(60))), (2, "egfr-l858r é")], "query_id long, text string")
+    got, want = ({(r["query_id"], r["id"], r["rank"], round(r["score"], 7)) for r in lexical.search(docs, asks, id_col="id", most_terms=m).collect()} for m in (1000, 1))
+    assert got == want and got
