@@ -21,6 +21,10 @@ from .sizes import broadcast_up_to
 K1, B = 1.5, 0.75
 #: A term that no text has, as tokens hold no space.
 MARK = " "
+#: How often a document has a term, and its length, as blocks hold them.
+COUNTS = np.dtype([("tf", "<i4"), ("len", "<i4")])
+#: So many bytes of texts have one row of blocks for each of their terms: about 300 MB in the task that counts them.
+TOGETHER = 64 << 20
 #: So few terms of queries make few postings, which one plan over one scan joins.
 FEW = 50
 
@@ -36,34 +40,94 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return tokenized(docs, id_col, text).select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
+def block_schema(kind: str) -> str:
+    """Columns of blocks() of ids of this type."""
+    return f"term string, ids {'binary' if kind == 'bigint' else f'array<{kind}>'}, counts binary, n int"
+
+
+def _bytes(places: np.ndarray, values: np.ndarray) -> pa.Array:
+    """One binary value for the values from each place to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer((places * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _block(places: np.ndarray, ids: pa.Array, tf: np.ndarray, long: np.ndarray) -> list[pa.Array]:
+    """ids, counts, n of rows whose postings begin at these places; the last one ends the last row."""
+    counts = np.empty(len(tf), COUNTS)
+    counts["tf"], counts["len"] = tf, long
+    packed = _bytes(places, ids.to_numpy(zero_copy_only=False)) if ids.type == pa.int64() else pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), ids)
+    return [packed, _bytes(places, counts), pa.array(np.diff(places).astype(np.int32))]
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """term, ids, tfs, lens, n: postings of documents (id, text), counted where texts are read; those of a term in some MB of
-    texts are one row, n its documents. Besides, documents with a token post their lengths under the term MARK."""
-    kind = docs.schema["id"].dataType.simpleString()
+    """term, ids, counts, n: postings of documents (id, text), counted where texts are read; those of a term in TOGETHER bytes of
+    texts are one row, n its documents. Their counts and lengths are one binary value (COUNTS), and so are ids that are
+    longs, as a list costs Spark a step for each number. Besides, documents with a token post their lengths under the term MARK."""
 
-    def lists(term, code, ids, tf, long):
+    def rows(term, code, *columns):
         first = np.flatnonzero(np.diff(code, prepend=-1))
-        at = np.concatenate([first, [len(code)]]).astype(np.int32)
-        each = (pa.ListArray.from_arrays(pa.array(at), x) for x in (ids, pa.array(tf.astype(np.int32)), pa.array(long.astype(np.int32))))
-        return pa.RecordBatch.from_arrays([term.take(pa.array(code[first])), *each, pa.array(np.diff(at))], names=["term", "ids", "tfs", "lens", "n"])
+        made = pa.RecordBatch.from_arrays([term.take(pa.array(code[first])), *_block(np.concatenate([first, [len(code)]]), *columns)], names=["term", "ids", "counts", "n"])
+        return (made.slice(k, 20_000) for k in range(0, made.num_rows, 20_000))
+
+    def counted(held):
+        ids, term = (pa.concat_arrays([h[k] for h in held]) for k in (0, 1))
+        term, n = term.dictionary_encode(), len(ids)
+        known, long, key, t, d = term.indices.to_numpy().astype(np.int64), [], [], 0, 0
+        for some, terms, code, place in held:
+            key.append(known[t + code] * n + (d + place))
+            long.append(np.bincount(place, minlength=len(some)))
+            t, d = t + len(terms), d + len(some)
+        long, (each, times) = np.concatenate(long), np.unique(np.concatenate(key), return_counts=True)
+        yield from rows(term.dictionary, each // n, ids.take(pa.array(each % n)), times, long[each % n])
+        has = np.flatnonzero(long)
+        yield from rows(pa.array([MARK]), np.zeros(len(has), np.int64), ids.take(pa.array(has)), np.ones(len(has)), long[has])
 
     def run(batches):
+        held, size = [], 0
         for batch in tokens.pooled(batches):
-            ids, n = batch.column(0), batch.num_rows
-            term, code, row = tokens.coded(batch.column(1))
-            long = np.bincount(row, minlength=n)
-            each, times = np.unique(code * n + row, return_counts=True)
-            yield lists(term, each // n, ids.take(pa.array(each % n)), times, long[each % n])
-            has = np.flatnonzero(long)
-            yield lists(pa.array([MARK]), np.zeros(len(has), np.int64), ids.take(pa.array(has)), np.ones(len(has)), long[has])
+            term, code, place = tokens.coded(batch.column(1))
+            held.append((batch.column(0), term, code.astype(np.int32), place.astype(np.int32)))
+            size += batch.nbytes
+            if size >= TOGETHER:
+                yield from counted(held)
+                held, size = [], 0
+        if held:
+            yield from counted(held)
 
     products.bounded_batches(docs.sparkSession)
-    return docs.select("id", F.lower("text").alias("text")).mapInArrow(run, f"term string, ids array<{kind}>, tfs array<int>, lens array<int>, n int")
+    return docs.select("id", F.lower("text").alias("text")).mapInArrow(run, block_schema(docs.schema["id"].dataType.simpleString()))
+
+
+def packed(lists: DataFrame, *cols: str) -> DataFrame:
+    """These columns, and ids, counts, n of blocks() from lists ids, tfs, lens."""
+    kind = lists.schema["ids"].dataType.elementType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            ids, tf, long = (batch.column(name) for name in ("ids", "tfs", "lens"))
+            places = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            numbers = (c.flatten().to_numpy(zero_copy_only=False) for c in (tf, long))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), *_block(places, ids.flatten(), *numbers)], names=[*cols, "ids", "counts", "n"])
+
+    products.bounded_batches(lists.sparkSession)
+    given = ", ".join(f"{c} {lists.schema[c].dataType.simpleString()}" for c in cols)
+    return lists.select(*cols, "ids", "tfs", "lens").mapInArrow(run, f"{given}, {block_schema(kind).split(', ', 1)[1]}")
 
 
 def unblocked(blocks: DataFrame, *cols: str) -> DataFrame:
     """These columns, and id, tf, len of each posting of blocks()."""
-    return blocks.select(*cols, F.inline(F.arrays_zip("ids", "tfs", "lens")).alias("id", "tf", "len"))
+    kind = blocks.schema["ids"].dataType
+    long = kind.simpleString() == "binary"
+
+    def run(batches):
+        for batch in batches:
+            ids, n = batch.column("ids"), batch.column("n").to_numpy(zero_copy_only=False)
+            row, counts = pa.array(np.repeat(np.arange(batch.num_rows), n)), tokens.buffers(batch.column("counts"))[0].view(COUNTS)
+            ids = pa.array(tokens.buffers(ids)[0].view(np.int64)) if long else ids.flatten()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in cols), ids, *(pa.array(np.ascontiguousarray(counts[c])) for c in ("tf", "len"))], names=[*cols, "id", "tf", "len"])
+
+    products.bounded_batches(blocks.sparkSession)
+    given = "".join(f"{c} {blocks.schema[c].dataType.simpleString()}, " for c in cols)
+    return blocks.select(*cols, "ids", "counts", "n").mapInArrow(run, f"{given}id {'bigint' if long else kind.elementType.simpleString()}, tf int, len int")
 
 
 def corpus_stats(docs: DataFrame, text: Column) -> DataFrame:
